@@ -1,0 +1,592 @@
+"""The expected result of every registered query, as one DuckDB statement each."""
+
+from __future__ import annotations
+
+import re
+
+from oracle.relations import (
+    AS_OF,
+    CTES,
+    CUSTOMER_KEYS,
+    DEMO_PEPPER,
+    ERASED,
+    FULL,
+    INVOICE_TAIL,
+    KEY_NAMES,
+    RUN_TS,
+    SECOND_RUN_TS,
+    SPECIAL,
+    address,
+    canon,
+    customer_key_list,
+    hashed,
+    key,
+    ssn_key,
+    values_of,
+)
+
+LEDGER = "int_terminal_deleted_customer_keys"
+PLAN = "int_customer_deletion_plan"
+HEX = "regexp_full_match({}, 'v1:[0-9a-f]{{64}}')"
+
+
+def _needed(sql: str) -> list[str]:
+    """CTEs a statement uses, in definition order."""
+    found: set[str] = set()
+    todo = [sql]
+    while todo:
+        words = set(re.findall(r"[a-z_0-9]+", todo.pop()))
+        for name in (words & CTES.keys()) - found:
+            found.add(name)
+            todo.append(CTES[name])
+    return [name for name in CTES if name in found]
+
+
+def statement(sql: str) -> str:
+    ctes = ", ".join(f"{name} AS ({CTES[name]})" for name in _needed(sql))
+    return f"WITH {ctes} {sql}" if ctes else sql
+
+
+def json_row(columns: list[tuple[str, str]]) -> str:
+    """The JSON text Spark writes for a row: nulls left out, timestamps in UTC with microseconds."""
+    parts = []
+    for name, kind in columns:
+        text = f"strftime({name}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'" if kind == "timestamp" else name
+        parts.append(f"'\"{name}\":\"' || {text} || '\"'")
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
+LEDGER_JSON = json_row(
+    [
+        ("decision_revision_id", "string"), ("deletion_request_id", "string"), ("customer_key", "string"),
+        ("authorized_at", "timestamp"), ("authorization_recorded_at", "timestamp"), ("deletion_mode", "string"),
+        ("deletion_policy_version", "string"), ("initial_decision_revision_id", "string"),
+        ("initial_deletion_request_id", "string"), ("initial_deletion_mode", "string"),
+        ("initial_deletion_policy_version", "string"), ("initial_authorized_at", "timestamp"),
+        ("initial_authorization_recorded_at", "timestamp"), ("suppression_recorded_at", "timestamp"),
+        ("mode_escalated_at", "timestamp"),
+    ]
+)
+PLAN_JSON = json_row(
+    [
+        ("decision_revision_id", "string"), ("deletion_request_id", "string"), ("customer_key", "string"),
+        ("deletion_mode", "string"), ("deletion_policy_version", "string"),
+        ("authorization_recorded_at", "timestamp"), ("target_layer", "string"), ("target_relation", "string"),
+        ("target_kind", "string"), ("planned_action", "string"), ("plan_status", "string"),
+        ("authorized_at", "timestamp"),
+    ]
+)
+PLAN_COLUMNS = (
+    "decision_revision_id, deletion_request_id, customer_key, deletion_mode, deletion_policy_version, "
+    "target_layer, target_relation, target_kind, planned_action"
+)
+TEXT_RULES = {
+    "workspace host": (
+        r"(dbc-[a-zA-Z0-9-]+\.databricks\.com|([a-zA-Z0-9-]+\.)+(cloud|gcp)\.databricks\.com"
+        r"|adb-[0-9]+\.[0-9]+\.azuredatabricks\.net)"
+    ),
+    "warehouse identifier": (
+        r"(/sql/1\.0/warehouses/[0-9a-f]{16}|DATABRICKS_WAREHOUSE_ID\s*=\s*[0-9a-f]{16}"
+        r"|warehouse_id:\s*[0-9a-f]{16})"
+    ),
+    "account identifier": r"DATABRICKS_ACCOUNT_ID\s*=\s*[0-9a-f]{8}-[0-9a-f-]{27,}",
+    "group identifier": r"(PRIVACY_ADMIN|RESTRICTED_USER|CASE_USER)_GROUP_ID\s*=\s*[0-9]{5,}",
+    "home path": r"/Users/[a-zA-Z0-9_.-]+/",
+    "credential-shaped token": (
+        r"(dapi[a-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{20,}"
+        r"|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16}|xox[baprs]-[A-Za-z0-9-]{10,})"
+    ),
+    "private key": r"BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY",
+}
+
+
+def lines(source: str, id_col: str, text_col: str) -> str:
+    return f"""(SELECT record_id, unnest(parts) AS line, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_number
+                FROM (SELECT {id_col} AS record_id, string_split({text_col}, chr(10)) AS parts FROM {source}))"""
+
+
+def text_scan(source: str, id_col: str = "doc_id", text_col: str = "text") -> str:
+    rules = ", ".join(f"('{name}', '{pattern}')" for name, pattern in TEXT_RULES.items())
+    return f"""SELECT rule, record_id, line_number FROM {lines(source, id_col, text_col)},
+               (VALUES {rules}) r(rule, pattern) WHERE regexp_matches(line, pattern)"""
+
+
+def email_scan(source: str, id_col: str, text_col: str) -> str:
+    return f"""
+        SELECT DISTINCT 'non-reserved email address' AS rule, record_id, line_number
+        FROM (SELECT record_id, line_number, lower(address) AS address,
+                     regexp_replace(lower(address), '^.*@', '') AS domain
+              FROM (SELECT record_id, line_number,
+                      unnest(regexp_extract_all(line, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}')) AS address
+                    FROM {lines(source, id_col, text_col)} WHERE contains(line, '@')))
+        WHERE NOT regexp_matches(domain, '(^|\\.)(invalid|example)$')
+          AND domain NOT IN ('example.com', 'example.net', 'example.org', 'users.noreply.github.com')
+          AND address <> 'noreply@github.com'"""
+
+
+def masked(pairs: list[tuple[str, str]]) -> str:
+    return ", ".join(f"{k} AS {raw}" for raw, k in pairs)
+
+
+CUSTOMER_MASKS = [(v, k) for k, v, *_ in CUSTOMER_KEYS]
+SERVICE_MASKS = [
+    ("service_id_value", "service_key"), ("customer_ssn_value", "customer_key"),
+    ("installation_address_value", "installation_address_key"),
+]
+
+
+def all_of(pairs, op: str) -> str:
+    return " AND ".join(f"{raw} {op} {k}" for raw, k in pairs)
+
+
+def partition(expected: str, outputs: str) -> str:
+    return f"""
+        SELECT coalesce(e.record_key, a.record_key) AS record_key, e.n AS expected_occurrence_count,
+               CAST(coalesce(a.n, 0) AS BIGINT) AS actual_occurrence_count
+        FROM ({expected}) e FULL JOIN (SELECT record_key, count(*) AS n FROM ({outputs}) GROUP BY 1) a USING (record_key)
+        WHERE e.record_key IS NULL OR coalesce(a.n, 0) <> e.n"""
+
+
+def expected_once(keyed: str, id_col: str) -> str:
+    return f"""SELECT {id_col} AS record_key, CAST(l.deletion_mode IS DISTINCT FROM '{FULL}' AS BIGINT) AS n
+               FROM {keyed} LEFT JOIN ledger l USING (customer_key)"""
+
+
+def fold(level: str, width: int) -> str:
+    """One level of the digest tree."""
+    prefix = f"substr(prefix, 1, {width})" if width else "''"
+    return f"""(SELECT target_relation, {prefix} AS prefix, prefix || digest AS entry, digest
+                FROM (SELECT target_relation, prefix, sha256(string_agg(entry, '' ORDER BY entry)) AS digest
+                      FROM {level} GROUP BY 1, 2))"""
+
+
+DIGEST_ROWS = f"""(SELECT target_relation, substr(h, 1, 6) AS prefix, h || 'x' || count(*) AS entry
+                   FROM (SELECT target_relation, sha256({PLAN_JSON}) AS h FROM plan) GROUP BY target_relation, h)"""
+EMAIL = canon("email")
+EVENT_OUT = "event_id, customer_key, event_type, occurred_at, measure_value, measure_unit, source_updated_at"
+MAP_TAIL = "customer_segment, is_active, source_updated_at"
+SERVICE_MAP_TAIL = "service_type, is_valid, valid_from, valid_to, source_updated_at"
+MAP_KEYS = "customer_key, service_key, service_version_key, installation_address_key"
+LATE = "substr(customer_key, 4, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7')"
+FIRST_RUN_FIELDS = (
+    "decision_revision_id", "deletion_request_id", "deletion_mode", "deletion_policy_version",
+    "authorization_recorded_at", "authorized_at",
+)
+CASE_CHECKS = {
+    "case_dim_customer": ("case_customer", [
+        ("customer_id", "customer_id_key"), ("full_name", "full_name_key"), ("email", "email_key"),
+        ("customer_address", "address_key"),
+    ]),
+    "case_dim_service": ("case_service", [
+        ("service_id", "service_key"), ("installation_address", "installation_address_key"),
+    ]),
+    "case_fct_customer_event": ("case_event", [("full_name", "full_name_key"), ("email", "email_key")]),
+    "case_fct_invoice": ("case_invoice", [
+        ("full_name", "full_name_key"), ("email", "email_key"), ("service_id", "service_key"),
+        ("installation_address", "installation_address_key"),
+    ]),
+}
+INVOICE_KEYS = """SELECT invoice_id AS invoice_key, CAST(strftime(issued_date, '%Y%m%d') AS INTEGER) AS i,
+                         CAST(strftime(due_date, '%Y%m%d') AS INTEGER) AS d,
+                         CAST(strftime(paid_at, '%Y%m%d') AS INTEGER) AS p, is_paid FROM stg_invoices"""
+NULL_COLUMNS = ["customer_change_id", "first_name", "last_name", "email", "phone", "city", "is_active"]
+LOWER_UPPER = "lower(upper(email)) = lower(email)"
+
+BODIES = {
+    # sources and staging
+    "extract_customer": "SELECT * FROM x_customer",
+    "extract_decisions": "SELECT * FROM x_decisions",
+    "extract_events": "SELECT * FROM x_events",
+    "extract_services": "SELECT * FROM x_services",
+    "extract_invoices": "SELECT * FROM x_invoices",
+    "stage_customer": "SELECT * FROM stg_customer",
+    "stage_events": "SELECT * FROM stg_events",
+    "stage_services": "SELECT * FROM stg_services",
+    "stage_invoices": "SELECT * FROM stg_invoices",
+    "stage_decisions": "SELECT * FROM stg_early_decisions",
+    "stage_decisions_teaching": "SELECT * FROM t_decisions",
+    "compose_customer_text": f"""
+        SELECT customer_change_id, nullif(concat_ws(' ', first_name, last_name), '') AS full_name,
+               {address('', 'address_line')} AS customer_address FROM stg_customer""",
+    "compose_service_text": f"""
+        SELECT service_id, valid_from, service_id || '|' || strftime(valid_from, '%Y-%m-%d') AS version_text,
+               {address('installation_', 'address_line')} AS installation_address,
+               CAST(strftime(valid_from, '%Y%m%d') AS INTEGER) AS valid_from_key FROM stg_services""",
+    # keys
+    "canonical_forms": f"""
+        SELECT customer_change_id, {canon('customer_ssn', 'ssn')} AS ssn_form, {canon('phone', 'phone')} AS phone_form,
+               {canon('birth_date', 'date')} AS date_form, {canon('address_line1')} AS text_form, {EMAIL} AS email_form
+        FROM stg_customer""",
+    "canonical_document_text": f"""
+        SELECT doc_id, CAST(length({canon('text')}) AS INTEGER) AS canonical_length,
+               {key('text', 'document.text')} AS text_key FROM documents""",
+    "framed_hash_core": f"""
+        SELECT customer_change_id, {hashed(EMAIL, 'customer.email')} AS email_key,
+               {hashed(EMAIL, 'customer.full_name')} AS other_domain_key FROM stg_customer""",
+    "key_customer_set": f"SELECT {customer_key_list()}, * FROM ({values_of('latest_upserts')})",
+    "key_customer_set_demo": (
+        f"SELECT {customer_key_list('demo-v1', DEMO_PEPPER)}, * FROM ({values_of('latest_upserts')})"
+    ),
+    "key_services": "SELECT * EXCLUDE (customer_ssn, installation_address) FROM keyed_services",
+    "key_events": "SELECT * FROM keyed_events",
+    "key_invoices": "SELECT * FROM keyed_invoices",
+    # maps
+    "latest_upserts": "SELECT * FROM latest_upserts",
+    "customer_map": "SELECT * FROM customer_map",
+    "service_map": "SELECT * FROM service_map",
+    "protect_customer": "SELECT * FROM protected",
+    "suppressed_identifiers": """
+        SELECT DISTINCT replace(s.customer_ssn, '-', '') AS normalized_ssn
+        FROM stg_customer s JOIN requests r USING (customer_id)
+        WHERE s.customer_ssn IS NOT NULL AND r.deletion_request_id IN (
+          SELECT deletion_request_id FROM ledger UNION SELECT initial_deletion_request_id FROM ledger)""",
+    # controls
+    "detect_requests": "SELECT * FROM requests",
+    "detect_requests_second_run": "SELECT * FROM requests",
+    "authorization_history": "SELECT * FROM history",
+    "authorizations": "SELECT * FROM authorizations",
+    "expand_historical_keys": "SELECT * FROM historical_keys",
+    "deletion_plan": "SELECT * FROM plan",
+    "deletion_plan_second_run": "SELECT * FROM plan UNION SELECT * FROM early_plan",
+    "complete_plans": "SELECT * FROM complete",
+    "incomplete_plans_refused": """
+        SELECT * FROM complete WHERE substr(customer_key, 4, 1) NOT IN ('0', '1', '2', '3', '4')""",
+    "rank_plans": f"""
+        SELECT customer_key, {', '.join(FIRST_RUN_FIELDS)}, {', '.join('initial_' + c for c in FIRST_RUN_FIELDS)}
+        FROM ledger""",
+    "ledger_first_run": "SELECT * FROM ledger",
+    "ledger_early_run": "SELECT * FROM early_ledger",
+    "ledger_second_run": "SELECT * FROM ledger_after_second_run",
+    "latest_authorization": "SELECT * FROM t_authorizations",
+    "snapshot_plan": "SELECT * FROM t_plan",
+    "effective_modes": "SELECT * FROM t_modes",
+    # policy
+    "attach_deletion_mode": """
+        SELECT event_id, customer_key, deletion_mode FROM keyed_events LEFT JOIN ledger USING (customer_key)""",
+    "apply_policy_delete": """
+        SELECT customer_key, service_version_key, valid_from, valid_to FROM keyed_services
+        ANTI JOIN ledger USING (customer_key)""",
+    "apply_policy_replace": f"""
+        SELECT invoice_id, if(deletion_mode IS NULL, customer_key, {ERASED}) AS customer_key,
+               if(deletion_mode IS NULL, service_key, {ERASED}) AS service_key, amount,
+               deletion_mode IS NOT NULL AS is_erased_customer
+        FROM marked_invoices WHERE deletion_mode IS NULL OR deletion_mode = '{SPECIAL}'""",
+    "governed_fact": f"""
+        SELECT event_id, if(deletion_mode IS NULL, customer_key, {ERASED}) AS customer_key, measure_value,
+               deletion_mode IS NOT NULL AS is_erased_customer
+        FROM keyed_events LEFT JOIN ledger USING (customer_key)
+        WHERE deletion_mode IS DISTINCT FROM '{FULL}'""",
+    "governed_quarantine": f"""
+        SELECT invoice_id, customer_ssn, amount FROM stg_invoices
+        WHERE {ssn_key()} NOT IN (SELECT customer_key FROM ledger)""",
+    "leak_guard": """
+        SELECT invoice_id, customer_key, false AS is_erased_customer FROM keyed_invoices
+        ANTI JOIN ledger USING (customer_key)""",
+    "contract_violations": """
+        SELECT * FROM (
+          SELECT 'NULL_PRIMARY_KEY' AS failure_reason, count(*) AS row_count FROM keyed_events
+            WHERE measure_value IS NULL OR measure_value <= 5
+          UNION ALL SELECT 'DUPLICATE_PRIMARY_KEY', CAST(count(*) > 1 AS BIGINT) FROM keyed_events
+            WHERE measure_value IS NULL OR measure_value <= 5
+          UNION ALL SELECT 'INVALID_ERASED_MEMBER', count(*) FROM keyed_events WHERE event_type = 'ERROR'
+          UNION ALL SELECT 'DELETED_CUSTOMER_VISIBLE', count(*) FROM keyed_events SEMI JOIN ledger USING (customer_key))
+        WHERE row_count > 0""",
+    # resolutions
+    "resolve_events": "SELECT * FROM event_resolution",
+    "resolve_services": "SELECT * FROM service_resolution",
+    "source_service_stats": """
+        SELECT invoice_id, any_period AS service_period_count, own_period AS customer_service_period_count,
+               ok_period AS valid_service_period_count, effective AS effective_service_period_count,
+               source_version AS source_service_version_key FROM invoice_stats""",
+    "mapped_service_stats": """
+        SELECT invoice_id, mapped AS mapped_service_period_count, mapped_version AS resolved_service_version_key
+        FROM mapped_stats""",
+    "classify_invoices": f"""
+        SELECT invoice_id, customer_key, service_key,
+               if(deletion_mode IS NULL, mapped_version, source_version) AS resolved_service_version_key,
+               {INVOICE_TAIL}, source_is_due, source_updated_at, deletion_mode, resolution_status
+        FROM classified_invoices""",
+    "resolve_invoices": "SELECT * FROM invoice_resolution",
+    "accepted_events": "SELECT * FROM accepted_events",
+    "accepted_services": "SELECT * FROM accepted_services",
+    "accepted_invoices": "SELECT * FROM accepted_invoices",
+    "quarantine_events": "SELECT * FROM quarantined_events",
+    "quarantine_services": "SELECT * FROM quarantined_services",
+    "quarantine_invoices": "SELECT * FROM quarantined_invoices",
+    "suppressed_invoices": """
+        SELECT invoice_id, resolution_status FROM invoice_resolution
+        WHERE resolution_status <> 'ACCEPTED' AND is_erased_customer""",
+    "late_arrival_services": f"""
+        SELECT CASE WHEN {LATE} THEN 'CUSTOMER_NOT_FOUND' ELSE resolution_status END AS status_before,
+               resolution_status AS status_after, count(*) AS services
+        FROM service_resolution GROUP BY ALL""",
+    "teaching_current_customers": "SELECT * FROM t_current",
+    "teaching_customer_map": "SELECT * FROM t_map",
+    "teaching_resolve_invoices": "SELECT * FROM t_invoice_resolution",
+    "teaching_accepted_invoices": f"""
+        SELECT invoice_id, customer_ssn, service_id, {INVOICE_TAIL}, source_is_due,
+               NOT is_paid AND due_date <= {AS_OF} AS is_due, source_updated_at, is_erased_customer
+        FROM t_invoice_resolution WHERE resolution_status = 'ACCEPTED'""",
+    "teaching_quarantine_invoices": f"""
+        SELECT s.* EXCLUDE (is_due), s.is_due AS source_is_due, r.resolution_status AS quarantine_reason,
+               {RUN_TS} AS quarantined_at
+        FROM stg_invoices s JOIN t_invoice_resolution r USING (invoice_id)
+        WHERE r.resolution_status <> 'ACCEPTED' AND NOT r.is_erased_customer""",
+    # star and views
+    "dim_customer": "SELECT * FROM dim_customer",
+    "dim_service": "SELECT * FROM dim_service",
+    "dim_date_usage": """
+        SELECT d.*, (SELECT count(*) FROM fct_invoice f WHERE f.issue_date_key = d.date_key) AS invoices
+        FROM dim_date d""",
+    "fct_customer_event": "SELECT * FROM fct_event",
+    "fct_invoice": "SELECT * FROM fct_invoice",
+    "case_dim_customer": "SELECT * FROM case_customer",
+    "case_dim_service": "SELECT * FROM case_service",
+    "case_fct_customer_event": "SELECT * FROM case_event",
+    "case_fct_invoice": "SELECT * FROM case_invoice",
+    "case_fct_invoice_denied": "SELECT * FROM case_invoice WHERE false",
+    "masked_customer_map_restricted": f"SELECT * REPLACE ({masked(CUSTOMER_MASKS)}) FROM customer_map",
+    "masked_customer_map_admin": "SELECT * FROM customer_map",
+    "masked_service_map_restricted": f"SELECT * REPLACE ({masked(SERVICE_MASKS)}) FROM service_map",
+    "persona_map_checks": f"""
+        SELECT 'fa_pd_customer' AS relation, count(*) AS row_count, 0 AS masked_rows,
+               count(*) FILTER ({all_of(CUSTOMER_MASKS, '<>')}) AS resolved_rows, 'privacy_admins' AS grantee
+          FROM customer_map
+        UNION ALL SELECT 'fa_pd_service_address', count(*), 0, count(*) FILTER ({all_of(SERVICE_MASKS, '<>')}),
+               'privacy_admins' FROM service_map
+        UNION ALL SELECT 'fa_pd_customer', count(*),
+               count(*) FILTER ({' AND '.join(f'{k} IS NOT NULL' for k in KEY_NAMES)}), 0, 'restricted_users'
+          FROM customer_map
+        UNION ALL SELECT 'fa_pd_service_address', count(*), count(installation_address_key), 0, 'restricted_users'
+          FROM service_map""",
+    "persona_case_checks": " UNION ALL ".join(
+        f"SELECT '{name}' AS relation, count(*) AS row_count, count(*) FILTER ({all_of(pairs, '<>')}) "
+        f"AS resolved_rows FROM {cte}"
+        for name, (cte, pairs) in CASE_CHECKS.items()
+    ),
+    # evidence
+    "archive_payloads": f"""
+        SELECT sha256(payload) AS payload_hash, payload FROM (SELECT {LEDGER_JSON} AS payload FROM ledger)""",
+    "archive_replay": f"""
+        SELECT '{LEDGER}' AS source_relation, count(*) AS new_rows
+        FROM (SELECT * FROM early_ledger EXCEPT SELECT * FROM ledger)""",
+    "archive_conflicts": f"""
+        SELECT decision_revision_id FROM stg_all_decisions WHERE deletion_mode = '{SPECIAL}'""",
+    "guard_keys": f"""
+        SELECT customer_key FROM ledger l LEFT JOIN early_ledger e USING (customer_key)
+        WHERE e.deletion_mode IS NULL OR (l.deletion_mode = '{FULL}' AND e.deletion_mode <> '{FULL}')""",
+    "plan_digest": f"""
+        SELECT target_relation, digest AS plan_digest FROM {fold(fold(fold(DIGEST_ROWS, 3), 0), 0)}""",
+    "restore_ledger": f"""
+        SELECT * EXCLUDE (archived) FROM (
+          SELECT *, {RUN_TS} AS archived FROM ledger
+          UNION ALL SELECT *, {SECOND_RUN_TS} FROM early_ledger)
+        QUALIFY row_number() OVER (PARTITION BY customer_key
+          ORDER BY (deletion_mode = '{FULL}') DESC, archived DESC) = 1""",
+    "incomplete_targets": """
+        SELECT DISTINCT target_relation FROM plan WHERE target_relation IN ('fct_invoice', 'fct_customer_event')""",
+    # audits
+    "audit_not_null": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS null_rows FROM stg_customer WHERE {c} IS NULL HAVING count(*) > 0"
+        for c in NULL_COLUMNS
+    ),
+    "audit_unique": """
+        SELECT customer_id, source_operation, count(*) AS row_count FROM stg_customer
+        GROUP BY ALL HAVING count(*) > 1""",
+    "audit_unique_service_periods": """
+        SELECT service_id, valid_from, count(*) AS row_count FROM stg_services GROUP BY ALL HAVING count(*) > 1""",
+    "audit_accepted_values": """
+        SELECT event_type AS value, count(*) AS row_count FROM stg_events
+        WHERE event_type NOT IN ('VIEW', 'CLICK') GROUP BY 1""",
+    "audit_relationships": """
+        SELECT DISTINCT customer_key AS value FROM keyed_invoices
+        WHERE is_paid AND customer_key NOT IN (SELECT customer_key FROM dim_customer)""",
+    "audit_relationships_star": """
+        SELECT DISTINCT customer_key AS value FROM fct_invoice
+        WHERE customer_key NOT IN (SELECT customer_key FROM dim_customer)""",
+    "audit_event_partition": partition(
+        expected_once("keyed_events", "event_id"),
+        "SELECT event_id AS record_key FROM accepted_events UNION ALL SELECT event_id FROM quarantined_events",
+    ),
+    "audit_event_partition_broken": partition(
+        expected_once("keyed_events", "event_id"),
+        """SELECT event_id AS record_key FROM accepted_events
+           UNION ALL SELECT event_id FROM accepted_events WHERE event_type = 'ERROR'""",
+    ),
+    "audit_service_partition": partition(
+        "SELECT service_version_key AS record_key, 1 AS n FROM keyed_services ANTI JOIN ledger USING (customer_key)",
+        """SELECT service_version_key AS record_key FROM accepted_services
+           UNION ALL SELECT service_version_key FROM service_resolution WHERE resolution_status <> 'ACCEPTED'""",
+    ),
+    "audit_invoice_partition": partition(
+        expected_once("keyed_invoices", "invoice_id"),
+        "SELECT invoice_id AS record_key FROM accepted_invoices UNION ALL SELECT invoice_id FROM quarantined_invoices",
+    ),
+    "audit_invoice_service_tuple": """
+        SELECT invoice_id FROM accepted_invoices i WHERE NOT is_erased_customer AND NOT EXISTS (
+          FROM accepted_services s WHERE s.customer_key = i.customer_key AND s.service_key = i.service_key
+            AND s.service_version_key = i.service_version_key AND i.issued_date BETWEEN s.valid_from AND s.valid_to)""",
+    "audit_customer_map_tuple": f"""
+        SELECT service_version_key FROM keyed_services ANTI JOIN accepted_services USING ({MAP_KEYS})""",
+    "audit_same_rows": """
+        SELECT 'MISSING' AS difference_type, * FROM (SELECT * FROM dim_customer EXCEPT SELECT * FROM protected)
+        UNION ALL SELECT 'UNEXPECTED', * FROM (SELECT * FROM protected EXCEPT SELECT * FROM dim_customer)""",
+    "audit_same_bag": """
+        SELECT difference_type, event_type, measure_unit, count(*) AS copies FROM (
+          SELECT 'MISSING' AS difference_type, * FROM (SELECT event_type, measure_unit FROM stg_events
+            EXCEPT ALL SELECT event_type, measure_unit FROM accepted_events)
+          UNION ALL SELECT 'UNEXPECTED', * FROM (SELECT event_type, measure_unit FROM accepted_events
+            EXCEPT ALL SELECT event_type, measure_unit FROM stg_events))
+        GROUP BY ALL""",
+    "audit_deleted_absent": """
+        SELECT relation, customer_key, count(*) AS row_count FROM (
+          SELECT 'dim_customer' AS relation, customer_key FROM dim_customer
+          UNION ALL SELECT 'fct_invoice', customer_key FROM fct_invoice
+          UNION ALL SELECT 'fct_customer_event', customer_key FROM fct_event
+          UNION ALL SELECT 'int_invoices_keyed', customer_key FROM keyed_invoices)
+        WHERE customer_key IN (SELECT customer_key FROM ledger) GROUP BY ALL""",
+    "audit_erased_members": """
+        SELECT 'dim_customer_special_member' AS invariant
+        WHERE (SELECT count(*) FROM protected WHERE customer_segment = 'ERASED_SUBJECT') <> 1""",
+    "audit_row_counts": " UNION ALL ".join(
+        f"SELECT '{name}' AS relation, count(*) AS row_count FROM {cte}"
+        for name, cte in (
+            ("dim_customer", "dim_customer"), ("dim_service", "dim_service"), ("fct_customer_event", "fct_event"),
+            ("fct_invoice", "fct_invoice"), ("quarantine_invoices", "quarantined_invoices"),
+        )
+    ),
+    "audit_row_bounds": """
+        SELECT * FROM (SELECT 'int_customer_protected' AS relation, count(*) AS row_count FROM protected
+          UNION ALL SELECT 'int_invoices_resolved', count(*) FROM accepted_invoices
+          UNION ALL SELECT 'quarantine_customer_services', count(*) FROM quarantined_services)
+        WHERE row_count < 0 OR row_count > 100""",
+    "audit_counts": """
+        SELECT * FROM (
+          SELECT 'case_dim_customer' AS relation, (SELECT count(*) FROM case_customer) AS row_count,
+                 (SELECT count(*) FROM protected) AS expected_count
+          UNION ALL SELECT 'case_fct_invoice', (SELECT count(*) FROM case_invoice),
+                 (SELECT count(*) FROM fct_invoice WHERE NOT is_erased_customer))
+        WHERE row_count <> expected_count""",
+    "audit_due_flag": """
+        SELECT invoice_id FROM accepted_invoices
+        WHERE is_due IS DISTINCT FROM (NOT is_paid AND due_date <= DATE '1998-01-01')""",
+    "audit_payment": f"""
+        SELECT invoice_key FROM ({INVOICE_KEYS})
+        WHERE d < i OR (is_paid AND p IS NULL) OR (NOT is_paid AND p IS NOT NULL) OR p < i""",
+    "audit_allowlist": """
+        SELECT customer_id, customer_segment, e IS NULL AS is_unexpected, a IS NULL AS is_missing
+        FROM (SELECT DISTINCT customer_id, customer_segment, 1 AS e FROM stg_customer WHERE customer_segment IS NOT NULL)
+        FULL JOIN (SELECT DISTINCT customer_id, customer_segment, 1 AS a FROM latest_upserts)
+          USING (customer_id, customer_segment)
+        WHERE e IS NULL OR a IS NULL""",
+    "audit_key_contract": f"""
+        SELECT rule, count(*) AS row_count FROM (
+          SELECT 'canonical_equivalence' AS rule FROM stg_customer WHERE {LOWER_UPPER}
+            AND {key('email', 'customer.email')} IS DISTINCT FROM {key("' ' || upper(email) || ' '", 'customer.email')}
+          UNION ALL SELECT 'domain_separated' FROM stg_customer
+            WHERE {key('email', 'customer.email')} = {key('email', 'customer.full_name')}
+          UNION ALL SELECT 'null_preserved' FROM stg_customer
+            WHERE email IS NULL AND {key('email', 'customer.email')} IS NOT NULL)
+        GROUP BY 1""",
+    "audit_key_format": f"""
+        SELECT 'fa_pd_customer' AS relation, count(*) AS row_count,
+               count(*) FILTER (NOT ({' AND '.join(f"coalesce({HEX.format(k)}, true)" for k in KEY_NAMES)}))
+                 AS invalid_version_count,
+               count(*) FILTER (customer_key IN (customer_id_key, email_key) OR customer_id_key = email_key)
+                 AS domain_collision_count
+        FROM customer_map
+        UNION ALL SELECT 'fa_pd_service_address', count(*),
+               count(*) FILTER (NOT {HEX.format('service_version_key')}), 0 FROM service_map""",
+    "audit_keys_unpivot": f"""
+        SELECT id, count(v) AS key_count, CAST(count(DISTINCT v) AS INTEGER) AS distinct_keys
+        FROM (SELECT customer_id_value AS id, unnest([{', '.join(
+            "if(customer_segment = 'UPGRADED', full_name_key, email_key)" if k == 'email_key' else k
+            for k in KEY_NAMES)}]) AS v FROM customer_map)
+        GROUP BY id HAVING count(v) <> count(DISTINCT v)""",
+    "audit_projection": "SELECT customer_key FROM protected",
+    "audit_plan": f"""
+        SELECT 'MISSING' AS difference_type, * FROM (
+          SELECT {PLAN_COLUMNS} FROM plan EXCEPT SELECT {PLAN_COLUMNS} FROM early_plan)""",
+    "audit_plan_metrics": """
+        SELECT deletion_mode, planned_action, CAST(count(DISTINCT target_layer || '.' || target_relation) AS INTEGER)
+               AS targets, count(*) AS plan_rows FROM plan GROUP BY ALL""",
+    "audit_ledger_metrics": """
+        SELECT deletion_mode, initial_deletion_mode, count(*) AS ledger_keys,
+               count(mode_escalated_at) AS escalated_keys, 0 AS incomplete_keys,
+               count(*) FILTER (decision_revision_id <> initial_decision_revision_id) AS advanced_keys
+        FROM ledger GROUP BY ALL""",
+    "audit_control_state": f"""
+        SELECT customer_id, deletion_mode, count(DISTINCT customer_key) AS key_count
+        FROM (SELECT customer_id, {ssn_key()} AS customer_key FROM stg_customer) JOIN ledger USING (customer_key)
+        GROUP BY ALL""",
+    "audit_pending_untouched": """
+        SELECT deletion_request_id, authorization_status FROM authorizations
+        WHERE authorization_status = 'PENDING' AND deletion_request_id IN (SELECT deletion_request_id FROM plan)""",
+    "audit_fail_closed": " UNION ALL ".join(
+        f"SELECT '{name}_opened' AS relation, count(*) AS row_count FROM {cte}"
+        for name, (cte, _) in CASE_CHECKS.items()
+    ),
+    "audit_metrics": """
+        SELECT * FROM (
+          SELECT 'erased_events' AS metric, 0 AS expected, count(*) FILTER (is_erased_customer) AS actual FROM fct_event
+          UNION ALL SELECT 'invoices', count(*) FILTER (NOT is_erased_customer), count(*) FROM fct_invoice)
+        WHERE expected <> actual""",
+    "audit_summary": """
+        SELECT audit, if(findings = 0, 'pass', 'fail') AS status, findings FROM (
+          SELECT 'audit_event_partition' AS audit, 0 AS findings
+          UNION ALL SELECT 'audit_service_partition', 0
+          UNION ALL SELECT 'audit_invoice_partition', count(*) FROM invoice_resolution
+            WHERE resolution_status <> 'ACCEPTED' AND is_erased_customer
+          UNION ALL SELECT 'audit_same_rows', count(*) FROM (SELECT * FROM dim_customer EXCEPT SELECT * FROM protected))""",
+    # declarative models
+    "model_staging": """
+        SELECT invoice_id, coalesce(is_paid, false) AS paid, amount FROM stg_invoices WHERE amount >= 100000""",
+    "model_quarantine": f"""
+        SELECT i.invoice_id, i.customer_ssn, r.resolution_status AS reason
+        FROM stg_invoices i JOIN invoice_resolution r USING (invoice_id)
+        WHERE r.resolution_status <> 'ACCEPTED' AND {ssn_key('i.customer_ssn')} NOT IN (SELECT customer_key FROM ledger)""",
+    "model_mapping": f"""
+        SELECT * FROM (SELECT {key('invoice_id', 'payment.id')} AS payment_key, {ssn_key()} AS customer_key,
+                              invoice_id AS invoice_id_value FROM stg_invoices)
+        ANTI JOIN ledger USING (customer_key)""",
+    "model_fact": f"""
+        SELECT event_id, if(deletion_mode IS NULL, customer_key, {ERASED}) AS customer_key, measure_value,
+               deletion_mode IS NOT NULL AS is_erased_customer
+        FROM keyed_events LEFT JOIN ledger USING (customer_key)
+        WHERE measure_unit = 'GB' AND deletion_mode IS DISTINCT FROM '{FULL}'""",
+    "model_dimension": "SELECT customer_key, customer_segment FROM dim_customer",
+    "model_case_view": """
+        SELECT f.event_key, f.customer_key, m.full_name_value AS full_name, f.is_erased_customer
+        FROM fct_event f LEFT JOIN customer_map m USING (customer_key) WHERE NOT f.is_erased_customer""",
+    "model_control_merge": f"""
+        SELECT deletion_request_id, CAST(CASE WHEN authorization_status = 'AUTHORIZED' THEN {SECOND_RUN_TS}
+                 ELSE {RUN_TS} END AS DATE) AS detected_on FROM authorizations""",
+    # scan
+    "scan_sensitive_documents": text_scan("documents"),
+    "scan_sensitive_planted": text_scan(
+        """(SELECT doc_id, text || CASE
+              WHEN doc_id % 7 = 0 THEN chr(10) || 'key AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '7')
+              WHEN doc_id % 11 = 0 THEN chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || 'x' || chr(10)
+                   || '/Users/someone/notes'
+              ELSE '' END AS text FROM documents)"""
+    ),
+    "scan_emails_documents": email_scan("documents", "doc_id", "text"),
+    "scan_emails_pages": email_scan("pages", "page_id", "html"),
+    "scan_emails_customers": email_scan(
+        """(SELECT customer_change_id, CASE customer_pk % 3 WHEN 0 THEN replace(email, 'Invalid', 'Example.com')
+              WHEN 1 THEN replace(email, '@Example.Invalid', '@example.com') ELSE email END AS email
+            FROM stg_customer)""",
+        "customer_change_id",
+        "email",
+    ),
+    "scan_paths_pages": """
+        SELECT DISTINCT 'sensitive filename' AS rule, path FROM (
+          SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[?#].*$', '') || CASE page_id % 5
+                   WHEN 0 THEN '/.env.local' WHEN 1 THEN '/server.pem' WHEN 2 THEN '/logs/run.txt'
+                   WHEN 3 THEN '/id_rsa.pub' ELSE '' END AS path FROM pages)
+        WHERE path LIKE '%.env' OR path LIKE '%.env.%' OR path LIKE '%.pem' OR path LIKE '%/logs/%'
+           OR path LIKE 'logs/%' OR path LIKE 'target/%' OR path LIKE '%/target/%' OR path LIKE '%/id_rsa'""",
+}
+
+def oracle_sql() -> dict[str, str]:
+    return {name: statement(body) for name, body in BODIES.items()}

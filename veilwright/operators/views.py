@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilwright.config import CASE_USERS, PRIVACY_ADMINS, RESTRICTED_USERS, Persona, PipelineConfig
 from veilwright.functions.keys import mask_value
 from veilwright.operators.policy import case_access, governed_model
-from veilwright.sources.tables import literal_relation
+from veilwright.sources.tables import literal_relation, union_all
 
 # Readable relations per layer, and the groups that may read them.
 _PROTECTED = (PRIVACY_ADMINS, RESTRICTED_USERS)
@@ -134,7 +134,9 @@ def masked_map(mapped: DataFrame, persona: Persona) -> DataFrame:
     for field in mapped.schema.fields:
         key = field.metadata.get("mask_column")
         raw = F.col(field.name)
-        columns.append(raw if key is None else mask_value(raw, F.col(key), persona).alias(field.name))
+        if key is not None:
+            raw = mask_value(raw, F.col(key), persona).alias(field.name, metadata=field.metadata)
+        columns.append(raw)
     return mapped.select(*columns)
 
 
@@ -182,3 +184,35 @@ def map_resolution_check(mapped: DataFrame, relation: str) -> DataFrame:
         F.count_if(masked).alias("masked_rows"),
         F.count_if(resolved).alias("resolved_rows"),
     ).select(F.lit(relation).alias("relation"), "row_count", "masked_rows", "resolved_rows")
+
+
+# Readable columns of each case view and the key column each one resolves.
+CASE_COLUMNS = {
+    "case_dim_customer": (
+        ("customer_id", "customer_id_key"), ("full_name", "full_name_key"), ("email", "email_key"),
+        ("customer_address", "address_key"),
+    ),
+    "case_dim_service": (
+        ("service_id", "service_key"), ("installation_address", "installation_address_key"),
+    ),
+    "case_fct_customer_event": (("full_name", "full_name_key"), ("email", "email_key")),
+    "case_fct_invoice": (
+        ("full_name", "full_name_key"), ("email", "email_key"), ("service_id", "service_key"),
+        ("installation_address", "installation_address_key"),
+    ),
+}
+
+
+def case_resolution_checks(case_views: Mapping[str, DataFrame]) -> DataFrame:
+    """Per case view: rows, and rows whose readable columns are all resolved."""
+    checks = []
+    for name, df in case_views.items():
+        resolved = F.lit(True)
+        for column, key in CASE_COLUMNS[name]:
+            resolved = resolved & (F.col(column) != F.col(key))
+        checks.append(
+            df.agg(F.count("*").alias("row_count"), F.count_if(resolved).alias("resolved_rows")).select(
+                F.lit(name).alias("relation"), "row_count", "resolved_rows"
+            )
+        )
+    return union_all(checks)

@@ -1,0 +1,1210 @@
+"""Registered queries: one entry per operator, over the given tables.
+
+A query builds its own operator lazily. The relations upstream of it are read from tables that
+the same application published to the shared folder on first use, as in a governed build.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilwright.config import CASE_USERS, DEMO_SCHEME, PRIVACY_ADMINS, RESTRICTED_USERS, Persona
+from veilwright.functions import keys as K
+from veilwright.functions import text as X
+from veilwright.operators import audits as A
+from veilwright.operators import controls, maps, policy, resolve, scan, specs, staging, star, views
+from veilwright.operators import evidence as E
+from veilwright.plans.relations import Relations
+from veilwright.plans.teaching import TeachingRelations
+from veilwright.schemas import CONTRACTS
+from veilwright.session import scratch_path
+from veilwright.sources.testbed import (
+    EARLY_CUTOFF,
+    SECOND_RUN_TS,
+    TESTBED,
+    LandedExtracts,
+    customer_events,
+    customer_feed,
+    customer_services,
+    decisions,
+    invoices,
+)
+
+CASE = Persona.of(CASE_USERS)
+RESTRICTED = Persona.of(RESTRICTED_USERS)
+ADMIN = Persona.of(PRIVACY_ADMINS)
+CFG = TESTBED
+SCHEME = TESTBED.scheme
+
+Query = Callable[["Run"], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+class Run:
+    """One application's view of one data folder."""
+
+    _published: dict[tuple[str, str], Relations] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir.rstrip("/")
+        self.extracts = LandedExtracts(spark, self.sf_dir)
+
+    @cached_property
+    def lazy(self) -> Relations:
+        """Relations composed in one plan, nothing published."""
+        return Relations(self.spark, self.extracts, CFG)
+
+    @property
+    def up(self) -> Relations:
+        """Upstream relations: tables published once per application, then read back."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in Run._published:
+            spark = self.spark
+
+            def stage(name: str, df: DataFrame) -> DataFrame:
+                path = scratch_path(spark, name)
+                df.write.parquet(path)
+                return spark.read.schema(df.schema).parquet(path)
+
+            Run._published[key] = Relations(spark, self.extracts, CFG, stage=stage)
+        return Run._published[key]
+
+    @cached_property
+    def early(self) -> Relations:
+        """The first run's controls, when only the early decisions were recorded."""
+        return Relations(self.spark, self.extracts, replace(CFG, decision_as_of=EARLY_CUTOFF))
+
+    @cached_property
+    def second(self) -> Relations:
+        """A second run over the first run's durable controls."""
+        first = self.early
+        state = {
+            name: getattr(first, name)
+            for name in ("customer_deletion_requests", controls.PLAN, controls.LEDGER)
+        }
+        return Relations(self.spark, self.extracts, replace(CFG, run_ts=SECOND_RUN_TS), state)
+
+    @cached_property
+    def teaching(self) -> TeachingRelations:
+        return TeachingRelations(self.extracts, CFG)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+# ---- sources and staging ----------------------------------------------------------------------
+
+@query
+def extract_customer(run: Run) -> DataFrame:
+    return customer_feed(run.spark, run.sf_dir)
+
+
+@query
+def extract_decisions(run: Run) -> DataFrame:
+    return decisions(run.spark, run.sf_dir)
+
+
+@query
+def extract_events(run: Run) -> DataFrame:
+    return customer_events(run.spark, run.sf_dir)
+
+
+@query
+def extract_services(run: Run) -> DataFrame:
+    return customer_services(run.spark, run.sf_dir)
+
+
+@query
+def extract_invoices(run: Run) -> DataFrame:
+    return invoices(run.spark, run.sf_dir)
+
+
+@query
+def stage_customer(run: Run) -> DataFrame:
+    return run.lazy.stg_customer
+
+
+@query
+def stage_events(run: Run) -> DataFrame:
+    return run.lazy.stg_customer_events
+
+
+@query
+def stage_services(run: Run) -> DataFrame:
+    return run.lazy.stg_customer_services
+
+
+@query
+def stage_invoices(run: Run) -> DataFrame:
+    return run.lazy.stg_invoices
+
+
+@query
+def stage_decisions(run: Run) -> DataFrame:
+    """With the early cutoff, so that late revisions are really dropped."""
+    return run.early.stg_customer_deletion_confirmations
+
+
+@query
+def stage_decisions_teaching(run: Run) -> DataFrame:
+    return staging.stage_decisions_teaching(run.extracts["customer_deletion_confirmations"])
+
+
+@query
+def compose_customer_text(run: Run) -> DataFrame:
+    return run.lazy.stg_customer.select(
+        "customer_change_id",
+        X.full_name(F.col("first_name"), F.col("last_name")).alias("full_name"),
+        X.compose_address(
+            F.col("address_line1"), F.col("address_line2"), F.col("postal_code"), F.col("city"), F.col("country_code")
+        ).alias("customer_address"),
+    )
+
+
+@query
+def compose_service_text(run: Run) -> DataFrame:
+    return run.lazy.stg_customer_services.select(
+        "service_id",
+        "valid_from",
+        X.version_text(F.col("service_id"), F.col("valid_from")).alias("version_text"),
+        maps.installation_address().alias("installation_address"),
+        X.date_key(F.col("valid_from")).alias("valid_from_key"),
+    )
+
+
+# ---- keys -------------------------------------------------------------------------------------
+
+@query
+def canonical_forms(run: Run) -> DataFrame:
+    return run.lazy.stg_customer.select(
+        "customer_change_id",
+        K.canonicalize(F.col("customer_ssn"), "ssn").alias("ssn_form"),
+        K.canonicalize(F.col("phone"), "phone").alias("phone_form"),
+        K.canonicalize(F.col("birth_date"), "date").alias("date_form"),
+        K.canonicalize(F.col("address_line1")).alias("text_form"),
+        K.canonicalize(F.col("email")).alias("email_form"),
+    )
+
+
+@query
+def canonical_document_text(run: Run) -> DataFrame:
+    """Whole documents as text values: canonical length and key."""
+    text = F.col("text")
+    return run.table("documents").select(
+        "doc_id",
+        F.length(K.canonicalize(text)).alias("canonical_length"),
+        K.personal_data_key(text, "document.text", SCHEME).alias("text_key"),
+    )
+
+
+@query
+def framed_hash_core(run: Run) -> DataFrame:
+    """The core hash over values that are already canonical, in two domains."""
+    form = K.canonicalize(F.col("email"))
+    return run.lazy.stg_customer.select(
+        "customer_change_id",
+        K.framed_hash(form, "customer.email", SCHEME).alias("email_key"),
+        K.framed_hash(form, "customer.full_name", SCHEME).alias("other_domain_key"),
+    )
+
+
+@query
+def key_customer_set(run: Run) -> DataFrame:
+    return maps.keyed_customer_map(maps.latest_upserts(run.lazy.stg_customer), SCHEME)
+
+
+@query
+def key_customer_set_demo(run: Run) -> DataFrame:
+    return maps.keyed_customer_map(maps.latest_upserts(run.lazy.stg_customer), DEMO_SCHEME)
+
+
+@query
+def key_services(run: Run) -> DataFrame:
+    return run.lazy.int_customer_services_keyed
+
+
+@query
+def key_events(run: Run) -> DataFrame:
+    return run.lazy.int_customer_events_keyed
+
+
+@query
+def key_invoices(run: Run) -> DataFrame:
+    return run.lazy.int_invoices_keyed
+
+
+# ---- current state and maps -------------------------------------------------------------------
+
+@query
+def latest_upserts(run: Run) -> DataFrame:
+    return maps.latest_upserts(run.lazy.stg_customer)
+
+
+@query
+def customer_map(run: Run) -> DataFrame:
+    return maps.customer_map(run.lazy.stg_customer, run.up.ledger, CFG)
+
+
+@query
+def service_map(run: Run) -> DataFrame:
+    return maps.service_map(run.lazy.stg_customer_services, run.up.ledger, run.up.fa_pd_customer, CFG)
+
+
+@query
+def protect_customer(run: Run) -> DataFrame:
+    return maps.protect_customer(customer_map(run))
+
+
+@query
+def suppressed_identifiers(run: Run) -> DataFrame:
+    return maps.suppressed_identifiers(run.up.ledger, run.up.customer_deletion_requests, run.lazy.stg_customer)
+
+
+# ---- deletion controls ------------------------------------------------------------------------
+
+@query
+def detect_requests(run: Run) -> DataFrame:
+    return run.lazy.customer_deletion_requests
+
+
+@query
+def detect_requests_second_run(run: Run) -> DataFrame:
+    return run.second.customer_deletion_requests
+
+
+@query
+def authorization_history(run: Run) -> DataFrame:
+    return run.lazy.customer_deletion_authorization_history
+
+
+@query
+def authorizations(run: Run) -> DataFrame:
+    return run.lazy.customer_deletion_authorizations
+
+
+@query
+def expand_historical_keys(run: Run) -> DataFrame:
+    return controls.expand_historical_keys(
+        run.lazy.customer_deletion_authorization_history, run.lazy.stg_customer, CFG
+    )
+
+
+@query
+def deletion_plan(run: Run) -> DataFrame:
+    return run.lazy.int_customer_deletion_plan
+
+
+@query
+def deletion_plan_second_run(run: Run) -> DataFrame:
+    return run.second.int_customer_deletion_plan
+
+
+@query
+def complete_plans(run: Run) -> DataFrame:
+    return controls.complete_plans(run.up.int_customer_deletion_plan)
+
+
+@query
+def incomplete_plans_refused(run: Run) -> DataFrame:
+    """With one target row lost for every third key, only the untouched plans stay complete."""
+    plan = run.up.int_customer_deletion_plan
+    hit = (F.col("target_relation") == "dim_customer") & F.substring("customer_key", 4, 1).isin(*"01234")
+    doubled = plan.where(~hit).unionByName(plan.where(~hit))
+    return controls.complete_plans(doubled)
+
+
+@query
+def rank_plans(run: Run) -> DataFrame:
+    return controls.rank_plans(controls.complete_plans(run.up.int_customer_deletion_plan))
+
+
+@query
+def ledger_first_run(run: Run) -> DataFrame:
+    return run.lazy.ledger
+
+
+@query
+def ledger_early_run(run: Run) -> DataFrame:
+    return run.early.ledger
+
+
+@query
+def ledger_second_run(run: Run) -> DataFrame:
+    return run.second.ledger
+
+
+@query
+def latest_authorization(run: Run) -> DataFrame:
+    return run.teaching.int_customer_deletion_authorizations
+
+
+@query
+def snapshot_plan(run: Run) -> DataFrame:
+    return run.teaching.int_customer_deletion_plan
+
+
+@query
+def effective_modes(run: Run) -> DataFrame:
+    return run.teaching.int_terminal_deleted_customer_ssns
+
+
+# ---- policy -----------------------------------------------------------------------------------
+
+@query
+def attach_deletion_mode(run: Run) -> DataFrame:
+    return policy.attach_deletion_mode(
+        run.lazy.int_customer_events_keyed, run.up.ledger, "customer_key", ["event_id", "customer_key"]
+    )
+
+
+@query
+def apply_policy_delete(run: Run) -> DataFrame:
+    annotated = resolve.annotate_services(run.lazy.int_customer_services_keyed, run.up.ledger)
+    return policy.apply_policy(annotated, ["customer_key", "service_version_key", "valid_from", "valid_to"], "DELETE")
+
+
+@query
+def apply_policy_replace(run: Run) -> DataFrame:
+    annotated = resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger)
+    replaced = {"customer_key": CFG.erased(), "service_key": CFG.erased()}
+    return policy.apply_policy(
+        annotated, ["invoice_id", "customer_key", "service_key", "amount"], "REPLACE", replaced, "is_erased_customer"
+    )
+
+
+@query
+def governed_fact(run: Run) -> DataFrame:
+    return policy.governed_model(
+        run.lazy.int_customer_events_keyed, "governed_fact", "FACT", "event_id",
+        ["event_id", "customer_key", "measure_value"], run.up.ledger, special_columns="customer_key",
+    )
+
+
+@query
+def governed_quarantine(run: Run) -> DataFrame:
+    """A raw relation, matched to the ledger through a key expression."""
+    return policy.governed_model(
+        run.lazy.stg_invoices, "governed_quarantine", "QUARANTINE", "invoice_id",
+        ["invoice_id", "customer_ssn", "amount"], run.up.ledger, key_column="customer_ssn",
+        key_expression=K.ssn_key(F.col("customer_ssn"), SCHEME),
+    )
+
+
+@query
+def leak_guard(run: Run) -> DataFrame:
+    """Unprotected rows pushed through a policy-applied fact: every ledger key is dropped."""
+    leaked = run.lazy.int_invoices_keyed.withColumn("is_erased_customer", F.lit(False))
+    return policy.governed_model(
+        leaked, "leak_guard", "FACT", "invoice_id", ["invoice_id", "customer_key", "is_erased_customer"],
+        run.up.ledger, special_columns=["customer_key"], policy_applied=True,
+    )
+
+
+@query
+def contract_violations(run: Run) -> DataFrame:
+    """Broken rules of a fact whose policy was never applied."""
+    broken = run.lazy.int_customer_events_keyed.withColumn(
+        "is_erased_customer", F.col("event_type") == "ERROR"
+    ).withColumn("event_id", F.when(F.col("measure_value") > 5, F.col("event_id")))
+    found = policy.contract_violations(
+        broken, "FACT", "event_id", "customer_key", run.up.ledger, flag="is_erased_customer"
+    )
+    return found.groupBy("failure_reason").agg(F.count("*").alias("row_count"))
+
+
+# ---- resolution and quarantine ----------------------------------------------------------------
+
+@query
+def resolve_events(run: Run) -> DataFrame:
+    return resolve.resolve_events(
+        run.lazy.int_customer_events_keyed, run.up.ledger, run.up.fa_pd_customer, CFG
+    )
+
+
+@query
+def resolve_services(run: Run) -> DataFrame:
+    return resolve.resolve_services(
+        run.lazy.int_customer_services_keyed, run.up.ledger, run.up.fa_pd_customer, run.up.fa_pd_service_address
+    )
+
+
+@query
+def source_service_stats(run: Run) -> DataFrame:
+    return resolve.source_service_stats(
+        resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger),
+        resolve.annotate_services(run.lazy.int_customer_services_keyed, run.up.ledger),
+    )
+
+
+@query
+def mapped_service_stats(run: Run) -> DataFrame:
+    return resolve.mapped_service_stats(
+        resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger),
+        run.up.int_customer_services_resolved,
+    )
+
+
+@query
+def classify_invoices(run: Run) -> DataFrame:
+    return resolve.classify_invoices(
+        resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger),
+        resolve.annotate_services(run.lazy.int_customer_services_keyed, run.up.ledger),
+        run.up.int_customer_services_resolved,
+        run.up.fa_pd_customer,
+    )
+
+
+@query
+def resolve_invoices(run: Run) -> DataFrame:
+    return resolve.resolve_invoices(
+        run.lazy.int_invoices_keyed,
+        run.lazy.int_customer_services_keyed,
+        run.up.int_customer_services_resolved,
+        run.up.ledger,
+        run.up.fa_pd_customer,
+        CFG,
+    )
+
+
+@query
+def accepted_events(run: Run) -> DataFrame:
+    return resolve.accepted_events(resolve_events(run))
+
+
+@query
+def accepted_services(run: Run) -> DataFrame:
+    return resolve.accepted_services(resolve_services(run))
+
+
+@query
+def accepted_invoices(run: Run) -> DataFrame:
+    return resolve.accepted_invoices(resolve_invoices(run), CFG)
+
+
+@query
+def quarantine_events(run: Run) -> DataFrame:
+    return resolve.quarantine_events(run.lazy.stg_customer_events, resolve_events(run), CFG)
+
+
+@query
+def quarantine_services(run: Run) -> DataFrame:
+    return resolve.quarantine_services(run.lazy.stg_customer_services, resolve_services(run), CFG)
+
+
+@query
+def quarantine_invoices(run: Run) -> DataFrame:
+    return resolve.quarantine_invoices(run.lazy.stg_invoices, resolve_invoices(run), CFG)
+
+
+@query
+def suppressed_invoices(run: Run) -> DataFrame:
+    return resolve.suppressed_invoices(resolve_invoices(run)).select("invoice_id", "resolution_status")
+
+
+@query
+def late_arrival_services(run: Run) -> DataFrame:
+    """Services resolved against customers known early, and again after the late ones arrived."""
+    late = F.substring("customer_key", 4, 1).isin(*"01234567")
+    known = run.up.fa_pd_customer.where(~late)
+    entries = run.up.fa_pd_service_address.where(~late)
+    keyed = run.lazy.int_customer_services_keyed
+    before = resolve.resolve_services(keyed, run.up.ledger, known, entries)
+    after = resolve_services(run).select(
+        "service_version_key", F.col("resolution_status").alias("status_after")
+    )
+    return (
+        before.select("service_version_key", F.col("resolution_status").alias("status_before"))
+        .join(after, "service_version_key", "inner")
+        .groupBy("status_before", "status_after")
+        .agg(F.count("*").alias("services"))
+    )
+
+
+@query
+def teaching_current_customers(run: Run) -> DataFrame:
+    return run.teaching.int_current_customers
+
+
+@query
+def teaching_customer_map(run: Run) -> DataFrame:
+    return run.teaching.demo_customer_map
+
+
+@query
+def teaching_resolve_invoices(run: Run) -> DataFrame:
+    return run.teaching.int_invoice_resolution
+
+
+@query
+def teaching_accepted_invoices(run: Run) -> DataFrame:
+    return run.teaching.int_invoices_resolved
+
+
+@query
+def teaching_quarantine_invoices(run: Run) -> DataFrame:
+    return run.teaching.quarantine_invoices
+
+
+# ---- star and case views ----------------------------------------------------------------------
+
+@query
+def dim_customer(run: Run) -> DataFrame:
+    return star.dim_customer(run.up.int_customer_protected, CFG)
+
+
+@query
+def dim_service(run: Run) -> DataFrame:
+    return star.dim_service(run.up.int_customer_services_resolved, CFG)
+
+
+@query
+def dim_date_usage(run: Run) -> DataFrame:
+    """The calendar with the invoices issued on each day; facts are counted before the join."""
+    issued = run.up.fct_invoice.groupBy(F.col("issue_date_key").alias("date_key")).agg(
+        F.count("*").alias("invoices")
+    )
+    return star.dim_date(run.spark, CFG).join(issued, "date_key", "left").withColumn(
+        "invoices", F.coalesce("invoices", F.lit(0).cast("bigint"))
+    )
+
+
+@query
+def fct_customer_event(run: Run) -> DataFrame:
+    return star.fct_event(run.up.int_customer_events_resolved)
+
+
+@query
+def fct_invoice(run: Run) -> DataFrame:
+    return star.fct_invoice(run.up.int_invoices_resolved, run.up.ledger)
+
+
+@query
+def case_dim_customer(run: Run) -> DataFrame:
+    return run.up.case_dim_customer(CASE)
+
+
+@query
+def case_dim_service(run: Run) -> DataFrame:
+    return run.up.case_dim_service(CASE)
+
+
+@query
+def case_fct_customer_event(run: Run) -> DataFrame:
+    return run.up.case_fct_customer_event(CASE)
+
+
+@query
+def case_fct_invoice(run: Run) -> DataFrame:
+    return run.up.case_fct_invoice(CASE)
+
+
+@query
+def case_fct_invoice_denied(run: Run) -> DataFrame:
+    return run.up.case_fct_invoice(RESTRICTED)
+
+
+@query
+def masked_customer_map_restricted(run: Run) -> DataFrame:
+    return views.masked_map(run.up.fa_pd_customer, RESTRICTED)
+
+
+@query
+def masked_customer_map_admin(run: Run) -> DataFrame:
+    return views.masked_map(run.up.fa_pd_customer, ADMIN)
+
+
+@query
+def masked_service_map_restricted(run: Run) -> DataFrame:
+    return views.masked_map(run.up.fa_pd_service_address, RESTRICTED)
+
+
+@query
+def persona_map_checks(run: Run) -> DataFrame:
+    """Masked and resolved row counts of both maps, per persona."""
+    rows = []
+    for group, persona in ((RESTRICTED_USERS, RESTRICTED), (PRIVACY_ADMINS, ADMIN)):
+        for name in ("fa_pd_customer", "fa_pd_service_address"):
+            check = views.map_resolution_check(views.masked_map(getattr(run.up, name), persona), name)
+            rows.append(check.withColumn("grantee", F.lit(group)))
+    return A.union_all(rows)
+
+
+@query
+def persona_case_checks(run: Run) -> DataFrame:
+    return views.case_resolution_checks(run.up.case_views(CASE))
+
+
+# ---- evidence ---------------------------------------------------------------------------------
+
+def _history(run: Run) -> DataFrame:
+    """Evidence of the first run's requests, plan and ledger."""
+    first = run.up
+    empty = run.spark.createDataFrame([], E.HISTORY_SCHEMA)
+    return A.union_all(
+        E.archive(df, name, empty, CFG, "run-1")
+        for name, df in (
+            ("customer_deletion_requests", first.customer_deletion_requests),
+            (controls.PLAN, first.int_customer_deletion_plan),
+            (controls.LEDGER, first.ledger),
+        )
+    )
+
+
+@query
+def archive_payloads(run: Run) -> DataFrame:
+    """The archived ledger: JSON text and its hash."""
+    return E.payloads(run.up.ledger)
+
+
+@query
+def archive_replay(run: Run) -> DataFrame:
+    """Archiving the same plan plus the second run's ledger: only changed ledger rows are new."""
+    history = _history(run)
+    again = E.archive(run.up.int_customer_deletion_plan, controls.PLAN, history, CFG, "run-2")
+    moved = E.archive(run.early.ledger, controls.LEDGER, history, CFG, "run-2")
+    return A.union_all([again, moved]).groupBy("source_relation").agg(F.count("*").alias("new_rows"))
+
+
+@query
+def archive_conflicts(run: Run) -> DataFrame:
+    """Decision revisions whose reason was edited after they were archived."""
+    empty = run.spark.createDataFrame([], E.HISTORY_SCHEMA)
+    recorded = run.lazy.stg_customer_deletion_confirmations
+    history = E.archive(recorded, "decisions", empty, CFG, "run-1")
+    edited = recorded.withColumn(
+        "decision_reason",
+        F.when(F.col("deletion_mode") == "SPECIAL_DELETION", F.lit("EDITED")).otherwise(F.col("decision_reason")),
+    )
+    return E.archive_conflicts(edited, "decisions", history, ["decision_revision_id"]).select("decision_revision_id")
+
+
+@query
+def guard_keys(run: Run) -> DataFrame:
+    """Archived ledger keys that a ledger without late decisions lost or downgraded."""
+    return E.missing_or_downgraded(run.early.ledger, controls.LEDGER, _history(run))
+
+
+@query
+def plan_digest(run: Run) -> DataFrame:
+    return E.plan_digest(run.up.int_customer_deletion_plan)
+
+
+@query
+def restore_ledger(run: Run) -> DataFrame:
+    """The ledger rebuilt from the evidence of an early and a full run."""
+    empty = run.spark.createDataFrame([], E.HISTORY_SCHEMA)
+    early = E.archive(run.early.ledger, controls.LEDGER, empty, replace(CFG, run_ts=SECOND_RUN_TS), "run-2")
+    return E.decode_latest(
+        E._of(_history(run), controls.LEDGER).unionByName(early), controls.LEDGER, CONTRACTS[controls.LEDGER]
+    )
+
+
+@query
+def incomplete_targets(run: Run) -> DataFrame:
+    """Targets still open when the fact tables failed after everything else had completed."""
+    digests = E.plan_digest(run.up.int_customer_deletion_plan)
+
+    def events(status: str, ts: str, targets=None) -> DataFrame:
+        return E.append_events(digests, status, "execution-1", F.lit(ts).cast("timestamp"), "run-1", targets)
+
+    recorded = A.union_all(
+        [
+            events("PENDING", "2026-03-01 00:00:01"),
+            events("COMPLETED", "2026-03-01 00:00:02"),
+            events("FAILED", "2026-03-01 00:00:03", ["fct_invoice", "fct_customer_event"]),
+        ]
+    )
+    return E.incomplete_targets(digests, recorded, "execution-1").select("target_relation")
+
+
+# ---- audits -----------------------------------------------------------------------------------
+
+@query
+def audit_not_null(run: Run) -> DataFrame:
+    columns = ["customer_change_id", "first_name", "last_name", "email", "phone", "city", "is_active"]
+    return A.audit_not_null(run.lazy.stg_customer, columns)
+
+
+@query
+def audit_unique(run: Run) -> DataFrame:
+    return A.audit_unique(run.lazy.stg_customer, ["customer_id", "source_operation"])
+
+
+@query
+def audit_unique_service_periods(run: Run) -> DataFrame:
+    return A.audit_unique(run.lazy.stg_customer_services, ["service_id", "valid_from"])
+
+
+@query
+def audit_accepted_values(run: Run) -> DataFrame:
+    return A.audit_accepted(run.lazy.stg_customer_events, "event_type", ["VIEW", "CLICK"])
+
+
+@query
+def audit_relationships(run: Run) -> DataFrame:
+    return A.audit_fk(
+        run.lazy.int_invoices_keyed, "customer_key", run.up.dim_customer, "customer_key", F.col("is_paid")
+    )
+
+
+@query
+def audit_relationships_star(run: Run) -> DataFrame:
+    return A.audit_fk(run.up.fct_invoice, "customer_key", run.up.dim_customer, "customer_key")
+
+
+@query
+def audit_event_partition(run: Run) -> DataFrame:
+    return A.audit_partition(
+        A.expected_occurrences(run.lazy.int_customer_events_keyed, run.up.ledger, "event_id"),
+        [run.up.int_customer_events_resolved, run.up.quarantine_customer_events],
+        "event_id",
+    )
+
+
+@query
+def audit_event_partition_broken(run: Run) -> DataFrame:
+    """The same audit over an output that lost its quarantine and repeats some rows."""
+    kept = run.up.int_customer_events_resolved
+    return A.audit_partition(
+        A.expected_occurrences(run.lazy.int_customer_events_keyed, run.up.ledger, "event_id"),
+        [kept, kept.where(F.col("event_type") == "ERROR")],
+        "event_id",
+    )
+
+
+@query
+def audit_service_partition(run: Run) -> DataFrame:
+    keyed = run.lazy.int_customer_services_keyed
+    expected = policy.without_deleted(keyed, run.up.ledger, "customer_key").select(
+        "service_version_key", F.lit(1).alias("expected_occurrence_count")
+    )
+    quarantined = resolve.key_services(run.up.quarantine_customer_services, CFG)
+    return A.audit_partition(
+        expected, [run.up.int_customer_services_resolved, quarantined], "service_version_key"
+    )
+
+
+@query
+def audit_invoice_partition(run: Run) -> DataFrame:
+    """Without the suppressed outcome, exactly the suppressed invoices are missing."""
+    return A.audit_partition(
+        A.expected_occurrences(run.lazy.int_invoices_keyed, run.up.ledger, "invoice_id"),
+        [run.up.int_invoices_resolved, run.up.quarantine_invoices],
+        "invoice_id",
+    )
+
+
+@query
+def audit_invoice_service_tuple(run: Run) -> DataFrame:
+    inside = F.col("child.issued_date").between(F.col("parent.valid_from"), F.col("parent.valid_to"))
+    ordinary = run.up.int_invoices_resolved.where(~F.col("is_erased_customer"))
+    keys = ["customer_key", "service_key", "service_version_key"]
+    return A.audit_tuple(ordinary, run.up.int_customer_services_resolved, keys, inside).select("invoice_id")
+
+
+@query
+def audit_customer_map_tuple(run: Run) -> DataFrame:
+    """Keyed services outside the accepted tuples."""
+    keys = ["customer_key", "service_key", "service_version_key", "installation_address_key"]
+    return A.audit_tuple(
+        run.lazy.int_customer_services_keyed, run.up.int_customer_services_resolved, keys
+    ).select("service_version_key")
+
+
+@query
+def audit_same_rows(run: Run) -> DataFrame:
+    """Dimension against protected table: only the erased member differs."""
+    return A.audit_same_rows(run.up.dim_customer, run.up.int_customer_protected)
+
+
+@query
+def audit_same_bag(run: Run) -> DataFrame:
+    events = run.lazy.stg_customer_events.select("event_type", "measure_unit")
+    accepted = run.up.int_customer_events_resolved.select("event_type", "measure_unit")
+    return A.audit_same_bag(events, accepted).groupBy("difference_type", "event_type", "measure_unit").agg(
+        F.count("*").alias("copies")
+    )
+
+
+@query
+def audit_deleted_absent(run: Run) -> DataFrame:
+    """Ledger keys visible in protected outputs (none) and in unprotected keyed rows (all of them)."""
+    return A.audit_deleted_absent(
+        {
+            "dim_customer": run.up.dim_customer,
+            "fct_invoice": run.up.fct_invoice,
+            "fct_customer_event": run.up.fct_customer_event,
+            "int_invoices_keyed": run.lazy.int_invoices_keyed,
+        },
+        run.up.ledger,
+    )
+
+
+@query
+def audit_erased_members(run: Run) -> DataFrame:
+    """The protected table has no erased member, so the first rule fails when it stands in."""
+    return A.audit_erased_members(
+        run.up.int_customer_protected, run.up.dim_service, run.up.fct_customer_event, run.up.fct_invoice, CFG
+    )
+
+
+@query
+def audit_row_counts(run: Run) -> DataFrame:
+    names = ("dim_customer", "dim_service", "fct_customer_event", "fct_invoice", "quarantine_invoices")
+    return A.row_counts({n: getattr(run.up, n) for n in names})
+
+
+@query
+def audit_row_bounds(run: Run) -> DataFrame:
+    names = ("int_customer_protected", "int_invoices_resolved", "quarantine_customer_services")
+    return A.audit_row_bounds({n: getattr(run.up, n) for n in names}, 0, 100)
+
+
+@query
+def audit_counts(run: Run) -> DataFrame:
+    """Dimension counts reconcile; the case views lose rows whose readable parts are missing."""
+    up = run.up
+    case = up.case_views(CASE)
+    plain = up.fct_invoice.where(~F.col("is_erased_customer"))
+    return A.audit_counts(
+        {
+            "dim_customer": (up.dim_customer, up.int_customer_protected, 1),
+            "dim_service": (up.dim_service, up.int_customer_services_resolved, 1),
+            "fct_invoice": (up.fct_invoice, up.int_invoices_resolved, 0),
+            "case_dim_customer": (case["case_dim_customer"], up.int_customer_protected, 0),
+            "case_fct_invoice": (case["case_fct_invoice"], plain, 0),
+        }
+    )
+
+
+@query
+def audit_due_flag(run: Run) -> DataFrame:
+    """Accepted invoices whose flag would change on another as-of date."""
+    return A.audit_due(run.up.int_invoices_resolved, replace(CFG, as_of_date="1998-01-01"))
+
+
+@query
+def audit_payment(run: Run) -> DataFrame:
+    """Payment rules over all staged invoices; accepted ones pass them."""
+    staged = run.lazy.stg_invoices
+    return A.audit_payment(
+        staged.select(
+            F.col("invoice_id").alias("invoice_key"),
+            X.date_key(F.col("issued_date")).alias("issue_date_key"),
+            X.date_key(F.col("due_date")).alias("due_date_key"),
+            X.date_key(F.col("paid_at")).alias("paid_date_key"),
+            "is_paid",
+        )
+    )
+
+
+@query
+def audit_allowlist(run: Run) -> DataFrame:
+    """Entries missing from, or unexpected against, an allowlist: current segments against the feed's."""
+    feed = run.lazy.stg_customer.select("customer_id", "customer_segment").where(F.col("customer_segment").isNotNull())
+    current = maps.latest_upserts(run.lazy.stg_customer).select("customer_id", "customer_segment")
+    return A.audit_allowlist(feed, current, ["customer_id", "customer_segment"])
+
+
+@query
+def audit_key_contract(run: Run) -> DataFrame:
+    return A.audit_key_contract(run.lazy.stg_customer, "email", CFG)
+
+
+@query
+def audit_key_format(run: Run) -> DataFrame:
+    return A.audit_key_format(run.up.fa_pd_customer, run.up.fa_pd_service_address)
+
+
+@query
+def audit_keys_unpivot(run: Run) -> DataFrame:
+    """A map whose e-mail key was overwritten with the name key for one segment."""
+    broken = run.up.fa_pd_customer.withColumn(
+        "email_key",
+        F.when(F.col("customer_segment") == "UPGRADED", F.col("full_name_key")).otherwise(F.col("email_key")),
+    )
+    return A.audit_keys_unpivot(broken)
+
+
+@query
+def audit_projection(run: Run) -> DataFrame:
+    """Protected table against a map whose segment drifted."""
+    drifted = run.up.fa_pd_customer.withColumn("customer_segment", F.upper(F.col("customer_id_value")))
+    kept = run.up.int_customer_protected
+    changed = drifted.select(*kept.columns).where(F.col("is_active"))
+    return A.audit_projection(kept, changed, "customer_key")
+
+
+@query
+def audit_plan(run: Run) -> DataFrame:
+    """The early run's plan against all authorized revisions: the late revisions are missing."""
+    return A.audit_plan(
+        run.early.int_customer_deletion_plan, run.up.customer_deletion_authorization_history,
+        run.lazy.stg_customer, CFG,
+    )
+
+
+@query
+def audit_plan_metrics(run: Run) -> DataFrame:
+    return A.plan_metrics(run.up.int_customer_deletion_plan)
+
+
+@query
+def audit_ledger_metrics(run: Run) -> DataFrame:
+    return A.ledger_metrics(run.up.ledger)
+
+
+@query
+def audit_control_state(run: Run) -> DataFrame:
+    subjects = (
+        run.lazy.stg_customer.where(F.col("customer_ssn").isNotNull())
+        .select("customer_id", K.ssn_key(F.col("customer_ssn"), SCHEME).alias("customer_key"))
+        .distinct()
+    )
+    return A.control_state(run.up.ledger, subjects)
+
+
+@query
+def audit_pending_untouched(run: Run) -> DataFrame:
+    return A.audit_pending_untouched(
+        run.up.customer_deletion_authorizations, run.up.int_customer_deletion_plan, run.up.ledger,
+        run.lazy.stg_customer, CFG,
+    )
+
+
+@query
+def audit_fail_closed(run: Run) -> DataFrame:
+    """Rows that case views would show a persona without access: none with the predicate, all without."""
+    closed = run.up.case_views(RESTRICTED)
+    opened = {f"{n}_opened": df for n, df in run.up.case_views(CASE).items()}
+    return A.audit_fail_closed({**closed, **opened}, RESTRICTED)
+
+
+@query
+def audit_metrics(run: Run) -> DataFrame:
+    """Named counts against expectations that leave out the erased rows."""
+    up = run.up
+    actual = A.metrics(
+        run.spark,
+        {
+            "events": (up.fct_customer_event, F.count("*")),
+            "erased_events": (up.fct_customer_event, F.count_if("is_erased_customer")),
+            "invoices": (up.fct_invoice, F.count("*")),
+        },
+    )
+    expected = A.metrics(
+        run.spark,
+        {
+            "events": (up.fct_customer_event, F.count("*")),
+            "erased_events": (up.fct_customer_event, F.lit(0)),
+            "invoices": (up.fct_invoice, F.count_if(~F.col("is_erased_customer"))),
+        },
+    )
+    return A.audit_metrics(actual, expected)
+
+
+@query
+def audit_summary(run: Run) -> DataFrame:
+    names = ["audit_event_partition", "audit_service_partition", "audit_invoice_partition", "audit_same_rows"]
+    return A.summarize({n: QUERIES[n](run) for n in names})
+
+
+# ---- declarative models -----------------------------------------------------------------------
+
+def _column(name: str, **options) -> specs.ColumnSpec:
+    return specs.ColumnSpec(name, **options)
+
+
+_SSN = specs.KeySpec("customer_ssn", "customer.ssn", "ssn")
+
+MODEL_STAGING = specs.ModelSpec(
+    "layer1", "STAGING", "stg_payments", "stg_invoices", ("invoice_id",),
+    (_column("invoice_id"), _column("paid", expression="coalesce(source_rows.is_paid, false)"), _column("amount")),
+    where=("source_rows.amount >= 100000",),
+)
+MODEL_QUARANTINE = specs.ModelSpec(
+    "layer1", "QUARANTINE", "quarantine_payments", "stg_invoices", ("invoice_id",),
+    (
+        _column("invoice_id", expression="i.invoice_id"),
+        _column("customer_ssn", expression="i.customer_ssn"),
+        _column("reason", expression="r.resolution_status"),
+    ),
+    alias="i",
+    joins=(specs.JoinSpec("int_invoice_resolution", "r", "i.invoice_id = r.invoice_id"),),
+    where=("r.resolution_status != 'ACCEPTED'",),
+    deletion=specs.DeletionSpec(
+        "QUARANTINE", "customer_ssn", key_domain="customer.ssn", key_kind="ssn", register_target=True
+    ),
+)
+MODEL_MAPPING = specs.ModelSpec(
+    "priva_map", "MAPPING", "fa_pd_payment", "stg_invoices", ("payment_key",),
+    (
+        _column("payment_key", key=specs.KeySpec("invoice_id", "payment.id")),
+        _column("customer_key", key=_SSN),
+        _column(
+            "invoice_id_value", expression="source_rows.invoice_id",
+            tags={"personal_data_category": "SERVICE_IDENTIFIER", "personal_data_state": "RAW"},
+            mask_column="payment_key",
+        ),
+    ),
+    deletion=specs.DeletionSpec(register_target=True),
+)
+MODEL_FACT = specs.ModelSpec(
+    "layer3", "FACT", "fct_usage", "stg_customer_events", ("event_id",),
+    (
+        _column("event_id"), _column("customer_key", key=_SSN), _column("measure_value"),
+        _column("is_erased_customer", data_type="boolean"),
+    ),
+    where=("source_rows.measure_unit = 'GB'",),
+    deletion=specs.DeletionSpec("FACT", special_columns=("customer_key",), flag="is_erased_customer"),
+)
+MODEL_DIMENSION = specs.ModelSpec(
+    "layer3", "DIMENSION", "dim_segment_customer", "int_customer_protected", ("customer_key",),
+    (_column("customer_key", tests=("not_null", "unique")), _column("customer_segment")),
+    deletion=specs.DeletionSpec("DIMENSION"),
+    erased_member={"customer_key": "'-99999'", "customer_segment": "'ERASED_SUBJECT'"},
+)
+MODEL_CASE_VIEW = specs.ModelSpec(
+    "layer3_case", "CASE_VIEW", "case_usage", "fct_customer_event", ("event_key",),
+    (
+        _column("event_key", expression="f.event_key"),
+        _column("customer_key", expression="f.customer_key"),
+        _column("full_name", expression="m.full_name_value"),
+        _column("is_erased_customer", expression="f.is_erased_customer"),
+    ),
+    alias="f",
+    joins=(specs.JoinSpec("fa_pd_customer", "m", "f.customer_key = m.customer_key", "left"),),
+    deletion=specs.DeletionSpec("CASE_VIEW", flag="is_erased_customer"),
+)
+MODEL_CONTROL = specs.ModelSpec(
+    "layer1", "CONTROL", "request_dates", "requests", ("deletion_request_id",),
+    (_column("deletion_request_id"), _column("detected_on", expression="to_date(source_rows.detected_at)")),
+    merge_key=("deletion_request_id",),
+)
+
+
+def _modelled(run: Run, spec: specs.ModelSpec, **options) -> DataFrame:
+    relations = {
+        "stg_invoices": run.lazy.stg_invoices,
+        "stg_customer_events": run.lazy.stg_customer_events,
+        "int_invoice_resolution": run.up.int_invoice_resolution,
+        "int_customer_protected": run.up.int_customer_protected,
+        "fct_customer_event": run.up.fct_customer_event,
+        "fa_pd_customer": run.up.fa_pd_customer,
+    }
+    return specs.build_model(spec, relations, CFG, run.up.ledger, **options)
+
+
+@query
+def model_staging(run: Run) -> DataFrame:
+    return _modelled(run, MODEL_STAGING)
+
+
+@query
+def model_quarantine(run: Run) -> DataFrame:
+    return _modelled(run, MODEL_QUARANTINE)
+
+
+@query
+def model_mapping(run: Run) -> DataFrame:
+    return _modelled(run, MODEL_MAPPING)
+
+
+@query
+def model_fact(run: Run) -> DataFrame:
+    return _modelled(run, MODEL_FACT)
+
+
+@query
+def model_dimension(run: Run) -> DataFrame:
+    return _modelled(run, MODEL_DIMENSION)
+
+
+@query
+def model_case_view(run: Run) -> DataFrame:
+    return _modelled(run, MODEL_CASE_VIEW, persona=CASE)
+
+
+@query
+def model_control_merge(run: Run) -> DataFrame:
+    """Keyed merge: requests with an authorized revision get the second run's date, others keep theirs."""
+    first = run.up.customer_deletion_requests
+    existing = specs.build_model(MODEL_CONTROL, {"requests": first}, CFG)
+    authorized = run.up.customer_deletion_authorizations.where(F.col("authorization_status") == "AUTHORIZED")
+    again = first.join(authorized.select("deletion_request_id"), "deletion_request_id", "left_semi").withColumn(
+        "detected_at", F.lit(SECOND_RUN_TS).cast("timestamp")
+    )
+    return specs.build_model(MODEL_CONTROL, {"requests": again}, CFG, existing=existing)
+
+
+# ---- sensitive-text scan ----------------------------------------------------------------------
+
+@query
+def scan_sensitive_documents(run: Run) -> DataFrame:
+    return scan.scan_sensitive(run.table("documents"), "doc_id", "text")
+
+
+@query
+def scan_sensitive_planted(run: Run) -> DataFrame:
+    """Documents with token- and key-shaped lines planted by source and number: positive cases."""
+    doc = F.col("doc_id")
+    planted = F.when(doc % 7 == 0, F.concat(F.lit("\nkey AKIA"), F.lpad(doc.cast("string"), 16, "7"))).when(
+        doc % 11 == 0, F.lit("\n-----BEGIN RSA PRIVATE KEY-----\nx\n/Users/someone/notes")
+    ).otherwise("")
+    texts = run.table("documents").select("doc_id", F.concat("text", planted).alias("text"))
+    return scan.scan_sensitive(texts, "doc_id", "text")
+
+
+@query
+def scan_emails_documents(run: Run) -> DataFrame:
+    return scan.scan_emails(run.table("documents"), "doc_id", "text")
+
+
+@query
+def scan_emails_pages(run: Run) -> DataFrame:
+    return scan.scan_emails(run.table("pages"), "page_id", "html")
+
+
+@query
+def scan_emails_customers(run: Run) -> DataFrame:
+    """Customer e-mails, moved from their reserved domain to a subdomain for some."""
+    feed = run.lazy.stg_customer.select(
+        "customer_change_id",
+        F.when(F.col("customer_pk") % 3 == 0, F.replace("email", F.lit("Invalid"), F.lit("Example.com")))
+        .when(F.col("customer_pk") % 3 == 1, F.replace("email", F.lit("@Example.Invalid"), F.lit("@example.com")))
+        .otherwise(F.col("email"))
+        .alias("email"),
+    )
+    return scan.scan_emails(feed, "customer_change_id", "email")
+
+
+@query
+def scan_paths_pages(run: Run) -> DataFrame:
+    """Paths of the crawled pages, some with a sensitive file name appended."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+/", ""), "[?#].*$", "")
+    name = (
+        F.when(F.col("page_id") % 5 == 0, "/.env.local")
+        .when(F.col("page_id") % 5 == 1, "/server.pem")
+        .when(F.col("page_id") % 5 == 2, "/logs/run.txt")
+        .when(F.col("page_id") % 5 == 3, "/id_rsa.pub")
+        .otherwise("")
+    )
+    return scan.scan_paths(run.table("pages").select(F.concat(path, name).alias("path")), "path")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: fn(Run(spark, sf_dir))
+
+    return {name: bind(fn) for name, fn in QUERIES.items()}
