@@ -15,6 +15,7 @@ from veilwright.functions import keys as K
 from veilwright.operators.maps import service_keys
 from veilwright.operators.policy import apply_policy, attach_deletion_mode, governed_model
 from veilwright.schemas import CONTRACTS
+from veilwright.sources.tables import union_all
 
 ACCEPTED = "ACCEPTED"
 
@@ -162,98 +163,147 @@ def annotate_services(keyed: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def _invoice_days(invoices: DataFrame, pair: list[str]) -> DataFrame:
     """Distinct service, customer, day and visibility. However many invoices share a pair, it has
-    at most one row per calendar day here."""
+    at most one row per calendar day and visibility here."""
     return invoices.select(
         *pair, "issued_date", F.col("deletion_mode").isNotNull().alias("sees_deleted")
     ).distinct()
 
 
-def _stabbed(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
-    """Periods that contain each day: ``periods`` rows and the greatest version key, per day."""
-    day_keys = [*pair, "issued_date", "sees_deleted"]
-    inside = F.col("issued_date").between(F.col("valid_from"), F.col("valid_to"))
-    visible = F.col("sees_deleted") | ~F.col("of_deleted")
-    joined = days.join(periods, pair, "inner").where(inside & visible)
-    return joined.groupBy(*day_keys).agg(F.sum("n").alias("periods"), F.max("version").alias("version"))
-
-
-def _attach_by_day(invoices: DataFrame, stats: DataFrame, pair: list[str]) -> DataFrame:
-    seen = invoices.withColumn("sees_deleted", F.col("deletion_mode").isNotNull())
-    return seen.join(stats, [*pair, "issued_date", "sees_deleted"], "left").drop("sees_deleted")
-
+def _mark(at: Column | None = None, version: Column | None = None, **amounts: Column | int) -> Column:
+    """One timeline mark; amounts that are not given are zero, end dates are null."""
+    fields = [
+        (F.lit(None).cast("date") if at is None else at).alias("at"),
+        (F.lit(None).cast("string") if version is None else version).alias("version"),
+    ]
+    for name in ("rows_all", "rows_alive", "ok_all", "ok_alive", "delta_all", "delta_alive", "delta_mapped"):
+        fields.append(F.lit(amounts.get(name, 0)).cast("bigint").alias(name))
+    for name in ("to_all", "to_alive", "to_mapped"):
+        value = amounts.get(name)
+        fields.append((F.lit(None) if value is None else value).cast("date").alias(name))
+    return F.struct(*fields)
 
-def with_source_service_stats(invoices: DataFrame, services: DataFrame, pair: list[str] | None = None) -> DataFrame:
-    """Adds five source-service statistics to mode-annotated invoices.
 
-    Ordinary invoices do not see deleted customers' services, erased ones do. Nothing is grouped by
-    invoice: counts are pre-aggregated per service and per (service, customer), and the interval
-    test runs between distinct invoice days and distinct periods only. No invoice row is multiplied,
-    and the invoices are exchanged on the service key.
-    """
-    customer, service = pair or ["customer_key", "service_key"]
-    keys = [service, customer]
+def _source_marks(services: DataFrame, pair: list[str]) -> DataFrame:
+    """Each source service row as a total, and if its period is valid a start and an end."""
     with_version = "service_version_key" in services.columns
-    period_ok = F.coalesce(F.col("is_valid") & (F.col("valid_to") >= F.col("valid_from")), F.lit(False))
-    flagged = services.select(
-        *keys,
-        "valid_from",
-        "valid_to",
-        period_ok.alias("period_ok"),
-        F.col("deletion_mode").isNotNull().alias("of_deleted"),
-        (F.col("service_version_key") if with_version else F.lit(None).cast("string")).alias("version"),
-    )
-    alive = ~F.col("of_deleted")
-    per_service = flagged.groupBy(service).agg(
-        F.count("*").alias("all_rows"), F.count_if(alive).alias("alive_rows")
+    version = F.col("service_version_key") if with_version else F.lit(None).cast("string")
+    alive = F.col("deletion_mode").isNull()
+    ok = F.coalesce(F.col("is_valid") & (F.col("valid_to") >= F.col("valid_from")), F.lit(False))
+    living = alive.cast("int")
+    total = _mark(rows_all=1, rows_alive=living, ok_all=ok.cast("int"), ok_alive=(ok & alive).cast("int"))
+    start = _mark(
+        F.col("valid_from"),
+        version,
+        delta_all=1,
+        delta_alive=living,
+        to_all=F.col("valid_to"),
+        to_alive=F.when(alive, F.col("valid_to")),
     )
-    per_pair = flagged.groupBy(*keys).agg(
-        F.count("*").alias("pair_all"),
-        F.count_if(alive).alias("pair_alive"),
-        F.count_if(F.col("period_ok")).alias("pair_ok_all"),
-        F.count_if(F.col("period_ok") & alive).alias("pair_ok_alive"),
+    end = _mark(F.date_add("valid_to", 1), delta_all=-1, delta_alive=-living)
+    marks = F.when(ok, F.array(total, start, end)).otherwise(F.array(total))
+    return services.select(*pair, F.inline(marks))
+
+
+def _mapped_marks(resolved_services: DataFrame, pair: list[str]) -> DataFrame:
+    """Each accepted service period as a start and an end."""
+    usable = resolved_services.where(
+        F.col("service_version_key").isNotNull() & (F.col("valid_to") >= F.col("valid_from"))
     )
-    periods = (
-        flagged.where("period_ok")
-        .groupBy(*keys, "valid_from", "valid_to", "of_deleted")
-        .agg(F.count("*").alias("n"), F.max("version").alias("version"))
+    start = _mark(
+        F.col("valid_from"), F.col("service_version_key"), delta_mapped=1, to_mapped=F.col("valid_to")
     )
-    effective = _stabbed(_invoice_days(invoices, keys), periods, keys)
-    joined = _attach_by_day(
-        invoices.join(per_service, service, "left").join(per_pair, keys, "left"), effective, keys
+    end = _mark(F.date_add("valid_to", 1), delta_mapped=-1)
+    return usable.select(*pair, F.inline(F.array(start, end)))
+
+
+def _timeline(marks: DataFrame, pair: list[str]) -> DataFrame:
+    """Marks summed per pair, day and version: at most a few rows per calendar day, however many
+    service rows a pair has."""
+    amounts = ["rows_all", "rows_alive", "ok_all", "ok_alive", "delta_all", "delta_alive", "delta_mapped"]
+    ends = ["to_all", "to_alive", "to_mapped"]
+    return marks.groupBy(*pair, "at", "version").agg(
+        *[F.sum(c).alias(c) for c in amounts], *[F.max(c).alias(c) for c in ends]
     )
 
-    def visible(everything: str, living: str) -> Column:
-        seen = F.when(F.col("deletion_mode").isNotNull(), F.col(everything)).otherwise(F.col(living))
-        return F.coalesce(seen, F.lit(0).cast("bigint"))
 
-    return joined.select(
-        *invoices.columns,
-        visible("all_rows", "alive_rows").alias("service_period_count"),
-        visible("pair_all", "pair_alive").alias("customer_service_period_count"),
-        visible("pair_ok_all", "pair_ok_alive").alias("valid_service_period_count"),
-        F.coalesce("periods", F.lit(0).cast("bigint")).alias("effective_service_period_count"),
-        F.col("version").alias("source_service_version_key"),
+def _stats_per_day(days: DataFrame, timeline: DataFrame, pair: list[str]) -> DataFrame:
+    """Statistics per distinct invoice day: starts minus ends up to the day are the open periods."""
+    sees, day = F.col("sees_deleted"), F.col("issued_date")
+
+    def seen(everything: str, living: str) -> Column:
+        return F.when(sees, F.col(everything)).otherwise(F.col(living))
+
+    def open_version(end: Column) -> Column:
+        return F.max(F.when(day <= end, F.col("version")))
+
+    joined = days.join(timeline, pair, "inner").where(F.col("at").isNull() | (F.col("at") <= day))
+    return joined.groupBy(*pair, "issued_date", "sees_deleted").agg(
+        F.sum(seen("rows_all", "rows_alive")).alias("own_rows"),
+        F.sum(seen("ok_all", "ok_alive")).alias("ok_rows"),
+        F.sum(seen("delta_all", "delta_alive")).alias("open_periods"),
+        F.sum("delta_mapped").alias("mapped_periods"),
+        open_version(seen("to_all", "to_alive")).alias("source_version"),
+        open_version(F.col("to_mapped")).alias("mapped_version"),
     )
 
 
-def with_mapped_service_stats(invoices: DataFrame, resolved_services: DataFrame) -> DataFrame:
-    """Adds how many accepted service periods contain the issue date, and the greatest version."""
-    keys = ["service_key", "customer_key"]
-    periods = (
-        resolved_services.groupBy(*keys, "valid_from", "valid_to")
-        .agg(F.count("service_version_key").alias("n"), F.max("service_version_key").alias("version"))
-        .withColumn("of_deleted", F.lit(False))
+def _attach_by_day(invoices: DataFrame, stats: DataFrame, pair: list[str]) -> DataFrame:
+    names = [*pair, "issued_date", "sees_deleted"]
+    right = stats.select(
+        *[F.col(c).alias(f"_{c}") for c in names], *[c for c in stats.columns if c not in names]
     )
-    mapped = _stabbed(_invoice_days(invoices, keys), periods, keys)
-    return _attach_by_day(invoices, mapped, keys).select(
+    seen = invoices.withColumn("sees_deleted", F.col("deletion_mode").isNotNull())
+    same = F.col("issued_date").eqNullSafe(F.col("_issued_date")) & (F.col("sees_deleted") == F.col("_sees_deleted"))
+    for c in pair:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return seen.join(right, same, "left").drop("sees_deleted", *[f"_{c}" for c in names])
+
+
+def with_service_stats(
+    invoices: DataFrame,
+    services: DataFrame | None = None,
+    resolved_services: DataFrame | None = None,
+    pair: list[str] | None = None,
+) -> DataFrame:
+    """Adds source-service and mapped-service statistics to mode-annotated invoices.
+
+    Ordinary invoices do not see deleted customers' services, erased ones do. Nothing is grouped by
+    invoice and no invoice row is multiplied: distinct invoice days meet a summed timeline per
+    (service, customer), so a pair's work is bounded by the calendar and not by its row count. The
+    invoices themselves are exchanged on the service key only.
+    """
+    customer, service = pair or ["customer_key", "service_key"]
+    keys = [service, customer]
+    marks = []
+    if services is not None:
+        marks.append(_source_marks(services, keys))
+    if resolved_services is not None:
+        marks.append(_mapped_marks(resolved_services, keys))
+    timeline = _timeline(union_all(marks), keys)
+    zero = F.lit(0).cast("bigint")
+    joined = invoices
+    any_rows = zero
+    if services is not None:
+        per_service = services.groupBy(service).agg(
+            F.count("*").alias("all_rows"), F.count_if(F.col("deletion_mode").isNull()).alias("alive_rows")
+        )
+        joined = joined.join(per_service, service, "left")
+        any_rows = F.when(F.col("deletion_mode").isNotNull(), F.col("all_rows")).otherwise(F.col("alive_rows"))
+    joined = _attach_by_day(joined, _stats_per_day(_invoice_days(invoices, keys), timeline, keys), keys)
+    return joined.select(
         *invoices.columns,
-        F.coalesce("periods", F.lit(0).cast("bigint")).alias("mapped_service_period_count"),
-        F.col("version").alias("mapped_service_version_key"),
+        F.coalesce(any_rows, zero).alias("service_period_count"),
+        F.coalesce("own_rows", zero).alias("customer_service_period_count"),
+        F.coalesce("ok_rows", zero).alias("valid_service_period_count"),
+        F.coalesce("open_periods", zero).alias("effective_service_period_count"),
+        F.col("source_version").alias("source_service_version_key"),
+        F.coalesce("mapped_periods", zero).alias("mapped_service_period_count"),
+        F.col("mapped_version").alias("mapped_service_version_key"),
     )
 
 
 def source_service_stats(invoices: DataFrame, services: DataFrame) -> DataFrame:
-    return with_source_service_stats(invoices, services).select(
+    return with_service_stats(invoices, services=services).select(
         "invoice_id",
         "service_period_count",
         "customer_service_period_count",
@@ -264,7 +314,7 @@ def source_service_stats(invoices: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def mapped_service_stats(invoices: DataFrame, resolved_services: DataFrame) -> DataFrame:
-    return with_mapped_service_stats(invoices, resolved_services).select(
+    return with_service_stats(invoices, resolved_services=resolved_services).select(
         "invoice_id",
         "mapped_service_period_count",
         F.col("mapped_service_version_key").alias("resolved_service_version_key"),
@@ -298,9 +348,7 @@ def classify_invoices(
     invoices: DataFrame, services: DataFrame, resolved_services: DataFrame, customers: DataFrame
 ) -> DataFrame:
     """Twelve ordered checks, eleven reasons, else ACCEPTED; still carries the deletion mode."""
-    stats = with_mapped_service_stats(
-        with_source_service_stats(with_customer_found(invoices, customers), services), resolved_services
-    )
+    stats = with_service_stats(with_customer_found(invoices, customers), services, resolved_services)
     ordinary = F.col("deletion_mode").isNull()
     reason = (
         _service_reason(ordinary)
@@ -413,7 +461,7 @@ def resolve_invoices_raw(
     found = invoices.join(known, F.col("customer_ssn") == F.col("_known_ssn"), "left").select(
         *invoices.columns, F.col("_known_ssn").isNotNull().alias("customer_found")
     )
-    stats = with_source_service_stats(found, services, ["customer_ssn", "service_id"])
+    stats = with_service_stats(found, services, pair=["customer_ssn", "service_id"])
     status = _with_payment_reason(_service_reason(F.col("deletion_mode").isNull()))
     return apply_policy(
         stats.withColumn("resolution_status", status),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -24,6 +24,18 @@ TEXT_RULES = {
     ),
     "private key": r"BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY",
 }
+# A match of the rule contains at least one of these texts.
+RULE_LITERALS = {
+    "workspace host": ("databricks.com", "azuredatabricks.net"),
+    "warehouse identifier": ("/warehouses/", "DATABRICKS_WAREHOUSE_ID", "warehouse_id:"),
+    "account identifier": ("DATABRICKS_ACCOUNT_ID",),
+    "group identifier": ("_GROUP_ID",),
+    "home path": ("/Users/",),
+    "credential-shaped token": (
+        "dapi", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "AKIA", "xox",
+    ),
+    "private key": ("PRIVATE KEY",),
+}
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 RESERVED_SUFFIX = r"(^|\.)(invalid|example)$"
 RESERVED_DOMAINS = ("example.com", "example.net", "example.org", "users.noreply.github.com")
@@ -54,6 +66,18 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _rule_test(text: Column, rule: str, pattern: str) -> Column:
+    """The pattern, tried only where the text holds one of the rule's literals (a byte search)."""
+    test = text.rlike(pattern)
+    literals = RULE_LITERALS.get(rule)
+    if not literals or TEXT_RULES.get(rule) != pattern:
+        return test
+    present = F.lit(False)
+    for literal in literals:
+        present = present | F.contains(text, F.lit(literal))
+    return present & test
+
+
 def scan_sensitive(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str] | None = None) -> DataFrame:
     """(rule, record_id, line_number) for every line that matches a rule.
 
@@ -61,9 +85,10 @@ def scan_sensitive(df: DataFrame, id_col: str, text_col: str, rules: dict[str, s
     """
     rules = TEXT_RULES if rules is None else rules
     suspicious = F.lit(False)
-    for pattern in rules.values():
-        suspicious = suspicious | F.col(text_col).rlike(pattern)
-    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(r)) for r, p in rules.items()]))
+    for rule, pattern in rules.items():
+        suspicious = suspicious | _rule_test(F.col(text_col), rule, pattern)
+    line = F.col("line")
+    hits = F.array_compact(F.array(*[F.when(_rule_test(line, r, p), F.lit(r)) for r, p in rules.items()]))
     lines = _lines(df.where(suspicious), id_col, text_col)
     return lines.select(
         F.explode(hits).alias("rule"), "record_id", (F.col("line_index") + 1).alias("line_number")

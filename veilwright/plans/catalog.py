@@ -22,7 +22,7 @@ from veilwright.operators import evidence as E
 from veilwright.plans.relations import Relations
 from veilwright.plans.teaching import TeachingRelations
 from veilwright.schemas import CONTRACTS
-from veilwright.session import scratch_path
+from veilwright.session import apply_settings, scratch_path
 from veilwright.sources.testbed import (
     EARLY_CUTOFF,
     SECOND_RUN_TS,
@@ -58,7 +58,7 @@ class Run:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.extracts = LandedExtracts(spark, self.sf_dir)
+        self.extracts = LandedExtracts(apply_settings(spark, CFG.pepper), self.sf_dir)
 
     @cached_property
     def lazy(self) -> Relations:
@@ -364,19 +364,19 @@ def effective_modes(run: Run) -> DataFrame:
 @query
 def attach_deletion_mode(run: Run) -> DataFrame:
     return policy.attach_deletion_mode(
-        run.lazy.int_customer_events_keyed, run.up.ledger, "customer_key", ["event_id", "customer_key"]
+        run.up.int_customer_events_keyed, run.up.ledger, "customer_key", ["event_id", "customer_key"]
     )
 
 
 @query
 def apply_policy_delete(run: Run) -> DataFrame:
-    annotated = resolve.annotate_services(run.lazy.int_customer_services_keyed, run.up.ledger)
+    annotated = resolve.annotate_services(run.up.int_customer_services_keyed, run.up.ledger)
     return policy.apply_policy(annotated, ["customer_key", "service_version_key", "valid_from", "valid_to"], "DELETE")
 
 
 @query
 def apply_policy_replace(run: Run) -> DataFrame:
-    annotated = resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger)
+    annotated = resolve.annotate_invoices(run.up.int_invoices_keyed, run.up.ledger)
     replaced = {"customer_key": CFG.erased(), "service_key": CFG.erased()}
     return policy.apply_policy(
         annotated, ["invoice_id", "customer_key", "service_key", "amount"], "REPLACE", replaced, "is_erased_customer"
@@ -386,7 +386,7 @@ def apply_policy_replace(run: Run) -> DataFrame:
 @query
 def governed_fact(run: Run) -> DataFrame:
     return policy.governed_model(
-        run.lazy.int_customer_events_keyed, "governed_fact", "FACT", "event_id",
+        run.up.int_customer_events_keyed, "governed_fact", "FACT", "event_id",
         ["event_id", "customer_key", "measure_value"], run.up.ledger, special_columns="customer_key",
     )
 
@@ -404,7 +404,7 @@ def governed_quarantine(run: Run) -> DataFrame:
 @query
 def leak_guard(run: Run) -> DataFrame:
     """Unprotected rows pushed through a policy-applied fact: every ledger key is dropped."""
-    leaked = run.lazy.int_invoices_keyed.withColumn("is_erased_customer", F.lit(False))
+    leaked = run.up.int_invoices_keyed.withColumn("is_erased_customer", F.lit(False))
     return policy.governed_model(
         leaked, "leak_guard", "FACT", "invoice_id", ["invoice_id", "customer_key", "is_erased_customer"],
         run.up.ledger, special_columns=["customer_key"], policy_applied=True,
@@ -414,7 +414,7 @@ def leak_guard(run: Run) -> DataFrame:
 @query
 def contract_violations(run: Run) -> DataFrame:
     """Broken rules of a fact whose policy was never applied."""
-    broken = run.lazy.int_customer_events_keyed.withColumn(
+    broken = run.up.int_customer_events_keyed.withColumn(
         "is_erased_customer", F.col("event_type") == "ERROR"
     ).withColumn("event_id", F.when(F.col("measure_value") > 5, F.col("event_id")))
     found = policy.contract_violations(
@@ -428,29 +428,29 @@ def contract_violations(run: Run) -> DataFrame:
 @query
 def resolve_events(run: Run) -> DataFrame:
     return resolve.resolve_events(
-        run.lazy.int_customer_events_keyed, run.up.ledger, run.up.fa_pd_customer, CFG
+        run.up.int_customer_events_keyed, run.up.ledger, run.up.fa_pd_customer, CFG
     )
 
 
 @query
 def resolve_services(run: Run) -> DataFrame:
     return resolve.resolve_services(
-        run.lazy.int_customer_services_keyed, run.up.ledger, run.up.fa_pd_customer, run.up.fa_pd_service_address
+        run.up.int_customer_services_keyed, run.up.ledger, run.up.fa_pd_customer, run.up.fa_pd_service_address
     )
 
 
 @query
 def source_service_stats(run: Run) -> DataFrame:
     return resolve.source_service_stats(
-        resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger),
-        resolve.annotate_services(run.lazy.int_customer_services_keyed, run.up.ledger),
+        resolve.annotate_invoices(run.up.int_invoices_keyed, run.up.ledger),
+        resolve.annotate_services(run.up.int_customer_services_keyed, run.up.ledger),
     )
 
 
 @query
 def mapped_service_stats(run: Run) -> DataFrame:
     return resolve.mapped_service_stats(
-        resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger),
+        resolve.annotate_invoices(run.up.int_invoices_keyed, run.up.ledger),
         run.up.int_customer_services_resolved,
     )
 
@@ -458,8 +458,8 @@ def mapped_service_stats(run: Run) -> DataFrame:
 @query
 def classify_invoices(run: Run) -> DataFrame:
     return resolve.classify_invoices(
-        resolve.annotate_invoices(run.lazy.int_invoices_keyed, run.up.ledger),
-        resolve.annotate_services(run.lazy.int_customer_services_keyed, run.up.ledger),
+        resolve.annotate_invoices(run.up.int_invoices_keyed, run.up.ledger),
+        resolve.annotate_services(run.up.int_customer_services_keyed, run.up.ledger),
         run.up.int_customer_services_resolved,
         run.up.fa_pd_customer,
     )
@@ -468,8 +468,8 @@ def classify_invoices(run: Run) -> DataFrame:
 @query
 def resolve_invoices(run: Run) -> DataFrame:
     return resolve.resolve_invoices(
-        run.lazy.int_invoices_keyed,
-        run.lazy.int_customer_services_keyed,
+        run.up.int_invoices_keyed,
+        run.up.int_customer_services_keyed,
         run.up.int_customer_services_resolved,
         run.up.ledger,
         run.up.fa_pd_customer,
@@ -518,7 +518,7 @@ def late_arrival_services(run: Run) -> DataFrame:
     late = F.substring("customer_key", 4, 1).isin(*"01234567")
     known = run.up.fa_pd_customer.where(~late)
     entries = run.up.fa_pd_service_address.where(~late)
-    keyed = run.lazy.int_customer_services_keyed
+    keyed = run.up.int_customer_services_keyed
     before = resolve.resolve_services(keyed, run.up.ledger, known, entries)
     after = resolve_services(run).select(
         "service_version_key", F.col("resolution_status").alias("status_after")
@@ -754,7 +754,7 @@ def audit_accepted_values(run: Run) -> DataFrame:
 @query
 def audit_relationships(run: Run) -> DataFrame:
     return A.audit_fk(
-        run.lazy.int_invoices_keyed, "customer_key", run.up.dim_customer, "customer_key", F.col("is_paid")
+        run.up.int_invoices_keyed, "customer_key", run.up.dim_customer, "customer_key", F.col("is_paid")
     )
 
 
@@ -766,7 +766,7 @@ def audit_relationships_star(run: Run) -> DataFrame:
 @query
 def audit_event_partition(run: Run) -> DataFrame:
     return A.audit_partition(
-        A.expected_occurrences(run.lazy.int_customer_events_keyed, run.up.ledger, "event_id"),
+        A.expected_occurrences(run.up.int_customer_events_keyed, run.up.ledger, "event_id"),
         [run.up.int_customer_events_resolved, run.up.quarantine_customer_events],
         "event_id",
     )
@@ -777,7 +777,7 @@ def audit_event_partition_broken(run: Run) -> DataFrame:
     """The same audit over an output that lost its quarantine and repeats some rows."""
     kept = run.up.int_customer_events_resolved
     return A.audit_partition(
-        A.expected_occurrences(run.lazy.int_customer_events_keyed, run.up.ledger, "event_id"),
+        A.expected_occurrences(run.up.int_customer_events_keyed, run.up.ledger, "event_id"),
         [kept, kept.where(F.col("event_type") == "ERROR")],
         "event_id",
     )
@@ -785,7 +785,7 @@ def audit_event_partition_broken(run: Run) -> DataFrame:
 
 @query
 def audit_service_partition(run: Run) -> DataFrame:
-    keyed = run.lazy.int_customer_services_keyed
+    keyed = run.up.int_customer_services_keyed
     expected = policy.without_deleted(keyed, run.up.ledger, "customer_key").select(
         "service_version_key", F.lit(1).alias("expected_occurrence_count")
     )
@@ -799,7 +799,7 @@ def audit_service_partition(run: Run) -> DataFrame:
 def audit_invoice_partition(run: Run) -> DataFrame:
     """Without the suppressed outcome, exactly the suppressed invoices are missing."""
     return A.audit_partition(
-        A.expected_occurrences(run.lazy.int_invoices_keyed, run.up.ledger, "invoice_id"),
+        A.expected_occurrences(run.up.int_invoices_keyed, run.up.ledger, "invoice_id"),
         [run.up.int_invoices_resolved, run.up.quarantine_invoices],
         "invoice_id",
     )
@@ -818,7 +818,7 @@ def audit_customer_map_tuple(run: Run) -> DataFrame:
     """Keyed services outside the accepted tuples."""
     keys = ["customer_key", "service_key", "service_version_key", "installation_address_key"]
     return A.audit_tuple(
-        run.lazy.int_customer_services_keyed, run.up.int_customer_services_resolved, keys
+        run.up.int_customer_services_keyed, run.up.int_customer_services_resolved, keys
     ).select("service_version_key")
 
 
@@ -845,7 +845,7 @@ def audit_deleted_absent(run: Run) -> DataFrame:
             "dim_customer": run.up.dim_customer,
             "fct_invoice": run.up.fct_invoice,
             "fct_customer_event": run.up.fct_customer_event,
-            "int_invoices_keyed": run.lazy.int_invoices_keyed,
+            "int_invoices_keyed": run.up.int_invoices_keyed,
         },
         run.up.ledger,
     )

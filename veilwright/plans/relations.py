@@ -128,32 +128,36 @@ class Relations:
         )
 
     # keyed rows and resolutions
+    def _shared(self, name: str, df: DataFrame) -> DataFrame:
+        # Read several times downstream; staging hashes every key and classifies every row once.
+        return df if self._stage is None else self._stage(name, df)
+
     @cached_property
     def int_customer_events_keyed(self) -> DataFrame:
-        return resolve.key_events(self.stg_customer_events, self.cfg)
+        return self._shared(
+            "int_customer_events_keyed", resolve.key_events(self.stg_customer_events, self.cfg)
+        )
 
     @cached_property
     def int_customer_services_keyed(self) -> DataFrame:
-        return resolve.key_services(self.stg_customer_services, self.cfg)
+        return self._shared(
+            "int_customer_services_keyed", resolve.key_services(self.stg_customer_services, self.cfg)
+        )
 
     @cached_property
     def int_invoices_keyed(self) -> DataFrame:
-        return resolve.key_invoices(self.stg_invoices, self.cfg)
-
-    def _resolution(self, name: str, df: DataFrame) -> DataFrame:
-        # One classified plan feeds accepted, quarantine and audits; staging it computes it once.
-        return df if self._stage is None else self._stage(name, df)
+        return self._shared("int_invoices_keyed", resolve.key_invoices(self.stg_invoices, self.cfg))
 
     @cached_property
     def int_customer_event_resolution(self) -> DataFrame:
-        return self._resolution(
+        return self._shared(
             "int_customer_event_resolution",
             resolve.resolve_events(self.int_customer_events_keyed, self.ledger, self.fa_pd_customer, self.cfg),
         )
 
     @cached_property
     def int_customer_service_resolution(self) -> DataFrame:
-        return self._resolution(
+        return self._shared(
             "int_customer_service_resolution",
             resolve.resolve_services(
                 self.int_customer_services_keyed, self.ledger, self.fa_pd_customer, self.fa_pd_service_address
@@ -162,7 +166,7 @@ class Relations:
 
     @cached_property
     def int_invoice_resolution(self) -> DataFrame:
-        return self._resolution(
+        return self._shared(
             "int_invoice_resolution",
             resolve.resolve_invoices(
                 self.int_invoices_keyed,

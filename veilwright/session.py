@@ -8,15 +8,20 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# AQE re-plans joins from measured sizes and splits skewed partitions; forcing the split keeps
-# it active even where it costs one more exchange (a customer may own a third of a fact table).
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # AQE re-plans joins from measured sizes and splits skewed partitions; forcing the split keeps
+    # it active even where it costs one more exchange (a customer may own a third of a fact).
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Build sides that turn out small per partition are hashed, so wide facts need no sort.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Invoices partitioned by service key also serve the joins on service and customer key.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Otherwise "key is not null" is pushed below the projection and every key is hashed twice.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 _local_work_dirs: dict[str, str] = {}

@@ -262,7 +262,10 @@ class LandedExtracts(Mapping):
         key = (self._spark.sparkContext.applicationId, self._sf_dir, name)
         if key not in _landed:
             path = scratch_path(self._spark, f"extract-{name}")
-            _BUILDERS[name](self._spark, self._sf_dir).write.parquet(path)
+            rows = _BUILDERS[name](self._spark, self._sf_dir)
+            # Each test table is one file; real extracts arrive in many.
+            pieces = self._spark.sparkContext.defaultParallelism
+            rows.repartition(pieces).write.parquet(path)
             _landed[key] = path
         return read_extract(self._spark, name, _landed[key])
 
