@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from veilwright.plans.relations import Relations
 from veilwright.schemas import CONTRACTS, CONTROL_KEYS
 from veilwright.sources.tables import TableStore
 
+T = TypeVar("T")
+
 CONTROL_TABLES = (
     "customer_deletion_requests",
     "customer_deletion_authorization_history",
@@ -28,6 +34,29 @@ CONTROL_TABLES = (
 OUTPUT_TABLES = tuple(name for name in CONTRACTS if name not in CONTROL_TABLES)
 DECISIONS = "stg_customer_deletion_confirmations"
 
+# Relations of one wave depend on earlier waves only, so their jobs run side by side.
+CONTROL_WAVES = (
+    ("customer_deletion_requests",),
+    ("customer_deletion_authorization_history",),
+    ("customer_deletion_authorizations", PLAN),
+    (LEDGER,),
+)
+OUTPUT_WAVES = (
+    (
+        "fa_pd_customer", "int_customer_events_keyed", "int_customer_services_keyed", "int_invoices_keyed",
+        "dim_date",
+    ),
+    ("fa_pd_service_address", "int_customer_event_resolution", "int_customer_protected"),
+    (
+        "int_customer_service_resolution", "int_customer_events_resolved", "quarantine_customer_events",
+        "dim_customer",
+    ),
+    ("int_customer_services_resolved", "quarantine_customer_services", "fct_customer_event"),
+    ("int_invoice_resolution", "dim_service"),
+    ("int_invoices_resolved", "quarantine_invoices"),
+    ("fct_invoice",),
+)
+
 # Audits that must pass before any target is recorded as VERIFIED.
 REQUIRED_AUDITS = (
     "plan_matches_authorizations",
@@ -42,6 +71,17 @@ REQUIRED_AUDITS = (
 )
 
 
+def _side_by_side(work: Iterable[Callable[[], T]]) -> list[T]:
+    """Run independent Spark jobs from a few driver threads; the first error is raised."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(w)) for w in work]]
+
+
+def _build(r: Relations, waves: Iterable[Iterable[str]]) -> None:
+    for wave in waves:
+        _side_by_side(partial(getattr, r, name) for name in wave)
+
+
 @dataclass
 class RunResult:
     relations: Relations
@@ -138,13 +178,10 @@ def run_pipeline(
             evidence.append(events.coalesce(1), "execution_events", f"{invocation}-{status.lower()}")
 
         record("PENDING")
-        for name in OUTPUT_TABLES:
-            getattr(r, name)
+        _build(r, OUTPUT_WAVES)
         record("COMPLETED")
-        findings = {
-            row["audit"]: row["findings"]
-            for row in A.summarize(required_audits(r, Persona.of(CASE_USERS))).collect()
-        }
+        required = required_audits(r, Persona.of(CASE_USERS))
+        findings = dict(zip(required, _side_by_side(df.count for df in required.values())))
         failed = [name for name, count in findings.items() if count]
         outcome = E.verify_execution(
             digests, evidence.events(), REQUIRED_AUDITS, set(findings) - set(failed), failed,
@@ -168,10 +205,12 @@ def _build_controls(r: Relations, store: TableStore, evidence: E.EvidenceStore,
     decisions = r.stg_customer_deletion_confirmations
     if not E.archive_conflicts(decisions, DECISIONS, history, ["decision_revision_id"]).isEmpty():
         raise E.EvidenceError("a recorded decision revision changed; submit a new revision instead")
-    for name in CONTROL_TABLES:
-        getattr(r, name)
+    _build(r, CONTROL_WAVES)
     archived = {name: getattr(r, name) for name in CONTROL_TABLES if name != "customer_deletion_authorizations"}
-    for name, df in {DECISIONS: decisions, **archived}.items():
-        rows = E.archive(df, name, history, r.cfg, invocation)
-        evidence.append(rows, "control_history", f"{invocation}-{name}")
+    _side_by_side(
+        partial(
+            evidence.append, E.archive(df, name, history, r.cfg, invocation), "control_history", f"{invocation}-{name}"
+        )
+        for name, df in {DECISIONS: decisions, **archived}.items()
+    )
     store.switch(CONTROL_TABLES, invocation)
