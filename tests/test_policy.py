@@ -1,0 +1,138 @@
+import pytest
+from pyspark.sql import functions as F
+
+from veilwright.operators import policy as P
+from veilwright.sources.tables import literal_relation
+
+SPECIAL, FULL = "SPECIAL_DELETION", "FULL_GOVERNED_OUTPUT_DELETION"
+COLUMNS = ["row_id", "customer_key", "service_key"]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return literal_relation(
+        spark,
+        [("plain", "p", "sp"), ("special", "s", "ss"), ("full", "f", "sf"), ("keyless", None, "sn")],
+        "row_id string, customer_key string, service_key string",
+    )
+
+
+@pytest.fixture(scope="module")
+def ledger(spark):
+    return literal_relation(spark, [("s", SPECIAL), ("f", FULL)], "customer_key string, deletion_mode string")
+
+
+def listed(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def fact(rows, ledger, **options):
+    options = {"special_columns": ["customer_key", "service_key"], **options}
+    return P.governed_model(rows, "fact_example", "FACT", "row_id", COLUMNS, ledger, **options)
+
+
+def test_fact(rows, ledger):
+    got = {r.row_id: (r.customer_key, r.service_key, r.is_erased_customer) for r in fact(rows, ledger).collect()}
+    assert got == {
+        "plain": ("p", "sp", False), "special": ("-99999", "-99999", True), "keyless": (None, "sn", False),
+    }
+
+
+@pytest.mark.parametrize("kind", ["SERVICE", "DIMENSION", "MAPPING", "QUARANTINE", "IDENTITY", "DEPENDENT"])
+def test_delete_style(rows, ledger, kind):
+    df = P.governed_model(rows, "example", kind, "row_id", COLUMNS, ledger)
+    assert [r.row_id for r in df.orderBy("row_id").collect()] == ["keyless", "plain"]
+    annotated = P.attach_deletion_mode(rows, ledger, "customer_key", COLUMNS)
+    again = P.governed_model(annotated, "example", kind, "row_id", COLUMNS, mode_annotated=True)
+    assert sorted(r.row_id for r in again.collect()) == ["keyless", "plain"]
+
+
+def test_leak_guard(rows, ledger):
+    applied = fact(rows, ledger)
+    leaked = rows.where("row_id = 'full'").withColumn("is_erased_customer", F.lit(False))
+    guarded = P.governed_model(
+        applied.unionByName(leaked), "projection", "FACT", "row_id", [*COLUMNS, "is_erased_customer"], ledger,
+        special_columns=["customer_key", "service_key"], policy_applied=True,
+    )
+    assert sorted(r.row_id for r in guarded.collect()) == ["keyless", "plain", "special"]
+
+
+def test_case_view_excludes_erased(rows, ledger):
+    view = P.governed_model(
+        fact(rows, ledger), "case_example", "CASE_VIEW", "row_id", COLUMNS, predicate=F.lit(True)
+    )
+    assert sorted(r.row_id for r in view.collect()) == ["keyless", "plain"]
+    by_key = P.governed_model(
+        fact(rows, ledger), "case_example", "CASE_VIEW", "row_id", COLUMNS, flag=None, predicate=F.lit(True)
+    )
+    assert [r.row_id for r in by_key.collect()] == ["plain"]
+
+
+@pytest.mark.parametrize(
+    "kind,options",
+    [
+        ("NOPE", {}),
+        ("FACT", {}),
+        ("FACT", {"special_columns": ["service_key"]}),
+        ("FACT", {"special_columns": ["customer_key", "other"]}),
+        ("FACT", {"special_columns": ["customer_key"], "flag": None}),
+        ("FACT", {"special_columns": ["customer_key"], "mode_annotated": True, "policy_applied": True}),
+        ("FACT", {"special_columns": ["customer_key"], "policy_applied": True}),
+        ("FACT", {"special_columns": ["customer_key"], "predicate": F.lit}),
+        ("SERVICE", {"special_columns": ["customer_key"]}),
+        ("SERVICE", {"policy_applied": True}),
+        ("SERVICE", {"key_column": None}),
+        ("SERVICE", {"primary_key": "absent"}),
+        ("CASE_VIEW", {}),
+        ("CASE_VIEW", {"predicate": F.lit, "mode_annotated": True}),
+        ("CASE_VIEW", {"predicate": F.lit, "special_columns": ["customer_key"]}),
+        ("CASE_VIEW", {"predicate": F.lit, "flag": None, "key_column": None}),
+    ],
+)
+def test_contradictions_are_refused(rows, ledger, kind, options):
+    options = {k: (v(True) if k == "predicate" else v) for k, v in options.items()}
+    pk = options.pop("primary_key", "row_id")
+    with pytest.raises(ValueError):
+        P.governed_model(rows, "example", kind, pk, COLUMNS, ledger, **options)
+
+
+@pytest.mark.parametrize(
+    "call",
+    [
+        lambda d: P.apply_policy(d, COLUMNS, "KEEP"),
+        lambda d: P.apply_policy(d, COLUMNS, "REPLACE"),
+        lambda d: P.apply_policy(d, COLUMNS, "REPLACE", {"x": F.lit(1)}, "flag"),
+        lambda d: P.apply_policy(d, COLUMNS, "REPLACE", {"row_id": F.lit(1)}, "row_id"),
+        lambda d: P.apply_policy(d, COLUMNS, "DELETE", {"row_id": F.lit(1)}),
+        lambda d: P.apply_policy(d, [], "DELETE"),
+        lambda d: P.apply_policy(d, "row_id", "DELETE"),
+        lambda d: P.apply_policy(d, ["row_id", "row_id"], "DELETE"),
+        lambda d: P.apply_policy(d, ["row id"], "DELETE"),
+    ],
+)
+def test_policy_arguments_are_checked(rows, ledger, call):
+    with pytest.raises(ValueError):
+        call(P.attach_deletion_mode(rows, ledger, "customer_key", COLUMNS))
+
+
+def test_contract_violations(spark, rows, ledger):
+    def reasons(df, kind, keys, **options):
+        found = P.contract_violations(df, kind, "row_id", keys, ledger, **options)
+        return sorted(r.failure_reason for r in found.collect())
+
+    good = fact(rows, ledger)
+    keys = ["customer_key", "service_key"]
+    assert reasons(good, "FACT", keys, flag="is_erased_customer") == []
+    bad = literal_relation(
+        spark,
+        [(None, "p", "x", False), ("d", "p", "x", False), ("d", "p", "x", False), ("e", "-99999", "x", True),
+         ("g", "-99999", "x", False), ("h", "p", "x", None), ("i", "f", "x", False)],
+        "row_id string, customer_key string, service_key string, is_erased_customer boolean",
+    )
+    assert reasons(bad, "FACT", keys, flag="is_erased_customer") == sorted(
+        ["NULL_PRIMARY_KEY", "DUPLICATE_PRIMARY_KEY", "DELETED_CUSTOMER_VISIBLE"] + ["INVALID_ERASED_MEMBER"] * 3
+    )
+    assert reasons(bad, "CASE_VIEW", keys).count("ERASED_MEMBER_VISIBLE_IN_CASE_VIEW") == 2
+    assert reasons(rows, "SERVICE", "customer_key") == ["DELETED_CUSTOMER_VISIBLE"] * 2
+    with pytest.raises(ValueError):
+        reasons(rows, "SERVICE", keys)
