@@ -190,7 +190,6 @@ INVOICE_KEYS = """SELECT invoice_id AS invoice_key, CAST(strftime(issued_date, '
                          CAST(strftime(due_date, '%Y%m%d') AS INTEGER) AS d,
                          CAST(strftime(paid_at, '%Y%m%d') AS INTEGER) AS p, is_paid FROM stg_invoices"""
 NULL_COLUMNS = ["customer_change_id", "first_name", "last_name", "email", "phone", "city", "is_active"]
-LOWER_UPPER = "lower(upper(email)) = lower(email)"
 
 BODIES = {
     # sources and staging
@@ -481,8 +480,8 @@ BODIES = {
         WHERE e IS NULL OR a IS NULL""",
     "audit_key_contract": f"""
         SELECT rule, count(*) AS row_count FROM (
-          SELECT 'canonical_equivalence' AS rule FROM stg_customer WHERE {LOWER_UPPER}
-            AND {key('email', 'customer.email')} IS DISTINCT FROM {key("' ' || upper(email) || ' '", 'customer.email')}
+          SELECT 'canonical_equivalence' AS rule FROM stg_customer
+            WHERE {key('email', 'customer.email')} IS DISTINCT FROM {key("' ' || lower(email) || ' '", 'customer.email')}
           UNION ALL SELECT 'domain_separated' FROM stg_customer
             WHERE {key('email', 'customer.email')} = {key('email', 'customer.full_name')}
           UNION ALL SELECT 'null_preserved' FROM stg_customer
