@@ -133,9 +133,11 @@ def suppressed_identifiers(ledger: DataFrame, requests: DataFrame, stg_customer:
     customers = (
         requests.join(admitted, "deletion_request_id", "left_semi").select("customer_id").distinct()
     )
+    identities = (
+        stg_customer.where(F.col("customer_ssn").isNotNull()).select("customer_id", "customer_ssn").distinct()
+    )
     return (
-        stg_customer.where(F.col("customer_ssn").isNotNull())
-        .join(customers, "customer_id", "left_semi")
+        identities.join(customers, "customer_id", "left_semi")
         .select(F.replace(F.trim("customer_ssn"), F.lit("-"), F.lit("")).alias("normalized_ssn"))
         .distinct()
     )

@@ -226,6 +226,19 @@ def _timeline(marks: DataFrame, pair: list[str]) -> DataFrame:
     )
 
 
+def _with_service_rows(days: DataFrame, services: DataFrame, service: str) -> DataFrame:
+    """Adds how many rows the service has at all, as far as the invoice may see them."""
+    # Grouped by a struct, so that the join exchanges the counts itself: AQE splits a hot service
+    # only where both inputs come straight from an exchange on the join key.
+    counts = (
+        services.groupBy(F.struct(service).alias("grouped"))
+        .agg(F.count("*").alias("all_rows"), F.count_if(F.col("deletion_mode").isNull()).alias("alive_rows"))
+        .select(f"grouped.{service}", "all_rows", "alive_rows")
+    )
+    seen = F.when(F.col("sees_deleted"), F.col("all_rows")).otherwise(F.col("alive_rows"))
+    return days.join(counts, service, "left").select(*days.columns, seen.alias("any_rows"))
+
+
 def _stats_per_day(days: DataFrame, timeline: DataFrame, pair: list[str]) -> DataFrame:
     """Statistics per distinct invoice day: starts minus ends up to the day are the open periods."""
     sees, day = F.col("sees_deleted"), F.col("issued_date")
@@ -236,8 +249,13 @@ def _stats_per_day(days: DataFrame, timeline: DataFrame, pair: list[str]) -> Dat
     def open_version(end: Column) -> Column:
         return F.max(F.when(day <= end, F.col("version")))
 
-    joined = days.join(timeline, pair, "inner").where(F.col("at").isNull() | (F.col("at") <= day))
-    return joined.groupBy(*pair, "issued_date", "sees_deleted").agg(
+    marks = timeline.select(
+        *[F.col(c).alias(f"_{c}") for c in pair], *[c for c in timeline.columns if c not in pair]
+    )
+    reached = F.col("at").isNull() | (F.col("at") <= day)
+    for c in pair:
+        reached = reached & (F.col(c) == F.col(f"_{c}"))
+    return days.join(marks, reached, "left").groupBy(*days.columns).agg(
         F.sum(seen("rows_all", "rows_alive")).alias("own_rows"),
         F.sum(seen("ok_all", "ok_alive")).alias("ok_rows"),
         F.sum(seen("delta_all", "delta_alive")).alias("open_periods"),
@@ -268,31 +286,28 @@ def with_service_stats(
     """Adds source-service and mapped-service statistics to mode-annotated invoices.
 
     Ordinary invoices do not see deleted customers' services, erased ones do. Nothing is grouped by
-    invoice and no invoice row is multiplied: distinct invoice days meet a summed timeline per
-    (service, customer), so a pair's work is bounded by the calendar and not by its row count. The
-    invoices themselves are exchanged on the service key only.
+    invoice and no invoice row is multiplied. Distinct invoice days, a narrow relation, meet a summed
+    timeline per (service, customer), so a pair's work is bounded by the calendar and not by its
+    row count. The invoices themselves are exchanged once, on service, customer and day: a hot
+    service or customer spreads over its days, and AQE splits what is left on the invoice side.
     """
     customer, service = pair or ["customer_key", "service_key"]
     keys = [service, customer]
+    days = _invoice_days(invoices, keys)
     marks = []
     if services is not None:
+        days = _with_service_rows(days, services, service)
         marks.append(_source_marks(services, keys))
+    else:
+        days = days.withColumn("any_rows", F.lit(0).cast("bigint"))
     if resolved_services is not None:
         marks.append(_mapped_marks(resolved_services, keys))
-    timeline = _timeline(union_all(marks), keys)
+    stats = _stats_per_day(days, _timeline(union_all(marks), keys), keys)
+    joined = _attach_by_day(invoices, stats, keys)
     zero = F.lit(0).cast("bigint")
-    joined = invoices
-    any_rows = zero
-    if services is not None:
-        per_service = services.groupBy(service).agg(
-            F.count("*").alias("all_rows"), F.count_if(F.col("deletion_mode").isNull()).alias("alive_rows")
-        )
-        joined = joined.join(per_service, service, "left")
-        any_rows = F.when(F.col("deletion_mode").isNotNull(), F.col("all_rows")).otherwise(F.col("alive_rows"))
-    joined = _attach_by_day(joined, _stats_per_day(_invoice_days(invoices, keys), timeline, keys), keys)
     return joined.select(
         *invoices.columns,
-        F.coalesce(any_rows, zero).alias("service_period_count"),
+        F.coalesce("any_rows", zero).alias("service_period_count"),
         F.coalesce("own_rows", zero).alias("customer_service_period_count"),
         F.coalesce("ok_rows", zero).alias("valid_service_period_count"),
         F.coalesce("open_periods", zero).alias("effective_service_period_count"),

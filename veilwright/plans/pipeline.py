@@ -71,15 +71,16 @@ REQUIRED_AUDITS = (
 )
 
 
-def _side_by_side(work: Iterable[Callable[[], T]]) -> list[T]:
+def _side_by_side(spark: SparkSession, work: Iterable[Callable[[], T]]) -> list[T]:
     """Run independent Spark jobs from a few driver threads; the first error is raised."""
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=8) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(w)) for w in work]]
+        return [f.result() for f in [pool.submit(inherit(w)) for w in work]]
 
 
 def _build(r: Relations, waves: Iterable[Iterable[str]]) -> None:
     for wave in waves:
-        _side_by_side(partial(getattr, r, name) for name in wave)
+        _side_by_side(r.spark, (partial(getattr, r, name) for name in wave))
 
 
 @dataclass
@@ -181,7 +182,7 @@ def run_pipeline(
         _build(r, OUTPUT_WAVES)
         record("COMPLETED")
         required = required_audits(r, Persona.of(CASE_USERS))
-        findings = dict(zip(required, _side_by_side(df.count for df in required.values())))
+        findings = dict(zip(required, _side_by_side(spark, (df.count for df in required.values()))))
         failed = [name for name, count in findings.items() if count]
         outcome = E.verify_execution(
             digests, evidence.events(), REQUIRED_AUDITS, set(findings) - set(failed), failed,
@@ -208,9 +209,15 @@ def _build_controls(r: Relations, store: TableStore, evidence: E.EvidenceStore,
     _build(r, CONTROL_WAVES)
     archived = {name: getattr(r, name) for name in CONTROL_TABLES if name != "customer_deletion_authorizations"}
     _side_by_side(
-        partial(
-            evidence.append, E.archive(df, name, history, r.cfg, invocation), "control_history", f"{invocation}-{name}"
-        )
-        for name, df in {DECISIONS: decisions, **archived}.items()
+        r.spark,
+        [
+            partial(
+                evidence.append,
+                E.archive(df, name, history, r.cfg, invocation),
+                "control_history",
+                f"{invocation}-{name}",
+            )
+            for name, df in {DECISIONS: decisions, **archived}.items()
+        ],
     )
     store.switch(CONTROL_TABLES, invocation)
