@@ -247,6 +247,14 @@ BODIES = {
     "expand_historical_keys": "SELECT * FROM historical_keys",
     "deletion_plan": "SELECT * FROM plan",
     "deletion_plan_second_run": "SELECT * FROM plan UNION SELECT * FROM early_plan",
+    "target_registry_usage": f"""
+        SELECT t.target_layer, t.target_relation, t.target_kind, t.full_action AS full_deletion_action,
+               t.special_action AS special_deletion_action,
+               (SELECT count(*) FROM plan p WHERE p.target_relation = t.target_relation
+                 AND p.deletion_mode = '{SPECIAL}') AS special_rows,
+               (SELECT count(*) FROM plan p WHERE p.target_relation = t.target_relation
+                 AND p.deletion_mode = '{FULL}') AS full_rows
+        FROM targets t""",
     "complete_plans": "SELECT * FROM complete",
     "incomplete_plans_refused": """
         SELECT * FROM complete WHERE substr(customer_key, 4, 1) NOT IN ('0', '1', '2', '3', '4')""",
@@ -358,6 +366,21 @@ BODIES = {
           FROM customer_map
         UNION ALL SELECT 'fa_pd_service_address', count(*), count(installation_address_key), 0, 'restricted_users'
           FROM service_map""",
+    "persona_readable_rows": """
+        SELECT c.relation, c.row_count, g.grantee FROM (
+          SELECT 'stg_invoices' AS relation, count(*) AS row_count FROM stg_invoices
+          UNION ALL SELECT 'quarantine_invoices', count(*) FROM quarantined_invoices
+          UNION ALL SELECT 'fa_pd_customer', count(*) FROM customer_map
+          UNION ALL SELECT 'int_customer_protected', count(*) FROM protected
+          UNION ALL SELECT 'dim_customer', count(*) FROM dim_customer
+          UNION ALL SELECT 'fct_invoice', count(*) FROM fct_invoice
+          UNION ALL SELECT 'case_dim_customer', count(*) FROM case_customer
+          UNION ALL SELECT 'case_dim_service', count(*) FROM case_service
+          UNION ALL SELECT 'case_fct_customer_event', count(*) FROM case_event
+          UNION ALL SELECT 'case_fct_invoice', count(*) FROM case_invoice) c,
+          (VALUES ('privacy_admins'), ('restricted_users'), ('case_users')) g(grantee)
+        WHERE CASE g.grantee WHEN 'privacy_admins' THEN true WHEN 'case_users' THEN c.relation LIKE 'case_%'
+              ELSE c.relation IN ('fa_pd_customer', 'int_customer_protected', 'dim_customer', 'fct_invoice') END""",
     "persona_case_checks": " UNION ALL ".join(
         f"SELECT '{name}' AS relation, count(*) AS row_count, count(*) FILTER ({all_of(pairs, '<>')}) "
         f"AS resolved_rows FROM {cte}"
@@ -376,6 +399,10 @@ BODIES = {
         WHERE e.deletion_mode IS NULL OR (l.deletion_mode = '{FULL}' AND e.deletion_mode <> '{FULL}')""",
     "plan_digest": f"""
         SELECT target_relation, digest AS plan_digest FROM {fold(fold(fold(DIGEST_ROWS, 3), 0), 0)}""",
+    "verify_execution": f"""
+        SELECT 'execution-1' AS execution_id, target_relation, digest AS plan_digest, 'VERIFIED' AS status,
+               TIMESTAMP '2026-03-01 00:00:03' AS recorded_at, 'run-1' AS invocation_id
+        FROM {fold(fold(fold(DIGEST_ROWS, 3), 0), 0)}""",
     "restore_ledger": f"""
         SELECT * EXCLUDE (archived) FROM (
           SELECT *, {RUN_TS} AS archived FROM ledger

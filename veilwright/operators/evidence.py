@@ -103,8 +103,10 @@ def archive(df: DataFrame, name: str, history: DataFrame, cfg: PipelineConfig, i
     )
 
 
-def _payload_field(name: str) -> Column:
-    return F.get_json_object("payload", f"$.{name}")
+def _archived_fields(history: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
+    """Fields of the archived rows as text, from one parse of each payload, with the row's hash."""
+    parsed = F.from_json("payload", ", ".join(f"{f} string" for f in fields))
+    return _of(history, name).select(parsed.alias("record"), "payload_hash").select("record.*", "payload_hash")
 
 
 def archive_conflicts(df: DataFrame, name: str, history: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -113,21 +115,20 @@ def archive_conflicts(df: DataFrame, name: str, history: DataFrame, keys: Sequen
         *[F.col(k).cast("string").alias(k) for k in keys],
         F.sha2(row_payload(df), 256).alias("current_hash"),
     )
-    archived = _of(history, name).select(*[_payload_field(k).alias(k) for k in keys], "payload_hash")
+    archived = _archived_fields(history, name, keys)
     return current.join(archived, list(keys), "inner").where(F.col("payload_hash") != F.col("current_hash"))
 
 
 def missing_or_downgraded(current: DataFrame, name: str, history: DataFrame) -> DataFrame:
     """Archived control keys that are gone, or that lost a FULL mode."""
     keys = list(CONTROL_KEYS[name])
-    archived = _of(history, name).select(
-        *[_payload_field(k).alias(k) for k in keys],
-        *([] if "deletion_mode" in keys else [_payload_field("deletion_mode").alias("archived_mode")]),
-    )
-    present = current.select(*[F.col(k).cast("string").alias(k) for k in keys])
     if name != LEDGER:
-        return archived.select(*keys).join(present, keys, "left_anti")
+        present = current.select(*[F.col(k).cast("string").alias(k) for k in keys])
+        return _archived_fields(history, name, keys).select(*keys).join(present, keys, "left_anti")
     # A FULL archive needs a FULL row; any other archive needs just the row.
+    archived = _archived_fields(history, name, [*keys, "deletion_mode"]).select(
+        *keys, F.col("deletion_mode").alias("archived_mode")
+    )
     strength = current.select("customer_key", (F.col("deletion_mode") == FULL).alias("now_full"))
     joined = archived.join(strength, "customer_key", "left")
     lost = F.col("now_full").isNull() | ((F.col("archived_mode") == FULL) & ~F.col("now_full"))

@@ -310,6 +310,16 @@ def deletion_plan_second_run(run: Run) -> DataFrame:
     return run.second.int_customer_deletion_plan
 
 
+@query
+def target_registry_usage(run: Run) -> DataFrame:
+    """Every registered target with its planned rows per mode; the plan is counted before the join."""
+    planned = run.up.int_customer_deletion_plan.groupBy("target_relation").agg(
+        F.count_if(F.col("deletion_mode") == "SPECIAL_DELETION").alias("special_rows"),
+        F.count_if(F.col("deletion_mode") == "FULL_GOVERNED_OUTPUT_DELETION").alias("full_rows"),
+    )
+    return controls.target_registry(run.spark).join(planned, "target_relation", "left")
+
+
 @query
 def complete_plans(run: Run) -> DataFrame:
     return controls.complete_plans(run.up.int_customer_deletion_plan)
@@ -640,6 +650,18 @@ def persona_map_checks(run: Run) -> DataFrame:
     return A.union_all(rows)
 
 
+@query
+def persona_readable_rows(run: Run) -> DataFrame:
+    """Rows of the published relations a persona may read; relations it may not read do not appear."""
+    names = ("stg_invoices", "quarantine_invoices", "fa_pd_customer", "int_customer_protected", "dim_customer", "fct_invoice")
+    counts = A.row_counts({n: getattr(run.up, n) for n in names} | run.up.case_views(CASE))
+    rows = []
+    for group, persona in ((RESTRICTED_USERS, RESTRICTED), (PRIVACY_ADMINS, ADMIN), (CASE_USERS, CASE)):
+        allowed = views.readable_relations(run.spark, persona).select(F.col("table_name").alias("relation"))
+        rows.append(counts.join(allowed, "relation", "left_semi").withColumn("grantee", F.lit(group)))
+    return A.union_all(rows)
+
+
 @query
 def persona_case_checks(run: Run) -> DataFrame:
     return views.case_resolution_checks(run.up.case_views(CASE))
@@ -728,6 +750,17 @@ def incomplete_targets(run: Run) -> DataFrame:
     return E.incomplete_targets(digests, recorded, "execution-1").select("target_relation")
 
 
+@query
+def verify_execution(run: Run) -> DataFrame:
+    """VERIFIED events of an execution whose audits passed and whose targets all completed."""
+    digests = E.plan_digest(run.up.int_customer_deletion_plan)
+    completed = E.append_events(
+        digests, "COMPLETED", "execution-1", F.lit("2026-03-01 00:00:02").cast("timestamp"), "run-1"
+    )
+    verified_at = F.lit("2026-03-01 00:00:03").cast("timestamp")
+    return E.verify_execution(digests, completed, ["a"], ["a", "b"], [], "execution-1", verified_at, "run-1")
+
+
 # ---- audits -----------------------------------------------------------------------------------
 
 @query
