@@ -30,7 +30,11 @@ def apply_settings(spark: SparkSession, pepper: str | None = None) -> SparkSessi
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     if pepper:
-        spark.conf.set("spark.sql.redaction.string.regex", re.escape(pepper))
+        # Added to what is redacted already: one session may hold several peppers.
+        hidden = spark.conf.get("spark.sql.redaction.string.regex", None)
+        known = hidden.split("|") if hidden else []
+        if re.escape(pepper) not in known:
+            spark.conf.set("spark.sql.redaction.string.regex", "|".join([*known, re.escape(pepper)]))
     return spark
 
 
