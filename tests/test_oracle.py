@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from oracle.queries import oracle_sql
+from veilwright.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
@@ -17,12 +19,14 @@ def con():
 
 
 def test_every_query_has_its_expected_result():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracle_sql()) == set(catalog.queries())
+    assert set(catalog.queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
-    assert difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) is None
+    assert difference(catalog.queries()[name](spark, SF_DIR), con, oracle_sql()[name]) is None
 
 
 def test_entry(spark):
