@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwright.session import scratch_path
@@ -65,3 +65,25 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
             if held >= PIECE_BYTES or i + 1 == len(sizes):
                 yield batch.slice(start, i + 1 - start), texts.slice(start, i + 1 - start).to_pylist()
                 start, held = i + 1, 0
+
+
+def positions(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """df, staged, with its 0-based `position` in the given order, without a global window.
+
+    Rows are range-partitioned and sorted; a row's position is its partition's offset, from a table
+    with one row a partition, plus its place there.
+    """
+    placed = staged(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_place", 33))
+        .withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))),
+        name,
+    )
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (
+        placed.join(offsets, "_part").withColumn("position", F.col("_offset") + F.col("_place")).drop("_part", "_place", "_offset")
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwright.llm import simhash_dedup, token_counts, url_filter
+from veilwright.llm import simhash_dedup, source_mix, token_counts, url_filter
 from veilwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,51 @@ SELECT page_id, host, path, rule,
        ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+
+@query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.source_mix(table(spark, sf_dir, "documents"), (5, 2, 1), 1.5, 2.0, seed=8)
+
+
+ORACLE["op8_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws('|', '8', coalesce(CAST(doc_id AS VARCHAR), ''),
+        CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END, coalesce(text, ''))) AS row_key
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM sized GROUP BY source
+), filled AS (
+  SELECT *,
+    (1.5 * sum(source_size) OVER () - 2.0 * coalesce(sum(source_size) OVER earlier, 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+  FROM sources
+  WINDOW earlier AS (ORDER BY source_size / weight, source NULLS LAST
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size,
+    least(2.0 * source_size,
+      weight * (SELECT level FROM filled WHERE level * weight <= 2.0 * source_size ORDER BY source_size / weight, source NULLS LAST LIMIT 1)) AS target
+  FROM filled
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM targets
+), ranked AS (
+  SELECT doc_id, size, source_size, target, whole, row_key, s.source,
+    target - whole * source_size AS rest,
+    CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p,
+    (CAST('0x' || row_key[1:13] AS BIGINT) + 0.5) / 4503599627370496.0 AS u
+  FROM sized s JOIN parts t ON s.source IS NOT DISTINCT FROM t.source
+), running AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source
+      ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END, row_key
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (whole + CASE WHEN p > 0 AND start + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM running
+"""
