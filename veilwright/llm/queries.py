@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwright.llm import simhash_dedup, source_mix, token_counts, url_filter
+from veilwright.llm import quality_suffix, simhash_dedup, source_mix, token_counts, url_filter
 from veilwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,8 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (whole + CASE WHEN p > 0 AND start + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM running
 """
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_suffix.quality_rules(table(spark, sf_dir, "documents"))
