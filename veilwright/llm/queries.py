@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwright.llm import quality_suffix, simhash_dedup, source_mix, token_counts, url_filter
+from veilwright.llm import quality_suffix, sentencepiece_codec, simhash_dedup, source_mix, token_counts, url_filter
 from veilwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,8 @@ FROM running
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_suffix.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
