@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,15 @@ from veilwright.llm.common import pieces, texts_of
 #: The pre-token pattern of byte-level BPE files that ask for it (use_regex). Fixed value.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LATIN_PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
+#: White space and printable ASCII, Latin, Greek, Cyrillic, punctuation, currency, arrows and mathematics, kana,
+#: unified ideographs, Hangul syllables, full-width forms, common emoji.
+SETTLED = (
+    r"\t-\r -~\xa0-\u0233\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20a0-\u20b5"
+    r"\u2190-\u22ff\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff"
+)
+
 #: Frequent pre-tokens come from about this many documents; they only decide what is looked up
 #: first, never a result. Broadcast: at most TABLE_ENTRIES strings of at most TABLE_CHARS.
 SAMPLE_DOCUMENTS = 2_000
@@ -23,7 +33,7 @@ TABLE_ENTRIES = 1 << 15
 TABLE_CHARS = 32
 
 #: A worker's cache of the other pre-tokens starts afresh beyond this size.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
 
 _workers: dict[str, _Counter] = {}
 
@@ -51,41 +61,52 @@ class _Counter:
             and plain
         )
         self.find = regex.compile(PRETOKEN).findall
-        # Texts with an added token, or with characters on whose class Unicode versions and the two
-        # regex libraries may differ, go to the library whole.
-        unsure = r"[\x1c-\x1f\x85\u180e\u200b\ufeff\p{Cn}\p{Co}]"
-        self.whole = regex.compile("|".join([*map(regex.escape, special), unsure])).search
+        # Texts with an added token, or with characters beyond these long-settled blocks, go to the
+        # library whole: Unicode versions may differ on the class of the others.
+        self.whole = regex.compile("|".join([*map(regex.escape, special), f"[^{SETTLED}]"])).search
+        # The same pattern for texts of printable ASCII and Latin-1 letters only, which the quicker
+        # library splits alike.
+        self.special = special
+        self.not_latin = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]").search
+        self.find_latin = re.compile(LATIN_PRETOKEN).findall
         self.cache: dict[str, int] = {}
 
     def whole_lengths(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pretokens(self, text: str) -> list[str] | None:
+        """The text's pre-tokens, or None if the library has to see the whole text."""
+        if not self.by_pretoken:
+            return None
+        if not self.not_latin(text) and not any(s in text for s in self.special):
+            return self.find_latin(text)
+        return None if self.whole(text) else self.find(text)
 
     def lengths(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
-        out = [0] * len(texts)
-        later = [i for i, t in enumerate(texts) if not self.by_pretoken or self.whole(t)]
-        aside = set(later)
-        cache, known = self.cache, frequent.get
+        known, cache = frequent.get, self.cache
+        totals, missed, aside = [0] * len(texts), {}, []
         for i, text in enumerate(texts):
-            if i in aside or not text:
+            found = self.pretokens(text)
+            if found is None:
+                aside.append(i)
                 continue
-            found = self.find(text)
             first = list(map(known, found))
-            total = 0
             if None in first:
-                missed = [p for p, n in zip(found, first) if n is None]
-                fresh = [p for p in dict.fromkeys(missed) if p not in cache]
-                if fresh:
-                    if len(cache) + len(fresh) > CACHE_ENTRIES:
-                        cache.clear()
-                        fresh = list(dict.fromkeys(missed))
-                    lengths = self.whole_lengths(fresh)
-                    cache.update(zip(fresh, lengths))
-                total = sum(map(cache.__getitem__, missed))
-                first = [n for n in first if n is not None]
-            out[i] = total + sum(first)
-        for i, n in zip(later, self.whole_lengths([texts[i] for i in later]) if later else []):
-            out[i] = n
-        return out
+                missed[i] = [p for p, n in zip(found, first) if n is None]
+                first = filter(None, first)
+            totals[i] = sum(first)
+        # One call of the library for all that no tier knows.
+        fresh = {p for ps in missed.values() for p in ps if p not in cache}
+        if len(cache) + len(fresh) > CACHE_ENTRIES:
+            cache.clear()
+            fresh = {p for ps in missed.values() for p in ps}
+        fresh = list(fresh)
+        cache.update(zip(fresh, self.whole_lengths(fresh)))
+        for i, ps in missed.items():
+            totals[i] += sum(map(cache.__getitem__, ps))
+        for i, n in zip(aside, self.whole_lengths([texts[i] for i in aside])):
+            totals[i] = n
+        return totals
 
 
 def _counter(path: str) -> _Counter:
@@ -106,7 +127,7 @@ def frequent_pretokens(texts: DataFrame, tokenizer_path: str) -> dict[str, int]:
         if counter.by_pretoken:
             for _, found in pieces(batches):
                 for text in found:
-                    seen.update(counter.find(text.decode()))
+                    seen.update(counter.pretokens(text.decode()) or ())
                 if len(seen) > 4 * TABLE_ENTRIES:
                     seen = Counter(dict(seen.most_common(2 * TABLE_ENTRIES)))
         top = [(p, n) for p, n in seen.most_common(TABLE_ENTRIES) if n > 1 and len(p) <= TABLE_CHARS]
