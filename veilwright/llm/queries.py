@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwright.llm import quality_suffix, sentencepiece_codec, simhash_dedup, source_mix, token_counts, url_filter
+from veilwright.llm import (
+    edit_embedding,
+    quality_suffix,
+    sentencepiece_codec,
+    simhash_dedup,
+    source_mix,
+    token_counts,
+    url_filter,
+)
 from veilwright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +147,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edited_neighbours(table(spark, sf_dir, "documents"))
