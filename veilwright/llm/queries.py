@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.llm import (
     edit_embedding,
+    line_dedup,
     quality_suffix,
     sentencepiece_codec,
     simhash_dedup,
@@ -152,3 +153,42 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(documents, counts=("n_lines", "n_dropped"))
+
+
+ORACLE["op4_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
+  FROM documents
+), occurrences AS (
+  SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM split
+), lines AS (
+  SELECT words, len(words) AS n, row_number() OVER (ORDER BY min((doc_id, line_no))) AS nr, min((doc_id, line_no)) AS place
+  FROM occurrences WHERE len(words) > 0 GROUP BY words
+), places AS (
+  SELECT nr, n, words, unnest(range(1, n + 1)) AS pos FROM lines WHERE n >= 5
+), variants AS (
+  SELECT nr, n, pos, list_concat(words[1:pos - 1], words[pos + 1:]) AS variant FROM places
+), near AS (
+  SELECT DISTINCT nr FROM (
+    SELECT nr, min(nr) OVER (PARTITION BY n, pos, variant) AS other FROM variants
+    UNION ALL
+    SELECT v.nr, l.nr FROM variants v JOIN lines l ON l.words = v.variant WHERE l.n >= 5
+    UNION ALL
+    SELECT l.nr, v.nr FROM variants v JOIN lines l ON l.words = v.variant WHERE l.n >= 5
+  ) WHERE other < nr
+), kept AS (
+  SELECT o.doc_id, o.line_no, o.line, o.words,
+    len(o.words) = 0 OR (l.place = (o.doc_id, o.line_no) AND l.nr NOT IN (SELECT nr FROM near)) AS stays
+  FROM occurrences o LEFT JOIN lines l ON o.words = l.words
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays), '') AS text,
+  count(*) FILTER (len(words) > 0) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped
+FROM kept GROUP BY doc_id
+"""
