@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilwright.llm import (
     edit_embedding,
     line_dedup,
+    pii_crf,
     quality_suffix,
     sentencepiece_codec,
     simhash_dedup,
@@ -192,3 +193,8 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (stays
   count(*) FILTER (len(words) > 0) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped
 FROM kept GROUP BY doc_id
 """
+
+
+@query
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find_pii(table(spark, sf_dir, "documents"))
