@@ -15,6 +15,7 @@ from veilwright.llm import (
     simhash_dedup,
     source_mix,
     token_counts,
+    toxicity_gbt,
     url_filter,
 )
 from veilwright.llm.common import table
@@ -198,3 +199,8 @@ FROM kept GROUP BY doc_id
 @query
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_gbt.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
