@@ -1,0 +1,251 @@
+"""Parts of the corpus operators against enumeration."""
+
+import itertools
+import random
+import struct
+
+import numpy as np
+import pytest
+import sentencepiece
+
+import brute
+from veilwright.llm import components, edit_embedding, line_dedup, pii_crf, quality_suffix, sentencepiece_codec
+from veilwright.llm import simhash_dedup, source_mix, token_counts, toxicity_gbt, url_filter
+
+
+def clustered(n, seed):
+    """Distinct fingerprints, many a few bits from another."""
+    pick = random.Random(seed)
+    out = {0, 2**64 - 1, 2**63}
+    while len(out) < n:
+        value = pick.choice(sorted(out)) if pick.random() < 0.7 else pick.getrandbits(64)
+        for _ in range(pick.randint(0, 4)):
+            value ^= 1 << pick.randrange(64)
+        out.add(value)
+    return sorted(out)
+
+
+def test_trie_pairs_finds_all():
+    for seed in range(5):
+        values = np.array(clustered(150, seed), np.uint64)
+        zero = np.zeros(len(values), np.int64)
+        i, j = simhash_dedup.trie_pairs(values, zero, zero, zero, 3)
+        expected = {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (int(values[a]) ^ int(values[b])).bit_count() <= 3}
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == expected
+        assert len(i) == len(expected)
+
+
+def test_trie_pairs_between_two_nodes():
+    values, sides = np.array(clustered(60, 9), np.uint64), np.arange(60) % 2
+    order = np.lexsort((values, sides))
+    values, sides = values[order], sides[order]
+    zero = np.zeros(60, np.int64)
+    i, j = simhash_dedup.trie_pairs(values, zero, sides, zero + 1, 3)
+    expected = {(a, b) for a in range(30) for b in range(30, 60) if (int(values[a]) ^ int(values[b])).bit_count() <= 2}
+    assert set(zip(i.tolist(), j.tolist())) == expected
+
+
+@pytest.mark.parametrize("limit", [2_000, 8])
+def test_hamming_links(spark, monkeypatch, limit):
+    """A low limit makes nodes fall apart by joins, down to single fingerprints."""
+    monkeypatch.setattr(simhash_dedup, "NODE_LIMIT", limit)
+    prints = clustered(400, 3)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    links = [(r.u % 2**64, r.v % 2**64) for r in simhash_dedup.hamming_links(fps).collect()]
+    assert brute.union(links, prints) == brute.hamming_components(prints)
+
+
+def test_components(spark):
+    pick = random.Random(1)
+    pairs = [(pick.randrange(300), pick.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)]
+    pairs += [(1000, i) for i in range(1001, 1100)]
+    nodes = {x for a, b in pairs if a != b for x in (a, b)}
+    got = components.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert {r.node: r.root for r in got} == brute.union(pairs, nodes)
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_longest_repeats():
+    pick = random.Random(2)
+    for _ in range(200):
+        texts = [b" ".join(pick.choice([b"a", b"bb", b"c"]) for _ in range(pick.randint(0, 40))) for _ in range(3)]
+        words = quality_suffix.Words(texts)
+        got = quality_suffix.longest_repeats(words, 2)
+        at = 0
+        for text in texts:
+            w = text.split()
+            for i in range(len(w)):
+                best = max((k for j in range(len(w)) if j != i for k in range(len(w)) if w[i : i + k] == w[j : j + k] and max(i, j) + k <= len(w)), default=0)
+                assert got[at + i] == (best if best >= 2 else 0)
+            at += len(w)
+
+
+def test_fill_against_resharing(spark):
+    pick = random.Random(4)
+    for _ in range(4):
+        sizes = {f"s{k:02}": pick.choice([0, 1, 10, 100, 1000, 5000]) for k in range(pick.randint(1, 12))} | {None: 7}
+        frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in source_mix.targets(frame, (5, 2, 1), 1.5, 2.0).collect()}
+        assert got == pytest.approx(brute.fill(sizes))
+
+
+def test_edit_embedding_follows_edits():
+    pick = random.Random(8)
+    text = "".join(pick.choice("abcdefghijklmnopqrst ") for _ in range(3000))
+    one = text[:1000] + "Z" + text[1000:]
+    many = "".join(c if pick.random() > 0.3 else "?" for c in text)
+    other = "".join(pick.choice("abcdefghijklmnopqrst ") for _ in range(3000))
+    walks = edit_embedding.walk([edit_embedding.codes(t) for t in (text, one, many, other)])
+    near = [edit_embedding.likeness(walks[0], w) for w in walks]
+    assert near[0] == 1.0 and near[1] > 0.8 and near[1] > near[2] > near[3] and near[3] < 0.25
+    steps, digits = edit_embedding.read(edit_embedding.written(*walks[0]))
+    assert steps == walks[0][0] and (digits == walks[0][1]).all()
+
+
+def test_walk_step_by_step():
+    for text in ("", "a", "hello world", "xyz" * 200):
+        codes = edit_embedding.codes(text)
+        at = step = 0
+        emitted = []
+        while at < len(codes):
+            emitted.append(codes[at])
+            at += int(edit_embedding._moves(step // edit_embedding.BLOCK)[step % edit_embedding.BLOCK][codes[at]])
+            step += 1
+        expected = []
+        for k in range(20):
+            for row, s in enumerate(edit_embedding._octave(k)[0]):
+                if s < step:
+                    expected.append(edit_embedding._octave(k)[1][row][emitted[s]])
+        # Together with a longer text, the walk is the same.
+        (steps, digits), _ = edit_embedding.walk([codes, edit_embedding.codes("longer " * 300)])
+        assert (steps, digits.tolist()) == (step, expected)
+
+
+def test_near_pairs(spark):
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("abcdefghij ") for _ in range(800)) for _ in range(12)]
+    rows = list(enumerate(texts + [t[:400] + "#" + t[400:] for t in texts[:6]] + texts[:3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    walks = edit_embedding.walk([edit_embedding.codes(t) for _, t in rows])
+    own = {edit_embedding.written(*w): w for w in walks}
+    likeness = {
+        frozenset((a, b)): edit_embedding.likeness(own[a], own[b]) for a, b in itertools.combinations(sorted(own), 2)
+    }
+    alike = {p for p, x in likeness.items() if x >= 0.6}
+    got = {frozenset((r.fingerprint_a, r.fingerprint_b)): r.likeness for r in edit_embedding.near_pairs(docs, 0.6).collect()}
+    assert len(alike) >= 3 and alike == set(got) and got == pytest.approx({p: likeness[p] for p in got})
+
+
+def chain_case():
+    words = ["+1", "(269)", "555-3296", "4532015112830366"]
+    return pii_crf.train([(w, y, pii_crf.HAND_WEIGHT) for w, y in pii_crf._hand_rows()]), words
+
+
+def test_viterbi_is_the_best_path():
+    chain, words = chain_case()
+    scores = [chain.scores(w) for w in words]
+
+    def value(path):
+        total = chain.move[0, path[0]] + chain.move[path[-1], 0] + sum(s[y] for s, y in zip(scores, path))
+        return total + sum(chain.move[a, b] for a, b in zip(path, path[1:]))
+
+    best = max(itertools.product(range(len(pii_crf.LABELS)), repeat=len(words)), key=value)
+    (got, single) = pii_crf.viterbi(chain, [words, words[:1]])
+    assert tuple(got) == best and len(single) == 1
+    assert [pii_crf.LABELS[y] for y in got] == ["B-phone", "I-phone", "I-phone", "B-card"]
+
+
+def test_chain_learns_its_table():
+    chain, _ = chain_case()
+    rows = pii_crf._hand_rows()
+    got = pii_crf.viterbi(chain, [w for w, _ in rows])
+    assert np.mean([g == y for g, (_, y) in zip(got, rows)]) > 0.9
+
+
+def test_base_spans_against_patterns():
+    pick = random.Random(3)
+    for _ in range(5000):
+        text = "".join(pick.choice("a@.1 2+(-9)%x\n") for _ in range(60))
+        assert pii_crf.base_spans(text) == brute.base_spans(text)
+
+
+def test_base_spans_take_linear_time():
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" * 150_000):
+        pii_crf.base_spans(text)
+        pii_crf.added_spans(chain_case()[0], [text], [[]])
+
+
+def test_isotonic_and_boost():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 3))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-3 * x[:, 0] + 2 * x[:, 1] ** 2))).astype(float)
+    model = toxicity_gbt.fit(x, y)
+    points, values = model.curve
+    assert (np.diff(points) > 0).all() and (np.diff(values) >= 0).all() and 0 <= values[0] and values[-1] <= 1
+    assert np.mean((model.score(x) >= 0.5) == y) > 0.85
+    xs, ys = toxicity_gbt.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert ys.tolist() == [0.0, 0.5, 1.0] and xs.tolist() == pytest.approx([0.1, 0.25, 0.4])
+
+
+def test_token_counts_for_every_settled_character():
+    import public_tokenizers
+
+    counter = token_counts._Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    chars = [chr(c) for c in range(0x3100)] + [chr(c) for c in range(0x1F300, 0x1F650)]
+    texts = [f"a{c}b1 {c}{c} {c}'s  {c}" for c in chars]
+    assert counter.lengths(texts, {}) == counter.whole_lengths(texts)
+
+
+def test_bloom_filter_loses_nothing(spark):
+    keys = spark.range(5000).selectExpr("concat('k', id) AS key")
+    bloom = url_filter.bloom_filter(keys)
+    assert bloom.count() <= url_filter.BLOCKS
+    tested = spark.range(20000).selectExpr("id", "concat('k', id) AS key").withColumn("block", url_filter._block(url_filter.col("key")))
+    passed = tested.withColumn("bits", url_filter._bits(url_filter.col("key"))).join(bloom, "block").where("(mask & bits) = bits")
+    assert passed.where("id < 5000").count() == 5000
+    assert passed.count() < 5600
+
+
+def test_line_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FILTER_BITS", 1 << 16)
+    rows, wanted = spark.range(50_000).selectExpr("id", "xxhash64(id) AS k"), spark.range(0, 50_000, 25).selectExpr("xxhash64(id) AS k")
+    passed = line_dedup._thinned(rows, "k", wanted)
+    assert passed.where("id % 25 = 0").count() == 2000 and passed.count() < 5000
+
+
+def unigram_model(byte_fallback):
+    """A small unigram model file, written by hand."""
+
+    def size(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    def message(number, data):
+        return bytes([number << 3 | 2]) + size(len(data)) + data
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []
+    pieces += [("▁", -3.0, 1), ("▁he", -4.1, 1), ("llo", -4.3, 1), ("▁hello", -6.0, 1)]
+    pieces += [(c, -7.0 - i / 8, 1) for i, c in enumerate("helowrdab")]
+    pieces += [("lo", -5.5, 1), ("wor", -6.5, 1), ("ld", -5.2, 1)]
+    data = b"".join(
+        message(1, message(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([0x18, kind])) for p, s, kind in pieces
+    )
+    trainer = bytes([3 << 3, 1]) + (size(35 << 3) + b"\x01" if byte_fallback else b"")
+    return data + message(2, trainer) + message(3, message(1, b"identity"))
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_parity(byte_fallback):
+    data = unigram_model(byte_fallback)
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(data)
+    texts = ["hello world", "  hello   held ", "", "bad lower", "hé☃ wörld", "old  dab"]
+    ids, counts = codec.encode(texts)
+    ends = np.cumsum(counts)
+    got = [ids[e - n : e].tolist() for e, n in zip(ends, counts)]
+    assert got == [library.encode(t) for t in texts] and codec.disagreed == 0
+    assert [codec.decode(x) for x in got] == [library.decode(x) for x in got]

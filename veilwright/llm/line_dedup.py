@@ -175,7 +175,7 @@ def line_dedup(
     an aggregation, never in pairs; the pairs it points out are verified word by word. Exact lines are told apart by
     128 bits of hash, texts are moved once.
 
-    Null or empty text: unchanged (null stays null). Null id: before all others. Rows equal in id
+    Null or empty text: unchanged (null stays null). Null id: after all others. Rows equal in id
     and text are one document and keep the same lines; equal ids with different text are ordered by a hash of it.
     Very long lines and texts: in full. Empty table: no rows.
     """
