@@ -40,6 +40,19 @@ def test_near_misses(spark, line):
     assert S.scan_sensitive(texts(spark, [(1, line)]), "id", "text").isEmpty()
 
 
+def test_own_rules_see_single_lines(spark):
+    rows = [(1, "first\npassword=x"), (2, "password=x\nlast"), (3, "a\npassword=x\nb"), (4, "no password=x y"), (5, None)]
+    found = S.scan_sensitive(texts(spark, rows), "id", "text", {"start": "^password=", "end": "=x$"}).collect()
+    assert sorted((r.rule, r.record_id, r.line_number) for r in found) == sorted(
+        (rule, i, n) for i, n in ((1, 2), (2, 1), (3, 2)) for rule in ("start", "end")
+    )
+
+
+def test_every_part_has_a_literal():
+    for rule, parts in S.RULE_PARTS.items():
+        assert all(len(literal) >= 3 and "\n" not in literal for _, literal, _ in parts), rule
+
+
 def test_emails(spark):
     rows = [
         (1, "a@real.org\nb@example.com and c@mail5.example.com"),

@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values.
-TEXT_RULES = {
+# Each rule's alternatives as (pattern before, literal text, pattern after).
+RULE_PARTS = {
     "workspace host": (
-        r"(dbc-[a-zA-Z0-9-]+\.databricks\.com|([a-zA-Z0-9-]+\.)+(cloud|gcp)\.databricks\.com"
-        r"|adb-[0-9]+\.[0-9]+\.azuredatabricks\.net)"
+        (r"dbc-[a-zA-Z0-9-]+", ".databricks.com", ""),
+        (r"([a-zA-Z0-9-]+\.)+(cloud|gcp)", ".databricks.com", ""),
+        (r"adb-[0-9]+\.[0-9]+", ".azuredatabricks.net", ""),
     ),
     "warehouse identifier": (
-        r"(/sql/1\.0/warehouses/[0-9a-f]{16}|DATABRICKS_WAREHOUSE_ID\s*=\s*[0-9a-f]{16}"
-        r"|warehouse_id:\s*[0-9a-f]{16})"
-    ),
-    "account identifier": r"DATABRICKS_ACCOUNT_ID\s*=\s*[0-9a-f]{8}-[0-9a-f-]{27,}",
-    "group identifier": r"(PRIVACY_ADMIN|RESTRICTED_USER|CASE_USER)_GROUP_ID\s*=\s*[0-9]{5,}",
-    "home path": r"/Users/[a-zA-Z0-9_.-]+/",
-    "credential-shaped token": (
-        r"(dapi[a-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|gh[pousr]_[A-Za-z0-9]{20,}"
-        r"|sk-[A-Za-z0-9_-]{20,}|AKIA[0-9A-Z]{16}|xox[baprs]-[A-Za-z0-9-]{10,})"
+        ("", "/sql/1.0/warehouses/", "[0-9a-f]{16}"),
+        ("", "DATABRICKS_WAREHOUSE_ID", r"\s*=\s*[0-9a-f]{16}"),
+        ("", "warehouse_id:", r"\s*[0-9a-f]{16}"),
     ),
-    "private key": r"BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY",
-}
-# A match of the rule contains at least one of these texts.
-RULE_LITERALS = {
-    "workspace host": ("databricks.com", "azuredatabricks.net"),
-    "warehouse identifier": ("/warehouses/", "DATABRICKS_WAREHOUSE_ID", "warehouse_id:"),
-    "account identifier": ("DATABRICKS_ACCOUNT_ID",),
-    "group identifier": ("_GROUP_ID",),
-    "home path": ("/Users/",),
+    "account identifier": (("", "DATABRICKS_ACCOUNT_ID", r"\s*=\s*[0-9a-f]{8}-[0-9a-f-]{27,}"),),
+    "group identifier": (("(PRIVACY_ADMIN|RESTRICTED_USER|CASE_USER)", "_GROUP_ID", r"\s*=\s*[0-9]{5,}"),),
+    "home path": (("", "/Users/", "[a-zA-Z0-9_.-]+/"),),
     "credential-shaped token": (
-        "dapi", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "AKIA", "xox",
+        ("", "dapi", "[a-z0-9]{20,}"),
+        ("", "github_pat_", "[A-Za-z0-9_]{20,}"),
+        ("", "ghp_", "[A-Za-z0-9]{20,}"),
+        ("", "gho_", "[A-Za-z0-9]{20,}"),
+        ("", "ghu_", "[A-Za-z0-9]{20,}"),
+        ("", "ghs_", "[A-Za-z0-9]{20,}"),
+        ("", "ghr_", "[A-Za-z0-9]{20,}"),
+        ("", "sk-", "[A-Za-z0-9_-]{20,}"),
+        ("", "AKIA", "[0-9A-Z]{16}"),
+        ("", "xox", "[baprs]-[A-Za-z0-9-]{10,}"),
     ),
-    "private key": ("PRIVATE KEY",),
+    "private key": (("BEGIN (RSA |EC |OPENSSH )?", "PRIVATE KEY", ""),),
 }
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 RESERVED_SUFFIX = r"(^|\.)(invalid|example)$"
@@ -66,31 +68,35 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _rule_test(text: Column, rule: str, pattern: str) -> Column:
-    """The pattern, tried only where the text holds one of the rule's literals (a byte search)."""
-    test = text.rlike(pattern)
-    literals = RULE_LITERALS.get(rule)
-    if not literals or TEXT_RULES.get(rule) != pattern:
-        return test
-    present = F.lit(False)
-    for literal in literals:
-        present = present | F.contains(text, F.lit(literal))
-    return present & test
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _present(text: Column, parts: Iterable[tuple[str, str, str]]) -> Column:
+    """Whether one of the rule's literals occurs (a byte search); every match contains one."""
+    return _any(F.contains(text, F.lit(literal)) for literal in sorted({literal for _, literal, _ in parts}))
+
+
+def _part_test(line: Column, parts: Iterable[tuple[str, str, str]]) -> Column:
+    pattern = "|".join(f"({before}{re.escape(literal)}{after})" for before, literal, after in parts)
+    return _present(line, parts) & line.rlike(pattern)
 
 
 def scan_sensitive(df: DataFrame, id_col: str, text_col: str, rules: dict[str, str] | None = None) -> DataFrame:
-    """(rule, record_id, line_number) for every line that matches a rule.
+    """(rule, record_id, line_number) for every line that matches a rule; null texts have no lines.
 
-    Whole texts are tested first, so only the few that match anything are split into lines.
+    Patterns only ever see single lines, so ``^`` and ``$`` are a line's ends. With the built-in rules, texts
+    without any of the literals that their patterns are built from are not split at all. Rules
+    that are passed in are plain patterns, of which no literal is known: every text is split.
     """
-    rules = TEXT_RULES if rules is None else rules
-    suspicious = F.lit(False)
-    for rule, pattern in rules.items():
-        suspicious = suspicious | _rule_test(F.col(text_col), rule, pattern)
-    line = F.col("line")
-    hits = F.array_compact(F.array(*[F.when(_rule_test(line, r, p), F.lit(r)) for r, p in rules.items()]))
-    lines = _lines(df.where(suspicious), id_col, text_col)
-    return lines.select(
+    text, line = F.col(text_col), F.col("line")
+    if rules is None:
+        df = df.where(_any(_present(text, parts) for parts in RULE_PARTS.values()))
+        tests = {rule: _part_test(line, parts) for rule, parts in RULE_PARTS.items()}
+    else:
+        tests = {rule: line.rlike(pattern) for rule, pattern in rules.items()}
+    hits = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in tests.items()]))
+    return _lines(df, id_col, text_col).select(
         F.explode(hits).alias("rule"), "record_id", (F.col("line_index") + 1).alias("line_number")
     )
 

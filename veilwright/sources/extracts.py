@@ -7,15 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 from veilwright.schemas import EXTRACT_COLUMNS, extract_schema
 
 
-def read_extract(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Read one extract from CSV (with header) or parquet; every column is a string."""
+def read_extract(spark: SparkSession, name: str, path: str, multi_line: bool = False) -> DataFrame:
+    """Read one extract from CSV (with header) or parquet; every column is a string.
+
+    A CSV record with too many or too few fields, or a broken quote, fails the read: nothing is cut, padded or
+    skipped. Quoted line breaks need ``multi_line``, with which a file cannot be split and is read by one task.
+    """
     schema = extract_schema(name)
     if path.rstrip("/").endswith(".csv"):
-        return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        return (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("mode", "FAILFAST")
+            # Without pruning the parser sees, and counts, all fields whatever columns are asked for.
+            .option("columnPruning", False)
+            .option("multiLine", multi_line)
+            .csv(path)
+        )
     source = spark.read.parquet(path)
     return source.select([source[c].cast("string").alias(c) for c in schema.names])
 
 
-def read_extracts(spark: SparkSession, folder: str, suffix: str = ".csv") -> dict[str, DataFrame]:
+def read_extracts(
+    spark: SparkSession, folder: str, suffix: str = ".csv", multi_line: bool = False
+) -> dict[str, DataFrame]:
     """All five extracts from one folder."""
-    return {name: read_extract(spark, name, f"{folder}/{name}{suffix}") for name in EXTRACT_COLUMNS}
+    return {name: read_extract(spark, name, f"{folder}/{name}{suffix}", multi_line) for name in EXTRACT_COLUMNS}

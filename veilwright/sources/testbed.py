@@ -241,13 +241,6 @@ _BUILDERS = {
     "customer_services": customer_services,
     "invoices": invoices,
 }
-_SOURCES = {
-    "customer": "customer",
-    "customer_deletion_confirmations": "customer",
-    "customer_events": "events",
-    "customer_services": "customer",
-    "invoices": "orders",
-}
 _landed: dict[tuple[str, str, str], str] = {}
 
 
@@ -270,12 +263,8 @@ class LandedExtracts(Mapping):
         if key not in _landed:
             path = scratch_path(self._spark, f"extract-{name}")
             rows = _BUILDERS[name](self._spark, self._sf_dir)
-            # A small test table is one file and would keep all later scans on one core. A large
-            # one already comes in many files and is not shuffled.
-            cores = self._spark.sparkContext.defaultParallelism
-            if len(_read(self._spark, self._sf_dir, _SOURCES[name]).inputFiles()) < cores:
-                rows = rows.repartition(cores)
-            rows.write.parquet(path)
+            # Dealt evenly, whatever the number and size of the source's files.
+            rows.repartition(self._spark.sparkContext.defaultParallelism).write.parquet(path)
             _landed[key] = path
         return read_extract(self._spark, name, _landed[key])
 
