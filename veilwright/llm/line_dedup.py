@@ -45,16 +45,31 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
     return {"no_id": row_id.isNull(), "id": F.coalesce(row_id, F.lit(0)), "text_key": F.xxhash64(text)}
 
 
+#: White space of a line beside the plain space.
+SPACES = "\t\x0b\x0c\r"
+
+
+def _joined(line: Column) -> Column:
+    """The line's words with single spaces between: byte searches, and a pattern only for runs of spaces."""
+    for c in SPACES:
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.trim(F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line))
+
+
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(" " + SPACES)) == ""
+
+
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line that has a word: its place, its words joined by single spaces, and two hashes."""
     text = F.coalesce(col(text_col), F.lit(""))
     names = [c.alias(n) for n, c in _texts(docs, id_col, text_col).items()]
-    lines = docs.select(*names, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    words = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
-    return (
-        lines.select(*ORDER, words.alias("words"))
-        .where("words <> ''")
-        .withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+    # The text's hash is taken below the explosion, once a text; words are not filtered on, so that
+    # no filter is pushed down that would join them twice.
+    split = docs.select(*names, F.split(text, "\n", -1).alias("parts"))
+    lines = split.select(*ORDER[:-1], F.posexplode("parts").alias("line_no", "line")).where(~_blank(F.col("line")))
+    return lines.select(*ORDER, _joined(F.col("line")).alias("words")).withColumns(
+        {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words"), "n": _count("words")}
     )
 
 
@@ -66,51 +81,70 @@ def _halves(min_words: int) -> dict[str, Column]:
     """Four keys of a line, of which two lines within one edit share one; null for short lines.
 
     Such lines have m and m or m - 1 words, m - 1 of them unchanged around the edit, so on one side
-    of it at least m div 2 words agree. A line is the longer one for m = its words, the shorter one for one more.
+    of it at least m div 2 words agree. A line is the longer one for m = its words n, the shorter one for n + 1.
     """
-    n, keys = _count("words"), {}
+    keys = {}
     for more in (0, 1):
-        half = f"cast((octet_length(words) - octet_length(replace(words, ' ', '')) + 1 + {more}) div 2 as int)"
+        half = f"cast((n + {more}) div 2 as int)"
         for end, sign in (("start", ""), ("end", "-")):
             part = F.expr(f"substring_index(words, ' ', {sign}({half}))")
-            keys[f"{end}_{more}"] = F.when(n >= min_words, F.xxhash64(F.lit(end), n + more, part))
+            keys[f"{end}_{more}"] = F.when(F.col("n") >= min_words, F.xxhash64(F.lit(end), F.col("n") + more, part))
     return keys
 
 
-def _candidates(occurrences: DataFrame, lines: DataFrame, halves: list[str], min_words: int) -> DataFrame:
-    """(position, words): the distinct lines that share a half with another, numbered by first occurrence."""
-    parts = lines.select("h1", F.explode(F.array(*halves)).alias("half")).where("half is not null")
+def _candidates(occurrences: DataFrame, lines: DataFrame, halves: list[str]) -> DataFrame:
+    """(position, n, words, early, late): the distinct lines that share a half with another, by first occurrence.
+
+    late: the shared half is at the start, so the edit is behind it; early: it is at the end.
+    """
+    parts = lines.select(
+        "h1",
+        F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit("start" in c).alias("late")) for c in halves])).alias("p"),
+    )
+    parts = parts.select("h1", "p.*").where("half is not null")
     shared = staged(parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared-halves")
     chosen = staged(
-        _thinned(parts, "half", shared).join(shared, "half", "left_semi").select("h1").distinct(), "candidate-lines"
+        _thinned(parts, "half", shared)
+        .join(shared, "half")
+        .groupBy("h1")
+        .agg(F.bool_or("late").alias("late"), F.bool_or(~F.col("late")).alias("early")),
+        "candidate-lines",
     )
-    texts = _thinned(occurrences.where(_count("words") >= min_words), "h1", chosen).join(chosen, "h1", "left_semi")
-    texts = texts.groupBy("h1", "h2", "words").agg(F.min(F.struct(*ORDER)).alias("first")).select("first.*", "words")
-    return positions(texts, *map(F.col, ORDER), name="candidate-texts")
+    # An inner join with distinct keys: a semi join would be moved in front of the thinning.
+    texts = _thinned(occurrences, "h1", chosen).join(chosen, "h1")
+    first = F.min(F.struct(*ORDER)).alias("first")
+    texts = texts.groupBy("h1", "h2", "n", "early", "late", "words").agg(first)
+    texts = staged(texts.select("first.*", "n", "early", "late", "words"), "candidate-texts")
+    return positions(texts, *map(F.col, ORDER), name="candidate-order")
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
     """(key, kind, position): every line with a hole at each place (kind 0), without each word (1), and whole (2).
 
+    Places are those on the side of the shared half where the edit must be.
     A sequence's hash is the xor of hashes of its words in their places, so all variants of a
     line follow from running xors over its words, however long it is.
     """
-    words = candidates.select("position", _count("words").alias("n"), F.posexplode(F.split("words", " ")).alias("at", "word"))
+    words = candidates.select("position", "n", "early", "late", F.posexplode(F.split("words", " ")).alias("at", "word"))
     words = words.withColumns({"here": F.xxhash64("word", "at"), "moved": F.xxhash64("word", F.col("at") - 1)})
-    line, none = Window.partitionBy("position").orderBy("at"), F.lit(0).cast("long")
-    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    line = Window.partitionBy("position")
+    so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     words = words.select(
         "position",
         "n",
         "at",
+        F.expr("(late and at >= n div 2) or (early and at < n - n div 2)").alias("wanted"),
         "here",
-        F.coalesce(F.bit_xor("here").over(before), none).alias("head"),
-        F.coalesce(F.bit_xor("here").over(after), none).alias("tail"),
-        F.coalesce(F.bit_xor("moved").over(after), none).alias("moved_tail"),
+        F.bit_xor("here").over(line).alias("all"),
+        F.bit_xor("here").over(so_far).alias("begun"),
+        F.bit_xor("moved").over(line).alias("all_moved"),
+        F.bit_xor("moved").over(so_far).alias("begun_moved"),
     )
-    hole = F.xxhash64(F.lit("hole"), "n", "at", F.expr("head ^ tail"))
-    less = F.xxhash64(F.lit("sequence"), F.col("n") - 1, F.expr("head ^ moved_tail"))
-    whole = F.when(F.col("at") == 0, F.xxhash64(F.lit("sequence"), "n", F.expr("here ^ tail")))
+    # Without a word: the words before it in their places, those after it one place to the left.
+    hole = F.when(F.col("wanted"), F.xxhash64(F.lit("hole"), "n", "at", F.expr("all ^ here")))
+    moved = F.xxhash64(F.lit("sequence"), F.col("n") - 1, F.expr("begun ^ here ^ all_moved ^ begun_moved"))
+    less = F.when(F.col("wanted"), moved)
+    whole = F.when(F.col("at") == 0, F.xxhash64(F.lit("sequence"), "n", "all"))
     kinds = [F.struct(k.alias("key"), F.lit(i).alias("kind")) for i, k in enumerate((hole, less, whole))]
     return words.select("position", F.explode(F.array(*kinds)).alias("v")).select("v.*", "position").where("key is not null")
 
@@ -183,7 +217,7 @@ def line_dedup(
     halves = _halves(min_words)
     lines = occurrences.withColumns(halves).groupBy("h1", "h2", *halves).agg(F.min(F.struct(*ORDER)).alias("first"))
     lines = staged(lines.select("h1", *halves, "first.*"), "lines")
-    near = _near(_candidates(occurrences, lines, list(halves), min_words))
+    near = _near(_candidates(occurrences, lines, list(halves)))
     marks = lines.select(*ORDER, F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
     lists = marks.groupBy(*ORDER[:-1]).agg(
         F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("first"),
@@ -200,7 +234,8 @@ def line_dedup(
 
     def rebuilt(parts: Column) -> Column:
         blank = F.filter(
-            F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.get(parts, i).rlike(r"[^\x20\x09-\x0D]")
+            F.sequence(F.lit(0), F.size(parts) - 1),
+            lambda i: _blank(F.get(parts, i)),
         )
         places = F.sort_array(F.concat(blank, F.col(kept)))
         return F.struct(
