@@ -33,9 +33,10 @@ def now(text="2026-03-01 00:00:00"):
 
 def test_archive_replay_restore_and_refusals(spark, cfg, store, requests):
     for run in ("run-1", "run-2"):
-        store.append(E.archive(requests, REQUESTS, store.history(), cfg, run), "control_history", run)
-    assert store.history().count() == 1
-    E.guard_control(requests, REQUESTS, store.history())
+        store.append(E.archive(requests, REQUESTS, store.history(), cfg, run), "control_history", run, REQUESTS)
+    assert store.history().count() == store.history(REQUESTS).count() == 1
+    assert store.history(C.LEDGER).isEmpty() and store.history().columns == list(E.HISTORY_COLUMNS)
+    E.guard_control(requests, REQUESTS, store.history(REQUESTS))
     with pytest.raises(E.EvidenceError):
         E.guard_control(None, REQUESTS, store.history())
     with pytest.raises(E.EvidenceError):
@@ -48,6 +49,8 @@ def test_archive_replay_restore_and_refusals(spark, cfg, store, requests):
         E.restore_control(store.history(), C.PLAN)
     with pytest.raises(ValueError):
         E.restore_control(store.history(), "dim_customer")
+    with pytest.raises(ValueError):
+        store.append(E.archive(requests, REQUESTS, store.history(), cfg, "x"), "control_history", "x")
 
 
 def test_nothing_archived_is_no_reason_to_refuse(store):
@@ -56,7 +59,7 @@ def test_nothing_archived_is_no_reason_to_refuse(store):
 
 def test_recorded_revision_must_not_change(spark, cfg, store):
     first = literal_relation(spark, [("r1", "x"), ("r2", "y")], "decision_revision_id string, reason string")
-    store.append(E.archive(first, "decisions", store.history(), cfg, "a"), "control_history", "a")
+    store.append(E.archive(first, "decisions", store.history(), cfg, "a"), "control_history", "a", "decisions")
     assert E.archive_conflicts(first, "decisions", store.history(), ["decision_revision_id"]).isEmpty()
     edited = first.withColumn("reason", F.when(F.col("reason") == "x", "z").otherwise(F.col("reason")))
     found = E.archive_conflicts(edited, "decisions", store.history(), ["decision_revision_id"]).collect()
@@ -72,7 +75,7 @@ def ledgers(spark, cfg):
 def test_ledger_guard_and_restore_prefer_full(spark, cfg, store):
     special, full = ledgers(spark, cfg)
     for name, df in (("a", full), ("b", special)):
-        store.append(E.archive(df, C.LEDGER, store.history(), cfg, name), "control_history", name)
+        store.append(E.archive(df, C.LEDGER, store.history(), cfg, name), "control_history", name, C.LEDGER)
     history = store.history()
     E.guard_control(full, C.LEDGER, history)
     assert [r.customer_key for r in E.missing_or_downgraded(special, C.LEDGER, history).collect()] == ["k"]

@@ -64,6 +64,73 @@ def test_failed_build_keeps_controls_and_old_outputs(spark, cfg, roots):
     assert run(spark, good, roots, cfg, "third").verified and store.read("fct_invoice").count() == 27
 
 
+class Lost(Exception):
+    """The driver is gone: nothing after this runs."""
+
+
+@pytest.mark.parametrize(
+    "point,before",
+    [("switch:0", False), (f"append:{LEDGER}", True), ("append:execution_events:2", False), ("switch:1", True)],
+)
+def test_a_lost_driver_is_followed_by_a_plain_rerun(spark, cfg, roots, monkeypatch, point, before):
+    """The second build dies before or after one of its writes; a third ends as if it had not."""
+    extracts = fx.extracts(spark)
+    run(spark, extracts, roots, replace(cfg, decision_as_of="2026-02-17 00:00:00"), "first")
+    store, evidence = TableStore(spark, roots[0]), E.EvidenceStore(spark, roots[1], roots[0])
+    old = store.current_versions()["fct_invoice"]
+    kind, _, rest = point.partition(":")
+    owner, name = {
+        "write": (TableStore, "write_version"), "switch": (TableStore, "switch"), "append": (E.EvidenceStore, "append"),
+    }[kind]
+    original, seen, lost = getattr(owner, name), [], []
+
+    def here(args):
+        if kind == "write":
+            return args[1] == rest
+        if kind == "append" and not rest.startswith("execution_events"):
+            return args[3:] == (rest,)
+        if kind == "append" and args[1] != "execution_events":
+            return False
+        seen.append(1)
+        return len(seen) - 1 == int(rest.rpartition(":")[2])
+
+    def dying(self, *args):
+        if lost:
+            raise Lost
+        if not here(args):
+            return original(self, *args)
+        if not before:
+            original(self, *args)
+        lost.append(1)
+        raise Lost
+
+    later = replace(cfg, run_ts="2026-03-02 00:00:00")
+    with monkeypatch.context() as patch:
+        patch.setattr(owner, name, dying)
+        if owner is not E.EvidenceStore:
+            append = E.EvidenceStore.append
+            patch.setattr(E.EvidenceStore, "append", lambda self, *a: (_ for _ in ()).throw(Lost()) if lost else append(self, *a))
+        with pytest.raises(Lost):
+            run(spark, extracts, roots, later, "second")
+    if point != "switch:1" or before:
+        # Outputs of the lost run are not visible, whatever it had recorded.
+        assert store.current_versions()["fct_invoice"] == old
+    assert run(spark, extracts, roots, later, "third").verified
+    assert store.read("fct_invoice").count() == 27
+    assert sorted(r.deletion_mode for r in store.read(LEDGER).collect()) == [fx.FULL, fx.FULL, fx.SPECIAL]
+    for name in ("customer_deletion_requests", PLAN, LEDGER):
+        E.guard_control(store.read(name), name, evidence.history(name))
+    visible = store.current_versions()["fct_invoice"]
+    assert not evidence.events().where(f"status = 'VERIFIED' and invocation_id = '{visible}'").isEmpty()
+
+
+def test_missing_audits_never_switch_outputs(spark, cfg, roots, monkeypatch):
+    monkeypatch.setattr(P, "REQUIRED_AUDITS", (*P.REQUIRED_AUDITS, "one_more"))
+    with pytest.raises(E.EvidenceError, match="one_more"):
+        run(spark, fx.extracts(spark), roots, cfg, "first")
+    assert TableStore(spark, roots[0]).read("fct_invoice") is None
+
+
 def test_lost_controls_and_changed_revisions_stop_the_build(spark, cfg, roots, tmp_path):
     extracts = fx.extracts(spark)
     run(spark, extracts, roots, cfg, "first")

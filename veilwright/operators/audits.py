@@ -74,14 +74,11 @@ def audit_same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit_same_bag(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Symmetric bag difference: one output row per surplus copy."""
+    """Symmetric bag difference: each distinct row with its number of surplus copies."""
     surplus = F.col("_a") - F.col("_b")
     side = F.when(surplus > 0, "MISSING").otherwise("UNEXPECTED")
-    return (
-        _sides(a, b)
-        .where(surplus != 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs(surplus))))
-        .select(side.alias("difference_type"), *a.columns)
+    return _sides(a, b).where(surplus != 0).select(
+        side.alias("difference_type"), *a.columns, F.abs(surplus).alias("surplus_rows")
     )
 
 

@@ -270,10 +270,13 @@ def _required_actions(spark: SparkSession, targets: Sequence[Target]) -> DataFra
 def complete_plans(plan: DataFrame, targets: Sequence[Target] = TARGETS) -> DataFrame:
     """Plans that cover every target with its exact action.
 
-    Matched targets are collected as a set of registry numbers (at most one per target), which
-    combines map-side and cannot be fooled by repeated rows.
+    Each matched target sets its bit in a mask: a plain hash aggregation that combines map-side and cannot be
+    fooled by repeated rows. A registry has at most 63 targets.
     """
+    if len(targets) > 63:
+        raise ValueError("a registry has at most 63 targets")
     required = F.broadcast(_required_actions(plan.sparkSession, targets))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("target_number"))
     matched = plan.where(F.col("plan_status") == "AUTHORIZED").join(
         required,
         ["target_layer", "target_relation", "target_kind", "deletion_mode", "planned_action"],
@@ -290,7 +293,7 @@ def complete_plans(plan: DataFrame, targets: Sequence[Target] = TARGETS) -> Data
         .agg(
             F.min("authorization_recorded_at").alias("authorization_recorded_at"),
             F.min("authorized_at").alias("authorized_at"),
-            F.size(F.collect_set("target_number")).alias("matched_target_count"),
+            F.bit_count(F.bit_or(bit)).alias("matched_target_count"),
         )
         .where(F.col("matched_target_count") == len(targets))
     )

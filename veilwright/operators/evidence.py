@@ -19,6 +19,7 @@ HISTORY_SCHEMA = (
     "source_relation string, payload_hash string, payload string, archived_at timestamp, "
     "invocation_id string"
 )
+HISTORY_COLUMNS = ("source_relation", "payload_hash", "payload", "archived_at", "invocation_id")
 EVENT_SCHEMA = (
     "execution_id string, target_relation string, plan_digest string, status string, "
     "recorded_at timestamp, invocation_id string"
@@ -61,18 +62,30 @@ class EvidenceStore:
         """Create both tables empty where they do not exist yet."""
         for name, schema in zip(EVIDENCE_RELATIONS, (HISTORY_SCHEMA, EVENT_SCHEMA)):
             empty = literal_relation(self.spark, [], schema)
-            empty.write.mode("ignore").parquet(f"{self._path(name)}/batch=bootstrap")
-
-    def history(self) -> DataFrame:
-        return self.spark.read.schema(HISTORY_SCHEMA).parquet(f"{self._path('control_history')}/batch=*")
+            folder = "source_relation=none/batch=bootstrap" if name == "control_history" else "batch=bootstrap"
+            if name == "control_history":
+                empty = empty.drop("source_relation")
+            empty.write.mode("ignore").parquet(f"{self._path(name)}/{folder}")
+
+    def history(self, relation: str | None = None) -> DataFrame:
+        """Archived rows. They are filed by relation: with one given, no other folder is listed or read."""
+        root = self._path("control_history")
+        found = self.spark.read.schema(HISTORY_SCHEMA).option("basePath", root)
+        if relation is None:
+            return found.parquet(f"{root}/source_relation=*/batch=*").select(*HISTORY_COLUMNS)
+        return found.parquet(f"{root}/source_relation={{{relation},none}}/batch=*").select(*HISTORY_COLUMNS)
 
     def events(self) -> DataFrame:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self._path('execution_events')}/batch=*")
 
-    def append(self, df: DataFrame, name: str, batch: str) -> None:
-        """Every append is a new folder; nothing is ever replaced."""
-        path = f"{self._path(name)}/batch={batch}-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
+    def append(self, df: DataFrame, name: str, batch: str, relation: str | None = None) -> None:
+        """Every append is a new folder; nothing is ever replaced. History is filed by relation."""
+        path = self._path(name)
+        if name == "control_history":
+            if relation is None:
+                raise ValueError("history is appended for one relation at a time")
+            df, path = _of(df, relation).drop("source_relation"), f"{path}/source_relation={relation}"
+        df.write.mode("errorifexists").parquet(f"{path}/batch={batch}-{uuid.uuid4().hex}")
 
 
 # ---- archive ----------------------------------------------------------------------------------

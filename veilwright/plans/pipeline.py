@@ -164,7 +164,7 @@ def run_pipeline(
     state = {name: df for name in CONTROL_KEYS if (df := store.read(name)) is not None}
     try:
         for name in CONTROL_KEYS:
-            E.guard_control(state.get(name), name, evidence.history())
+            E.guard_control(state.get(name), name, evidence.history(name))
 
         def stage(name: str, df: DataFrame) -> DataFrame:
             return store.write_version(df, name, invocation, CONTRACTS.get(name))
@@ -190,10 +190,12 @@ def run_pipeline(
         )
         if failed:
             raise E.EvidenceError(f"audits failed: {failed}")
+        if outcome is None:
+            raise E.EvidenceError(f"audits missing: {sorted(set(REQUIRED_AUDITS) - set(findings))}")
+        # Outputs are never visible without their verification; a crash in between leaves the old ones.
+        evidence.append(outcome.coalesce(1), "execution_events", f"{invocation}-verified")
         store.switch(OUTPUT_TABLES, invocation)
-        if outcome is not None:
-            evidence.append(outcome.coalesce(1), "execution_events", f"{invocation}-verified")
-        return RunResult(r, findings, outcome is not None)
+        return RunResult(r, findings, True)
     except Exception:
         failure = E.failure_event(spark, execution_id, F.current_timestamp(), invocation)
         evidence.append(failure.coalesce(1), "execution_events", f"{invocation}-failed")
@@ -201,23 +203,27 @@ def run_pipeline(
 
 
 def _build_controls(r: Relations, store: TableStore, evidence: E.EvidenceStore, invocation: str) -> None:
-    """Write and archive the controls, then switch them: later failures never undo a suppression."""
-    history = evidence.history()
+    """Write and switch the controls, then archive them: later failures never undo a suppression.
+
+    Evidence never runs ahead of the visible controls, so a driver lost at any point is followed
+    by a plain rerun: it finds every archived key, and archives what the lost run did not.
+    """
     decisions = r.stg_customer_deletion_confirmations
-    if not E.archive_conflicts(decisions, DECISIONS, history, ["decision_revision_id"]).isEmpty():
+    if not E.archive_conflicts(decisions, DECISIONS, evidence.history(DECISIONS), ["decision_revision_id"]).isEmpty():
         raise E.EvidenceError("a recorded decision revision changed; submit a new revision instead")
     _build(r, CONTROL_WAVES)
+    store.switch(CONTROL_TABLES, invocation)
     archived = {name: getattr(r, name) for name in CONTROL_TABLES if name != "customer_deletion_authorizations"}
     _side_by_side(
         r.spark,
         [
             partial(
                 evidence.append,
-                E.archive(df, name, history, r.cfg, invocation),
+                E.archive(df, name, evidence.history(name), r.cfg, invocation),
                 "control_history",
                 f"{invocation}-{name}",
+                name,
             )
             for name, df in {DECISIONS: decisions, **archived}.items()
         ],
     )
-    store.switch(CONTROL_TABLES, invocation)
