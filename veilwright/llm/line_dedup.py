@@ -27,12 +27,14 @@ def _key(hashed: Column) -> Column:
 
 def _thinned(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """rows without most of those whose `key` (long) is not in `wanted`; none that is in it is lost."""
-    place = _key(F.col(key))
-    bits = wanted.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_at"))
+    place, zero = _key(F.col(key)), F.lit(0).cast("long")
+    # Never null, and said so: else a not-null filter would be pushed down that makes the key once more.
+    names = {"_bucket": F.coalesce(F.bitmap_bucket_number(place), zero), "_at": F.coalesce(F.bitmap_bit_position(place), zero)}
+    bits = wanted.select(*(c.alias(n) for n, c in names.items()))
     bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     return (
-        rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": F.bitmap_bit_position(place)})
+        rows.withColumns(names)
         .join(F.broadcast(bits), "_bucket")
         .where(F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
         .drop("_bucket", "_at", "_bits")
@@ -64,10 +66,10 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line that has a word: its place, its words joined by single spaces, and two hashes."""
     text = F.coalesce(col(text_col), F.lit(""))
     names = [c.alias(n) for n, c in _texts(docs, id_col, text_col).items()]
-    # The text's hash is taken below the explosion, once a text; words are not filtered on, so that
-    # no filter is pushed down that would join them twice.
+    # The text's hash is taken below the explosion, once a text. Neither words nor parts are filtered on (an inner
+    # explode would ask for parts of some size), so that none is made twice for a pushed filter.
     split = docs.select(*names, F.split(text, "\n", -1).alias("parts"))
-    lines = split.select(*ORDER[:-1], F.posexplode("parts").alias("line_no", "line")).where(~_blank(F.col("line")))
+    lines = split.select(*ORDER[:-1], F.posexplode_outer("parts").alias("line_no", "line")).where(~_blank(F.col("line")))
     return lines.select(*ORDER, _joined(F.col("line")).alias("words")).withColumns(
         {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words"), "n": _count("words")}
     )
