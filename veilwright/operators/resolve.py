@@ -169,60 +169,48 @@ def _invoice_days(invoices: DataFrame, pair: list[str]) -> DataFrame:
     ).distinct()
 
 
-def _mark(at: Column | None = None, version: Column | None = None, **amounts: Column | int) -> Column:
-    """One timeline mark; amounts that are not given are zero, end dates are null."""
-    fields = [
-        (F.lit(None).cast("date") if at is None else at).alias("at"),
-        (F.lit(None).cast("string") if version is None else version).alias("version"),
-    ]
-    for name in ("rows_all", "rows_alive", "ok_all", "ok_alive", "delta_all", "delta_alive", "delta_mapped"):
-        fields.append(F.lit(amounts.get(name, 0)).cast("bigint").alias(name))
-    for name in ("to_all", "to_alive", "to_mapped"):
-        value = amounts.get(name)
-        fields.append((F.lit(None) if value is None else value).cast("date").alias(name))
-    return F.struct(*fields)
+def _usable(services: DataFrame) -> Column:
+    """A valid row whose period has at least one day."""
+    return F.coalesce(F.col("is_valid") & (F.col("valid_to") >= F.col("valid_from")), F.lit(False))
 
 
-def _source_marks(services: DataFrame, pair: list[str]) -> DataFrame:
-    """Each source service row as a total, and if its period is valid a start and an end."""
-    with_version = "service_version_key" in services.columns
-    version = F.col("service_version_key") if with_version else F.lit(None).cast("string")
-    alive = F.col("deletion_mode").isNull()
-    ok = F.coalesce(F.col("is_valid") & (F.col("valid_to") >= F.col("valid_from")), F.lit(False))
-    living = alive.cast("int")
-    total = _mark(rows_all=1, rows_alive=living, ok_all=ok.cast("int"), ok_alive=(ok & alive).cast("int"))
-    start = _mark(
-        F.col("valid_from"),
-        version,
-        delta_all=1,
-        delta_alive=living,
-        to_all=F.col("valid_to"),
-        to_alive=F.when(alive, F.col("valid_to")),
+def _source_periods(services: DataFrame, pair: list[str]) -> DataFrame:
+    """Usable source periods, apart for living and deleted customers."""
+    version = "service_version_key" if "service_version_key" in services.columns else None
+    return services.where(_usable(services)).select(
+        *pair,
+        F.when(F.col("deletion_mode").isNull(), "alive").otherwise("deleted").alias("kind"),
+        "valid_from",
+        "valid_to",
+        (F.col(version) if version else F.lit(None).cast("string")).alias("version"),
     )
-    end = _mark(F.date_add("valid_to", 1), delta_all=-1, delta_alive=-living)
-    marks = F.when(ok, F.array(total, start, end)).otherwise(F.array(total))
-    return services.select(*pair, F.inline(marks))
 
 
-def _mapped_marks(resolved_services: DataFrame, pair: list[str]) -> DataFrame:
-    """Each accepted service period as a start and an end."""
-    usable = resolved_services.where(
-        F.col("service_version_key").isNotNull() & (F.col("valid_to") >= F.col("valid_from"))
-    )
-    start = _mark(
-        F.col("valid_from"), F.col("service_version_key"), delta_mapped=1, to_mapped=F.col("valid_to")
+def _mapped_periods(resolved_services: DataFrame, pair: list[str]) -> DataFrame:
+    """Accepted service periods."""
+    known = F.col("service_version_key").isNotNull() & (F.col("valid_to") >= F.col("valid_from"))
+    return resolved_services.where(known).select(
+        *pair, F.lit("mapped").alias("kind"), "valid_from", "valid_to", F.col("service_version_key").alias("version")
     )
-    end = _mark(F.date_add("valid_to", 1), delta_mapped=-1)
-    return usable.select(*pair, F.inline(F.array(start, end)))
 
 
-def _timeline(marks: DataFrame, pair: list[str]) -> DataFrame:
-    """Marks summed per pair, day and version: at most a few rows per calendar day, however many
-    service rows a pair has."""
-    amounts = ["rows_all", "rows_alive", "ok_all", "ok_alive", "delta_all", "delta_alive", "delta_mapped"]
-    ends = ["to_all", "to_alive", "to_mapped"]
-    return marks.groupBy(*pair, "at", "version").agg(
-        *[F.sum(c).alias(c) for c in amounts], *[F.max(c).alias(c) for c in ends]
+def _months(periods: DataFrame, days: DataFrame, pair: list[str]) -> DataFrame:
+    """Periods cut at month ends, within the days their pair has invoices on, equal pieces as one with their number.
+
+    A month has a bounded number of different pieces, so a pair's rows grow with the calendar and not with its periods.
+    """
+    grouped = periods.groupBy(*pair, "kind", "valid_from", "valid_to").agg(
+        F.max("version").alias("version"), F.count("*").alias("n")
+    )
+    span = days.groupBy(*pair).agg(F.min("issued_date").alias("_first"), F.max("issued_date").alias("_last"))
+    begin, end = F.greatest("valid_from", "_first"), F.least("valid_to", "_last")
+    clipped = grouped.join(span, pair).withColumns({"low": begin, "high": end}).where("low <= high")
+    month = F.explode(F.sequence(F.trunc("low", "MM"), F.trunc("high", "MM"), F.expr("interval 1 month")))
+    return (
+        clipped.withColumn("month", month)
+        .withColumns({"low": F.greatest("low", "month"), "high": F.least("high", F.last_day("month"))})
+        .groupBy(*pair, "month", "kind", "low", "high")
+        .agg(F.max("version").alias("version"), F.sum("n").alias("n"))
     )
 
 
@@ -239,29 +227,37 @@ def _with_service_rows(days: DataFrame, services: DataFrame, service: str) -> Da
     return days.join(counts, service, "left").select(*days.columns, seen.alias("any_rows"))
 
 
-def _stats_per_day(days: DataFrame, timeline: DataFrame, pair: list[str]) -> DataFrame:
-    """Statistics per distinct invoice day: starts minus ends up to the day are the open periods."""
-    sees, day = F.col("sees_deleted"), F.col("issued_date")
-
-    def seen(everything: str, living: str) -> Column:
-        return F.when(sees, F.col(everything)).otherwise(F.col(living))
+def _with_pair_rows(days: DataFrame, services: DataFrame, pair: list[str]) -> DataFrame:
+    """Adds how many rows, and usable rows, the pair has, as far as the invoice may see them."""
+    alive, usable = F.col("deletion_mode").isNull(), _usable(services)
+    counts = services.groupBy(*pair).agg(
+        F.count("*").alias("_rows"),
+        F.count_if(alive).alias("_alive_rows"),
+        F.count_if(usable).alias("_usable"),
+        F.count_if(usable & alive).alias("_alive_usable"),
+    )
+    sees = F.col("sees_deleted")
+    return days.join(counts, pair, "left").select(
+        *days.columns,
+        F.when(sees, F.col("_rows")).otherwise(F.col("_alive_rows")).alias("own_rows"),
+        F.when(sees, F.col("_usable")).otherwise(F.col("_alive_usable")).alias("ok_rows"),
+    )
 
-    def open_version(end: Column) -> Column:
-        return F.max(F.when(day <= end, F.col("version")))
 
-    marks = timeline.select(
-        *[F.col(c).alias(f"_{c}") for c in pair], *[c for c in timeline.columns if c not in pair]
-    )
-    reached = F.col("at").isNull() | (F.col("at") <= day)
-    for c in pair:
-        reached = reached & (F.col(c) == F.col(f"_{c}"))
-    return days.join(marks, reached, "left").groupBy(*days.columns).agg(
-        F.sum(seen("rows_all", "rows_alive")).alias("own_rows"),
-        F.sum(seen("ok_all", "ok_alive")).alias("ok_rows"),
-        F.sum(seen("delta_all", "delta_alive")).alias("open_periods"),
-        F.sum("delta_mapped").alias("mapped_periods"),
-        open_version(seen("to_all", "to_alive")).alias("source_version"),
-        open_version(F.col("to_mapped")).alias("mapped_version"),
+def _stats_per_day(days: DataFrame, pieces: DataFrame, pair: list[str]) -> DataFrame:
+    """Open periods of each distinct invoice day: it meets the pieces of its own month only."""
+    marked = days.withColumn("month", F.trunc("issued_date", "MM"))
+    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in [*pair, "month"]], "kind", "low", "high", "version", "n")
+    within = F.col("issued_date").between(F.col("low"), F.col("high"))
+    for c in [*pair, "month"]:
+        within = within & (F.col(c) == F.col(f"_{c}"))
+    source = (F.col("kind") == "alive") | ((F.col("kind") == "deleted") & F.col("sees_deleted"))
+    mapped = F.col("kind") == "mapped"
+    return marked.join(pieces, within, "left").groupBy(*days.columns).agg(
+        F.sum(F.when(source, F.col("n"))).alias("open_periods"),
+        F.sum(F.when(mapped, F.col("n"))).alias("mapped_periods"),
+        F.max(F.when(source, F.col("version"))).alias("source_version"),
+        F.max(F.when(mapped, F.col("version"))).alias("mapped_version"),
     )
 
 
@@ -286,23 +282,23 @@ def with_service_stats(
     """Adds source-service and mapped-service statistics to mode-annotated invoices.
 
     Ordinary invoices do not see deleted customers' services, erased ones do. Nothing is grouped by
-    invoice and no invoice row is multiplied. Distinct invoice days, a narrow relation, meet a summed
-    timeline per (service, customer), so a pair's work is bounded by the calendar and not by its
-    row count. The invoices themselves are exchanged once, on service, customer and day: a hot
+    invoice and no invoice row is multiplied. Distinct invoice days, a narrow relation, meet the service periods
+    cut at month ends and pre-aggregated, so a pair's work is linear in its calendar, whatever its
+    row counts. The invoices themselves are exchanged once, on service, customer and day: a hot
     service or customer spreads over its days, and AQE splits what is left on the invoice side.
     """
     customer, service = pair or ["customer_key", "service_key"]
     keys = [service, customer]
     days = _invoice_days(invoices, keys)
-    marks = []
+    narrow, periods = days, []
     if services is not None:
-        days = _with_service_rows(days, services, service)
-        marks.append(_source_marks(services, keys))
+        days = _with_pair_rows(_with_service_rows(days, services, service), services, keys)
+        periods.append(_source_periods(services, keys))
     else:
-        days = days.withColumn("any_rows", F.lit(0).cast("bigint"))
+        days = days.withColumns({c: F.lit(0).cast("bigint") for c in ("any_rows", "own_rows", "ok_rows")})
     if resolved_services is not None:
-        marks.append(_mapped_marks(resolved_services, keys))
-    stats = _stats_per_day(days, _timeline(union_all(marks), keys), keys)
+        periods.append(_mapped_periods(resolved_services, keys))
+    stats = _stats_per_day(days, _months(union_all(periods), narrow, keys), keys)
     joined = _attach_by_day(invoices, stats, keys)
     zero = F.lit(0).cast("bigint")
     return joined.select(
