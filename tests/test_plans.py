@@ -170,3 +170,23 @@ def test_staging_adds_no_exchange(lazy):
     for df in (lazy.stg_customer, lazy.stg_invoices, lazy.int_invoices_keyed, lazy.int_customer_services_keyed):
         assert "Exchange" not in physical(df)
     assert staging.stage_events(lazy.extracts["customer_events"]).schema == lazy.stg_customer_events.schema
+
+
+def test_erased_rows_are_spread_over_the_leak_guard(spark, skew_settings):
+    """A third of the rows erased, all with one key: the guard's exchange deals them evenly."""
+    from veilwright.operators import policy
+
+    erased = F.col("id") % 3 == 0
+    rows = spark.range(0, 60000, 1, 8).select(
+        F.col("id").alias("row_id"),
+        F.when(erased, policy.DEFAULT_ERASED_KEY).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("customer_key"),
+        erased.alias("is_erased_customer"),
+    )
+    ledger = spark.range(1, 60000, 2).select(F.concat(F.lit("k"), F.col("id")).alias("customer_key"), F.lit("x").alias("deletion_mode"))
+    out = policy.governed_model(
+        rows, "fact", "FACT", "row_id", ["row_id", "customer_key", "is_erased_customer"], ledger,
+        special_columns="customer_key", policy_applied=True,
+    )
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40000 and out.where("is_erased_customer").count() == 20000
+    assert max(sizes) < 2 * 40000 / 16

@@ -216,3 +216,37 @@ def test_due_flag_is_inclusive_and_null_safe(spark, cfg):
     df = R.with_due_flag(literal_relation(spark, rows, "id string, is_paid boolean, due_date date"), cfg)
     assert {r.id: r.is_due for r in df.collect()} == {"a": True, "b": False, "c": False, "d": None}
     assert df.where(F.col("is_due").isNull()).count() == 1
+
+
+def one_pair(spark, n, length=400):
+    """A pair with an invoice on each of n days and a period starting on each of them."""
+    days = [D + timedelta(i) for i in range(n)]
+    invoices = literal_relation(spark, [invoice(f"i{k}", issued=d) for k, d in enumerate(days)], INVOICE)
+    periods = [service(version=f"v{k:06}", start=d, end=d + timedelta(length)) for k, d in enumerate(days)]
+    ledger = literal_relation(spark, [], LEDGER)
+    services = literal_relation(spark, periods, SERVICE)
+    return R.annotate_invoices(invoices, ledger), R.annotate_services(services, ledger), services
+
+
+def test_one_pair_with_many_overlapping_periods(spark):
+    invoices, services, resolved = one_pair(spark, 700)
+    rows = R.with_service_stats(invoices, services, resolved).collect()
+    for r in rows:
+        k = int(r.invoice_id[1:])
+        assert r.effective_service_period_count == r.mapped_service_period_count == min(k, 400) + 1
+        assert r.source_service_version_key == r.mapped_service_version_key == f"v{k:06}"
+
+
+def test_work_of_one_pair_is_linear_in_its_days(spark):
+    """Twice the days give about twice the pieces and twice the day-to-piece meetings."""
+    work = []
+    for n in (600, 1200):
+        invoices, services, _ = one_pair(spark, n)
+        pair = ["service_key", "customer_key"]
+        days = R._invoice_days(invoices, pair)
+        pieces = R._months(R._source_periods(services, pair), days, pair)
+        months = days.groupBy(F.trunc("issued_date", "MM").alias("month")).agg(F.count("*").alias("d"))
+        met = pieces.groupBy("month").agg(F.count("*").alias("p")).join(months, "month").agg(F.sum(F.col("d") * F.col("p")))
+        work.append((pieces.count(), met.first()[0]))
+    assert work[1][0] < 2.5 * work[0][0] and work[1][1] < 2.5 * work[0][1]
+    assert work[1][0] < 70 * 1200 / 30 * 2

@@ -253,12 +253,14 @@ def _stats_per_day(days: DataFrame, pieces: DataFrame, pair: list[str]) -> DataF
         within = within & (F.col(c) == F.col(f"_{c}"))
     source = (F.col("kind") == "alive") | ((F.col("kind") == "deleted") & F.col("sees_deleted"))
     mapped = F.col("kind") == "mapped"
-    return marked.join(pieces, within, "left").groupBy(*days.columns).agg(
+    # Grouped by a struct, so that the invoices' join exchanges these rows itself and AQE can split it.
+    stats = marked.join(pieces, within, "left").groupBy(F.struct(*days.columns).alias("_day")).agg(
         F.sum(F.when(source, F.col("n"))).alias("open_periods"),
         F.sum(F.when(mapped, F.col("n"))).alias("mapped_periods"),
         F.max(F.when(source, F.col("version"))).alias("source_version"),
         F.max(F.when(mapped, F.col("version"))).alias("mapped_version"),
     )
+    return stats.select("_day.*", "open_periods", "mapped_periods", "source_version", "mapped_version")
 
 
 def _attach_by_day(invoices: DataFrame, stats: DataFrame, pair: list[str]) -> DataFrame:
