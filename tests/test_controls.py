@@ -38,7 +38,7 @@ FAILING = {
 
 
 def test_incomplete_decisions_fail_closed(spark, cfg):
-    rows = [fx.decision(n, "CCHG-0097-D", fx.SPECIAL, "2026-02-21T08:00:00") | c for n, c in FAILING.items()]
+    rows = [fx.decision(n, fx.request_of(fx.MASKED), fx.SPECIAL, "2026-02-21T08:00:00") | c for n, c in FAILING.items()]
     got = C.authorization_history(requests(spark, cfg), staged_decisions(spark, rows, cfg), cfg).collect()
     assert len(got) == len(rows) and {r.authorization_status for r in got} == {"INVALID"}
 
@@ -51,7 +51,7 @@ def test_status_order(spark, cfg):
         "other": ({"decision_status": "WHATEVER"}, "PENDING"),
         "good": ({"decision_status": " confirmed "}, "AUTHORIZED"),
     }
-    rows = [fx.decision(n, "CCHG-0097-D", "special_deletion", "2026-02-21T08:00:00") | c for n, (c, _) in cases.items()]
+    rows = [fx.decision(n, fx.request_of(fx.MASKED), "special_deletion", "2026-02-21T08:00:00") | c for n, (c, _) in cases.items()]
     history = C.authorization_history(requests(spark, cfg), staged_decisions(spark, rows, cfg), cfg)
     assert {r.decision_revision_id: r.authorization_status for r in history.collect()} == {
         n: status for n, (_, status) in cases.items()
@@ -72,11 +72,12 @@ def test_cutoff_keeps_undated_revisions(spark, cfg):
 def test_requests_are_detected_once(spark, cfg):
     first = requests(spark, cfg)
     stg = staging.stage_customer(fx.extracts(spark)["customer"])
-    again = C.detect_requests(stg, first.where("deletion_request_id != 'CCHG-0097-D'"), replace(cfg, run_ts="2026-04-01 00:00:00"))
+    again = C.detect_requests(stg, first.where(F.col("deletion_request_id") != fx.request_of(fx.MASKED)), replace(cfg, run_ts="2026-04-01 00:00:00"))
     seen = {r.deletion_request_id: str(r.detected_at)[:7] for r in again.collect()}
-    assert seen == {"CCHG-0095-D": "2026-03", "CCHG-0097-D": "2026-04", "CCHG-0099-D": "2026-03"}
+    asked = [fx.request_of(n) for n in (fx.UNDECIDED, fx.MASKED, fx.GONE, fx.HELD, fx.REFUSED)]
+    assert seen == {r: "2026-04" if r == fx.request_of(fx.MASKED) else "2026-03" for r in asked}
     # An empty replay source loses nothing.
-    assert C.detect_requests(stg.where("false"), first, cfg).count() == 3
+    assert C.detect_requests(stg.where("false"), first, cfg).count() == 5
 
 
 def plan_rows(spark, cfg, revisions):
@@ -194,12 +195,12 @@ def test_targets(spark):
 
 def test_latest_upsert_does_not_fall_back(spark, cfg):
     rows = [
-        fx._change(1, "UPSERT", "2026-01-01T00:00:00") | {"customer_change_id": "a"},
-        fx._change(1, "UPSERT", "2026-01-02T00:00:00", active=False) | {"customer_change_id": "b"},
-        fx._change(2, "UPSERT", "2026-01-01T00:00:00") | {"customer_change_id": "c"},
-        fx._change(2, "UPSERT", "2026-01-01T00:00:00") | {"customer_change_id": "d"},
+        fx.change(1, 1, "UPSERT", "2026-01-01T00:00:00") | {"customer_change_id": "a"},
+        fx.change(1, 1, "UPSERT", "2026-01-02T00:00:00", active=False) | {"customer_change_id": "b"},
+        fx.change(2, 1, "UPSERT", "2026-01-01T00:00:00") | {"customer_change_id": "c"},
+        fx.change(2, 1, "UPSERT", "2026-01-01T00:00:00") | {"customer_change_id": "d"},
     ]
     stg = staging.stage_customer(fx.as_extract(spark, "customer", rows))
     assert sorted(r.customer_change_id for r in maps.latest_upserts(stg).collect()) == ["b", "d"]
     nobody = spark.createDataFrame([], "customer_key string, deletion_mode string")
-    assert [r.customer_id_value for r in maps.customer_map(stg, nobody, cfg).collect()] == ["CUST-0002"]
+    assert [r.customer_id_value for r in maps.customer_map(stg, nobody, cfg).collect()] == [fx.person(2)]

@@ -1,4 +1,4 @@
-"""Exact outcomes over the fixture population, in its final and in its earlier control states."""
+"""Every row of the fixture population against its outcome in plain Python, in three control states."""
 
 from dataclasses import replace
 
@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixture_rows as fx
+from expected import ERASED, Expected
+from veilwright.config import CASE_USERS, Persona
+from veilwright.functions import keys as K
 from veilwright.operators import audits as A
-from veilwright.operators import controls, resolve
+from veilwright.operators import controls
 from veilwright.plans.pipeline import OUTPUT_TABLES, required_audits
 from veilwright.plans.relations import Relations
-from veilwright.config import CASE_USERS, Persona
 from veilwright.session import scratch_path
 
 
@@ -28,96 +30,86 @@ def final(spark, cfg):
     return staged(spark, fx.extracts(spark), cfg)
 
 
-def statuses(df, key):
-    return {r[0]: r[1] for r in df.select(key, "quarantine_reason").collect()}
+@pytest.fixture(scope="module")
+def want():
+    return Expected()
+
+
+def key_of(spark, cfg, number):
+    return spark.range(1).select(K.ssn_key(F.lit(number), cfg.scheme).alias("k")).first().k
+
+
+def reasons(df, *key):
+    return {(r[0] if len(key) == 1 else tuple(map(str, r[:-1]))): r[-1] for r in df.select(*key, "quarantine_reason").collect()}
+
+
+def test_population_covers_every_outcome(want):
+    """The two map-entry reasons cannot arise in a whole build; test_resolve.py has them."""
+    assert set(want.status.values()) == {"PENDING", "AUTHORIZED", "HELD", "REJECTED"}
+    assert set(want.events.values()) == {"ACCEPTED", "ERASED", "GONE", "CUSTOMER_NOT_FOUND"}
+    assert len(set(want.rejects(want.services).values())) == 3 and "DELETED" in want.services.values()
+    assert len(set(want.rejects(want.invoices).values())) == 10 and "SUPPRESSED" in want.invoices.values()
 
 
-def test_controls(final):
-    assert final.customer_deletion_requests.count() == 3
-    history = final.customer_deletion_authorization_history
-    assert history.where("authorization_status = 'AUTHORIZED'").count() == 4
+def test_controls(final, want):
     latest = {r.deletion_request_id: r for r in final.customer_deletion_authorizations.collect()}
-    assert latest["CCHG-0095-D"].authorization_status == "PENDING"
-    assert latest["CCHG-0095-D"].deletion_policy_version == "CUSTOMER_DELETION_V1"
-    assert latest["CCHG-0099-D"].deletion_mode == fx.FULL
-    assert final.int_customer_deletion_plan.count() == 102
-    targets = {(r.deletion_mode, r.planned_action): r.targets for r in A.plan_metrics(final.int_customer_deletion_plan).collect()}
-    assert targets == {
-        (fx.FULL, "DELETE_CURRENT_ROWS"): 13,
-        (fx.FULL, "EXCLUDE_DELETED_ROWS"): 4,
-        (fx.SPECIAL, "DELETE_CURRENT_ROWS"): 9,
-        (fx.SPECIAL, "REASSIGN_TO_ERASED_MEMBER"): 4,
-        (fx.SPECIAL, "EXCLUDE_ERASED_ROWS"): 4,
-    }
-
-
-def test_ledger(final):
-    rows = final.ledger.collect()
-    assert sorted(r.deletion_mode for r in rows) == [fx.FULL, fx.FULL, fx.SPECIAL]
-    assert all(r.initial_deletion_mode == fx.SPECIAL for r in rows)
-    assert sum(r.mode_escalated_at is not None for r in rows) == 2
-    special = next(r for r in rows if r.deletion_mode == fx.SPECIAL)
-    assert special.decision_revision_id == "DEC-0097-SPECIAL-REVIEW"
-    assert special.initial_decision_revision_id == "DEC-0097-SPECIAL"
-    assert str(special.authorization_recorded_at) == "2026-02-23 08:00:00"
-    assert str(special.initial_authorization_recorded_at) == "2026-02-21 08:00:00"
-
-
-def test_maps_and_row_counts(final):
-    counts = {n: getattr(final, n).count() for n in OUTPUT_TABLES}
-    assert counts == {
-        "fa_pd_customer": 15,
-        "fa_pd_service_address": 17,
-        "int_customer_protected": 15,
-        "int_customer_events_resolved": 30,
-        "int_customer_services_resolved": 17,
-        "int_invoices_resolved": 27,
-        "quarantine_customer_events": 1,
-        "quarantine_customer_services": 3,
-        "quarantine_invoices": 11,
-        "dim_customer": 16,
-        "dim_service": 18,
-        "dim_date": 1461,
-        "fct_customer_event": 30,
-        "fct_invoice": 27,
-    }
-
-
-def test_quarantine_reasons(final):
-    assert statuses(final.quarantine_invoices, "invoice_id") == {
-        "INV-0026": "PAYMENT_DATE_UNEXPECTED",
-        "INV-0027": "SERVICE_INVALID",
-        "INV-0028": "SERVICE_INVALID",
-        "INV-0098": "CUSTOMER_NOT_FOUND",
-        "INV-0101": "PAYMENT_DATE_MISSING",
-        "INV-0102": "INVALID_INVOICE_DATE_RANGE",
-        "INV-0103": "PAYMENT_BEFORE_ISSUE_DATE",
-        "INV-0104": "CUSTOMER_SERVICE_MISMATCH",
-        "INV-0105": "SERVICE_NOT_FOUND",
-        "INV-0106": "SERVICE_NOT_VALID_ON_ISSUE_DATE",
-        "INV-0107": "SERVICE_NOT_FOUND",
-    }
-    assert statuses(final.quarantine_customer_services, "service_id") == {
-        "SVC-0014-A": "INVALID_VALIDITY_PERIOD",
-        "SVC-0013-B": "INVALID_VALIDITY_FLAG",
-        "SVC-0098-A": "CUSTOMER_NOT_FOUND",
-    }
-    assert statuses(final.quarantine_customer_events, "event_id") == {"EVT-0098": "CUSTOMER_NOT_FOUND"}
-
-
-def test_erased_invoice_and_event(final):
-    row = final.int_invoices_resolved.where("invoice_id = 'INV-0097'").first()
-    assert (row.customer_key, row.service_key, row.service_version_key) == ("-99999",) * 3
-    assert row.is_erased_customer
-    assert final.fct_invoice.where("invoice_key = 'INV-0099'").isEmpty()
-    event = final.fct_customer_event.where("event_key = 'EVT-0097'").first()
-    assert event.customer_key == "-99999" and event.event_date_key == 20260220
-    assert final.fct_customer_event.where("event_key = 'EVT-0099'").isEmpty()
+    assert {k: r.authorization_status for k, r in latest.items()} == want.status
+    undecided = latest[fx.request_of(fx.UNDECIDED)]
+    assert undecided.deletion_policy_version == "CUSTOMER_DELETION_V1" and undecided.decision_revision_id is None
+    plan = final.int_customer_deletion_plan
+    assert plan.count() == want.plan_rows * len(controls.TARGETS)
+    rows = {(r.deletion_mode, r.planned_action): r.targets for r in A.plan_metrics(plan).collect()}
+    registry = controls.target_rows()
+    for mode, column in ((fx.FULL, 3), (fx.SPECIAL, 4)):
+        actions = [t[column] for t in registry]
+        assert {a: n for (m, a), n in rows.items() if m == mode} == {a: actions.count(a) for a in set(actions)}
+
+
+def test_ledger(spark, cfg, final, want):
+    rows = {r.customer_key: r for r in final.ledger.collect()}
+    assert {k: r.deletion_mode for k, r in rows.items()} == {key_of(spark, cfg, n): m for n, m in want.ledger.items()}
+    for number, modes in want.modes.items():
+        row = rows[key_of(spark, cfg, number)]
+        assert row.initial_deletion_mode == modes[0]
+        assert (row.mode_escalated_at is not None) == (modes[0] != want.ledger[number])
+    masked = rows[key_of(spark, cfg, fx.ssn(fx.MASKED))]
+    assert (masked.initial_decision_revision_id, masked.decision_revision_id) == ("rev-a", "rev-b")
+    assert str(masked.authorization_recorded_at) == "2025-07-19 10:15:00"
+
+
+def test_row_counts(final, want):
+    assert {n: getattr(final, n).count() for n in OUTPUT_TABLES} == want.counts()
+
+
+def test_every_event_service_and_invoice(final, want):
+    assert reasons(final.quarantine_customer_events, "event_id") == want.rejects(want.events)
+    assert reasons(final.quarantine_customer_services, "service_id", "valid_from") == want.rejects(want.services)
+    assert reasons(final.quarantine_invoices, "invoice_id") == want.rejects(want.invoices)
+    for table, key, outcomes in (
+        ("int_customer_events_resolved", "event_id", want.events),
+        ("int_invoices_resolved", "invoice_id", want.invoices),
+    ):
+        rows = {r[key]: r for r in getattr(final, table).collect()}
+        assert set(rows) == set(want.kept(outcomes))
+        for name, row in rows.items():
+            assert row.is_erased_customer == (outcomes[name] == "ERASED") == (row.customer_key == ERASED)
+
+
+def test_erased_rows_lose_their_keys(final):
+    row = final.fct_invoice.where(f"invoice_key = 'bill-{fx.MASKED}'").first()
+    assert (row.customer_key, row.service_key, row.service_version_key) == (ERASED,) * 3
+    event = final.fct_customer_event.where(f"event_key = 'ev-{fx.MASKED}-0-0'").first()
+    assert event.customer_key == ERASED and event.event_date_key == 20250622
+
+
+def test_versions_follow_the_issue_date(final):
+    rows = {r.invoice_key: r.service_version_key for r in final.fct_invoice.collect()}
+    assert rows["bill-first-version"] != rows["bill-second-version"]
 
 
 def test_due_flag_beside_the_sources_own(final):
-    row = final.int_invoices_resolved.where("invoice_id = 'INV-0095'").first()
-    assert row.is_due is False and row.source_is_due is True
+    rows = {r.invoice_id: (r.is_due, r.source_is_due) for r in final.int_invoices_resolved.collect()}
+    assert rows["bill-1"] == (True, False) and rows["bill-long-overdue"] == (True, True) and rows["bill-1-paid"] == (False, False)
     assert A.audit_due(final.int_invoices_resolved, final.cfg).isEmpty()
 
 
@@ -127,43 +119,33 @@ def test_required_audits_pass(final):
 
 
 def test_walkthrough_states(spark, cfg):
-    """Three runs over durable controls: nothing confirmed, one SPECIAL, final escalation."""
-    subjects = ("CUST-0097", "CUST-0099")
-    expected = {
-        "2026-02-01 00:00:00": (0, 0, 0, 18, 20, 31, 28),
-        "2026-02-17 00:00:00": (8, 2, 4, 17, 19, 31, 28),
-        "9999-12-31 23:59:59": (24, 6, 8, 16, 18, 30, 27),
-    }
+    """Three runs over durable controls: nothing decided, one SPECIAL, the rest with the escalation."""
     state = {}
-    for cutoff, numbers in expected.items():
+    for cutoff in ("2025-06-01 00:00:00", fx.EARLY_CUTOFF, "9999-12-31 23:59:59"):
+        want = Expected(cutoff)
         r = staged(spark, fx.extracts(spark), replace(cfg, decision_as_of=cutoff, run_ts=None), state)
-        layer3 = r.int_customer_deletion_plan.where("target_layer = 'layer3'")
-        assert (
-            layer3.count(),
-            layer3.select("decision_revision_id", "customer_key").distinct().count(),
-            layer3.where("planned_action = 'REASSIGN_TO_ERASED_MEMBER'").count(),
-            r.dim_customer.count(),
-            r.dim_service.count(),
-            r.fct_customer_event.count(),
-            r.fct_invoice.count(),
-        ) == numbers
+        plan = r.int_customer_deletion_plan
+        assert plan.count() == want.plan_rows * len(controls.TARGETS)
+        assert plan.select("decision_revision_id", "customer_key").distinct().count() == want.plan_rows
+        assert sorted(x.deletion_mode for x in r.ledger.collect()) == sorted(want.ledger.values())
+        names = ("dim_customer", "dim_service", "fct_customer_event", "fct_invoice")
+        assert {n: getattr(r, n).count() for n in names} == {n: want.counts()[n] for n in names}
         state = {n: getattr(r, n) for n in ("customer_deletion_requests", controls.PLAN, controls.LEDGER)}
-    ledger = r.ledger.collect()
-    assert sum(row.mode_escalated_at is not None for row in ledger) == 2
-    keys = resolve.key_events(r.stg_customer_events, cfg)
-    assert r.stg_customer.where(F.col("customer_id").isin(*subjects)).count() == 4 and keys.count() == 32
+    escalated = [row.customer_key for row in r.ledger.collect() if row.mode_escalated_at is not None]
+    assert sorted(escalated) == sorted(key_of(spark, cfg, n) for n in fx.numbers_of(fx.GONE))
 
 
-def test_unconfirmed_request_changes_nothing(final):
-    key = final.int_customer_events_keyed.where("event_id = 'EVT-0095'").first().customer_key
+@pytest.mark.parametrize("n", [fx.UNDECIDED, fx.HELD, fx.REFUSED])
+def test_requests_without_authorization_change_nothing(spark, cfg, final, n):
+    key = key_of(spark, cfg, fx.ssn(n))
     for name in ("fa_pd_customer", "int_customer_protected", "dim_customer", "int_customer_services_resolved"):
         assert getattr(final, name).where(F.col("customer_key") == key).count() == 1
-    assert final.int_customer_deletion_plan.where("deletion_request_id = 'CCHG-0095-D'").isEmpty()
+    assert final.int_customer_deletion_plan.where(F.col("deletion_request_id") == fx.request_of(n)).isEmpty()
 
 
-def test_late_customer_is_recovered_by_the_next_build(spark, cfg, final):
-    more = fx.customers() + [fx._change(98, "UPSERT", "2026-02-26T09:00:00")]
-    later = staged(spark, fx.extracts(spark, customer=more), cfg)
-    assert later.quarantine_customer_events.isEmpty()
-    assert "INV-0098" not in statuses(later.quarantine_invoices, "invoice_id")
-    assert later.int_invoices_resolved.count() == 28
+def test_late_customer_is_recovered_by_the_next_build(spark, cfg):
+    more = fx.customers() + [fx.change(fx.STRANGER, 1, "UPSERT", "2025-08-26T09:00:00")]
+    later, want = staged(spark, fx.extracts(spark, customer=more), cfg), Expected(customers=more)
+    assert reasons(later.quarantine_customer_events, "event_id") == want.rejects(want.events)
+    assert later.int_invoices_resolved.count() == len(want.kept(want.invoices))
+    assert f"bill-{fx.STRANGER}" in want.kept(want.invoices)

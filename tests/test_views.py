@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixture_rows as fx
+from expected import Expected
 from test_goldens import staged
 from veilwright.config import CASE_USERS, PRIVACY_ADMINS, RESTRICTED_USERS, Persona
 from veilwright.operators import audits as A
@@ -17,7 +18,7 @@ def r(spark, cfg):
 
 
 def test_case_views_by_persona(r):
-    expected = {"case_dim_customer": 15, "case_dim_service": 17, "case_fct_customer_event": 29, "case_fct_invoice": 26}
+    expected = Expected().case_counts()
     for persona in (CASE, ADMIN):
         assert {n: df.count() for n, df in r.case_views(persona).items()} == expected
     for persona in (RESTRICTED, Persona.of()):
@@ -27,9 +28,9 @@ def test_case_views_by_persona(r):
 def test_case_views_resolve_readable_values(r):
     for row in V.case_resolution_checks(r.case_views(CASE)).collect():
         assert row.row_count == row.resolved_rows > 0
-    row = r.case_fct_invoice(CASE).where("invoice_key = 'INV-0001'").first()
-    assert (row.full_name, row.service_id) == ("First1 Last1", "SVC-0001-A")
-    assert row.installation_address == "201 Cable Road, 20001 Oulu, FI"
+    row = r.case_fct_invoice(CASE).where("invoice_key = 'bill-1'").first()
+    assert (row.full_name, row.service_id) == ("Given-1 Family 1", fx.service_id(1))
+    assert row.installation_address == "Wall 1, 80001 Elsewhere, DE"
 
 
 def test_no_access_folds_to_an_empty_plan(r):
@@ -38,14 +39,14 @@ def test_no_access_folds_to_an_empty_plan(r):
 
 
 def test_masks_follow_the_persona_and_survive_parquet(r, tmp_path):
-    path = str(tmp_path / "map")
+    path, people = str(tmp_path / "map"), len(Expected().map)
     r.fa_pd_customer.write.parquet(path)
     again = r.spark.read.parquet(path)
     for df in (r.fa_pd_customer, again):
         masked = V.map_resolution_check(V.masked_map(df, RESTRICTED), "m").first()
-        assert (masked.row_count, masked.masked_rows, masked.resolved_rows) == (15, 15, 0)
+        assert (masked.row_count, masked.masked_rows, masked.resolved_rows) == (people, people, 0)
         raw = V.map_resolution_check(V.masked_map(df, ADMIN), "m").first()
-        assert (raw.masked_rows, raw.resolved_rows) == (0, 15)
+        assert (raw.masked_rows, raw.resolved_rows) == (0, people)
     bound = [f.name for t in ("fa_pd_customer", "fa_pd_service_address") for f in getattr(r, t).schema if "mask_column" in f.metadata]
     assert len(bound) == 13
 
