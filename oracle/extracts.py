@@ -38,7 +38,7 @@ EXTRACTS = {
                CASE WHEN v = 'D1' THEN ''
                     ELSE CAST(DATE '1950-01-01' + CAST(c_custkey % 20000 AS INTEGER) AS VARCHAR) END AS birth_date,
                CASE WHEN v = 'D1' OR c_custkey % 29 = 0 THEN '' ELSE c_custkey || ' Demo  Street' END AS address_line1,
-               CASE WHEN v <> 'D1' AND c_custkey % 3 = 0 THEN 'Unit B' ELSE '' END AS address_line2,
+               CASE WHEN v <> 'D1' AND c_custkey % 3 = 0 THEN 'Rear' ELSE '' END AS address_line2,
                CASE WHEN v = 'D1' OR c_custkey % 29 = 0 OR c_custkey % 19 = 0 THEN ''
                     ELSE ' City ' || c_nationkey END AS city,
                CASE WHEN v = 'D1' OR c_custkey % 29 = 0 THEN '' ELSE {pad('c_custkey % 100000', 5)} END AS postal_code,
@@ -94,9 +94,9 @@ EXTRACTS = {
         SELECT CASE WHEN c_custkey % 2 = 0 THEN sid ELSE lower(sid) END AS service_id,
                CASE WHEN v = 'X' THEN {ssn('c_custkey', UNKNOWN)} ELSE {ssn('c_custkey', CURRENT)} END AS customer_ssn,
                CASE WHEN v = 'B' THEN ' mobile' ELSE 'internet' END AS service_type,
-               CASE WHEN c_custkey % 59 = 0 THEN '' ELSE (c_custkey + 200) || ' Installation Road' END
+               CASE WHEN c_custkey % 59 = 0 THEN '' ELSE (c_custkey + 200) || ' Socket Lane' END
                  AS installation_address_line1,
-               CASE WHEN c_custkey % 59 <> 0 AND v = 'B' THEN 'Unit B' ELSE '' END AS installation_address_line2,
+               CASE WHEN c_custkey % 59 <> 0 AND v = 'B' THEN 'Rear' ELSE '' END AS installation_address_line2,
                CASE WHEN c_custkey % 59 = 0 THEN '' ELSE 'City ' || c_nationkey END AS installation_city,
                CASE WHEN c_custkey % 59 = 0 THEN '' ELSE {pad('c_custkey % 100000', 5)} END
                  AS installation_postal_code,

@@ -101,6 +101,76 @@ TEXT_RULES = {
 }
 
 
+# The read matrix, as the CTE each relation is computed by and the letters of its readers
+# (privacy admins, restricted users, case users).
+READ_MATRIX = {
+    "layer1_source": (
+        {
+            "customer": "stg_customer", "customer_deletion_confirmations": "stg_all_decisions",
+            "customer_events": "stg_events", "customer_services": "stg_services", "invoices": "stg_invoices",
+        },
+        "p",
+    ),
+    "layer1": (
+        {
+            "stg_customer": "stg_customer", "stg_customer_deletion_confirmations": "stg_all_decisions",
+            "stg_customer_events": "stg_events", "stg_customer_services": "stg_services", "stg_invoices": "stg_invoices",
+            "customer_deletion_requests": "requests", "customer_deletion_authorization_history": "history",
+            "customer_deletion_authorizations": "authorizations", "quarantine_customer_events": "quarantined_events",
+            "quarantine_customer_services": "quarantined_services", "quarantine_invoices": "quarantined_invoices",
+        },
+        "p",
+    ),
+    "priva_map": ({"fa_pd_customer": "customer_map", "fa_pd_service_address": "service_map"}, "pr"),
+    "layer2": (
+        {
+            "int_customer_protected": "protected", "int_customer_events_resolved": "accepted_events",
+            "int_customer_services_resolved": "accepted_services", "int_invoices_resolved": "accepted_invoices",
+        },
+        "pr",
+    ),
+    "layer2 ": ({PLAN: "plan", LEDGER: "ledger"}, "p"),
+    "layer3": (
+        {
+            "dim_customer": "dim_customer", "dim_service": "dim_service", "dim_date": "dim_date",
+            "fct_customer_event": "fct_event", "fct_invoice": "fct_invoice",
+        },
+        "pr",
+    ),
+    "layer3_case": (
+        {
+            "case_dim_customer": "case_customer", "case_dim_service": "case_service",
+            "case_fct_customer_event": "case_event", "case_fct_invoice": "case_invoice",
+        },
+        "pc",
+    ),
+}
+GROUPS = {"p": "privacy_admins", "r": "restricted_users", "c": "case_users"}
+GRANTED = [(schema.strip(), name) for schema, (ctes, _) in READ_MATRIX.items() for name in ctes]
+GRANTED += [("evidence", "control_history"), ("evidence", "execution_events")]
+MATRIX = "(VALUES {}) matrix(table_schema, relation, grantee)".format(
+    ", ".join(
+        f"('{schema.strip()}', '{name}', '{GROUPS[g]}')"
+        for schema, (ctes, readers) in READ_MATRIX.items()
+        for name in ctes
+        for g in readers
+    )
+)
+MATRIX_COUNTS = " UNION ALL ".join(
+    f"SELECT '{name}' AS relation, count(*) AS row_count FROM {cte}" for ctes, _ in READ_MATRIX.values() for name, cte in ctes.items()
+)
+CONTROL_STATES = f"""
+    SELECT deletion_request_id, CASE WHEN authorization_status <> 'AUTHORIZED' THEN authorization_status
+             WHEN suppressed_keys < keys THEN 'NOT_SUPPRESSED' WHEN full_keys = 0 THEN 'SPECIAL'
+             WHEN full_keys < keys THEN 'MIXED' WHEN escalated > 0 THEN 'ESCALATED_TO_FULL' ELSE 'FULL' END AS state,
+           coalesce(suppressed_keys, 0) AS suppressed_keys
+    FROM authorizations LEFT JOIN (
+      SELECT customer_id, count(*) AS keys, count(deletion_mode) AS suppressed_keys,
+             count(*) FILTER (deletion_mode = '{FULL}') AS full_keys, count(mode_escalated_at) AS escalated
+      FROM (SELECT DISTINCT customer_id, {ssn_key()} AS customer_key FROM stg_customer WHERE customer_ssn IS NOT NULL)
+           LEFT JOIN ledger USING (customer_key) GROUP BY 1) USING (customer_id)"""
+
+
 def lines(source: str, id_col: str, text_col: str) -> str:
     return f"""(SELECT record_id, unnest(parts) AS line, CAST(generate_subscripts(parts, 1) AS INTEGER) AS line_number
                 FROM (SELECT {id_col} AS record_id, string_split({text_col}, chr(10)) AS parts FROM {source}))"""
@@ -367,21 +437,18 @@ BODIES = {
           FROM customer_map
         UNION ALL SELECT 'fa_pd_service_address', count(*), count(installation_address_key), 0, 'restricted_users'
           FROM service_map""",
-    "persona_readable_rows": """
-        SELECT c.relation, c.row_count, g.grantee FROM (
-          SELECT 'stg_invoices' AS relation, count(*) AS row_count FROM stg_invoices
-          UNION ALL SELECT 'quarantine_invoices', count(*) FROM quarantined_invoices
-          UNION ALL SELECT 'fa_pd_customer', count(*) FROM customer_map
-          UNION ALL SELECT 'int_customer_protected', count(*) FROM protected
-          UNION ALL SELECT 'dim_customer', count(*) FROM dim_customer
-          UNION ALL SELECT 'fct_invoice', count(*) FROM fct_invoice
-          UNION ALL SELECT 'case_dim_customer', count(*) FROM case_customer
-          UNION ALL SELECT 'case_dim_service', count(*) FROM case_service
-          UNION ALL SELECT 'case_fct_customer_event', count(*) FROM case_event
-          UNION ALL SELECT 'case_fct_invoice', count(*) FROM case_invoice) c,
+    "persona_readable_rows": f"""
+        SELECT c.relation, c.row_count, matrix.grantee FROM ({MATRIX_COUNTS}) c JOIN {MATRIX} USING (relation)""",
+    "persona_denied_rows": f"""
+        SELECT c.relation, c.row_count, g.grantee FROM ({MATRIX_COUNTS}) c,
           (VALUES ('privacy_admins'), ('restricted_users'), ('case_users')) g(grantee)
-        WHERE CASE g.grantee WHEN 'privacy_admins' THEN true WHEN 'case_users' THEN c.relation LIKE 'case_%'
-              ELSE c.relation IN ('fa_pd_customer', 'int_customer_protected', 'dim_customer', 'fct_invoice') END""",
+        WHERE NOT EXISTS (FROM {MATRIX} WHERE matrix.relation = c.relation AND matrix.grantee = g.grantee)""",
+    "persona_source_checks": """
+        SELECT 'x' AS relation, 'x' AS difference_type, 0 AS row_count WHERE false""",
+    "persona_source_checks_broken": """
+        SELECT 'fa_pd_customer' AS relation, difference_type, count(*) AS row_count
+        FROM customer_map, (VALUES ('MISSING'), ('UNEXPECTED')) d(difference_type)
+        WHERE customer_segment = 'BUILDING' AND customer_id_value <> 'x' GROUP BY ALL""",
     "persona_case_checks": " UNION ALL ".join(
         f"SELECT '{name}' AS relation, count(*) AS row_count, count(*) FILTER ({all_of(pairs, '<>')}) "
         f"AS resolved_rows FROM {cte}"
@@ -422,6 +489,8 @@ BODIES = {
         GROUP BY ALL HAVING count(*) > 1""",
     "audit_unique_service_periods": """
         SELECT service_id, valid_from, count(*) AS row_count FROM stg_services GROUP BY ALL HAVING count(*) > 1""",
+    "audit_unique_service_periods_broken": """
+        SELECT service_id, count(*) AS row_count FROM stg_services GROUP BY ALL HAVING count(*) > 1""",
     "audit_accepted_values": """
         SELECT event_type AS value, count(*) AS row_count FROM stg_events
         WHERE event_type NOT IN ('VIEW', 'CLICK') GROUP BY 1""",
@@ -445,6 +514,9 @@ BODIES = {
         """SELECT service_version_key AS record_key FROM accepted_services
            UNION ALL SELECT service_version_key FROM service_resolution WHERE resolution_status <> 'ACCEPTED'""",
     ),
+    "audit_service_partition_broken": """
+        SELECT service_version_key AS record_key, 1 AS expected_occurrence_count, 0 AS actual_occurrence_count
+        FROM service_resolution WHERE resolution_status <> 'ACCEPTED'""",
     "audit_invoice_partition": partition(
         expected_once("keyed_invoices", "invoice_id"),
         "SELECT invoice_id AS record_key FROM accepted_invoices UNION ALL SELECT invoice_id FROM quarantined_invoices",
@@ -453,6 +525,7 @@ BODIES = {
         SELECT invoice_id FROM accepted_invoices i WHERE NOT is_erased_customer AND NOT EXISTS (
           FROM accepted_services s WHERE s.customer_key = i.customer_key AND s.service_key = i.service_key
             AND s.service_version_key = i.service_version_key AND i.issued_date BETWEEN s.valid_from AND s.valid_to)""",
+    "audit_invoice_service_tuple_broken": "SELECT invoice_id FROM accepted_invoices WHERE NOT is_erased_customer",
     "audit_customer_map_tuple": f"""
         SELECT service_version_key FROM keyed_services ANTI JOIN accepted_services USING ({MAP_KEYS})""",
     "audit_same_rows": """
@@ -472,6 +545,21 @@ BODIES = {
           UNION ALL SELECT 'fct_customer_event', customer_key FROM fct_event
           UNION ALL SELECT 'int_invoices_keyed', customer_key FROM keyed_invoices)
         WHERE customer_key IN (SELECT customer_key FROM ledger) GROUP BY ALL""",
+    "audit_quarantine_deleted_absent": " UNION ALL ".join(
+        f"""SELECT '{name}' AS relation, {ssn_key()} AS customer_key, count(*) AS row_count FROM {cte}
+            WHERE {ssn_key()} IN (SELECT customer_key FROM ledger) GROUP BY ALL"""
+        for name, cte in (
+            ("quarantine_customer_events", "quarantined_events"), ("quarantine_customer_services", "quarantined_services"),
+            ("quarantine_invoices", "quarantined_invoices"),
+        )
+    ),
+    "audit_quarantine_deleted_absent_broken": " UNION ALL ".join(
+        f"""SELECT '{name}' AS relation, {ssn_key()} AS customer_key, count(*) AS row_count FROM stg_{name}
+            WHERE {ssn_key()} IN (SELECT customer_key FROM ledger) GROUP BY ALL"""
+        for name in ("events", "services")
+    ),
+    "audit_fact_integrity": "SELECT 'x' AS relation, 'x' AS record_key WHERE false",
+    "audit_fact_integrity_broken": "SELECT 'fct_invoice' AS relation, invoice_key AS record_key FROM fct_invoice",
     "audit_erased_members": """
         SELECT 'dim_customer_special_member' AS invariant
         WHERE (SELECT count(*) FROM protected WHERE customer_segment = 'ERASED_SUBJECT') <> 1""",
@@ -515,6 +603,9 @@ BODIES = {
           UNION ALL SELECT 'null_preserved' FROM stg_customer
             WHERE email IS NULL AND {key('email', 'customer.email')} IS NOT NULL)
         GROUP BY 1""",
+    "audit_key_contract_broken": """
+        SELECT rule, count(*) AS row_count FROM stg_customer,
+          (VALUES ('version_separated'), ('version_prefixed')) r(rule) WHERE email IS NOT NULL GROUP BY ALL""",
     "audit_key_format": f"""
         SELECT 'fa_pd_customer' AS relation, count(*) AS row_count,
                count(*) FILTER (NOT ({' AND '.join(f"coalesce({HEX.format(k)}, true)" for k in KEY_NAMES)}))
@@ -546,9 +637,49 @@ BODIES = {
         SELECT customer_id, deletion_mode, count(DISTINCT customer_key) AS key_count
         FROM (SELECT customer_id, {ssn_key()} AS customer_key FROM stg_customer) JOIN ledger USING (customer_key)
         GROUP BY ALL""",
+    "audit_plan_sound": f"SELECT 'x' AS difference_type, {PLAN_COLUMNS} FROM plan WHERE false",
+    "control_states": f"SELECT * FROM ({CONTROL_STATES})",
+    "audit_control_states": f"""
+        SELECT deletion_request_id, expected_state, actual_state FROM (
+          SELECT deletion_request_id, if(authorization_status = 'AUTHORIZED', 'FULL', authorization_status) AS expected_state
+          FROM authorizations) JOIN (SELECT deletion_request_id, state AS actual_state FROM ({CONTROL_STATES}))
+          USING (deletion_request_id) WHERE expected_state <> actual_state""",
     "audit_pending_untouched": """
-        SELECT deletion_request_id, authorization_status FROM authorizations
-        WHERE authorization_status = 'PENDING' AND deletion_request_id IN (SELECT deletion_request_id FROM plan)""",
+        SELECT 'x' AS relation, 'x' AS subject, 0 AS expected_rows, 0 AS actual_rows WHERE false""",
+    "audit_pending_untouched_broken": f"""
+        SELECT * FROM (WITH pending AS (SELECT DISTINCT {ssn_key()} AS customer_key FROM stg_customer
+            WHERE customer_ssn IS NOT NULL
+              AND customer_id IN (SELECT customer_id FROM authorizations WHERE authorization_status <> 'AUTHORIZED')
+              AND customer_id NOT IN (SELECT customer_id FROM authorizations WHERE authorization_status = 'AUTHORIZED'))
+        SELECT relation, customer_key AS subject, expected_rows, actual_rows FROM (
+          SELECT 'fct_customer_event' AS relation, customer_key, count(*) AS expected_rows,
+                 count(*) FILTER (event_type <> 'CLICK') AS actual_rows FROM keyed_events GROUP BY ALL
+          UNION ALL SELECT 'fa_pd_customer', {ssn_key()} AS customer_key, count(*), 0 FROM active_upserts GROUP BY ALL)
+        WHERE expected_rows <> actual_rows AND customer_key IN (SELECT customer_key FROM pending)
+          AND customer_key NOT IN (SELECT customer_key FROM ledger))""",
+    "audit_access": f"""
+        SELECT * FROM (WITH grants AS (
+          SELECT DISTINCT ['privacy_admins', 'restricted_users', 'case_users', 'everyone'][c_custkey % 4 + 1] AS grantee,
+            ['SELECT', 'SELECT', 'SELECT', 'USE SCHEMA', 'MODIFY'][c_custkey % 5 + 1] AS privilege,
+            s[c_custkey % len(s) + 1] AS table_schema, t[c_custkey % len(t) + 1] AS table_name
+          FROM customer, (SELECT {[x for x, _ in GRANTED]} AS s, {[x for _, x in GRANTED]} AS t)),
+        expected AS (SELECT grantee, table_schema, relation AS table_name FROM {MATRIX})
+        SELECT audit, grantee, count(*) AS findings FROM (
+          (SELECT 'relation_grants' AS audit, grantee, table_schema, table_name FROM (
+            (SELECT grantee, table_schema, table_name FROM expected
+             EXCEPT SELECT grantee, table_schema, table_name FROM grants WHERE privilege = 'SELECT')
+            UNION ALL (SELECT grantee, table_schema, table_name FROM grants WHERE privilege = 'SELECT'
+             EXCEPT SELECT grantee, table_schema, table_name FROM expected)))
+          UNION ALL (SELECT 'parent_privileges', grantee, table_schema, '' FROM (
+            (SELECT grantee, table_schema FROM expected
+             EXCEPT SELECT grantee, table_schema FROM grants WHERE privilege = 'USE SCHEMA')
+            UNION ALL (SELECT grantee, table_schema FROM grants WHERE privilege = 'USE SCHEMA'
+             EXCEPT SELECT grantee, table_schema FROM expected)))
+          UNION ALL (SELECT 'ambient_grants', grantee, table_schema, table_name FROM grants
+            WHERE grantee = 'everyone' OR privilege = 'MODIFY')
+          UNION ALL (SELECT 'evidence_access', grantee, table_schema, table_name FROM grants
+            WHERE table_name IN ('control_history', 'execution_events') AND grantee <> 'privacy_admins'))
+        GROUP BY ALL)""",
     "audit_fail_closed": " UNION ALL ".join(
         f"SELECT '{name}_opened' AS relation, count(*) AS row_count FROM {cte}"
         for name, (cte, _) in CASE_CHECKS.items()

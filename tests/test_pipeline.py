@@ -170,3 +170,17 @@ def test_csv_with_a_changed_header_is_refused(spark, tmp_path):
 
     with pytest.raises(Exception, match="header"):
         read_extract(spark, "customer_events", str(tmp_path / "customer_events.csv")).collect()
+
+
+def test_access_audits_join_the_gate_with_grants(spark, cfg, roots, tmp_path):
+    from veilwright.operators import views as V
+
+    matrix = V.expected_grants(spark)
+    reads = matrix.selectExpr("grantee", "'SELECT' AS privilege", "table_schema", "table_name")
+    uses = matrix.selectExpr("grantee", "'USE SCHEMA' AS privilege", "table_schema", "'' AS table_name").distinct()
+    extra = spark.sql("SELECT 'everyone' AS grantee, 'SELECT' AS privilege, 'layer1' AS table_schema, 'stg_customer' AS table_name")
+    grants = reads.unionByName(uses)
+    with pytest.raises(E.EvidenceError, match="ambient_grants"):
+        P.run_pipeline(spark, fx.extracts(spark), *roots, cfg, "first", grants=grants.unionByName(extra))
+    result = P.run_pipeline(spark, fx.extracts(spark), *roots, cfg, "second", grants=grants)
+    assert set(result.audits) == {*P.REQUIRED_AUDITS, *P.ACCESS_AUDITS} and set(result.audits.values()) == {0}

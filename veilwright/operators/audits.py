@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilwright.config import FULL, DEMO_SCHEME, Persona, PipelineConfig
 from veilwright.functions.keys import canonicalize, framed_hash, personal_data_key
-from veilwright.operators import controls
+from veilwright.operators import controls, maps
 from veilwright.operators.policy import attach_deletion_mode
 from veilwright.schemas import CONTRACTS
 from veilwright.sources.tables import literal_relation, union_all
@@ -200,16 +200,45 @@ def audit_erased_members(
     )
 
 
+def expected_plan(
+    history: DataFrame, stg_customer: DataFrame, cfg: PipelineConfig, targets=controls.TARGETS
+) -> DataFrame:
+    """The plan written anew from its rule, without the functions that build it.
+
+    Every authorized revision, each number its customer has ever had, each target, with the
+    action the target's kind of relation calls for.
+    """
+    identities = stg_customer.groupBy("customer_id", "customer_ssn").agg(F.count("*").alias("changes"))
+    keyed = identities.where("customer_ssn is not null").select(
+        "customer_id", personal_data_key(F.col("customer_ssn"), "customer.ssn", cfg.scheme, "ssn").alias("customer_key")
+    )
+    revisions = history.where("authorization_status = 'AUTHORIZED'").join(keyed, "customer_id")
+    placed = []
+    for t in targets:
+        fact, view = t.model_type.upper() == "FACT", t.model_type.upper() == "CASE_VIEW"
+        full = "EXCLUDE_DELETED_ROWS" if view else "DELETE_CURRENT_ROWS"
+        special = "EXCLUDE_ERASED_ROWS" if view else "REASSIGN_TO_ERASED_MEMBER" if fact else "DELETE_CURRENT_ROWS"
+        fields = {"layer": t.layer, "relation": t.relation, "kind": "VIEW" if view else "TABLE", "full": full, "special": special}
+        placed.append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]))
+    return revisions.withColumn("t", F.explode(F.array(*placed))).select(
+        "decision_revision_id",
+        "deletion_request_id",
+        "customer_key",
+        "deletion_mode",
+        "deletion_policy_version",
+        F.col("t.layer").alias("target_layer"),
+        F.col("t.relation").alias("target_relation"),
+        F.col("t.kind").alias("target_kind"),
+        F.expr(f"if(deletion_mode = '{FULL}', t.full, t.special)").alias("planned_action"),
+    )
+
+
 def audit_plan(
     plan: DataFrame, history: DataFrame, stg_customer: DataFrame, cfg: PipelineConfig, targets=controls.TARGETS
 ) -> DataFrame:
-    """The plan against one rebuilt from the authorized revisions, both ways."""
-    columns = [
-        "decision_revision_id", "deletion_request_id", "customer_key", "deletion_mode",
-        "deletion_policy_version", "target_layer", "target_relation", "target_kind", "planned_action",
-    ]
-    rebuilt = controls.deletion_plan(history, stg_customer, cfg, targets)
-    return audit_same_rows(rebuilt.select(columns), plan.select(columns))
+    """The plan against one written anew from the authorized revisions, both ways."""
+    wanted = expected_plan(history, stg_customer, cfg, targets)
+    return audit_same_rows(wanted, plan.select(wanted.columns))
 
 
 def plan_metrics(plan: DataFrame) -> DataFrame:
@@ -238,19 +267,87 @@ def ledger_metrics(ledger: DataFrame) -> DataFrame:
 
 
 def audit_pending_untouched(
-    authorizations: DataFrame, plan: DataFrame, ledger: DataFrame, stg_customer: DataFrame, cfg: PipelineConfig
+    authorizations: DataFrame,
+    plan: DataFrame,
+    ledger: DataFrame,
+    stg_customer: DataFrame,
+    cfg: PipelineConfig,
+    outputs: Mapping[str, tuple[DataFrame, DataFrame]],
 ) -> DataFrame:
-    """Requests without an authorized revision that nevertheless appear in the plan."""
-    waiting = authorizations.where(~F.col("authorization_status").isin("AUTHORIZED")).select(
-        "deletion_request_id", "authorization_status"
-    )
+    """What a request without an authorized revision has nevertheless changed.
+
+    One finding per request that entered plan or ledger, and one per output and customer key of
+    such a request whose row counts differ. ``outputs`` gives each output as (rows, the rows there would be without
+    any request), both with ``customer_key``; keys that another request has put in the ledger are left out.
+    """
+    pending = authorizations.where(F.col("authorization_status") != "AUTHORIZED")
+    authorized = authorizations.where(F.col("authorization_status") == "AUTHORIZED").select("customer_id")
     admitted = union_all(
         [
             plan.select("deletion_request_id").distinct(),
             ledger.select(F.explode(F.array("deletion_request_id", "initial_deletion_request_id")).alias("deletion_request_id")),
         ]
     )
-    return waiting.where(F.col("authorization_status") == "PENDING").join(admitted, "deletion_request_id", "left_semi")
+    entered = pending.where(F.col("authorization_status") == "PENDING").join(admitted, "deletion_request_id", "left_semi")
+    keys = (
+        stg_customer.where(F.col("customer_ssn").isNotNull())
+        .join(pending.select("customer_id"), "customer_id", "left_semi")
+        .join(authorized, "customer_id", "left_anti")
+        .select(personal_data_key(F.col("customer_ssn"), "customer.ssn", cfg.scheme, "ssn").alias("customer_key"))
+        .distinct()
+        .join(ledger.select("customer_key"), "customer_key", "left_anti")
+    )
+    sides = [
+        df.select("customer_key", F.lit(name).alias("relation"), F.lit(1 - i).alias("found"), F.lit(i).alias("wanted"))
+        for name, pair in outputs.items()
+        for i, df in enumerate(pair)
+    ]
+    counted = union_all(sides).groupBy("relation", "customer_key").agg(
+        F.sum("wanted").alias("expected_rows"), F.sum("found").alias("actual_rows")
+    )
+    changed = counted.where("expected_rows <> actual_rows").join(keys, "customer_key", "left_semi")
+    none = F.lit(None).cast("bigint")
+    return entered.select(
+        F.lit("plan").alias("relation"), F.col("deletion_request_id").alias("subject"), none.alias("expected_rows"), none.alias("actual_rows")
+    ).unionByName(changed.select("relation", F.col("customer_key").alias("subject"), "expected_rows", "actual_rows"))
+
+
+def control_states(authorizations: DataFrame, ledger: DataFrame, stg_customer: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Each deletion request with its named state and how many of its customer's keys are suppressed."""
+    identities = stg_customer.where(F.col("customer_ssn").isNotNull()).select(
+        "customer_id", personal_data_key(F.col("customer_ssn"), "customer.ssn", cfg.scheme, "ssn").alias("customer_key")
+    ).distinct()
+    per_customer = (
+        identities.join(ledger.select("customer_key", "deletion_mode", "mode_escalated_at"), "customer_key", "left")
+        .groupBy("customer_id")
+        .agg(
+            F.count("*").alias("keys"),
+            F.count("deletion_mode").alias("suppressed_keys"),
+            F.count_if(F.col("deletion_mode") == FULL).alias("full_keys"),
+            F.count("mode_escalated_at").alias("escalated_keys"),
+        )
+    )
+    status = F.col("authorization_status")
+    state = (
+        F.when(status != "AUTHORIZED", status)
+        .when(F.col("suppressed_keys") < F.col("keys"), "NOT_SUPPRESSED")
+        .when(F.col("full_keys") == 0, "SPECIAL")
+        .when(F.col("full_keys") < F.col("keys"), "MIXED")
+        .when(F.col("escalated_keys") > 0, "ESCALATED_TO_FULL")
+        .otherwise("FULL")
+    )
+    return authorizations.join(per_customer, "customer_id", "left").select(
+        "deletion_request_id", state.alias("state"), F.coalesce("suppressed_keys", F.lit(0).cast("bigint")).alias("suppressed_keys")
+    )
+
+
+def audit_control_states(states: DataFrame, expected: DataFrame) -> DataFrame:
+    """Requests whose named state is not the expected one; both have (deletion_request_id, state)."""
+    wanted = expected.select("deletion_request_id", F.col("state").alias("expected_state"))
+    found = states.select("deletion_request_id", F.col("state").alias("actual_state"))
+    return wanted.join(found, "deletion_request_id", "outer").where(
+        ~F.col("expected_state").eqNullSafe(F.col("actual_state"))
+    )
 
 
 # ---- counts and facts -------------------------------------------------------------------------
@@ -293,6 +390,119 @@ def audit_payment(fact: DataFrame) -> DataFrame:
     return fact.where(broken).select("invoice_key")
 
 
+def audit_fact_integrity(
+    events: DataFrame, fct_event: DataFrame, invoices: DataFrame, fct_invoice: DataFrame
+) -> DataFrame:
+    """Keys of fact rows that are missing, unexpected, or differ from the accepted rows in any column."""
+
+    def day(column: str) -> Column:
+        return F.expr(f"year({column}) * 10000 + month({column}) * 100 + day({column})").cast("int")
+
+    wanted_events = events.select(
+        F.col("event_id").alias("record_key"),
+        F.struct("customer_key", "event_type", day("occurred_at").alias("d"), "occurred_at", "measure_value", "measure_unit", "is_erased_customer").alias("row"),
+    )
+    found_events = fct_event.select(
+        F.col("event_key").alias("record_key"),
+        F.struct("customer_key", "event_type", F.col("event_date_key").alias("d"), "occurred_at", "measure_value", "measure_unit", "is_erased_customer").alias("row"),
+    )
+    shared = ["customer_key", "service_key", "service_version_key", "amount", "currency_code", "is_paid", "is_due", "is_erased_customer"]
+    wanted_invoices = invoices.select(
+        F.col("invoice_id").alias("record_key"),
+        F.struct(*shared, day("issued_date").alias("i"), day("due_date").alias("d"), day("paid_at").alias("p")).alias("row"),
+    )
+    found_invoices = fct_invoice.select(
+        F.col("invoice_key").alias("record_key"),
+        F.struct(*shared, F.col("issue_date_key").alias("i"), F.col("due_date_key").alias("d"), F.col("paid_date_key").alias("p")).alias("row"),
+    )
+
+    def differing(name: str, wanted: DataFrame, found: DataFrame) -> DataFrame:
+        return audit_same_rows(wanted, found).select(F.lit(name).alias("relation"), "record_key").distinct()
+
+    return union_all(
+        [
+            differing("fct_customer_event", wanted_events, found_events),
+            differing("fct_invoice", wanted_invoices, found_invoices),
+        ]
+    )
+
+
+def audit_map_sources(
+    stg_customer: DataFrame,
+    stg_services: DataFrame,
+    suppressed: DataFrame,
+    customer_map: DataFrame,
+    service_map: DataFrame,
+) -> DataFrame:
+    """Readable maps against the trusted source, rebuilt from raw identifiers without the key function.
+
+    ``suppressed`` has the normalized numbers behind the ledger. Per map and kind of difference, the number of rows.
+    """
+
+    def normalized(column: str) -> Column:
+        return F.replace(F.trim(column), F.lit("-"), F.lit(""))
+
+    numbers = suppressed.select(F.col("normalized_ssn").alias("number"))
+    current = maps.latest_upserts(stg_customer).where("is_active").withColumn("number", normalized("customer_ssn"))
+    current = current.join(numbers, "number", "left_anti")
+    customers = maps.readable_customer_values(current)
+    readable = [c for c in customers.columns if c in customer_map.columns and c.endswith("_value")]
+    services = (
+        stg_services.where("is_valid and valid_to >= valid_from")
+        .withColumn("number", normalized("customer_ssn"))
+        .join(current.select("number").distinct(), "number", "left_semi")
+        .select(
+            F.col("service_id").alias("service_id_value"),
+            F.col("customer_ssn").alias("customer_ssn_value"),
+            maps.installation_address().alias("installation_address_value"),
+            "service_type",
+            "valid_from",
+            "valid_to",
+        )
+    )
+    checks = [
+        ("fa_pd_customer", customers.select(readable), customer_map.select(readable)),
+        ("fa_pd_service_address", services, service_map.select(services.columns)),
+    ]
+    return union_all(
+        audit_same_bag(wanted, found)
+        .groupBy("difference_type")
+        .agg(F.sum("surplus_rows").alias("row_count"))
+        .select(F.lit(name).alias("relation"), "difference_type", "row_count")
+        for name, wanted, found in checks
+    )
+
+
+# ---- access -----------------------------------------------------------------------------------
+
+GRANT_COLUMNS = ["grantee", "table_schema", "table_name"]
+
+
+def audit_relation_grants(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Granted reads that the matrix does not have, and reads of the matrix that are not granted."""
+    return audit_allowlist(expected, actual.where("privilege = 'SELECT'"), GRANT_COLUMNS)
+
+
+def audit_parent_privileges(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Schema use that a grantee has without a relation to read in it, or lacks although it has one."""
+    schemas = ["grantee", "table_schema"]
+    return audit_allowlist(expected, actual.where("privilege = 'USE SCHEMA'"), schemas)
+
+
+def audit_ambient_grants(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Any privilege of a grantee that the matrix does not know, and privileges other than reading and use."""
+    known = expected.select("grantee").distinct()
+    ambient = actual.join(known, "grantee", "left_anti")
+    strong = actual.where(~F.col("privilege").isin("SELECT", "USE SCHEMA")).join(known, "grantee", "left_semi")
+    return ambient.unionByName(strong).select("grantee", "privilege", "table_schema", "table_name")
+
+
+def audit_evidence_access(actual: DataFrame, relations: Sequence[str], keepers: Sequence[str]) -> DataFrame:
+    """Privileges on evidence relations for anyone but their keepers."""
+    evidence = F.col("table_name").isin(*relations)
+    return actual.where(evidence & ~F.col("grantee").isin(*keepers)).select("grantee", "privilege", "table_name")
+
+
 # ---- schemas and tags -------------------------------------------------------------------------
 
 def schema_rows(spark: SparkSession, relations: Mapping[str, DataFrame]) -> DataFrame:
@@ -425,11 +635,16 @@ def audit_metrics(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def metrics(spark: SparkSession, named: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """One named aggregate per entry."""
-    return union_all(
-        df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("metric"), "value")
-        for name, (df, value) in named.items()
-    )
+    """One named aggregate per entry; all entries of one relation are aggregated in one pass."""
+    passes: dict[int, tuple[DataFrame, dict[str, Column]]] = {}
+    for name, (df, value) in named.items():
+        passes.setdefault(id(df), (df, {}))[1][name] = value.cast("bigint")
+    out = []
+    for df, values in passes.values():
+        row = df.agg(*[v.alias(n) for n, v in values.items()])
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in values])
+        out.append(row.select(F.inline(pairs)))
+    return union_all(out)
 
 
 def control_state(ledger: DataFrame, subjects: DataFrame) -> DataFrame:

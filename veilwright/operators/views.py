@@ -159,6 +159,16 @@ def readable_relations(spark: SparkSession, persona: Persona) -> DataFrame:
     ).distinct()
 
 
+def denied_relations(spark: SparkSession, persona: Persona) -> DataFrame:
+    """Relations of the read matrix that the persona may not read."""
+    return (
+        expected_grants(spark)
+        .select("table_schema", "table_name")
+        .distinct()
+        .join(readable_relations(spark, persona), ["table_schema", "table_name"], "left_anti")
+    )
+
+
 def require_readable(persona: Persona, names: Iterable[str]) -> None:
     """Refuse a read before any plan is built."""
     allowed = {

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
+from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.config import CASE_USERS, DEMO_SCHEME, PRIVACY_ADMINS, RESTRICTED_USERS, Persona
@@ -19,6 +20,7 @@ from veilwright.functions import text as X
 from veilwright.operators import audits as A
 from veilwright.operators import controls, maps, policy, resolve, scan, specs, staging, star, views
 from veilwright.operators import evidence as E
+from veilwright.plans import pipeline as P
 from veilwright.plans.relations import Relations
 from veilwright.plans.teaching import TeachingRelations
 from veilwright.schemas import CONTRACTS
@@ -650,18 +652,63 @@ def persona_map_checks(run: Run) -> DataFrame:
     return A.union_all(rows)
 
 
+PERSONAS = ((RESTRICTED_USERS, RESTRICTED), (PRIVACY_ADMINS, ADMIN), (CASE_USERS, CASE))
+
+
+def _matrix_counts(run: Run) -> DataFrame:
+    """Row counts of every relation in the read matrix."""
+    sources = dict(run.extracts)
+    relations = {}
+    for _, names, _ in views.READ_MATRIX:
+        for name in names:
+            if name in sources:
+                relations[name] = sources[name]
+            elif not name.startswith("case_"):
+                relations[name] = getattr(run.up, name)
+    return A.row_counts(relations | run.up.case_views(CASE))
+
+
 @query
 def persona_readable_rows(run: Run) -> DataFrame:
-    """Rows of the published relations a persona may read; relations it may not read do not appear."""
-    names = ("stg_invoices", "quarantine_invoices", "fa_pd_customer", "int_customer_protected", "dim_customer", "fct_invoice")
-    counts = A.row_counts({n: getattr(run.up, n) for n in names} | run.up.case_views(CASE))
-    rows = []
-    for group, persona in ((RESTRICTED_USERS, RESTRICTED), (PRIVACY_ADMINS, ADMIN), (CASE_USERS, CASE)):
+    """Rows that each persona may read, over all relations of the matrix."""
+    counts, rows = _matrix_counts(run), []
+    for group, persona in PERSONAS:
         allowed = views.readable_relations(run.spark, persona).select(F.col("table_name").alias("relation"))
         rows.append(counts.join(allowed, "relation", "left_semi").withColumn("grantee", F.lit(group)))
     return A.union_all(rows)
 
 
+@query
+def persona_denied_rows(run: Run) -> DataFrame:
+    """Rows kept from each persona: every relation of the matrix that it may not read."""
+    counts, rows = _matrix_counts(run), []
+    for group, persona in PERSONAS:
+        denied = views.denied_relations(run.spark, persona).select(F.col("table_name").alias("relation"))
+        rows.append(counts.join(denied, "relation", "left_semi").withColumn("grantee", F.lit(group)))
+    return A.union_all(rows)
+
+
+def _source_checks(run: Run, customer_map: DataFrame) -> DataFrame:
+    up = run.up
+    suppressed = maps.suppressed_identifiers(up.ledger, up.customer_deletion_requests, run.lazy.stg_customer)
+    return A.audit_map_sources(
+        run.lazy.stg_customer, run.lazy.stg_customer_services, suppressed, customer_map, up.fa_pd_service_address
+    )
+
+
+@query
+def persona_source_checks(run: Run) -> DataFrame:
+    """Readable maps equal what the raw identifiers give."""
+    return _source_checks(run, run.up.fa_pd_customer)
+
+
+@query
+def persona_source_checks_broken(run: Run) -> DataFrame:
+    """A map whose readable numbers lost their hyphens for one segment."""
+    plain = F.when(F.col("customer_segment") == "BUILDING", F.lit("x")).otherwise(F.col("customer_id_value"))
+    return _source_checks(run, run.up.fa_pd_customer.withColumn("customer_id_value", plain))
+
+
 @query
 def persona_case_checks(run: Run) -> DataFrame:
     return views.case_resolution_checks(run.up.case_views(CASE))
@@ -758,7 +805,8 @@ def verify_execution(run: Run) -> DataFrame:
         digests, "COMPLETED", "execution-1", F.lit("2026-03-01 00:00:02").cast("timestamp"), "run-1"
     )
     verified_at = F.lit("2026-03-01 00:00:03").cast("timestamp")
-    return E.verify_execution(digests, completed, ["a"], ["a", "b"], [], "execution-1", verified_at, "run-1")
+    names = [*P.REQUIRED_AUDITS, *P.ACCESS_AUDITS]
+    return E.verify_execution(digests, completed, names, names, [], "execution-1", verified_at, "run-1")
 
 
 # ---- audits -----------------------------------------------------------------------------------
@@ -779,6 +827,12 @@ def audit_unique_service_periods(run: Run) -> DataFrame:
     return A.audit_unique(run.lazy.stg_customer_services, ["service_id", "valid_from"])
 
 
+@query
+def audit_unique_service_periods_broken(run: Run) -> DataFrame:
+    """Services by id alone: those with several periods."""
+    return A.audit_unique(run.lazy.stg_customer_services, ["service_id"])
+
+
 @query
 def audit_accepted_values(run: Run) -> DataFrame:
     return A.audit_accepted(run.lazy.stg_customer_events, "event_type", ["VIEW", "CLICK"])
@@ -828,6 +882,15 @@ def audit_service_partition(run: Run) -> DataFrame:
     )
 
 
+@query
+def audit_service_partition_broken(run: Run) -> DataFrame:
+    """Without the quarantine, exactly the rejected services are missing."""
+    expected = policy.without_deleted(run.up.int_customer_services_keyed, run.up.ledger, "customer_key").select(
+        "service_version_key", F.lit(1).alias("expected_occurrence_count")
+    )
+    return A.audit_partition(expected, [run.up.int_customer_services_resolved], "service_version_key")
+
+
 @query
 def audit_invoice_partition(run: Run) -> DataFrame:
     """Without the suppressed outcome, exactly the suppressed invoices are missing."""
@@ -846,6 +909,15 @@ def audit_invoice_service_tuple(run: Run) -> DataFrame:
     return A.audit_tuple(ordinary, run.up.int_customer_services_resolved, keys, inside).select("invoice_id")
 
 
+@query
+def audit_invoice_service_tuple_broken(run: Run) -> DataFrame:
+    """Against services that all start too late, every ordinary invoice is left over."""
+    ordinary = run.up.int_invoices_resolved.where(~F.col("is_erased_customer"))
+    late = F.col("child.issued_date") < F.col("parent.valid_from")
+    keys = ["customer_key", "service_key", "service_version_key"]
+    return A.audit_tuple(ordinary, run.up.int_customer_services_resolved, keys, late).select("invoice_id")
+
+
 @query
 def audit_customer_map_tuple(run: Run) -> DataFrame:
     """Keyed services outside the accepted tuples."""
@@ -882,6 +954,37 @@ def audit_deleted_absent(run: Run) -> DataFrame:
     )
 
 
+@query
+def audit_quarantine_deleted_absent(run: Run) -> DataFrame:
+    """Ledger keys behind the raw identifiers of the quarantine tables: none."""
+    return A.audit_deleted_absent(P.quarantined_keys(run.up), run.up.ledger)
+
+
+@query
+def audit_quarantine_deleted_absent_broken(run: Run) -> DataFrame:
+    """The same with all source rows in place of the rejected ones."""
+    key = K.ssn_key(F.col("customer_ssn"), SCHEME).alias("customer_key")
+    rows = {"events": run.lazy.stg_customer_events, "services": run.lazy.stg_customer_services}
+    return A.audit_deleted_absent({n: df.select(key) for n, df in rows.items()}, run.up.ledger)
+
+
+def _fact_integrity(run: Run, fct_invoice: DataFrame) -> DataFrame:
+    up = run.up
+    return A.audit_fact_integrity(up.int_customer_events_resolved, up.fct_customer_event, up.int_invoices_resolved, fct_invoice)
+
+
+@query
+def audit_fact_integrity(run: Run) -> DataFrame:
+    return _fact_integrity(run, run.up.fct_invoice)
+
+
+@query
+def audit_fact_integrity_broken(run: Run) -> DataFrame:
+    """Paid invoices with another amount, and no unpaid ones."""
+    paid = run.up.fct_invoice.where("is_paid")
+    return _fact_integrity(run, paid.withColumn("amount", (F.col("amount") + 1).cast("decimal(18,2)")))
+
+
 @query
 def audit_erased_members(run: Run) -> DataFrame:
     """The protected table has no erased member, so the first rule fails when it stands in."""
@@ -953,6 +1056,12 @@ def audit_key_contract(run: Run) -> DataFrame:
     return A.audit_key_contract(run.lazy.stg_customer, "email", CFG)
 
 
+@query
+def audit_key_contract_broken(run: Run) -> DataFrame:
+    """The demo scheme in place of the production one breaks two rules on every value."""
+    return A.audit_key_contract(run.lazy.stg_customer, "email", SimpleNamespace(scheme=DEMO_SCHEME))
+
+
 @query
 def audit_key_format(run: Run) -> DataFrame:
     return A.audit_key_format(run.up.fa_pd_customer, run.up.fa_pd_service_address)
@@ -986,6 +1095,28 @@ def audit_plan(run: Run) -> DataFrame:
     )
 
 
+@query
+def audit_plan_sound(run: Run) -> DataFrame:
+    """The whole plan against the one written anew: nothing differs."""
+    return A.audit_plan(
+        run.up.int_customer_deletion_plan, run.up.customer_deletion_authorization_history, run.lazy.stg_customer, CFG
+    )
+
+
+@query
+def control_states(run: Run) -> DataFrame:
+    return A.control_states(run.up.customer_deletion_authorizations, run.up.ledger, run.lazy.stg_customer, CFG)
+
+
+@query
+def audit_control_states(run: Run) -> DataFrame:
+    """States against what the latest decision alone would give: the escalated and the still SPECIAL ones differ."""
+    authorizations = run.up.customer_deletion_authorizations
+    status = F.col("authorization_status")
+    expected = authorizations.select("deletion_request_id", F.when(status == "AUTHORIZED", "FULL").otherwise(status).alias("state"))
+    return A.audit_control_states(control_states(run), expected)
+
+
 @query
 def audit_plan_metrics(run: Run) -> DataFrame:
     return A.plan_metrics(run.up.int_customer_deletion_plan)
@@ -1006,11 +1137,53 @@ def audit_control_state(run: Run) -> DataFrame:
     return A.control_state(run.up.ledger, subjects)
 
 
-@query
-def audit_pending_untouched(run: Run) -> DataFrame:
+def _pending(run: Run, outputs: dict) -> DataFrame:
     return A.audit_pending_untouched(
         run.up.customer_deletion_authorizations, run.up.int_customer_deletion_plan, run.up.ledger,
-        run.lazy.stg_customer, CFG,
+        run.lazy.stg_customer, CFG, outputs,
+    )
+
+
+@query
+def audit_pending_untouched(run: Run) -> DataFrame:
+    return _pending(run, P.pending_outputs(run.up))
+
+
+@query
+def audit_pending_untouched_broken(run: Run) -> DataFrame:
+    """Facts without clicks, and a map without its customers."""
+    outputs = P.pending_outputs(run.up)
+    clicks = run.up.int_customer_events_keyed.where("event_type <> 'CLICK'").select("customer_key")
+    broken = {
+        "fct_customer_event": (clicks, outputs["fct_customer_event"][1]),
+        "fa_pd_customer": (outputs["fa_pd_customer"][0].limit(0), outputs["fa_pd_customer"][1]),
+    }
+    return _pending(run, broken)
+
+
+def _grants(run: Run) -> DataFrame:
+    """A grants relation from the customers: each row is one privilege, right or wrong."""
+    relations = [(schema, name) for schema, names, _ in views.READ_MATRIX for name in names]
+    relations += [("evidence", name) for name in E.EVIDENCE_RELATIONS]
+    k = F.col("c_custkey")
+
+    def pick(values: list[str], by) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
+
+    return run.table("customer").select(
+        pick([PRIVACY_ADMINS, RESTRICTED_USERS, CASE_USERS, "everyone"], k).alias("grantee"),
+        pick(["SELECT", "SELECT", "SELECT", "USE SCHEMA", "MODIFY"], k).alias("privilege"),
+        pick([schema for schema, _ in relations], k).alias("table_schema"),
+        pick([name for _, name in relations], k).alias("table_name"),
+    ).distinct()
+
+
+@query
+def audit_access(run: Run) -> DataFrame:
+    """The four access audits over a relation of grants: findings per audit and grantee."""
+    found = P.access_audits(run.spark, _grants(run))
+    return A.union_all(
+        df.groupBy("grantee").agg(F.count("*").alias("findings")).withColumn("audit", F.lit(name)) for name, df in found.items()
     )
 
 

@@ -13,10 +13,11 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.config import CASE_USERS, Persona, PipelineConfig
+from veilwright.config import CASE_USERS, PRIVACY_ADMINS, Persona, PipelineConfig
+from veilwright.functions import keys as K
 from veilwright.operators import audits as A
 from veilwright.operators import evidence as E
-from veilwright.operators import resolve
+from veilwright.operators import maps, resolve, views
 from veilwright.operators.controls import LEDGER, PLAN, TARGETS
 from veilwright.plans.relations import Relations
 from veilwright.schemas import CONTRACTS, CONTROL_KEYS
@@ -62,15 +63,22 @@ REQUIRED_AUDITS = (
     "plan_matches_authorizations",
     "pending_requests_untouched",
     "protected_terminal_deletion",
+    "quarantine_terminal_deletion",
     "star_terminal_deletion",
     "case_terminal_deletion",
     "erased_member_invariants",
     "event_partition",
     "service_partition",
     "invoice_partition",
+    "fact_integrity",
+    "map_sources",
 )
 
 
+# Added to these where the platform's grants are handed in as a relation.
+ACCESS_AUDITS = ("relation_grants", "parent_privileges", "ambient_grants", "evidence_access")
+
+
 def _side_by_side(spark: SparkSession, work: Iterable[Callable[[], T]]) -> list[T]:
     """Run independent Spark jobs from a few driver threads; the first error is raised."""
     inherit = inheritable_thread_target(spark)
@@ -90,10 +98,37 @@ class RunResult:
     verified: bool
 
 
+def quarantined_keys(r: Relations) -> dict[str, DataFrame]:
+    """The quarantine tables with their raw identifiers as keys."""
+    names = ("quarantine_customer_events", "quarantine_customer_services", "quarantine_invoices")
+    key = K.ssn_key(F.col("customer_ssn"), r.cfg.scheme).alias("customer_key")
+    return {name: getattr(r, name).select(key) for name in names}
+
+
+def pending_outputs(r: Relations) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Each output beside what its source gives where no request is authorized."""
+    current = maps.latest_upserts(r.stg_customer).where("is_active")
+    people = current.select(K.ssn_key(F.col("customer_ssn"), r.cfg.scheme).alias("customer_key"))
+    rejected = quarantined_keys(r)
+
+    def both(name: str, table: str) -> tuple[DataFrame, DataFrame]:
+        found = getattr(r, name).select("customer_key").unionByName(rejected[table])
+        return found, getattr(r, {"fct_customer_event": "int_customer_events_keyed", "fct_invoice": "int_invoices_keyed"}.get(name, "int_customer_services_keyed")).select("customer_key")
+
+    return {
+        "fa_pd_customer": (r.fa_pd_customer.select("customer_key"), people),
+        "int_customer_protected": (r.int_customer_protected.select("customer_key"), people),
+        "dim_customer": (r.dim_customer.select("customer_key"), people),
+        "dim_service": both("dim_service", "quarantine_customer_services"),
+        "fct_customer_event": both("fct_customer_event", "quarantine_customer_events"),
+        "fct_invoice": both("fct_invoice", "quarantine_invoices"),
+    }
+
+
 def required_audits(r: Relations, persona: Persona) -> dict[str, DataFrame]:
     """The audits behind verification, each returning violating rows."""
     ledger = r.ledger
-    views = r.case_views(persona)
+    case = r.case_views(persona)
     keyed_services = r.int_customer_services_keyed
     resolution = r.int_invoice_resolution
     quarantined_services = resolve.key_services(r.quarantine_customer_services, r.cfg)
@@ -102,7 +137,19 @@ def required_audits(r: Relations, persona: Persona) -> dict[str, DataFrame]:
             r.int_customer_deletion_plan, r.customer_deletion_authorization_history, r.stg_customer, r.cfg, r.targets
         ),
         "pending_requests_untouched": A.audit_pending_untouched(
-            r.customer_deletion_authorizations, r.int_customer_deletion_plan, ledger, r.stg_customer, r.cfg
+            r.customer_deletion_authorizations, r.int_customer_deletion_plan, ledger, r.stg_customer, r.cfg,
+            pending_outputs(r),
+        ),
+        "quarantine_terminal_deletion": A.audit_deleted_absent(quarantined_keys(r), ledger),
+        "fact_integrity": A.audit_fact_integrity(
+            r.int_customer_events_resolved, r.fct_customer_event, r.int_invoices_resolved, r.fct_invoice
+        ),
+        "map_sources": A.audit_map_sources(
+            r.stg_customer,
+            r.stg_customer_services,
+            maps.suppressed_identifiers(ledger, r.customer_deletion_requests, r.stg_customer),
+            r.fa_pd_customer,
+            r.fa_pd_service_address,
         ),
         "protected_terminal_deletion": A.audit_deleted_absent(
             {
@@ -121,7 +168,7 @@ def required_audits(r: Relations, persona: Persona) -> dict[str, DataFrame]:
         "star_terminal_deletion": A.audit_deleted_absent(
             {n: getattr(r, n) for n in ("dim_customer", "dim_service", "fct_customer_event", "fct_invoice")}, ledger
         ),
-        "case_terminal_deletion": A.audit_deleted_absent(views, ledger),
+        "case_terminal_deletion": A.audit_deleted_absent(case, ledger),
         "erased_member_invariants": A.audit_erased_members(
             r.dim_customer, r.dim_service, r.fct_customer_event, r.fct_invoice, r.cfg
         ),
@@ -145,6 +192,17 @@ def required_audits(r: Relations, persona: Persona) -> dict[str, DataFrame]:
     }
 
 
+def access_audits(spark: SparkSession, grants: DataFrame) -> dict[str, DataFrame]:
+    """Audits of (grantee, privilege, table_schema, table_name) against the read matrix."""
+    expected = views.expected_grants(spark).select(*A.GRANT_COLUMNS)
+    return {
+        "relation_grants": A.audit_relation_grants(expected, grants),
+        "parent_privileges": A.audit_parent_privileges(expected, grants),
+        "ambient_grants": A.audit_ambient_grants(expected, grants),
+        "evidence_access": A.audit_evidence_access(grants, E.EVIDENCE_RELATIONS, [PRIVACY_ADMINS]),
+    }
+
+
 def run_pipeline(
     spark: SparkSession,
     extracts: Mapping[str, DataFrame],
@@ -154,8 +212,12 @@ def run_pipeline(
     execution_id: str,
     invocation_id: str | None = None,
     targets=TARGETS,
+    grants: DataFrame | None = None,
 ) -> RunResult:
-    """One governed build. Outputs become visible together, and only after every audit passed."""
+    """One governed build. Outputs become visible together, and only after every audit passed.
+
+    With ``grants`` (grantee, privilege, table_schema, table_name), the access audits must pass too.
+    """
     E.check_execution_id(execution_id)
     invocation = E.check_execution_id(invocation_id or uuid.uuid4().hex)
     store = TableStore(spark, table_root)
@@ -182,16 +244,19 @@ def run_pipeline(
         _build(r, OUTPUT_WAVES)
         record("COMPLETED")
         required = required_audits(r, Persona.of(CASE_USERS))
+        names = REQUIRED_AUDITS
+        if grants is not None:
+            required, names = {**required, **access_audits(spark, grants)}, (*names, *ACCESS_AUDITS)
         findings = dict(zip(required, _side_by_side(spark, (df.count for df in required.values()))))
         failed = [name for name, count in findings.items() if count]
         outcome = E.verify_execution(
-            digests, evidence.events(), REQUIRED_AUDITS, set(findings) - set(failed), failed,
+            digests, evidence.events(), names, set(findings) - set(failed), failed,
             execution_id, F.current_timestamp(), invocation,
         )
         if failed:
             raise E.EvidenceError(f"audits failed: {failed}")
         if outcome is None:
-            raise E.EvidenceError(f"audits missing: {sorted(set(REQUIRED_AUDITS) - set(findings))}")
+            raise E.EvidenceError(f"audits missing: {sorted(set(names) - set(findings))}")
         # Outputs are never visible without their verification; a crash in between leaves the old ones.
         evidence.append(outcome.coalesce(1), "execution_events", f"{invocation}-verified")
         store.switch(OUTPUT_TABLES, invocation)

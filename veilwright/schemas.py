@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Extracts arrive with every column as string.
+# Fixed values.
 EXTRACT_COLUMNS = {
     "customer": (
         "customer_change_id", "customer_pk", "customer_id", "customer_ssn", "first_name",
@@ -83,6 +84,7 @@ _DECISION_TAIL_DDL = (
 )
 
 # Contract of every published relation.
+# Fixed values.
 CONTRACTS = {
     name: _ddl(text)
     for name, text in {
@@ -173,6 +175,7 @@ CONTRACTS = {
 }
 
 # Unique keys of the durable controls; also the keys they are archived and restored by.
+# Fixed values.
 CONTROL_KEYS = {
     "customer_deletion_requests": ("deletion_request_id",),
     "int_customer_deletion_plan": (

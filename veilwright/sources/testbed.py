@@ -101,7 +101,7 @@ def customer_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("phone"),
         kept(F.date_add(F.lit("1950-01-01").cast("date"), (k % 20000).cast("int")).cast("string")).alias("birth_date"),
         kept(_cat(k, " Demo  Street"), _every(k, 29)).alias("address_line1"),
-        kept(F.when(_every(k, 3), "Unit B").otherwise("")).alias("address_line2"),
+        kept(F.when(_every(k, 3), "Rear").otherwise("")).alias("address_line2"),
         kept(_cat(" City ", F.col("c_nationkey")), city_missing).alias("city"),
         kept(F.lpad((k % 100000).cast("string"), 5, "0"), _every(k, 29)).alias("postal_code"),
         kept(F.lit(" fi"), _every(k, 58)).alias("country_code"),
@@ -181,8 +181,8 @@ def customer_services(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_every(k, 2), service_id).otherwise(F.lower(service_id)).alias("service_id"),
         F.when(v == "X", _ssn(k, _UNKNOWN)).otherwise(_ssn(k, _CURRENT)).alias("customer_ssn"),
         F.when(v == "B", " mobile").otherwise("internet").alias("service_type"),
-        kept(_cat(k + 200, " Installation Road")).alias("installation_address_line1"),
-        kept(F.when(v == "B", "Unit B").otherwise("")).alias("installation_address_line2"),
+        kept(_cat(k + 200, " Socket Lane")).alias("installation_address_line1"),
+        kept(F.when(v == "B", "Rear").otherwise("")).alias("installation_address_line2"),
         kept(_cat("City ", F.col("c_nationkey"))).alias("installation_city"),
         kept(F.lpad((k % 100000).cast("string"), 5, "0")).alias("installation_postal_code"),
         kept(F.lit("fi")).alias("installation_country_code"),
