@@ -716,6 +716,11 @@ BODIES = {
     "model_case_view": """
         SELECT f.event_key, f.customer_key, m.full_name_value AS full_name, f.is_erased_customer
         FROM fct_event f LEFT JOIN customer_map m USING (customer_key) WHERE NOT f.is_erased_customer""",
+    "model_from_cte": f"""
+        SELECT invoice_id, amount, customer_segment, invoices_of_customer
+        FROM (SELECT invoice_id, amount, customer_key, count(*) OVER (PARTITION BY customer_key) AS invoices_of_customer
+              FROM (SELECT invoice_id, amount, {ssn_key()} AS customer_key FROM stg_invoices WHERE is_paid))
+        JOIN protected USING (customer_key)""",
     "model_control_merge": f"""
         SELECT deletion_request_id, CAST(CASE WHEN authorization_status = 'AUTHORIZED' THEN {SECOND_RUN_TS}
                  ELSE {RUN_TS} END AS DATE) AS detected_on FROM authorizations""",

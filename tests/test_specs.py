@@ -47,7 +47,26 @@ def test_plain_expression_key_join_and_filter(relations, cfg):
     joined = spec("layer1", "STAGING", columns, joins=(S.JoinSpec("status", "s", "source_rows.order_id = s.order_id", "left"),), where=("amount > 5",))
     assert sorted(map(tuple, S.build_model(joined, relations, cfg).collect())) == [("o2", 12, "BAD"), ("o3", 14, None)]
     crossed = spec("layer1", "STAGING", columns, joins=(S.JoinSpec("status", "s", how="cross"),))
-    assert S.build_model(crossed, relations, cfg).count() == 6
+    spark = relations["orders"].sparkSession
+    literal = {**relations, "status": spark.sql("SELECT * FROM VALUES ('A'), ('B') AS t(status)")}
+    assert S.build_model(crossed, literal, cfg).count() == 6
+    with pytest.raises(ValueError, match="literal"):
+        S.build_model(crossed, {**relations, "status": relations["orders"]}, cfg)
+
+
+def test_named_relations(relations, cfg):
+    mine = S.NamedSpec("mine", "orders", (S.ColumnSpec("order_id"), S.ColumnSpec("amount")), where=("amount > 5",))
+    total = S.NamedSpec("total", "mine", (S.ColumnSpec("one", expression="1"), S.ColumnSpec("n", expression="count(*)")), group_by=("one",))
+    columns = [S.ColumnSpec("order_id", expression="m.order_id"), S.ColumnSpec("n", expression="t.n")]
+    model = S.ModelSpec(
+        "layer1", "STAGING", "example", "mine", ("order_id",), tuple(columns), alias="m",
+        joins=(S.JoinSpec("total", "t", "t.one = 1"),), named=(mine, total),
+    )
+    assert sorted(map(tuple, S.build_model(model, relations, cfg).collect())) == [("o2", 2), ("o3", 2)]
+    with pytest.raises(ValueError, match="only after"):
+        S.validate(replace(model, named=(total, mine)))
+    with pytest.raises(ValueError, match="two relations"):
+        S.validate(replace(model, named=(mine, mine)))
 
 
 def test_governed_kinds(spark, relations, cfg, ledger):

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwright.config import FULL, SPECIAL, KeyScheme, Persona
+from veilwright.config import SPECIAL, KeyScheme, Persona
 from veilwright.functions.keys import personal_data_key
 from veilwright.sources.tables import union_all
 
@@ -27,24 +27,24 @@ _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 def check_identifier(value, argument: str) -> str:
     if not isinstance(value, str) or not _IDENTIFIER.fullmatch(value):
-        raise ValueError(f"{argument} must be a simple identifier; received: {value!r}")
+        raise ValueError(f"{argument}: {value!r} is no plain name")
     return value
 
 
 def check_columns(columns, argument: str = "columns") -> list[str]:
     if isinstance(columns, str) or not isinstance(columns, Sequence) or not columns:
-        raise ValueError(f"{argument} must be a non-empty list of identifiers")
+        raise ValueError(f"{argument}: at least one name is needed")
     for name in columns:
         check_identifier(name, argument)
     if len(set(columns)) != len(columns):
-        raise ValueError(f"{argument} contains a duplicate: {list(columns)}")
+        raise ValueError(f"{argument}: a name occurs twice in {list(columns)}")
     return list(columns)
 
 
 def check_model_type(model_type: str) -> str:
     kind = str(model_type).upper()
     if kind not in MODEL_TYPES:
-        raise ValueError(f"model_type must be one of {', '.join(MODEL_TYPES)}; received: {model_type!r}")
+        raise ValueError(f"unknown model type {model_type!r}; known: {', '.join(MODEL_TYPES)}")
     return kind
 
 
@@ -94,17 +94,17 @@ def apply_policy(
     kind = str(behavior).upper()
     if kind == "DELETE":
         if replacements or flag is not None:
-            raise ValueError("DELETE does not accept replacements or an erased flag")
+            raise ValueError("DELETE drops rows, so it replaces and flags none")
         return df.where(mode.isNull()).select(*names)
     if kind != "REPLACE":
-        raise ValueError(f"behavior must be DELETE or REPLACE; received: {behavior!r}")
+        raise ValueError(f"neither DELETE nor REPLACE: {behavior!r}")
     if not replacements or flag is None:
-        raise ValueError("REPLACE requires replacements and an erased flag")
+        raise ValueError("REPLACE: what is replaced, and by which flag is it marked?")
     unknown = sorted(set(replacements) - set(names))
     if unknown:
-        raise ValueError(f"replacements are not output columns: {unknown}")
+        raise ValueError(f"not projected, so not replaceable: {unknown}")
     if check_identifier(flag, "flag") in names:
-        raise ValueError(f"flag must not duplicate an output column: {flag}")
+        raise ValueError(f"the flag {flag} is projected already")
     special = F.coalesce(mode == SPECIAL, F.lit(False))
     projected = [
         F.when(special, replacements[c]).otherwise(F.col(c)).alias(c) if c in replacements else F.col(c)
@@ -136,47 +136,47 @@ def governed_model(
     names = check_columns(columns)
     for key in _as_list(primary_key, "primary_key"):
         if key not in names:
-            raise ValueError(f"{name}: primary key is not an output column: {key}")
+            raise ValueError(f"{name}: primary key {key} is not projected")
     if mode_annotated and policy_applied:
-        raise ValueError(f"{name}: mode_annotated and policy_applied are mutually exclusive")
+        raise ValueError(f"{name}: rows are either annotated or governed already, not both")
 
     if kind == "CASE_VIEW":
         if policy_applied:
-            raise ValueError(f"{name}: policy_applied is supported only for FACT")
+            raise ValueError(f"{name}: only a FACT may be governed already")
         if mode_annotated or special_columns is not None:
-            raise ValueError(f"{name}: CASE_VIEW accepts neither mode_annotated nor special_columns")
+            raise ValueError(f"{name}: a CASE_VIEW neither annotates nor replaces")
         if predicate is None:
-            raise ValueError(f"{name}: CASE_VIEW requires an access predicate")
+            raise ValueError(f"{name}: a CASE_VIEW without a predicate would be open to all")
         if flag is None and key_column is None:
-            raise ValueError(f"{name}: CASE_VIEW requires a flag or a key column")
+            raise ValueError(f"{name}: a CASE_VIEW needs a flag or a key to hide erased rows")
         visible = ~F.col(flag) if flag is not None else F.col(key_column) != erased_key
         return df.where(predicate & visible).select(*names)
 
     if predicate is not None:
-        raise ValueError(f"{name}: a predicate is supported only for CASE_VIEW")
+        raise ValueError(f"{name}: only a CASE_VIEW has a predicate")
     if kind != "FACT":
         if policy_applied:
-            raise ValueError(f"{name}: policy_applied is supported only for FACT")
+            raise ValueError(f"{name}: only a FACT may be governed already")
         if special_columns is not None:
-            raise ValueError(f"{name}: only FACT accepts special_columns")
+            raise ValueError(f"{name}: columns are replaced in a FACT only")
         if mode_annotated:
             return apply_policy(df, names, "DELETE", mode_column=mode_column)
         key = key_expression if key_expression is not None else key_column
         if key is None:
-            raise ValueError(f"{name}: key_column or key_expression is required")
+            raise ValueError(f"{name}: which key meets the ledger?")
         return without_deleted(df, _need_ledger(ledger, name), key).select(*names)
 
     replaced = _as_list(special_columns or [], f"{name}: special_columns")
     if key_column not in replaced:
-        raise ValueError(f"{name}: FACT must include its key column in special_columns")
+        raise ValueError(f"{name}: a FACT replaces at least its key column")
     if set(replaced) - set(names):
-        raise ValueError(f"{name}: special_columns are not output columns: {sorted(set(replaced) - set(names))}")
+        raise ValueError(f"{name}: replaced, but not projected: {sorted(set(replaced) - set(names))}")
     if flag is None:
-        raise ValueError(f"{name}: FACT requires an erased flag")
+        raise ValueError(f"{name}: a FACT marks erased rows by a flag")
     if policy_applied:
         # Leak guard: a row that still carries a ledger key never gets through.
         if flag not in names:
-            raise ValueError(f"{name}: a policy-applied FACT must project its erased flag")
+            raise ValueError(f"{name}: a FACT governed already projects its erased flag")
         # The erased member is in no ledger; its rows are dealt over many keys, or they would all
         # meet the ledger in one task.
         key, own = F.col(key_column), [F.col(c) for c in _as_list(primary_key, "primary_key")]
@@ -193,7 +193,7 @@ def governed_model(
 
 def _need_ledger(ledger: DataFrame | None, name: str) -> DataFrame:
     if ledger is None:
-        raise ValueError(f"{name}: a ledger is required")
+        raise ValueError(f"{name}: no ledger given")
     return ledger
 
 
@@ -220,38 +220,37 @@ def contract_violations(
     pk = _as_list(primary_key, "primary_key")
     keys = _as_list(key_columns, "key_columns")
     if kind not in ("FACT", "CASE_VIEW") and len(keys) != 1:
-        raise ValueError("delete-style contracts require exactly one customer key column")
-
-    def failing(rows: DataFrame, reason: str) -> DataFrame:
-        return rows.select(F.lit(reason).alias("failure_reason"))
+        raise ValueError("without replacement there is one customer key column")
 
     any_null = F.lit(False)
     for c in pk:
         any_null = any_null | F.col(c).isNull()
-    found = [
-        failing(df.where(any_null), "NULL_PRIMARY_KEY"),
-        failing(df.groupBy(*pk).count().where(F.col("count") > 1), "DUPLICATE_PRIMARY_KEY"),
-    ]
     erased = [F.col(c).eqNullSafe(F.lit(erased_key)) for c in keys]
     any_erased, all_erased = F.lit(False), F.lit(True)
     for test in erased:
         any_erased, all_erased = any_erased | test, all_erased & test
+    rules = {"NULL_PRIMARY_KEY": any_null}
     if kind == "FACT":
         if flag is None:
-            raise ValueError("FACT contract requires an erased flag")
+            raise ValueError("a FACT has an erased flag")
         marked = F.col(flag)
-        broken = marked.isNull() | (marked & ~all_erased) | (~marked & any_erased)
-        found.append(failing(df.where(broken), "INVALID_ERASED_MEMBER"))
+        rules["INVALID_ERASED_MEMBER"] = marked.isNull() | (marked & ~all_erased) | (~marked & any_erased)
+    checked = df
     if kind == "CASE_VIEW":
-        found.append(failing(df.where(any_erased), "ERASED_MEMBER_VISIBLE_IN_CASE_VIEW"))
+        rules["ERASED_MEMBER_VISIBLE_IN_CASE_VIEW"] = any_erased
     else:
         key = F.col(key_column)
         if key_domain is not None:
             key = personal_data_key(key, key_domain, scheme, key_kind)
         deleted = _need_ledger(ledger, "contract").select(F.col("customer_key").alias("_deleted_key"))
-        found.append(failing(df.join(deleted, key == F.col("_deleted_key"), "inner"), "DELETED_CUSTOMER_VISIBLE"))
-    return union_all(found)
-
-
-def is_full(mode: Column) -> Column:
-    return mode == FULL
+        checked = df.join(deleted, key == F.col("_deleted_key"), "left")
+        rules["DELETED_CUSTOMER_VISIBLE"] = F.col("_deleted_key").isNotNull()
+    # One pass for all rules on single rows, one for repeated keys.
+    broken = F.array_compact(F.array(*[F.when(test, F.lit(reason)) for reason, test in rules.items()]))
+    repeated = df.groupBy(*pk).count().where(F.col("count") > 1)
+    return union_all(
+        [
+            checked.select(F.explode(broken).alias("failure_reason")),
+            repeated.select(F.lit("DUPLICATE_PRIMARY_KEY").alias("failure_reason")),
+        ]
+    )

@@ -76,6 +76,22 @@ class DeletionSpec:
     register_target: bool = False
 
 
+@dataclass(frozen=True)
+class NamedSpec:
+    """A relation of a model's own, under a name that its source and joins may use.
+
+    It reads relations from outside or names given before it.
+    """
+
+    name: str
+    source: str
+    columns: tuple[ColumnSpec, ...]
+    alias: str = "source_rows"
+    joins: tuple[JoinSpec, ...] = ()
+    where: tuple[str, ...] = ()
+    group_by: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     layer: str
@@ -91,6 +107,7 @@ class ModelSpec:
     deletion: DeletionSpec | None = None
     erased_member: Mapping[str, str] | None = None
     merge_key: tuple[str, ...] | None = None
+    named: tuple[NamedSpec, ...] = ()
 
     @property
     def column_names(self) -> list[str]:
@@ -104,49 +121,68 @@ class ModelSpec:
 def validate(spec: ModelSpec) -> None:
     """Refuse a contradictory spec before any plan is built."""
     if spec.layer not in LAYER_KINDS or spec.kind not in LAYER_KINDS[spec.layer]:
-        raise ValueError(f"{spec.name}: no kind {spec.kind} in layer {spec.layer}")
+        raise ValueError(f"{spec.name}: layer {spec.layer} holds no {spec.kind}")
     check_identifier(spec.name, "name")
     if spec.kind == "DATE_DIMENSION":
         if spec.source or spec.columns or spec.joins or spec.where or spec.deletion or spec.erased_member:
-            raise ValueError(f"{spec.name}: DATE_DIMENSION takes only its date range")
+            raise ValueError(f"{spec.name}: a date dimension has nothing but its range")
         return
     if not spec.source:
-        raise ValueError(f"{spec.name}: a source is required")
+        raise ValueError(f"{spec.name}: which relation does it read?")
     names = check_columns(spec.column_names, f"{spec.name}: columns")
     if not spec.primary_key or set(spec.primary_key) - set(names):
-        raise ValueError(f"{spec.name}: the primary key must be among the columns")
-    aliases = [spec.alias] + [j.alias for j in spec.joins]
-    if len(set(aliases)) != len(aliases):
-        raise ValueError(f"{spec.name}: duplicate relation alias in {aliases}")
-    for join in spec.joins:
-        if join.how not in ("inner", "left", "cross"):
-            raise ValueError(f"{spec.name}: join must be inner, left or cross")
-        if (join.how == "cross") != (join.on is None):
-            raise ValueError(f"{spec.name}: a join needs a condition unless it is a cross join")
+        raise ValueError(f"{spec.name}: the primary key is not projected")
+    _validate_joins(spec.name, spec.alias, spec.joins)
+    _validate_named(spec)
     for column in spec.columns:
         if column.mask_column and spec.kind != "MAPPING":
-            raise ValueError(f"{spec.name}: masks are supported only for MAPPING")
+            raise ValueError(f"{spec.name}: a mask belongs into a MAPPING")
         if (column.mask_column or column.tags) and spec.storage not in ("table", "incremental"):
-            raise ValueError(f"{spec.name}: tags and masks need a stored relation")
+            raise ValueError(f"{spec.name}: only stored relations carry tags and masks")
         if column.expression is not None and column.key is not None:
-            raise ValueError(f"{spec.name}: {column.name} has both an expression and a key")
+            raise ValueError(f"{spec.name}: {column.name} is given twice, as expression and as key")
     if spec.helper_columns and spec.deletion is None:
-        raise ValueError(f"{spec.name}: helper columns need a deletion block")
+        raise ValueError(f"{spec.name}: helper columns without a deletion rule have no use")
     if set(names) & {c.name for c in spec.helper_columns}:
-        raise ValueError(f"{spec.name}: a helper column repeats a visible column")
+        raise ValueError(f"{spec.name}: a helper column hides a visible one")
     if spec.kind in GOVERNED_KINDS and spec.deletion is None:
-        raise ValueError(f"{spec.name}: {spec.kind} requires a deletion block")
+        raise ValueError(f"{spec.name}: {spec.kind} needs a deletion rule")
     if spec.erased_member is not None:
         if spec.kind != "DIMENSION":
-            raise ValueError(f"{spec.name}: an erased member is supported only for DIMENSION")
+            raise ValueError(f"{spec.name}: only a DIMENSION has an erased member")
         if set(spec.erased_member) != set(names):
-            raise ValueError(f"{spec.name}: the erased member must give every column")
+            raise ValueError(f"{spec.name}: the erased member leaves columns open")
     if spec.merge_key is not None and set(spec.merge_key) - set(names):
-        raise ValueError(f"{spec.name}: the merge key must be among the columns")
+        raise ValueError(f"{spec.name}: the merge key is not projected")
     if spec.deletion is not None:
         _validate_deletion(spec, spec.deletion, names)
 
 
+def _validate_named(spec: ModelSpec) -> None:
+    seen: set[str] = set()
+    for part in spec.named:
+        check_identifier(part.name, f"{spec.name}: named relation")
+        check_columns([c.name for c in part.columns], f"{spec.name}: columns of {part.name}")
+        if part.name in seen:
+            raise ValueError(f"{spec.name}: two relations are named {part.name}")
+        later = {p.name for p in spec.named} - seen
+        if {part.source, *(j.relation for j in part.joins)} & later:
+            raise ValueError(f"{spec.name}: {part.name} reads a relation that is named only after it")
+        _validate_joins(spec.name, part.alias, part.joins)
+        seen.add(part.name)
+
+
+def _validate_joins(name: str, alias: str, joins: tuple[JoinSpec, ...]) -> None:
+    aliases = [alias, *(j.alias for j in joins)]
+    if len(set(aliases)) != len(aliases):
+        raise ValueError(f"{name}: each alias can be used once: {aliases}")
+    for join in joins:
+        if join.how not in ("inner", "left", "cross"):
+            raise ValueError(f"{name}: unknown kind of join: {join.how}")
+        if (join.how == "cross") != (join.on is None):
+            raise ValueError(f"{name}: only a cross join goes without a condition")
+
+
 def _model_type(spec: ModelSpec) -> str:
     return check_model_type(spec.deletion.model_type or spec.kind)
 
@@ -154,29 +190,58 @@ def _model_type(spec: ModelSpec) -> str:
 def _validate_deletion(spec: ModelSpec, deletion: DeletionSpec, names: list[str]) -> None:
     model_type = _model_type(spec)
     if spec.kind in FIXED_TYPES and model_type != spec.kind:
-        raise ValueError(f"{spec.name}: deletion type must be {spec.kind}")
+        raise ValueError(f"{spec.name}: its deletion rule is for another kind than {spec.kind}")
     if deletion.key_expression is not None and deletion.key_domain is not None:
-        raise ValueError(f"{spec.name}: give a key expression or a key domain, not both")
+        raise ValueError(f"{spec.name}: key expression and key domain exclude each other")
     if deletion.key_column not in names and (model_type != "CASE_VIEW" or deletion.flag is None):
-        raise ValueError(f"{spec.name}: key column is not among the columns: {deletion.key_column}")
+        raise ValueError(f"{spec.name}: {deletion.key_column}, its key, is not projected")
     if model_type == "FACT":
         if not deletion.special_columns or deletion.key_column not in deletion.special_columns:
-            raise ValueError(f"{spec.name}: FACT must replace its key column")
+            raise ValueError(f"{spec.name}: a FACT replaces at least its key")
         if set(deletion.special_columns) - set(names):
-            raise ValueError(f"{spec.name}: replaced columns must be among the columns")
+            raise ValueError(f"{spec.name}: it replaces columns that it does not project")
         if deletion.flag not in names:
-            raise ValueError(f"{spec.name}: FACT must declare its erased flag as a column")
+            raise ValueError(f"{spec.name}: a FACT projects its erased flag")
     elif deletion.special_columns is not None:
-        raise ValueError(f"{spec.name}: only FACT replaces columns")
+        raise ValueError(f"{spec.name}: columns are replaced in a FACT only")
 
 
-def _projected(spec: ModelSpec, column: ColumnSpec, cfg: PipelineConfig) -> Column:
+def _projected(part: ModelSpec | NamedSpec, column: ColumnSpec, cfg: PipelineConfig) -> Column:
     if column.key is not None:
         value = F.expr(column.key.expression)
         return personal_data_key(value, column.key.domain, cfg.scheme, column.key.kind).alias(column.name)
     if column.expression is not None:
         return F.expr(column.expression).alias(column.name)
-    return F.col(f"{spec.alias}.{column.name}").alias(column.name)
+    return F.col(f"{part.alias}.{column.name}").alias(column.name)
+
+
+def _joined(part: ModelSpec | NamedSpec, relations: Mapping[str, DataFrame]) -> DataFrame:
+    """Source, joins and filters. A cross join only takes a literal relation, never stored rows."""
+    rows = relations[part.source].alias(part.alias)
+    for join in part.joins:
+        other = relations[join.relation]
+        if join.how == "cross" and not other.isLocal():
+            raise ValueError(f"{part.name}: a cross join takes literal relations only, not {join.relation}")
+        other = other.alias(join.alias)
+        rows = rows.crossJoin(other) if join.how == "cross" else rows.join(other, F.expr(join.on), join.how)
+    for predicate in part.where:
+        rows = rows.where(F.expr(predicate))
+    return rows
+
+
+def _named(spec: ModelSpec, relations: Mapping[str, DataFrame], cfg: PipelineConfig) -> dict[str, DataFrame]:
+    """The outer relations and the model's own ones, each built from those before it."""
+    known = dict(relations)
+    for part in spec.named:
+        rows = _joined(part, known)
+        columns = [_projected(part, c, cfg) for c in part.columns]
+        if part.group_by:
+            keys = [c for c, s in zip(columns, part.columns) if s.name in part.group_by]
+            values = [c for c, s in zip(columns, part.columns) if s.name not in part.group_by]
+            known[part.name] = rows.groupBy(*keys).agg(*values)
+        else:
+            known[part.name] = rows.select(*columns)
+    return known
 
 
 def build_model(
@@ -192,12 +257,7 @@ def build_model(
     if spec.kind == "DATE_DIMENSION":
         return star.dim_date(next(iter(relations.values())).sparkSession, cfg)
 
-    rows = relations[spec.source].alias(spec.alias)
-    for join in spec.joins:
-        other = relations[join.relation].alias(join.alias)
-        rows = rows.crossJoin(other) if join.how == "cross" else rows.join(other, F.expr(join.on), join.how)
-    for predicate in spec.where:
-        rows = rows.where(F.expr(predicate))
+    rows = _joined(spec, _named(spec, relations, cfg))
 
     deletion = spec.deletion
     computed_flag = None
@@ -274,5 +334,5 @@ def register_target(spec: ModelSpec) -> Target:
     """The deletion target of a governed model, to be added to the registry."""
     validate(spec)
     if spec.deletion is None or not spec.deletion.register_target:
-        raise ValueError(f"{spec.name}: not declared as a deletion target")
+        raise ValueError(f"{spec.name}: it does not register as a deletion target")
     return Target(spec.layer, spec.name, _model_type(spec))

@@ -1340,6 +1340,38 @@ def model_case_view(run: Run) -> DataFrame:
     return _modelled(run, MODEL_CASE_VIEW, persona=CASE)
 
 
+MODEL_NAMED = specs.ModelSpec(
+    "layer2", "PUBLISHED", "paid_by_segment", "paid", ("invoice_id",),
+    (
+        _column("invoice_id", expression="p.invoice_id"),
+        _column("amount", expression="p.amount"),
+        _column("customer_segment", expression="people.customer_segment"),
+        _column("invoices_of_customer", expression="totals.n"),
+    ),
+    alias="p",
+    joins=(
+        specs.JoinSpec("people", "people", "p.customer_key = people.customer_key"),
+        specs.JoinSpec("totals", "totals", "p.customer_key = totals.customer_key", "left"),
+    ),
+    named=(
+        specs.NamedSpec(
+            "paid", "stg_invoices", (_column("invoice_id"), _column("amount"), _column("customer_key", key=_SSN)),
+            where=("source_rows.is_paid",),
+        ),
+        specs.NamedSpec("people", "int_customer_protected", (_column("customer_key"), _column("customer_segment"))),
+        specs.NamedSpec(
+            "totals", "paid", (_column("customer_key"), _column("n", expression="count(*)")), group_by=("customer_key",)
+        ),
+    ),
+)
+
+
+@query
+def model_from_cte(run: Run) -> DataFrame:
+    """A model over relations of its own, joined to a second and a third of them."""
+    return _modelled(run, MODEL_NAMED)
+
+
 @query
 def model_control_merge(run: Run) -> DataFrame:
     """Keyed merge: requests with an authorized revision get the second run's date, others keep theirs."""
