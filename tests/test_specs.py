@@ -46,12 +46,11 @@ def test_plain_expression_key_join_and_filter(relations, cfg):
     columns = [S.ColumnSpec("order_id"), S.ColumnSpec("double", expression="source_rows.amount * 2"), S.ColumnSpec("status", expression="s.status")]
     joined = spec("layer1", "STAGING", columns, joins=(S.JoinSpec("status", "s", "source_rows.order_id = s.order_id", "left"),), where=("amount > 5",))
     assert sorted(map(tuple, S.build_model(joined, relations, cfg).collect())) == [("o2", 12, "BAD"), ("o3", 14, None)]
-    crossed = spec("layer1", "STAGING", columns, joins=(S.JoinSpec("status", "s", how="cross"),))
-    spark = relations["orders"].sparkSession
-    literal = {**relations, "status": spark.sql("SELECT * FROM VALUES ('A'), ('B') AS t(status)")}
-    assert S.build_model(crossed, literal, cfg).count() == 6
-    with pytest.raises(ValueError, match="literal"):
-        S.build_model(crossed, {**relations, "status": relations["orders"]}, cfg)
+    with pytest.raises(ValueError, match="one-row"):
+        S.validate(spec("layer1", "STAGING", columns, joins=(S.JoinSpec("status", "s", how="cross"),)))
+    single = S.NamedSpec("single", "status", (S.ColumnSpec("status", expression="max(source_rows.status)"),), one_row=True)
+    crossed = spec("layer1", "STAGING", columns, joins=(S.JoinSpec("single", "s", how="cross"),), named=(single,))
+    assert S.build_model(crossed, relations, cfg).count() == 3
 
 
 def test_named_relations(relations, cfg):

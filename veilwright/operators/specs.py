@@ -80,7 +80,8 @@ class DeletionSpec:
 class NamedSpec:
     """A relation of a model's own, under a name that its source and joins may use.
 
-    It reads relations from outside or names given before it.
+    It reads relations from outside or names given before it. With one_row its columns are
+    aggregates over all rows; only such a relation may be cross joined.
     """
 
     name: str
@@ -90,6 +91,7 @@ class NamedSpec:
     joins: tuple[JoinSpec, ...] = ()
     where: tuple[str, ...] = ()
     group_by: tuple[str, ...] = ()
+    one_row: bool = False
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,6 @@ def validate(spec: ModelSpec) -> None:
     names = check_columns(spec.column_names, f"{spec.name}: columns")
     if not spec.primary_key or set(spec.primary_key) - set(names):
         raise ValueError(f"{spec.name}: the primary key is not projected")
-    _validate_joins(spec.name, spec.alias, spec.joins)
     _validate_named(spec)
     for column in spec.columns:
         if column.mask_column and spec.kind != "MAPPING":
@@ -160,6 +161,8 @@ def validate(spec: ModelSpec) -> None:
 
 def _validate_named(spec: ModelSpec) -> None:
     seen: set[str] = set()
+    single = {p.name for p in spec.named if p.one_row}
+    _validate_joins(spec.name, spec.alias, spec.joins, single)
     for part in spec.named:
         check_identifier(part.name, f"{spec.name}: named relation")
         check_columns([c.name for c in part.columns], f"{spec.name}: columns of {part.name}")
@@ -168,11 +171,11 @@ def _validate_named(spec: ModelSpec) -> None:
         later = {p.name for p in spec.named} - seen
         if {part.source, *(j.relation for j in part.joins)} & later:
             raise ValueError(f"{spec.name}: {part.name} reads a relation that is named only after it")
-        _validate_joins(spec.name, part.alias, part.joins)
+        _validate_joins(spec.name, part.alias, part.joins, single)
         seen.add(part.name)
 
 
-def _validate_joins(name: str, alias: str, joins: tuple[JoinSpec, ...]) -> None:
+def _validate_joins(name: str, alias: str, joins: tuple[JoinSpec, ...], single: set[str]) -> None:
     aliases = [alias, *(j.alias for j in joins)]
     if len(set(aliases)) != len(aliases):
         raise ValueError(f"{name}: each alias can be used once: {aliases}")
@@ -181,6 +184,8 @@ def _validate_joins(name: str, alias: str, joins: tuple[JoinSpec, ...]) -> None:
             raise ValueError(f"{name}: unknown kind of join: {join.how}")
         if (join.how == "cross") != (join.on is None):
             raise ValueError(f"{name}: only a cross join goes without a condition")
+        if join.how == "cross" and join.relation not in single:
+            raise ValueError(f"{name}: {join.relation} may have many rows; only a one-row relation is cross joined")
 
 
 def _model_type(spec: ModelSpec) -> str:
@@ -216,13 +221,10 @@ def _projected(part: ModelSpec | NamedSpec, column: ColumnSpec, cfg: PipelineCon
 
 
 def _joined(part: ModelSpec | NamedSpec, relations: Mapping[str, DataFrame]) -> DataFrame:
-    """Source, joins and filters. A cross join only takes a literal relation, never stored rows."""
+    """Source, joins and filters."""
     rows = relations[part.source].alias(part.alias)
     for join in part.joins:
-        other = relations[join.relation]
-        if join.how == "cross" and not other.isLocal():
-            raise ValueError(f"{part.name}: a cross join takes literal relations only, not {join.relation}")
-        other = other.alias(join.alias)
+        other = relations[join.relation].alias(join.alias)
         rows = rows.crossJoin(other) if join.how == "cross" else rows.join(other, F.expr(join.on), join.how)
     for predicate in part.where:
         rows = rows.where(F.expr(predicate))
@@ -235,7 +237,9 @@ def _named(spec: ModelSpec, relations: Mapping[str, DataFrame], cfg: PipelineCon
     for part in spec.named:
         rows = _joined(part, known)
         columns = [_projected(part, c, cfg) for c in part.columns]
-        if part.group_by:
+        if part.one_row:
+            known[part.name] = rows.agg(*columns)
+        elif part.group_by:
             keys = [c for c, s in zip(columns, part.columns) if s.name in part.group_by]
             values = [c for c, s in zip(columns, part.columns) if s.name not in part.group_by]
             known[part.name] = rows.groupBy(*keys).agg(*values)
