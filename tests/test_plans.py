@@ -62,10 +62,23 @@ def test_scans_read_only_needed_columns(lazy):
     assert "first_name" not in requests and "email" not in requests
 
 
-def test_each_key_is_hashed_once(lazy):
-    """No inferred not-null filter repeats the key expression below its projection."""
-    plan = physical(lazy.fa_pd_service_address)
-    assert not re.search(r"Filter .*sha2", plan)
+def test_staged_keys_are_not_hashed_again(r):
+    """Joins read keyed relations that were written before: no plan behind them makes a key."""
+    for df in (r.fct_invoice, r.int_customer_event_resolution, r.int_customer_service_resolution, r.int_invoice_resolution):
+        assert "sha2" not in physical(df)
+    resolved = resolve.resolve_invoices(
+        r.int_invoices_keyed, r.int_customer_services_keyed, r.int_customer_services_resolved, r.ledger, r.fa_pd_customer, r.cfg
+    )
+    assert "sha2" not in physical(resolved)
+
+
+def test_settings_leave_the_optimizer_alone(spark):
+    assert spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"
+
+
+def test_each_lookup_of_the_invoice_view_is_exchanged_once(r, skew_settings):
+    plan = _exchange_outputs(r.case_fct_invoice(Persona.of(CASE_USERS)))
+    assert len(plan) == 6
 
 
 def test_invoices_are_exchanged_once_when_the_ledger_and_map_are_small(r):

@@ -39,13 +39,28 @@ READ_MATRIX = (
 GRANT_SCHEMA = "grantee string, table_schema string, table_name string"
 
 
+def _lookup(dim: DataFrame, mapped: DataFrame, on: list[str], compared: list[str]) -> DataFrame:
+    """dim beside mapped where `on` and `compared` agree, exchanged on `on` only.
+
+    The compared columns are tested in a form that is no join key, so the exchange on `on` also serves the join
+    with the fact. Nulls never agree.
+    """
+    other = mapped.select(*[F.col(c).alias(f"_{c}") if c in compared else F.col(c) for c in mapped.columns])
+    joined = dim.join(other, on, "inner")
+    for c in compared:
+        mine, theirs = F.col(c), F.col(f"_{c}")
+        same = F.greatest(mine, theirs) == F.least(mine, theirs)
+        joined = joined.where(mine.isNotNull() & theirs.isNotNull() & same)
+    return joined.drop(*[f"_{c}" for c in compared])
+
+
 def _readable_customers(dim: DataFrame, mapped: DataFrame) -> DataFrame:
     """Customer members with their readable name and e-mail; one row per customer key."""
     keys = ["customer_key", "full_name_key", "email_key"]
     readable = mapped.select(
         *keys, F.col("full_name_value").alias("full_name"), F.col("email_value").alias("email")
     )
-    return dim.select(*keys).join(readable, keys, "inner")
+    return _lookup(dim.select(*keys), readable, keys[:1], keys[1:])
 
 
 def case_dim_customer(dim: DataFrame, mapped: DataFrame, persona: Persona, cfg: PipelineConfig) -> DataFrame:
@@ -102,17 +117,18 @@ def case_fct_invoice(
     mapped_services: DataFrame,
     persona: Persona,
 ) -> DataFrame:
-    """Four joins, but only two exchanges of the fact: customer key, then the service tuple."""
+    """Four joins, two exchanges of the fact (customer key, then service tuple), one of each lookup."""
     tuple_keys = ["customer_key", "service_key", "service_version_key"]
     service_keys = [*tuple_keys, "installation_address_key"]
-    readable_services = services.select(*service_keys).join(
+    readable_services = _lookup(
+        services.select(*service_keys),
         mapped_services.select(
             *service_keys,
             F.col("service_id_value").alias("service_id"),
             F.col("installation_address_value").alias("installation_address"),
         ),
-        service_keys,
-        "inner",
+        tuple_keys,
+        ["installation_address_key"],
     )
     joined = fact.join(_readable_customers(customers, mapped_customers), "customer_key", "inner").join(
         readable_services, tuple_keys, "inner"

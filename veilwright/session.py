@@ -18,8 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Build sides that turn out small per partition are hashed, so wide facts need no sort.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    # Otherwise "key is not null" is pushed below the projection and every key is hashed twice.
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 _local_work_dirs: dict[str, str] = {}
