@@ -241,7 +241,14 @@ _BUILDERS = {
     "customer_services": customer_services,
     "invoices": invoices,
 }
-_landed: dict[tuple[str, str, str], str] = {}
+_TABLES = ("customer", "events", "orders")
+_landed: dict[tuple[str, str, int, str], str] = {}
+
+
+def input_version(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes with the files of the source tables; reads names, sizes and times only."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{t}.parquet" for t in _TABLES])
+    return files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0] or 0
 
 
 def synth_extracts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -257,9 +264,10 @@ class LandedExtracts(Mapping):
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark = spark
         self._sf_dir = sf_dir.rstrip("/")
+        self.version = input_version(spark, self._sf_dir)
 
     def __getitem__(self, name: str) -> DataFrame:
-        key = (self._spark.sparkContext.applicationId, self._sf_dir, name)
+        key = (self._spark.sparkContext.applicationId, self._sf_dir, self.version, name)
         if key not in _landed:
             path = scratch_path(self._spark, f"extract-{name}")
             rows = _BUILDERS[name](self._spark, self._sf_dir)
