@@ -170,10 +170,25 @@ def test_base_spans_against_patterns():
         assert pii_crf.base_spans(text) == brute.base_spans(text)
 
 
+def test_first_overlapping_span():
+    pick = random.Random(4)
+    for _ in range(2000):
+        spans = sorted((s, pick.randrange(4), s + pick.randint(1, 9)) for s in (pick.randrange(40) for _ in range(pick.randint(0, 8))))
+        placed, b = pii_crf.Placed(spans), pick.randrange(45)
+        e = b + pick.randint(1, 6)
+        assert bool(placed.hit(b, e)) == any(s < e and t > b for s, _, t in spans)
+        if placed.hit(b, e):
+            s, _, t = placed.hit(b, e)
+            assert s < e and t > b
+
+
 def test_base_spans_take_linear_time():
-    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" * 150_000):
-        pii_crf.base_spans(text)
-        pii_crf.added_spans(chain_case()[0], [text], [[]])
+    chain, _ = chain_case()
+    for text in ("a" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" * 150_000, "a@b.co 1.2.3.4 x " * 20_000):
+        spans = pii_crf.base_spans(text)
+        pii_crf.added_spans(chain, [text], [spans])
+        pii_crf.added_spans(chain, [text], [[]])
+        pii_crf.weak_rows(text)
 
 
 def test_isotonic_and_boost():

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,18 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+class Placed:
+    """Sorted spans, asked for the first that overlaps a range in logarithmic time."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+        self.reach = list(accumulate((end for _, _, end in spans), max))
+
+    def hit(self, start: int, end: int) -> Span | None:
+        i = bisect_right(self.reach, start)  # the first span that ends behind start
+        return self.spans[i] if i < len(self.spans) and self.spans[i][0] < end else None
+
+
 # Words and their shapes. A word without a digit or an at sign can only be outside, so the chain falls apart into runs
 # of neighbouring marked words, each between two outside words.
 
@@ -201,12 +215,12 @@ def weak_rows(text: str) -> list[tuple[list[str], list[int]]]:
     """Runs of a text, labelled by the base spans they overlap."""
     if not MARK.search(text):
         return []
-    spans = base_spans(text)
+    spans = Placed(base_spans(text))
     rows = []
     for run in runs(text):
         words, labels, last = [], [], None
         for start, end in run:
-            hit = next((s for s in spans if s[0] < end and s[2] > start), None)
+            hit = spans.hit(start, end)
             prefix = "I" if hit is not None and hit is last else "B"
             words.append(text[start:end])
             labels.append(0 if hit is None else LABELS.index(f"{prefix}-{KINDS[hit[1]]}"))
@@ -352,12 +366,12 @@ def _trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
 
 def added_spans(chain: Chain, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans that the chain finds beside the base ones, never overlapping them."""
-    where, batch = [], []
+    where, batch, placed = [], [], [Placed(b) for b in base]
     for i, text in enumerate(texts):
         if MARK.search(text):
             for run in runs(text):
                 # A run that the base spans cover word by word has nothing to add.
-                if not all(any(s[0] < e and s[2] > b for s in base[i]) for b, e in run):
+                if not all(placed[i].hit(b, e) for b, e in run):
                     where.append((i, run))
                     batch.append([text[b:e] for b, e in run])
     out: list[list[Span]] = [[] for _ in texts]
@@ -371,8 +385,7 @@ def added_spans(chain: Chain, texts: list[str], base: list[list[Span]]) -> list[
                 while stop < len(run) and LABELS[labels[stop]] == f"I-{kind}":
                     stop += 1
                 start, end = _trimmed(kind, text, run[at][0], run[stop - 1][1])
-                clear = not any(s[0] < end and s[2] > start for s in base[i])
-                if clear and _plausible(kind, text[start:end]):
+                if not placed[i].hit(start, end) and _plausible(kind, text[start:end]):
                     out[i].append((start, KINDS.index(kind), end))
             at = stop
     return out
