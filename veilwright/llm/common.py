@@ -29,7 +29,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
