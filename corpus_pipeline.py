@@ -18,9 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated and near-repeated lines, n_chars to match; documents left without a word go.
 
+    Near is one word more, less or other in lines of five words or more, and one character in all of five characters.
+
     Null texts have no lines and stay as they are, n_chars included.
     """
-    out = line_dedup.line_dedup(docs, drop_emptied=True)
+    out = line_dedup.line_dedup(docs, drop_emptied=True, char_edits=True)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 

@@ -186,6 +186,50 @@ def test_line_dedup_against_brute_force(spark):
     assert {r.doc_id: (r.text, r.n, r.gone) for r in out} == brute.dedup_lines(docs)
 
 
+def test_line_dedup_character_edits(spark):
+    rows = [
+        (1, "Der eingeä erer.\nAre is anwh reenen.\n漢字仮名交じり文の長い一行です\nthe rapist came home again today\nabcd\nan 😀 x of here"),
+        (2, "Der, eingeä erer.\nAre, is anwh  reenen.\n漢字仮名交り文の長い一行です\ntherapist came home again today\nabce\nan 😀 xyof here"),
+        (3, "Der, eingeä, erer.\nthe rapist came ho me again today\nthe rapist,came home again today\n漢字だけの別の行です"),
+        (4, "therapist came homeagain to day\nAre is anwh renen!"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.gone) for r in line_dedup.line_dedup(docs, counts=("n", "gone"), char_edits=True).collect()}
+    assert got == {
+        1: (rows[0][1], 0),
+        2: ("abce", 5),
+        3: ("漢字だけの別の行です", 3),
+        4: (rows[3][1], 0),
+    }
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"](spark, plain(spark, [(i, t, "en", "a", 0) for i, t in rows]), "unused")
+    assert {r.doc_id: r.text for r in stage.collect()} == {i: t for i, (t, _) in got.items()}
+
+
+def test_line_dedup_characters_against_brute_force(spark):
+    pick = random.Random(6)
+
+    def near(a, b):
+        """One character edit, or one word edit as without characters."""
+        x, y = " ".join(a), " ".join(b)
+        chars = min(len(x), len(y)) >= 5 and abs(len(x) - len(y)) <= 1 and brute.one_edit(list(x), list(y))
+        return chars or (min(len(a), len(b)) >= 5 and abs(len(a) - len(b)) <= 1 and brute.one_edit(a, b))
+
+    docs, seen, expected = [], [], {}
+    for doc_id in range(60):
+        lines = ["".join(pick.choice("ab  ") for _ in range(pick.randint(1, 18))).strip() or "a" for _ in range(6)]
+        docs.append((doc_id, "\n".join(lines)))
+        kept = []
+        for line in lines:
+            w = brute.words(line)
+            if not any(w == s or near(w, s) for s in seen):
+                kept.append(line)
+            if w not in seen:
+                seen.append(w)
+        expected[doc_id] = "\n".join(kept)
+    out = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), char_edits=True).collect()
+    assert {r.doc_id: r.text for r in out} == expected
+
+
 def test_line_dedup_hot_line_and_template(spark):
     rows = [(i, f"the very same line in every document\nitem number {i} of the long list here") for i in range(3000)]
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=("n", "gone"))

@@ -1,7 +1,9 @@
 """Duplicate and near-duplicate lines by a deletion neighbourhood, in DataFrame and SQL functions only.
 
 The edit unit is the word: a line is a sequence of words, and near means at most one word inserted, deleted
-or replaced. A changed character is a replaced word, so this covers single-character edits too.
+or replaced. In lines of MIN_WORDS words or more this covers a changed character inside a word, which is a replaced
+word, but not one that joins or splits words. By character edits (an option) one character inserted, deleted or
+replaced, spaces included, is near too, in lines of any number of words.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from pyspark.sql import functions as F
 
 from veilwright.llm.common import col, new_name, positions, staged
 
-#: Lines of fewer words are only compared whole: one edit must leave four fifths of a line.
+#: Lines of fewer words are not compared by words: one edit must leave four fifths of a line.
 MIN_WORDS = 5
 
+#: Lines of fewer characters are not compared by characters, for the same share.
+MIN_CHARS = 5
+
 #: Size of the bit table that thins out rows before an exact join: 2048 rows of 4096 bytes,
 #: whatever the data's size. A fuller table only lets more rows through to that join.
 FILTER_BITS = 1 << 26
@@ -94,17 +99,39 @@ def _halves(min_words: int) -> dict[str, Column]:
     return keys
 
 
-def _candidates(occurrences: DataFrame, lines: DataFrame, halves: list[str]) -> DataFrame:
+def _spelled(rows: DataFrame) -> DataFrame:
+    """rows with characters as the words of `words`, n to match; the plain space is written as a tab."""
+    spelled = F.rtrim(F.regexp_replace(F.translate("words", " ", "\t"), "(?s)(.)", "$1 "))
+    return rows.withColumn("words", spelled).withColumn("n", _count("words"))
+
+
+def _sides(min_words: int) -> dict[str, Column]:
+    """Two keys of a line, of which two lines with one character replaced share one; null for short lines."""
+    size, half = F.length("words"), F.expr("length(words) div 2").cast("int")
+    parts = {"start": F.substring("words", F.lit(1), half), "end": F.expr("right(words, cast(length(words) div 2 as int))")}
+    return {f"{e}_chars": F.when(F.col("n") >= min_words, F.xxhash64(F.lit(e), size, c)) for e, c in parts.items()}
+
+
+def _lines(occurrences: DataFrame, keys: dict[str, Column], name: str) -> DataFrame:
+    """The distinct lines by two hashes, with further keys and the place (ORDER) of the first."""
+    lines = occurrences.withColumns(keys).groupBy("h1", "h2", *keys).agg(F.min(F.struct(*ORDER)).alias("first"))
+    return staged(lines.select("h1", *keys, "first.*"), name)
+
+
+def _candidates(occurrences: DataFrame, lines: DataFrame, halves: list[str], counted: bool = False) -> DataFrame:
     """(position, n, words, early, late): the distinct lines that share a half with another, by first occurrence.
 
     late: the shared half is at the start, so the edit is behind it; early: it is at the end.
+    counted: only halves that lines with different numbers of words share.
     """
     parts = lines.select(
         "h1",
+        (F.col("n") if counted else F.lit(0)).alias("words"),
         F.explode(F.array(*[F.struct(F.col(c).alias("half"), F.lit("start" in c).alias("late")) for c in halves])).alias("p"),
     )
-    parts = parts.select("h1", "p.*").where("half is not null")
-    shared = staged(parts.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared-halves")
+    parts = parts.select("h1", "words", "p.*").where("half is not null")
+    several = F.min("words") < F.max("words") if counted else F.count("*") > 1
+    shared = staged(parts.groupBy("half").agg(several.alias("several")).where("several").select("half"), "shared-halves")
     chosen = staged(
         _thinned(parts, "half", shared)
         .join(shared, "half")
@@ -190,6 +217,46 @@ def _near(candidates: DataFrame) -> DataFrame:
     return candidates.join(verified.select("position").distinct(), "position", "left_semi").select(*ORDER)
 
 
+def _respaced(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+    """Places (ORDER) of the lines that have an earlier one with one space more or less.
+
+    Such lines are equal without spaces (`bare`, null for lines that are not compared). There a line is the set of its
+    words' ends, with the xor of their hashes; a line with a space less is that set without one end.
+    """
+    shared = lines.where("bare is not null").groupBy("bare").agg(F.count("*").alias("lines"))
+    shared = staged(shared.where("lines > 1").select("bare"), "shared-bare")
+    chosen = staged(_thinned(lines, "bare", shared).join(shared, "bare").select("h1", "bare").distinct(), "respaced-lines")
+    texts = _thinned(occurrences, "h1", chosen).join(chosen, "h1")
+    texts = texts.groupBy("h1", "h2", "bare", "words").agg(F.min(F.struct(*ORDER)).alias("position"))
+    texts = staged(texts.select("position", "bare", "words"), "respaced-texts")
+
+    line = Window.partitionBy("position")
+    so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = texts.select("position", "bare", F.posexplode(F.split("words", " ")).alias("at", "word"))
+    ends = ends.withColumn("here", F.xxhash64(F.sum(F.length("word")).over(so_far)))
+    ends = ends.select("position", "bare", "at", "here", F.bit_xor("here").over(line).alias("all"))
+    whole = F.when(F.col("at") == 0, F.xxhash64("bare", "all"))
+    less = F.xxhash64("bare", F.expr("all ^ here"))
+    kinds = [F.struct(k.alias("key"), F.lit(i).alias("kind")) for i, k in enumerate((less, whole))]
+    variants = ends.select("position", F.explode(F.array(*kinds)).alias("v")).select("v.*", "position").where("key is not null")
+    groups = variants.groupBy("key").agg(
+        F.min(F.when(F.col("kind") == 0, F.col("position"))).alias("longer"),
+        F.min(F.when(F.col("kind") == 1, F.col("position"))).alias("whole"),
+    )
+    groups = staged(groups.where("longer is not null and whole is not null"), "respaced-groups")
+    pairs = (
+        variants.join(groups, "key")
+        .withColumn("partner", F.expr("if(kind = 0, whole, longer)"))
+        .where("partner < position")
+        .select("position", "partner")
+        .distinct()
+    )
+    words = texts.select("position", F.col("words").alias("b"))
+    other = texts.select(F.col("position").alias("partner"), F.col("words").alias("a"))
+    verified = pairs.join(words, "position").join(other, "partner").where(F.levenshtein("a", "b", 1) == 1)
+    return verified.select("position").distinct().select("position.*")
+
+
 def line_dedup(
     docs: DataFrame,
     min_words: int = MIN_WORDS,
@@ -197,13 +264,16 @@ def line_dedup(
     text_col: str = "text",
     drop_emptied: bool = False,
     counts: tuple[str, str] | None = None,
+    char_edits: bool = False,
 ) -> DataFrame:
     """docs with repeated lines taken out of the text; all other columns as they are.
 
     Lines are compared by their words (white space between them does not count). Of equal lines in
     all documents the earliest by (id, place) stays. A line of min_words words or more goes too if an earlier line,
-    whether that one stays or not, is within one inserted, deleted or replaced word of it. Lines without a
-    word stay. drop_emptied leaves out documents that lose their last word by this; counts names
+    whether that one stays or not, is within one inserted, deleted or replaced word of it. Shorter lines are
+    only compared whole, unless char_edits: then a line of MIN_CHARS characters or more, however many words it has,
+    also goes if an earlier such line is within one inserted, deleted or replaced character of it (white space is one
+    space). Lines without a word stay. drop_emptied leaves out documents that lose their last word by this; counts names
     two further columns for the lines with a word and for those taken out.
 
     The deletion neighbourhood (all variants of a line with a hole or a word less, as hashed keys) is made for
@@ -217,9 +287,21 @@ def line_dedup(
     """
     occurrences = _occurrences(docs, id_col, text_col)
     halves = _halves(min_words)
-    lines = occurrences.withColumns(halves).groupBy("h1", "h2", *halves).agg(F.min(F.struct(*ORDER)).alias("first"))
-    lines = staged(lines.select("h1", *halves, "first.*"), "lines")
+    more, sides = {}, _sides(min_words)
+    if char_edits:
+        bare = F.xxhash64(F.replace("words", F.lit(" "), F.lit("")))
+        more = {"n": F.col("n"), "bare": F.when(F.col("n") >= min_words, bare), **sides}
+    lines = _lines(occurrences, {**halves, **more}, "lines")
     near = _near(_candidates(occurrences, lines, list(halves)))
+    if char_edits:
+        # One edit changes the number of words by one at most. Both lines short enough: by characters throughout. Else
+        # both have min_words words: a character within a word is a word's edit, left are spaces put in, out or replaced.
+        short = _spelled(occurrences.where(F.col("n") <= min_words))
+        short = short.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+        spelled = _halves(MIN_CHARS)
+        by_chars = _near(_candidates(short, _lines(short, spelled, "spelled-lines"), list(spelled)))
+        replaced = _near(_spelled(_candidates(occurrences, lines, list(sides), counted=True)))
+        near = near.unionByName(by_chars).unionByName(replaced).unionByName(_respaced(occurrences, lines)).distinct()
     marks = lines.select(*ORDER, F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
     lists = marks.groupBy(*ORDER[:-1]).agg(
         F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("first"),
