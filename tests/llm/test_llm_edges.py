@@ -5,6 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import brute
@@ -262,6 +263,28 @@ def test_mix_is_near_its_targets(spark):
     }
 
 
+def test_mix_decides_equal_rows_singly(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "hot") for i in range(400)] + [(7, "all the same words", "hot")] * 200
+    rows += [(i, "two words", "low") for i in range(40)] + [(5, "", "hot")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = source_mix.source_mix(docs).collect()
+    expected = brute.mix([(i, s, t) for i, t, s in rows])
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((i, n, n * c) for i, n, c in expected)
+    assert len({r.taken for r in got if r.doc_id == 7 and r.size == 4}) == 2
+    copies = source_mix.mixed_documents(docs).groupBy("doc_id", "text").count().collect()
+    wanted = Counter()
+    for (i, n, c), (_, t, _) in zip(sorted(expected), sorted(rows, key=lambda r: (r[0], len(r[1].split())))):
+        wanted[i, t] += c
+    assert {(r.doc_id, r.text): r["count"] for r in copies} == {k: c for k, c in wanted.items() if c}
+
+
+def test_mix_sorts_no_source_that_is_taken_whole(spark):
+    docs = spark.createDataFrame([(i, "some words", f"s{i % 3}") for i in range(90)], "doc_id long, text string, source string")
+    keyed = docs.select("source", source_mix.words(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("row_key"))
+    got = source_mix._units(keyed, (1,), 2.0, 2.0).collect()
+    assert len(got) == 90 and {(r.copies, r.some) for r in got} == {(2, 0)}
+
+
 def test_simhash_values(spark):
     rows = OPERATORS["simhash"](spark, plain(spark)).collect()
     by = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwright.llm.common import col, new_name, positions, staged
 
 #: Classes of log odds in which running sums are taken: at most 1/4096 of a source's documents
-#: share one, and a source has at most about 75,000.
+#: share one, and a source has at most about 75,000. Sources that are taken whole have none.
 CLASSES_PER_UNIT = 1024
 
 
@@ -46,30 +46,12 @@ def _row_key(seed: int, row_id: Column, source: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(row_id.cast("string"), F.lit("")), place, text))
 
 
-def _units(
-    docs: DataFrame,
-    weights: tuple[int, ...],
-    share: float,
-    most: float,
-    seed: int,
-    id_col: str,
-    text_col: str,
-    source_col: str,
-) -> DataFrame:
-    """One row for all rows equal in id, source and text: their number and the copies of each."""
-    text = F.coalesce(col(text_col), F.lit(""))
-    row_id, source = col(id_col).cast("long"), col(source_col).cast("string")
-    units = staged(
-        docs.select(
-            row_id.alias("doc_id"),
-            source.alias("source"),
-            words(text).alias("size"),
-            _row_key(seed, row_id, source, text).alias("row_key"),
-        )
-        .groupBy("row_key", "doc_id", "source", "size")
-        .agg(F.count("*").alias("n")),
-        "units",
-    )
+def _units(keyed: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """One row for all rows equal in id, source and text: their number n, and how often each is taken.
+
+    That is `copies` times, and once more for `some` of them. keyed: row_key, source and size of every row.
+    """
+    units = staged(keyed.groupBy("row_key", "source", "size").agg(F.count("*").alias("n")), "units")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = staged(
         targets(sources, weights, share, most)
@@ -78,12 +60,12 @@ def _units(
         .withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0)),
         "targets",
     )
+    placed = units.join(named, units.source.eqNullSafe(named.source)).drop(named.source)
+    # Nothing is sampled of a source that is taken whole: no order, no running sums.
+    certain = placed.where(~(F.col("p") > 0)).withColumn("some", F.lit(0).cast("long"))
     # Random odds over inclusion odds, the random number from the row itself.
     u = (F.conv(F.substring("row_key", 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
-    ranked = units.join(named, units.source.eqNullSafe(named.source)).drop(named.source)
-    ranked = ranked.withColumn(
-        "odds", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))).otherwise(F.lit(float("inf")))
-    )
+    ranked = placed.where("p > 0").withColumn("odds", (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
     # Running words in rank order: classes of odds first, then the few documents within a class.
     limit = F.greatest(F.lit(1e-300), F.least(F.lit(1e300), F.col("odds")))
     ranked = ranked.withColumn("class", F.floor(F.log(limit) * CLASSES_PER_UNIT))
@@ -103,10 +85,34 @@ def _units(
     ).drop("_source", "_class")
     within = Window.partitionBy("source", "class").orderBy("odds", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("start") + F.coalesce(F.sum(size).over(within), F.lit(0))
-    taken = (F.col("p") > 0) & (begin + size / 2.0 <= F.col("rest"))
-    return ranked.withColumn("copies", F.col("whole") + taken.cast("int")).select(
-        "row_key", "doc_id", "source", "size", "n", "source_size", "target", "copies"
-    )
+    # Row k = 0, 1, ... of equal ones is taken if begin + k * size + size / 2 <= rest, so the first `some` are.
+    last = F.floor((F.col("rest") - begin - F.col("size") / 2.0) / F.col("size"))
+    none_or_all = F.when(begin <= F.col("rest"), F.col("n")).otherwise(0)
+    some = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.col("n"), last + 1))).otherwise(none_or_all)
+    columns = ("row_key", "n", "source_size", "target", F.col("whole").alias("copies"), F.col("some").cast("long").alias("some"))
+    return staged(ranked.withColumn("some", some).select(*columns).unionByName(certain.select(*columns)), "decided")
+
+
+def _decided(keyed: DataFrame, units: DataFrame, key: str, copies: str, *more: str) -> DataFrame:
+    """keyed with `copies` and more columns of its units. A large unit is one of a skewed join, never one row's to expand."""
+    some, n = new_name(keyed, "some"), new_name(keyed, "n")
+    named = units.select(F.col("row_key").alias(key), F.col("copies").cast("int").alias(copies), F.col("some").alias(some), F.col("n").alias(n), *more)
+    joined = keyed.join(named, key)
+    split = (F.col(some) > 0) & (F.col(some) < F.col(n))
+    # Most often no unit is split; of each source at most one is, where its sample ends.
+    if units.where("some > 0 and some < n").isEmpty():
+        return joined.withColumn(copies, F.col(copies) + (F.col(some) > 0).cast("int")).drop(some, n)
+    place, part, before, within = (new_name(keyed, c) for c in ("place", "part", "before", "within"))
+    numbered = keyed.join(named.where(split), key).withColumn(place, F.monotonically_increasing_id())
+    numbered = staged(numbered.withColumn(part, F.shiftright(place, 33)), "split-units")
+    sums = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = numbered.groupBy(key, part).agg(F.count("*").alias(before))
+    parts = parts.withColumn(before, F.coalesce(F.sum(before).over(sums), F.lit(0)))
+    numbered = numbered.withColumn(within, F.row_number().over(Window.partitionBy(key, part).orderBy(place)))
+    taken = (F.col(before) + F.col(within) <= F.col(some)).cast("int")
+    numbered = numbered.join(parts, [key, part]).withColumn(copies, F.col(copies) + taken).drop(place, part, before, within, some, n)
+    rest = joined.where(~split).withColumn(copies, F.col(copies) + (F.col(some) > 0).cast("int")).drop(some, n)
+    return rest.unionByName(numbered)
 
 
 def source_mix(
@@ -124,15 +130,24 @@ def source_mix(
     A source whose target is r times its size takes every document floor(r) times for certain; the
     rest, a share p of the source, is a Pareto order sample: documents are ranked by random odds u / (1 - u) over
     inclusion odds p / (1 - p) and taken from the smallest on until their words are nearest to
-    the rest, so a source misses its target by at most half a document. u comes from a hash of seed, id, source and text, so
+    the rest, so a source misses its target by at most half a document. Rows equal in id, source and text follow each other
+    in that order and are decided singly. u comes from a hash of seed, id, source and text, so
     reruns agree. most must be a whole number for the limit on copies to be exact.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: a row
-    like any other. Rows equal in id, source and text are decided together, a row each. Empty table: no rows; other
-    columns are ignored.
+    like any other. Empty table: no rows; other columns are ignored.
     """
-    units = _units(docs, weights, share, most, seed, id_col, text_col, source_col)
-    return units.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(
+    text = F.coalesce(col(text_col), F.lit(""))
+    row_id, source = col(id_col).cast("long"), col(source_col).cast("string")
+    keyed = docs.select(
+        row_id.alias("doc_id"),
+        source.alias("source"),
+        words(text).alias("size"),
+        _row_key(seed, row_id, source, text).alias("row_key"),
+    )
+    keyed = staged(keyed, "mixed-rows")
+    decided = _decided(keyed.drop("source"), _units(keyed, weights, share, most), "row_key", "copies", "source_size", "target")
+    return decided.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken")
     )
 
@@ -151,13 +166,14 @@ def mixed_documents(
 
     A document without words has no copies that count; it stays out unless its source takes whole copies.
     """
-    units = _units(docs, weights, share, most, seed, id_col, text_col, source_col)
     key, copies = new_name(docs, "row_key"), new_name(docs, "copies")
-    text = F.coalesce(col(text_col), F.lit(""))
-    keyed = docs.withColumn(key, _row_key(seed, col(id_col).cast("long"), col(source_col).cast("string"), text))
-    taken = units.where("copies > 0").select(F.col("row_key").alias(key), F.col("copies").cast("int").alias(copies))
+    text, source = F.coalesce(col(text_col), F.lit("")), col(source_col).cast("string")
+    row_key = _row_key(seed, col(id_col).cast("long"), source, text)
+    rows = docs.select(source.alias("source"), words(text).alias("size"), row_key.alias("row_key"))
+    units = _units(rows, weights, share, most).where("copies > 0 or some > 0")
     return (
-        keyed.join(taken, key)
+        _decided(docs.withColumn(key, row_key), units, key, copies)
+        .where(F.col(copies) > 0)
         .withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies))))
         .drop(key, copies)
     )
