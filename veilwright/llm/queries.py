@@ -14,6 +14,7 @@ from veilwright.llm import (
     sentencepiece_codec,
     simhash_dedup,
     source_mix,
+    spelling_gram,
     token_counts,
     toxicity_gbt,
     url_filter,
@@ -204,3 +205,8 @@ def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_gbt.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_spelling_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_gram.spelling_variants(table(spark, sf_dir, "documents"))
