@@ -10,7 +10,9 @@ from veilwright.llm import (
     edit_embedding,
     line_dedup,
     pii_crf,
+    prefix_trie,
     quality_suffix,
+    quality_vectors,
     sentencepiece_codec,
     simhash_dedup,
     source_mix,
@@ -210,3 +212,102 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_spelling_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_gram.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB has no crc32: its 256 steps as a list, and a fold of them over a list named `bytes`.
+CRC_STEPS = """steps AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+)"""
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, b: xor(c >> 8, step[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"""
+
+ORACLE["op12_spelling_gram"] = rf"""
+WITH RECURSIVE {CRC_STEPS}, found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+), counted AS (
+  SELECT run, count(*) AS k, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+    lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(195 AS BIGINT), ord(x) - 64] END)) AS bytes
+  FROM found WHERE length(run) >= 6 GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, {CRC} AS h FROM counted, steps
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+      ELSE run END AS word
+    FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), shorter AS (
+  SELECT word, n, pos, substr(word, 1, pos - 1) || substr(word, pos + 1) AS rest
+  FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS pos FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.pos = b.pos AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION
+  SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, min((-near_n, near)) AS least FROM near GROUP BY word
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -least[1] >= 5 * n THEN least[2] END AS form, CASE WHEN -least[1] >= 5 * n THEN -least[1] END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), led AS (
+  SELECT word, word AS root FROM judged WHERE form IS NULL
+  UNION ALL
+  SELECT j.word, led.root FROM led JOIN judged j ON j.form = led.word
+)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN led USING (word)
+"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), 20, 4)
+
+
+ORACLE["op13_prefix_trie"] = rf"""
+WITH {CRC_STEPS}, turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k FROM (
+    SELECT conv_id, turn, sha256(concat(octet_length(encode(coalesce(role, ''))), ':', role, text)) AS id,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL)
+), ids AS (
+  SELECT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes
+  FROM turns GROUP BY conv_id
+), lent AS (
+  SELECT conv_id, {CRC} % 4 AS h FROM ids, steps
+), placed AS (
+  SELECT l.conv_id, k, id, words FROM lent l JOIN turns t ON t.conv_id = l.conv_id - l.conv_id % 20 AND k <= h
+  UNION ALL
+  SELECT l.conv_id, k, id, words FROM lent l JOIN turns t ON t.conv_id = l.conv_id AND k > h
+), members AS (
+  SELECT conv_id, list(id) OVER before AS path, words FROM placed
+  WINDOW before AS (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT conv_id, CAST([] AS VARCHAR[]), 0 FROM ids
+), nodes AS (
+  SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM members GROUP BY path
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT conv_id, arg_max(path, len(path)) AS path FROM members GROUP BY conv_id) GROUP BY path
+), children AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)
+), below AS (
+  SELECT path[1:top] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM full_nodes) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM full_nodes n JOIN below USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
+
+
+@query
+def op11_quality_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_vectors.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
