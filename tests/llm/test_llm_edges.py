@@ -15,6 +15,7 @@ from veilwright.llm import (
     line_dedup,
     pii_crf,
     quality_suffix,
+    quality_vectors,
     sentencepiece_codec,
     simhash_dedup,
     source_mix,
@@ -85,6 +86,7 @@ OPERATORS = {
     "mix": lambda s, d: source_mix.source_mix(d),
     "pieces": lambda s, d: sentencepiece_codec.encode(d, PIECES),
     "simhash": lambda s, d: simhash_dedup.simhash_components(d),
+    "vectors": lambda s, d: quality_vectors.quality(d, labels(s)),
 }
 
 

@@ -96,6 +96,19 @@ def test_toxicity(spark, con):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_quality_vectors(spark):
+    got = rows(spark, "op11_quality_vectors", "/root/testdata/sf0.1")
+    good = dict(connect("/root/testdata/sf0.1").execute("SELECT doc_id, quality FROM labels").fetchall())
+    held = [i for i in got if got[i].held_out]
+    assert set(held) == {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
+    seen = [(got[i].score, got[i].predicted, good[i]) for i in held if i in good]
+    yes = np.array([s for s, _, q in seen if q])
+    no = np.array([s for s, _, q in seen if not q])
+    assert np.mean(yes[:, None] > no[None, :]) > 0.99
+    assert np.mean(yes >= 0.3) > 0.99 and np.mean(no < 0.3) > 0.93
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+
+
 def test_token_counts(spark, documents):
     from tokenizers import Tokenizer
 

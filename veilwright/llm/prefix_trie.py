@@ -281,8 +281,8 @@ def shard(paths: list[bytes], words: list[np.ndarray], n: list[int], conv_ids: l
     )
 
 
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of the sorted rows of a partition, a shard of about SHARD_TURNS at a time."""
+def _shards(batches: Iterable[pa.RecordBatch], shard_turns: int) -> Iterator[pa.RecordBatch]:
+    """Nodes of the sorted rows of a partition, a shard of about shard_turns at a time."""
     held: list[list] = [[], [], [], [], []]
     turns = 0
     for batch in batches:
@@ -293,7 +293,7 @@ def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(held, (path, flat[offsets[k] : offsets[k + 1]], n, conv_id, digest)):
                 column.append(value)
             turns += len(path) // TURN + 1
-            if turns >= SHARD_TURNS:
+            if turns >= shard_turns:
                 yield shard(*held)
                 held, turns = [[], [], [], [], []], 0
     if held[0]:
@@ -332,7 +332,9 @@ def _spines(nodes: DataFrame) -> DataFrame:
     )
 
 
-def prefix_trie(turns: DataFrame, family: int = FAMILY, lent: int = LENT, names: dict[str, str] | None = None) -> DataFrame:
+def prefix_trie(
+    turns: DataFrame, family: int = FAMILY, lent: int = LENT, shard_turns: int = SHARD_TURNS, names: dict[str, str] | None = None
+) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node.
 
     A node is a distinct beginning of rebuilt conversations (see rebuilt), of 0 turns or more; a turn is its role and text. conv_id is the
@@ -347,7 +349,8 @@ def prefix_trie(turns: DataFrame, family: int = FAMILY, lent: int = LENT, names:
     """
     convs = staged(rebuilt(turns, family, lent, names), "trie-paths")
     paths = ends(convs).join(convs.select("conv_id", "path", "words"), "conv_id").select("path", "words", "n", "conv_id", "ends_sha256")
-    nodes = staged(paths.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_shards, SHARD), "trie-nodes")
+    sorted_paths = paths.repartitionByRange("path").sortWithinPartitions("path")
+    nodes = staged(sorted_paths.mapInArrow(lambda batches: _shards(batches, shard_turns), SHARD), "trie-nodes")
     spines = staged(_spines(nodes), "trie-merged")
     parents = spines.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("up_id"))
     named = spines.where("parent_key is not null").drop("parent_conv_id")
