@@ -166,7 +166,7 @@ def mix(docs, seed=8):
     """docs: (id, source, text). List of (id, copies)."""
     rows = []
     for doc_id, source, text in docs:
-        place = "n" if source is None else f"s{source}"
+        place = "n" if source is None else f"s{len(source.encode())}:{source}"
         key = hashlib.md5("|".join([str(seed), "" if doc_id is None else str(doc_id), place, text or ""]).encode()).hexdigest()
         rows.append((doc_id, source, len(words(text)), key))
     sizes = defaultdict(int)

@@ -265,6 +265,17 @@ def test_mix_is_near_its_targets(spark):
     }
 
 
+def test_mix_tells_rows_apart_whose_parts_join_alike(spark):
+    rows = [(None, "b|c d e", "a"), (None, "c d e", "a|b"), (None, "3:a|b c d e", "s"), (1, "b c d", "a"), (None, None, None), (None, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.source_mix(docs).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    expected = brute.mix([(i, s, t) for i, t, s in rows])
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(i), n, int(n * k)) for i, n, k in expected)
+    copies = source_mix.mixed_documents(docs).groupBy("text", "source").count().collect()
+    assert all(r["count"] <= 2 for r in copies)
+
+
 def test_mix_decides_equal_rows_singly(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 9)), "hot") for i in range(400)] + [(7, "all the same words", "hot")] * 200
     rows += [(i, "two words", "low") for i in range(40)] + [(5, "", "hot")] * 3

@@ -107,7 +107,7 @@ WITH sized AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     md5(concat_ws('|', '8', coalesce(CAST(doc_id AS VARCHAR), ''),
-        CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END, coalesce(text, ''))) AS row_key
+        CASE WHEN source IS NULL THEN 'n' ELSE concat('s', octet_length(encode(source)), ':', source) END, coalesce(text, ''))) AS row_key
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -42,7 +42,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
 
 
 def _row_key(seed: int, row_id: Column, source: Column, text: Column) -> Column:
-    place = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+    # The source with its length, and the text last: no two rows that differ join to one string.
+    place = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.octet_length(source).cast("string"), F.lit(":"), source))
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(row_id.cast("string"), F.lit("")), place, text))
 
 
