@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from veilwright.plans.catalog import QUERIES, Run  # noqa: E402
+from veilwright.operators.views import matrix_grants  # noqa: E402
 from veilwright.plans.pipeline import OUTPUT_TABLES, run_pipeline  # noqa: E402
 from veilwright.session import apply_settings  # noqa: E402
 from veilwright.sources.testbed import TESTBED, LandedExtracts  # noqa: E402
@@ -78,7 +79,7 @@ def main() -> None:
 
     def build() -> None:
         root = tempfile.mkdtemp(prefix="governed-bench-")
-        result = run_pipeline(spark, extracts, f"{root}/tables", f"{root}/evidence", TESTBED, "bench")
+        result = run_pipeline(spark, extracts, f"{root}/tables", f"{root}/evidence", TESTBED, "bench", grants=matrix_grants(spark))
         assert result.verified
 
     queries = {}

@@ -5,11 +5,12 @@ import pytest
 import fixture_rows as fx
 from expected import Expected
 from veilwright.operators import evidence as E
+from veilwright.operators import views as V
 from veilwright.operators.controls import LEDGER, PLAN
 from veilwright.plans import pipeline as P
 from veilwright.sources.extracts import read_extracts
-from veilwright.sources.tables import ContractError, TableStore, enforce_contract
-from veilwright.schemas import CONTRACTS, EXTRACT_COLUMNS
+from veilwright.sources.tables import Conflict, ContractError, TableStore, enforce_contract
+from veilwright.schemas import CONTRACTS, CONTROL_KEYS, EXTRACT_COLUMNS
 
 
 EARLY, FINAL = Expected(fx.EARLY_CUTOFF).counts(), Expected().counts()
@@ -27,7 +28,7 @@ def csv_extracts(spark, folder, **changed):
 
 
 def run(spark, extracts, roots, cfg, execution):
-    return P.run_pipeline(spark, extracts, *roots, cfg, execution)
+    return P.run_pipeline(spark, extracts, *roots, cfg, execution, grants=V.matrix_grants(spark))
 
 
 def test_two_runs_escalation_and_replay(spark, cfg, roots, tmp_path):
@@ -47,9 +48,13 @@ def test_two_runs_escalation_and_replay(spark, cfg, roots, tmp_path):
         (fx.FULL, "2026-03-02"), (fx.FULL, "2026-03-02"), (fx.SPECIAL, "None"),
     ]
     archived, plan_rows = evidence.history().count(), store.read(PLAN).count()
+    controls = {name: store.snapshot().relations[name] for name in CONTROL_KEYS}
+    assert len(controls[LEDGER].versions) == 2 or controls[LEDGER].versions[0][0].endswith(".base")
     run(spark, extracts, roots, replace(cfg, run_ts="2026-03-03 00:00:00"), "third")
     assert evidence.history().count() == archived and store.read(PLAN).count() == plan_rows
     assert sorted(map(str, store.read(LEDGER).collect())) == sorted(map(str, ledger))
+    # Nothing new was decided: no control row was written.
+    assert {name: store.snapshot().relations[name] for name in CONTROL_KEYS} == controls
     events = evidence.events().where("execution_id = 'second'").groupBy("status").count().collect()
     assert {r.status: r["count"] for r in events} == {"PENDING": 17, "COMPLETED": 17, "VERIFIED": 17}
 
@@ -173,14 +178,51 @@ def test_csv_with_a_changed_header_is_refused(spark, tmp_path):
 
 
 def test_access_audits_join_the_gate_with_grants(spark, cfg, roots, tmp_path):
-    from veilwright.operators import views as V
-
-    matrix = V.expected_grants(spark)
-    reads = matrix.selectExpr("grantee", "'SELECT' AS privilege", "table_schema", "table_name")
-    uses = matrix.selectExpr("grantee", "'USE SCHEMA' AS privilege", "table_schema", "'' AS table_name").distinct()
     extra = spark.sql("SELECT 'everyone' AS grantee, 'SELECT' AS privilege, 'layer1' AS table_schema, 'stg_customer' AS table_name")
-    grants = reads.unionByName(uses)
+    grants = V.matrix_grants(spark)
     with pytest.raises(E.EvidenceError, match="ambient_grants"):
         P.run_pipeline(spark, fx.extracts(spark), *roots, cfg, "first", grants=grants.unionByName(extra))
     result = P.run_pipeline(spark, fx.extracts(spark), *roots, cfg, "second", grants=grants)
     assert set(result.audits) == {*P.REQUIRED_AUDITS, *P.ACCESS_AUDITS} and set(result.audits.values()) == {0}
+    store = TableStore(spark, roots[0])
+    assert store.current_versions()[P.GRANTS] == store.current_versions()["fct_invoice"]
+    assert store.read(P.GRANTS).count() == grants.count()
+
+
+def test_no_verification_without_grants(spark, cfg, roots):
+    result = P.run_pipeline(spark, fx.extracts(spark), *roots, cfg, "first")
+    assert not result.verified and set(result.audits) == set(P.REQUIRED_AUDITS) and set(result.audits.values()) == {0}
+    store, evidence = TableStore(spark, roots[0]), E.EvidenceStore(spark, roots[1], roots[0])
+    assert store.read("fct_invoice") is None and store.read(LEDGER).count() == 3
+    assert evidence.events().where("status in ('VERIFIED', 'FAILED')").isEmpty()
+
+
+@pytest.mark.parametrize("at", [0, 1])
+def test_of_two_interleaved_builds_one_fails_cleanly(spark, cfg, roots, monkeypatch, at):
+    """Another build runs from start to end before the first one's switch of controls (0) or of outputs (1)."""
+    extracts, switch, seen = fx.extracts(spark), TableStore.switch, []
+
+    def interrupted(self, *args):
+        seen.append(1)
+        if len(seen) == at + 1:
+            assert run(spark, extracts, roots, cfg, "inner").verified
+        return switch(self, *args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(TableStore, "switch", interrupted)
+        with pytest.raises(Conflict, match="switched by another build"):
+            run(spark, extracts, roots, cfg, "outer")
+    store, evidence = TableStore(spark, roots[0]), E.EvidenceStore(spark, roots[1], roots[0])
+    visible = store.current_versions()["fct_invoice"]
+    status = {(r.execution_id, r.status) for r in evidence.events().select("execution_id", "status").distinct().collect()}
+    assert ("inner", "VERIFIED") in status and ("outer", "FAILED") in status
+    assert {r.invocation_id for r in evidence.events().where("execution_id = 'inner'").collect()} == {visible}
+    assert run(spark, extracts, roots, cfg, "after").verified
+
+
+def test_a_null_in_a_required_column_refuses_the_switch(spark, cfg, roots):
+    rows = fx.events()
+    rows[0]["measure_unit"] = None
+    with pytest.raises(ContractError, match="measure_unit is null in 1 rows"):
+        run(spark, fx.extracts(spark, customer_events=rows), roots, cfg, "first")
+    assert TableStore(spark, roots[0]).read("fct_customer_event") is None

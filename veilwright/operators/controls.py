@@ -20,8 +20,8 @@ LEDGER = "int_terminal_deleted_customer_keys"
 
 # ---- requests and decisions -------------------------------------------------------------------
 
-def detect_requests(stg_customer: DataFrame, existing: DataFrame | None, cfg: PipelineConfig) -> DataFrame:
-    """DELETE changes become requests once; the first ``detected_at`` is kept."""
+def new_requests(stg_customer: DataFrame, existing: DataFrame | None, cfg: PipelineConfig) -> DataFrame:
+    """DELETE changes that are no requests yet."""
     detected = stg_customer.where(F.col("source_operation") == "DELETE").select(
         F.col("customer_change_id").alias("deletion_request_id"),
         "customer_id",
@@ -32,8 +32,13 @@ def detect_requests(stg_customer: DataFrame, existing: DataFrame | None, cfg: Pi
     )
     if existing is None:
         return detected
-    fresh = detected.join(existing.select("deletion_request_id"), "deletion_request_id", "left_anti")
-    return existing.unionByName(fresh)
+    return detected.join(existing.select("deletion_request_id"), "deletion_request_id", "left_anti").select(detected.columns)
+
+
+def detect_requests(stg_customer: DataFrame, existing: DataFrame | None, cfg: PipelineConfig) -> DataFrame:
+    """DELETE changes become requests once; the first ``detected_at`` is kept."""
+    fresh = new_requests(stg_customer, existing, cfg)
+    return fresh if existing is None else existing.unionByName(fresh)
 
 
 def _complete_confirmation(policy_version: str) -> Column:
@@ -238,19 +243,43 @@ def _with_targets(keys: DataFrame, targets: Sequence[Target]) -> DataFrame:
     )
 
 
-def deletion_plan(
+def plan_changes(
     history: DataFrame,
     stg_customer: DataFrame,
     cfg: PipelineConfig,
     targets: Sequence[Target] = TARGETS,
     existing: DataFrame | None = None,
 ) -> DataFrame:
-    """Authorized keys x targets with the mode's action, merged over an existing plan."""
+    """Planned rows that the existing plan does not have as they are: none where nothing new was decided."""
     keys = expand_historical_keys(history, stg_customer, cfg)
     planned = _with_targets(keys, targets).select(CONTRACTS[PLAN].names)
     if existing is None:
         return planned
-    return merge_by_key(existing, planned, CONTROL_KEYS[PLAN])
+    return rows_not_in(planned, existing, CONTROL_KEYS[PLAN])
+
+
+def rows_not_in(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not in existing, or is there with other content."""
+    rest = [c for c in rows.columns if c not in keys]
+    old = existing.select(*(F.col(c).alias(f"_old_{c}") for c in rows.columns))
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_old_{c}"))
+    for c in rest:
+        same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
+    return rows.join(old, same, "left_anti")
+
+
+def deletion_plan(
+    history: DataFrame,
+    stg_customer: DataFrame,
+    cfg: PipelineConfig,
+    targets: Sequence[Target] = TARGETS,
+    existing: DataFrame | None = None,
+) -> DataFrame:
+    """Authorized keys x targets with the mode's action, merged over an existing plan."""
+    changes = plan_changes(history, stg_customer, cfg, targets, existing)
+    return changes if existing is None else merge_by_key(existing, changes, CONTROL_KEYS[PLAN])
 
 
 def _required_actions(spark: SparkSession, targets: Sequence[Target]) -> DataFrame:
@@ -371,14 +400,31 @@ def advance_ledger(candidates: DataFrame, existing: DataFrame | None, cfg: Pipel
     return accepted.withColumns(advanced).select(CONTRACTS[LEDGER].names)
 
 
+def ledger_changes(
+    plan: DataFrame,
+    existing: DataFrame | None,
+    cfg: PipelineConfig,
+    targets: Sequence[Target] = TARGETS,
+    changed_plan: DataFrame | None = None,
+) -> DataFrame:
+    """Gate, rank, advance: the ledger rows of this run. With the rows of the plan that changed, only their keys are judged.
+
+    Plan and ledger are switched together, so a key whose plan has not changed has its evidence in the ledger already.
+    """
+    if existing is not None and changed_plan is not None:
+        plan = plan.join(changed_plan.select("customer_key").distinct(), "customer_key", "left_semi")
+    return advance_ledger(rank_plans(complete_plans(plan, targets)), existing, cfg)
+
+
 def merged_ledger(
     plan: DataFrame,
     existing: DataFrame | None,
     cfg: PipelineConfig,
     targets: Sequence[Target] = TARGETS,
+    changed_plan: DataFrame | None = None,
 ) -> DataFrame:
-    """Gate, rank, advance and merge: the ledger after this run."""
-    changes = advance_ledger(rank_plans(complete_plans(plan, targets)), existing, cfg)
+    """The ledger after this run."""
+    changes = ledger_changes(plan, existing, cfg, targets, changed_plan)
     return changes if existing is None else merge_by_key(existing, changes, ["customer_key"])
 
 

@@ -167,6 +167,14 @@ def expected_grants(spark: SparkSession) -> DataFrame:
     return literal_relation(spark, rows, GRANT_SCHEMA)
 
 
+def matrix_grants(spark: SparkSession) -> DataFrame:
+    """The grants that give just the read matrix: SELECT on its relations and USE SCHEMA on their schemas."""
+    matrix = expected_grants(spark)
+    reads = matrix.select("grantee", F.lit("SELECT").alias("privilege"), "table_schema", "table_name")
+    uses = matrix.select("grantee", F.lit("USE SCHEMA").alias("privilege"), "table_schema", F.lit("").alias("table_name"))
+    return reads.unionByName(uses.distinct())
+
+
 def readable_relations(spark: SparkSession, persona: Persona) -> DataFrame:
     """Relations the persona may read through any of its groups."""
     grants = expected_grants(spark)

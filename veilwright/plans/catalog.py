@@ -14,7 +14,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilwright.config import CASE_USERS, DEMO_SCHEME, PRIVACY_ADMINS, RESTRICTED_USERS, Persona
+from veilwright.config import CASE_USERS, DEMO_SCHEME, PRIVACY_ADMINS, RESTRICTED_USERS, Persona, PipelineConfig
 from veilwright.functions import keys as K
 from veilwright.functions import text as X
 from veilwright.operators import audits as A
@@ -55,7 +55,7 @@ def query(fn: Query) -> Query:
 class Run:
     """One application's view of one data folder."""
 
-    _published: dict[tuple[str, str, int], Relations] = {}
+    _published: dict[tuple, Relations] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -67,10 +67,8 @@ class Run:
         """Relations composed in one plan, nothing published."""
         return Relations(self.spark, self.extracts, CFG)
 
-    @property
-    def up(self) -> Relations:
-        """Upstream relations: tables published once per application, then read back."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.extracts.version)
+    def _upstream(self, cfg: PipelineConfig) -> Relations:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.extracts.version, cfg.decision_as_of)
         if key not in Run._published:
             spark = self.spark
 
@@ -79,9 +77,14 @@ class Run:
                 df.write.parquet(path)
                 return spark.read.schema(df.schema).parquet(path)
 
-            Run._published[key] = Relations(spark, self.extracts, CFG, stage=stage)
+            Run._published[key] = Relations(spark, self.extracts, cfg, stage=stage)
         return Run._published[key]
 
+    @property
+    def up(self) -> Relations:
+        """Upstream relations: tables published once per application, then read back."""
+        return self._upstream(CFG)
+
     @cached_property
     def early(self) -> Relations:
         """The first run's controls, when only the early decisions were recorded."""
@@ -89,8 +92,8 @@ class Run:
 
     @cached_property
     def second(self) -> Relations:
-        """A second run over the first run's durable controls."""
-        first = self.early
+        """A second run over the first run's published controls: their rows and the second run's changes."""
+        first = self._upstream(replace(CFG, decision_as_of=EARLY_CUTOFF))
         state = {
             name: getattr(first, name)
             for name in ("customer_deletion_requests", controls.PLAN, controls.LEDGER)

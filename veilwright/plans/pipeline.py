@@ -20,8 +20,8 @@ from veilwright.operators import evidence as E
 from veilwright.operators import maps, resolve, views
 from veilwright.operators.controls import LEDGER, PLAN, TARGETS
 from veilwright.plans.relations import Relations
-from veilwright.schemas import CONTRACTS, CONTROL_KEYS
-from veilwright.sources.tables import TableStore
+from veilwright.schemas import CHECKS, CONTRACTS, CONTROL_KEYS
+from veilwright.sources.tables import Parts, Snapshot, TableStore
 
 T = TypeVar("T")
 
@@ -33,6 +33,10 @@ CONTROL_TABLES = (
     LEDGER,
 )
 OUTPUT_TABLES = tuple(name for name in CONTRACTS if name not in CONTROL_TABLES)
+#: The grants that a build was judged by, a version of it like its outputs.
+GRANTS = "_grants"
+#: What a build relies on: none of these may be switched by another build while it runs.
+BUILT_TABLES = (*CONTROL_TABLES, *OUTPUT_TABLES, GRANTS)
 DECISIONS = "stg_customer_deletion_confirmations"
 
 # Relations of one wave depend on earlier waves only, so their jobs run side by side.
@@ -75,7 +79,7 @@ REQUIRED_AUDITS = (
 )
 
 
-# Added to these where the platform's grants are handed in as a relation.
+# These judge the platform's grants, a relation that is read once and kept with the build.
 ACCESS_AUDITS = ("relation_grants", "parent_privileges", "ambient_grants", "evidence_access")
 
 
@@ -216,23 +220,33 @@ def run_pipeline(
 ) -> RunResult:
     """One governed build. Outputs become visible together, and only after every audit passed.
 
-    With ``grants`` (grantee, privilege, table_schema, table_name), the access audits must pass too.
+    ``grants`` (grantee, privilege, table_schema, table_name) are kept as a version of the build, which the access audits judge; a
+    build without them runs to its end and stays unverified and invisible. Controls are written as changes over those of the
+    last entry of the manifest. If another build switches tables that this one was built on, it fails with Conflict.
     """
     E.check_execution_id(execution_id)
     invocation = E.check_execution_id(invocation_id or uuid.uuid4().hex)
     store = TableStore(spark, table_root)
     evidence = E.EvidenceStore(spark, evidence_root, table_root)
     evidence.bootstrap()
-    state = {name: df for name in CONTROL_KEYS if (df := store.read(name)) is not None}
+    began = store.snapshot()
+    state = {name: df for name in CONTROL_KEYS if (df := store.read(name, began)) is not None}
+    parts: dict[str, Parts] = {}
     try:
         for name in CONTROL_KEYS:
             E.guard_control(state.get(name), name, evidence.history(name))
 
         def stage(name: str, df: DataFrame) -> DataFrame:
-            return store.write_version(df, name, invocation, CONTRACTS.get(name))
+            return store.write_version(df, name, invocation, CONTRACTS.get(name), CHECKS.get(name))
 
-        r = Relations(spark, extracts, cfg, state, stage, targets)
-        _build_controls(r, store, evidence, invocation)
+        def stage_changes(name: str, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+            merged, written, parts[name] = store.write_changes(
+                changes, name, invocation, CONTROL_KEYS[name], began, CONTRACTS[name], CHECKS.get(name)
+            )
+            return merged, written
+
+        r = Relations(spark, extracts, cfg, state, stage, targets, stage_changes)
+        built_on = _build_controls(r, store, evidence, invocation, began, parts)
         digests = E.plan_digest(r.int_customer_deletion_plan)
         digests = store.write_version(digests, "_plan_digest", invocation)
 
@@ -244,9 +258,10 @@ def run_pipeline(
         _build(r, OUTPUT_WAVES)
         record("COMPLETED")
         required = required_audits(r, Persona.of(CASE_USERS))
-        names = REQUIRED_AUDITS
+        names = (*REQUIRED_AUDITS, *ACCESS_AUDITS)
         if grants is not None:
-            required, names = {**required, **access_audits(spark, grants)}, (*names, *ACCESS_AUDITS)
+            judged = store.write_version(grants.select("grantee", "privilege", "table_schema", "table_name"), GRANTS, invocation)
+            required.update(access_audits(spark, judged))
         findings = dict(zip(required, _side_by_side(spark, (df.count for df in required.values()))))
         failed = [name for name, count in findings.items() if count]
         outcome = E.verify_execution(
@@ -255,11 +270,14 @@ def run_pipeline(
         )
         if failed:
             raise E.EvidenceError(f"audits failed: {failed}")
+        if grants is None and set(names) - set(findings) <= set(ACCESS_AUDITS):
+            return RunResult(r, findings, False)
         if outcome is None:
             raise E.EvidenceError(f"audits missing: {sorted(set(names) - set(findings))}")
+        store.check(built_on, BUILT_TABLES)
         # Outputs are never visible without their verification; a crash in between leaves the old ones.
         evidence.append(outcome.coalesce(1), "execution_events", f"{invocation}-verified")
-        store.switch(OUTPUT_TABLES, invocation)
+        store.switch((*OUTPUT_TABLES, GRANTS), invocation, built_on, BUILT_TABLES)
         return RunResult(r, findings, True)
     except Exception:
         failure = E.failure_event(spark, execution_id, F.current_timestamp(), invocation)
@@ -267,8 +285,10 @@ def run_pipeline(
         raise
 
 
-def _build_controls(r: Relations, store: TableStore, evidence: E.EvidenceStore, invocation: str) -> None:
-    """Write and switch the controls, then archive them: later failures never undo a suppression.
+def _build_controls(
+    r: Relations, store: TableStore, evidence: E.EvidenceStore, invocation: str, began: Snapshot, parts: dict[str, Parts]
+) -> Snapshot:
+    """Write and switch the controls, then archive them: later failures never undo a suppression. Returns what is visible then.
 
     Evidence never runs ahead of the visible controls, so a driver lost at any point is followed
     by a plain rerun: it finds every archived key, and archives what the lost run did not.
@@ -277,7 +297,8 @@ def _build_controls(r: Relations, store: TableStore, evidence: E.EvidenceStore,
     if not E.archive_conflicts(decisions, DECISIONS, evidence.history(DECISIONS), ["decision_revision_id"]).isEmpty():
         raise E.EvidenceError("a recorded decision revision changed; submit a new revision instead")
     _build(r, CONTROL_WAVES)
-    store.switch(CONTROL_TABLES, invocation)
+    switched = {name: parts.get(name, Parts(((invocation, None),))) for name in CONTROL_TABLES}
+    now = store.switch(switched, invocation, began, BUILT_TABLES)
     archived = {name: getattr(r, name) for name in CONTROL_TABLES if name != "customer_deletion_authorizations"}
     _side_by_side(
         r.spark,
@@ -292,3 +313,4 @@ def _build_controls(r: Relations, store: TableStore, evidence: E.EvidenceStore,
             for name, df in {DECISIONS: decisions, **archived}.items()
         ],
     )
+    return now

@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.config import Persona, PipelineConfig
 from veilwright.operators import controls, maps, resolve, star, staging, views
-from veilwright.schemas import COLUMN_METADATA, CONTRACTS, with_column_metadata
-from veilwright.sources.tables import enforce_contract
+from veilwright.schemas import COLUMN_METADATA, CONTRACTS, CONTROL_KEYS, with_column_metadata
+from veilwright.sources.tables import enforce_contract, merge_by_key
 
 Stage = Callable[[str, DataFrame], DataFrame]
+#: From the name and the changes of a durable table to the merged table and the changes as written.
+StageChanges = Callable[[str, DataFrame], tuple[DataFrame, DataFrame]]
 
 
 class Relations:
@@ -29,6 +31,7 @@ class Relations:
         state: Mapping[str, DataFrame] | None = None,
         stage: Stage | None = None,
         targets=controls.TARGETS,
+        stage_changes: StageChanges | None = None,
     ):
         self.spark = spark
         self.extracts = extracts
@@ -36,6 +39,8 @@ class Relations:
         self.state = dict(state or {})
         self.targets = targets
         self._stage = stage
+        self._stage_changes = stage_changes
+        self.changes: dict[str, DataFrame] = {}
 
     def _table(self, name: str, df: DataFrame) -> DataFrame:
         annotations = COLUMN_METADATA.get(name)
@@ -44,6 +49,16 @@ class Relations:
         enforce_contract(df, CONTRACTS[name])
         return df if self._stage is None else self._stage(name, df)
 
+    def _durable(self, name: str, changes: DataFrame) -> DataFrame:
+        """A durable control: its earlier rows, and the new and changed ones of this run."""
+        enforce_contract(changes, CONTRACTS[name])
+        if self._stage_changes is not None:
+            merged, self.changes[name] = self._stage_changes(name, changes)
+            return merged
+        self.changes[name] = changes
+        existing = self.state.get(name)
+        return self._table(name, changes if existing is None else merge_by_key(existing, changes, CONTROL_KEYS[name]))
+
     # staging
     @cached_property
     def stg_customer(self) -> DataFrame:
@@ -69,7 +84,7 @@ class Relations:
     @cached_property
     def customer_deletion_requests(self) -> DataFrame:
         name = "customer_deletion_requests"
-        return self._table(name, controls.detect_requests(self.stg_customer, self.state.get(name), self.cfg))
+        return self._durable(name, controls.new_requests(self.stg_customer, self.state.get(name), self.cfg))
 
     @cached_property
     def customer_deletion_authorization_history(self) -> DataFrame:
@@ -91,9 +106,9 @@ class Relations:
 
     @cached_property
     def int_customer_deletion_plan(self) -> DataFrame:
-        return self._table(
+        return self._durable(
             controls.PLAN,
-            controls.deletion_plan(
+            controls.plan_changes(
                 self.customer_deletion_authorization_history,
                 self.stg_customer,
                 self.cfg,
@@ -104,10 +119,11 @@ class Relations:
 
     @cached_property
     def int_terminal_deleted_customer_keys(self) -> DataFrame:
-        return self._table(
+        plan = self.int_customer_deletion_plan
+        return self._durable(
             controls.LEDGER,
-            controls.merged_ledger(
-                self.int_customer_deletion_plan, self.state.get(controls.LEDGER), self.cfg, self.targets
+            controls.ledger_changes(
+                plan, self.state.get(controls.LEDGER), self.cfg, self.targets, self.changes[controls.PLAN]
             ),
         )
 

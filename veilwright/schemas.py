@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilwright.sources.tables import Checks
+
 # Extracts arrive with every column as string.
 # Fixed values.
 EXTRACT_COLUMNS = {
@@ -185,6 +187,58 @@ CONTROL_KEYS = {
     "int_terminal_deleted_customer_keys": ("customer_key",),
 }
 
+# Columns of published relations that may be null; all others of these relations must not be.
+# Fixed values.
+_OPTIONAL = {
+    "customer_deletion_requests": "",
+    "customer_deletion_authorizations": (
+        "decision_revision_id deletion_mode recorded_at decided_at decided_by_role decision_reason legal_hold deletion_policy_version"
+    ),
+    "int_customer_deletion_plan": "",
+    "int_terminal_deleted_customer_keys": (
+        "initial_decision_revision_id initial_deletion_request_id initial_deletion_policy_version initial_authorized_at "
+        "initial_authorization_recorded_at mode_escalated_at"
+    ),
+    "int_customer_protected": "customer_segment",
+    "int_customer_events_resolved": "",
+    "int_customer_services_resolved": "",
+    "int_invoices_resolved": "paid_at",
+    "quarantine_customer_events": "",
+    "quarantine_customer_services": (
+        "installation_address_line1 installation_address_line2 installation_city installation_postal_code installation_country_code"
+    ),
+    "quarantine_invoices": "paid_at",
+    "dim_customer": "customer_segment",
+    "dim_service": "",
+    "dim_date": "",
+    "fct_customer_event": "",
+    "fct_invoice": "paid_date_key",
+}
+# Fixed values.
+_MODES = ("SPECIAL_DELETION", "FULL_GOVERNED_OUTPUT_DELETION")
+_ACCEPTED = {
+    "customer_deletion_requests": {"detection_status": ("DETECTED",)},
+    "int_customer_deletion_plan": {
+        "deletion_mode": _MODES,
+        "target_kind": ("TABLE", "VIEW"),
+        "planned_action": ("DELETE_CURRENT_ROWS", "REASSIGN_TO_ERASED_MEMBER", "EXCLUDE_ERASED_ROWS", "EXCLUDE_DELETED_ROWS"),
+        "plan_status": ("AUTHORIZED",),
+    },
+    "int_terminal_deleted_customer_keys": {"deletion_mode": _MODES, "initial_deletion_mode": _MODES},
+}
+_CONDITIONS = {
+    "int_invoices_resolved": {"due no earlier than issued": "due_date >= issued_date"},
+    "int_customer_services_resolved": {"valid to no earlier than from": "valid_to >= valid_from"},
+}
+
+#: Row rules of published relations, counted while they are written.
+CHECKS = {
+    name: Checks(
+        tuple(c for c in CONTRACTS[name].names if c not in optional.split()), _ACCEPTED.get(name, {}), _CONDITIONS.get(name, {})
+    )
+    for name, optional in _OPTIONAL.items()
+}
+
 # Column, category, and for readable columns the key column that masks them.
 _CUSTOMER_TAGS = (
     ("customer_key", "NATIONAL_IDENTIFIER", None),
