@@ -237,14 +237,41 @@ def test_one_pair_with_many_overlapping_periods(spark):
         assert r.source_service_version_key == r.mapped_service_version_key == f"v{k:06}"
 
 
+def test_periods_that_follow_each_other_are_swept_only(spark):
+    """Without overlaps no day is unclear: gaps, one-day periods, a shorter one that has ended, and a far end."""
+    periods = [
+        service(version="a", start=D, end=D + timedelta(9)),
+        service(version="b", start=D + timedelta(10), end=D + timedelta(10)),
+        service(version="c", start=D + timedelta(20), end=date(9999, 12, 31)),
+    ]
+    invoices = [invoice(f"i{k}", issued=D + timedelta(k)) for k in range(-2, 40)]
+    ledger = literal_relation(spark, [], LEDGER)
+    inv = R.annotate_invoices(literal_relation(spark, invoices, INVOICE), ledger)
+    services = literal_relation(spark, periods, SERVICE)
+    pair = ["service_key", "customer_key"]
+    svc = R.annotate_services(services, ledger)
+    assert R._day_stats(R._sweep(inv, R._source_periods(svc, pair), pair), pair).where("unclear").isEmpty()
+    got = {int(r.invoice_id[1:]): r.source_service_version_key for r in R.with_service_stats(inv, svc, services).collect()}
+    assert got == {k: "a" if 0 <= k < 10 else "b" if k == 10 else "c" if k >= 20 else None for k in range(-2, 40)}
+    # A short period inside a long one: the days after it are found by their periods.
+    inner = literal_relation(spark, [*periods[:1], service(version="z", start=D + timedelta(2), end=D + timedelta(3))], SERVICE)
+    svc = R.annotate_services(inner, ledger)
+    got = {int(r.invoice_id[1:]): r.source_service_version_key for r in R.with_service_stats(inv, svc, inner).collect()}
+    assert got == {k: "z" if k in (2, 3) else "a" if 0 <= k < 10 else None for k in range(-2, 40)}
+
+
 def test_work_of_one_pair_is_linear_in_its_days(spark):
     """Twice the days give about twice the pieces and twice the day-to-piece meetings."""
     work = []
     for n in (600, 1200):
         invoices, services, _ = one_pair(spark, n)
         pair = ["service_key", "customer_key"]
-        days = R._invoice_days(invoices, pair)
-        pieces = R._months(R._source_periods(services, pair), days, pair)
+        periods = R._source_periods(services, pair)
+        swept = R._sweep(invoices, periods, pair)
+        assert swept.count() == n
+        days = R._day_stats(swept, pair).where("unclear")
+        assert n - 2 <= days.count() <= n
+        pieces = R._pieces(days, periods, pair).withColumnRenamed("_month", "month")
         months = days.groupBy(F.trunc("issued_date", "MM").alias("month")).agg(F.count("*").alias("d"))
         met = pieces.groupBy("month").agg(F.count("*").alias("p")).join(months, "month").agg(F.sum(F.col("d") * F.col("p")))
         work.append((pieces.count(), met.first()[0]))

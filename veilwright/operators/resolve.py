@@ -161,56 +161,124 @@ def annotate_services(keyed: DataFrame, ledger: DataFrame) -> DataFrame:
     return attach_deletion_mode(keyed, ledger, "customer_key", columns)
 
 
-def _invoice_days(invoices: DataFrame, pair: list[str]) -> DataFrame:
-    """Distinct service, customer, day and visibility. However many invoices share a pair, it has
-    at most one row per calendar day and visibility here."""
-    return invoices.select(
-        *pair, "issued_date", F.col("deletion_mode").isNotNull().alias("sees_deleted")
-    ).distinct()
+def _source_periods(services: DataFrame, pair: list[str]) -> DataFrame:
+    """Source rows, apart for living and deleted customers."""
+    version = "service_version_key" if "service_version_key" in services.columns else "cast(null as string)"
+    return services.selectExpr(
+        *pair, "if(deletion_mode is null, 'alive', 'deleted') as kind", "valid_from", "valid_to", f"{version} as version",
+        "coalesce(is_valid and valid_to >= valid_from, false) as usable",
+    )
 
 
-def _usable(services: DataFrame) -> Column:
-    """A valid row whose period has at least one day."""
-    return F.coalesce(F.col("is_valid") & (F.col("valid_to") >= F.col("valid_from")), F.lit(False))
+def _mapped_periods(resolved_services: DataFrame, pair: list[str]) -> DataFrame:
+    """Accepted rows."""
+    return resolved_services.selectExpr(
+        *pair, "'mapped' as kind", "valid_from", "valid_to", "service_version_key as version",
+        "coalesce(service_version_key is not null and valid_to >= valid_from, false) as usable",
+    )
 
 
-def _source_periods(services: DataFrame, pair: list[str]) -> DataFrame:
-    """Usable source periods, apart for living and deleted customers."""
-    version = "service_version_key" if "service_version_key" in services.columns else None
-    return services.where(_usable(services)).select(
-        *pair,
-        F.when(F.col("deletion_mode").isNull(), "alive").otherwise("deleted").alias("kind"),
-        "valid_from",
-        "valid_to",
-        (F.col(version) if version else F.lit(None).cast("string")).alias("version"),
-    )
+_LAST = "struct<valid_to: date, version: string>"
+#: What a period adds on its first day, and takes back on the day after its last.
+_ENDS = f"""inline(if(usable,
+    array(
+        named_struct('day', valid_from, 'step', 1, 'own', 1, 'ok', 1, 'last', named_struct('valid_to', valid_to, 'version', version)),
+        named_struct('day', date_add(valid_to, 1), 'step', -1, 'own', 0, 'ok', 0, 'last', cast(null as {_LAST}))),
+    array(named_struct('day', valid_from, 'step', 0, 'own', 1, 'ok', 0, 'last', cast(null as {_LAST})))))"""
 
 
-def _mapped_periods(resolved_services: DataFrame, pair: list[str]) -> DataFrame:
-    """Accepted service periods."""
-    known = F.col("service_version_key").isNotNull() & (F.col("valid_to") >= F.col("valid_from"))
-    return resolved_services.where(known).select(
-        *pair, F.lit("mapped").alias("kind"), "valid_from", "valid_to", F.col("service_version_key").alias("version")
-    )
+def _sweep(invoices: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
+    """Of every pair and invoice day: the periods open on it, the last begun one, and the pair's rows.
+
+    Invoice days and the ends of periods are one relation, reduced to a row a pair and day before it is exchanged; running sums
+    over a pair's days then count what is open. A pair has at most one row a calendar day.
+    """
+    marks = periods.selectExpr(*pair, "kind", _ENDS)
+    days = invoices.selectExpr(
+        *pair, "if(deletion_mode is null, 'plain', 'sees') as kind", "issued_date as day", "0 as step", "0 as own", "0 as ok",
+        f"cast(null as {_LAST}) as last",
+    )
+
+    def of(kind: str, column: str, zero: str = "0") -> str:
+        return f"if(kind = '{kind}', {column}, {zero})"
+
+    sums = {f"open_{k}": of(k, "step") for k in ("alive", "deleted", "mapped")}
+    totals = {f"{n}_{k}": of(k, c) for k in ("alive", "deleted") for n, c in (("rows", "own"), ("usable", "ok"))}
+    lasts = {f"last_{k}": of(k, "last", "null") for k in ("alive", "deleted", "mapped")}
+    aggregates = [f"sum({e}) as {n}" for n, e in (sums | totals).items()] + [f"max({e}) as {n}" for n, e in lasts.items()]
+    merged = (
+        marks.union(days)
+        .where(" and ".join(f"{c} is not null" for c in pair))
+        .groupBy(*pair, "day")
+        .agg(*map(F.expr, (*aggregates, "bool_or(kind = 'plain') as plain", "bool_or(kind = 'sees') as sees")))
+    )
+    whole = f"partition by {', '.join(pair)}"
+    running = f"({whole} order by day rows between unbounded preceding and current row)"
+    swept = merged.selectExpr(
+        *pair, "day", "plain", "sees",
+        *(f"sum({c}) over {running} as {c}" for c in sums),
+        *(f"sum({c}) over ({whole}) as {c}" for c in totals),
+        *(f"last_value({c}, true) over {running} as {c}" for c in lasts),
+    )
+    views = "explode(array_compact(array(if(plain, false, null), if(sees, true, null)))) as sees_deleted"
+    return swept.where("plain or sees").selectExpr("*", views)
+
+
+def _day_stats(swept: DataFrame, pair: list[str]) -> DataFrame:
+    """What an invoice of a pair, day and visibility sees; versions are null where they are not known yet: `unclear`.
+
+    A single open period is the last begun one, as long as that has not ended; else it takes a look at the periods.
+    """
+    deleted = "if(sees_deleted, open_deleted, 0)"
+    source = f"if(open_alive + {deleted} = 1, if(open_alive = 1, last_alive, last_deleted), null)"
+    mapped = "if(open_mapped = 1, last_mapped, null)"
+    seen = swept.selectExpr(
+        *pair, "day as issued_date", "sees_deleted",
+        "rows_alive + if(sees_deleted, rows_deleted, 0) as own_rows",
+        "usable_alive + if(sees_deleted, usable_deleted, 0) as ok_rows",
+        f"open_alive + {deleted} as open_periods", "open_mapped as mapped_periods",
+        f"if({source}.valid_to >= day, {source}.version, null) as source_version",
+        f"if({mapped}.valid_to >= day, {mapped}.version, null) as mapped_version",
+        f"open_alive + {deleted} > 0 and not coalesce({source}.valid_to >= day, false) as source_unclear",
+        f"open_mapped > 0 and not coalesce({mapped}.valid_to >= day, false) as mapped_unclear",
+    )
+    return seen.selectExpr("* except (source_unclear, mapped_unclear)", "source_unclear or mapped_unclear as unclear")
 
 
-def _months(periods: DataFrame, days: DataFrame, pair: list[str]) -> DataFrame:
-    """Periods cut at month ends, within the days their pair has invoices on, equal pieces as one with their number.
+def _kept(days: DataFrame) -> list[str]:
+    return [c for c in days.columns if c not in ("source_version", "mapped_version")]
+
+
+def _pieces(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
+    """Periods cut at month ends, within the days their pair has, equal pieces as one with the greatest version.
 
     A month has a bounded number of different pieces, so a pair's rows grow with the calendar and not with its periods.
     """
-    grouped = periods.groupBy(*pair, "kind", "valid_from", "valid_to").agg(
-        F.max("version").alias("version"), F.count("*").alias("n")
+    # The first and the last day with all their columns: then the sweep below is one exchange for this and for the days.
+    row = f"struct(issued_date, {', '.join(c for c in _kept(days) if c != 'issued_date')})"
+    span = days.groupBy(*pair).agg(F.expr(f"min({row}).issued_date as _first"), F.expr(f"max({row}).issued_date as _last"))
+    clipped = periods.where("usable").join(span, pair).selectExpr("*", "greatest(valid_from, _first) as low", "least(valid_to, _last) as high")
+    months = clipped.where("low <= high").selectExpr(
+        *pair, "kind", "low", "high", "version", "explode(sequence(trunc(low, 'MM'), trunc(high, 'MM'), interval 1 month)) as month"
+    )
+    cut = months.selectExpr(
+        *(f"{c} as _{c}" for c in (*pair, "month")), "kind", "greatest(low, month) as low", "least(high, last_day(month)) as high", "version"
     )
-    span = days.groupBy(*pair).agg(F.min("issued_date").alias("_first"), F.max("issued_date").alias("_last"))
-    begin, end = F.greatest("valid_from", "_first"), F.least("valid_to", "_last")
-    clipped = grouped.join(span, pair).withColumns({"low": begin, "high": end}).where("low <= high")
-    month = F.explode(F.sequence(F.trunc("low", "MM"), F.trunc("high", "MM"), F.expr("interval 1 month")))
+    return cut.groupBy(*(f"_{c}" for c in (*pair, "month")), "kind", "low", "high").agg(F.max("version").alias("version"))
+
+
+def _versions(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
+    """days, the unclear ones, with the greatest version open on each: a day meets the pieces of its own month only."""
+    kept, pieces = _kept(days), _pieces(days, periods, pair)
+    same = " and ".join(f"{c} = _{c}" for c in (*pair, "month"))
+    found = days.selectExpr(*kept, "trunc(issued_date, 'MM') as month").join(
+        pieces, F.expr(f"{same} and issued_date between low and high"), "left"
+    )
+    source = "kind = 'alive' or (kind = 'deleted' and sees_deleted)"
     return (
-        clipped.withColumn("month", month)
-        .withColumns({"low": F.greatest("low", "month"), "high": F.least("high", F.last_day("month"))})
-        .groupBy(*pair, "month", "kind", "low", "high")
-        .agg(F.max("version").alias("version"), F.sum("n").alias("n"))
+        found.groupBy(*kept)
+        .agg(F.expr(f"max(if({source}, version, null)) as source_version"), F.expr("max(if(kind = 'mapped', version, null)) as mapped_version"))
+        .select(days.columns)
     )
 
 
@@ -227,42 +295,6 @@ def _with_service_rows(days: DataFrame, services: DataFrame, service: str) -> Da
     return days.join(counts, service, "left").select(*days.columns, seen.alias("any_rows"))
 
 
-def _with_pair_rows(days: DataFrame, services: DataFrame, pair: list[str]) -> DataFrame:
-    """Adds how many rows, and usable rows, the pair has, as far as the invoice may see them."""
-    alive, usable = F.col("deletion_mode").isNull(), _usable(services)
-    counts = services.groupBy(*pair).agg(
-        F.count("*").alias("_rows"),
-        F.count_if(alive).alias("_alive_rows"),
-        F.count_if(usable).alias("_usable"),
-        F.count_if(usable & alive).alias("_alive_usable"),
-    )
-    sees = F.col("sees_deleted")
-    return days.join(counts, pair, "left").select(
-        *days.columns,
-        F.when(sees, F.col("_rows")).otherwise(F.col("_alive_rows")).alias("own_rows"),
-        F.when(sees, F.col("_usable")).otherwise(F.col("_alive_usable")).alias("ok_rows"),
-    )
-
-
-def _stats_per_day(days: DataFrame, pieces: DataFrame, pair: list[str]) -> DataFrame:
-    """Open periods of each distinct invoice day: it meets the pieces of its own month only."""
-    marked = days.withColumn("month", F.trunc("issued_date", "MM"))
-    pieces = pieces.select(*[F.col(c).alias(f"_{c}") for c in [*pair, "month"]], "kind", "low", "high", "version", "n")
-    within = F.col("issued_date").between(F.col("low"), F.col("high"))
-    for c in [*pair, "month"]:
-        within = within & (F.col(c) == F.col(f"_{c}"))
-    source = (F.col("kind") == "alive") | ((F.col("kind") == "deleted") & F.col("sees_deleted"))
-    mapped = F.col("kind") == "mapped"
-    # Grouped by a struct, so that the invoices' join exchanges these rows itself and AQE can split it.
-    stats = marked.join(pieces, within, "left").groupBy(F.struct(*days.columns).alias("_day")).agg(
-        F.sum(F.when(source, F.col("n"))).alias("open_periods"),
-        F.sum(F.when(mapped, F.col("n"))).alias("mapped_periods"),
-        F.max(F.when(source, F.col("version"))).alias("source_version"),
-        F.max(F.when(mapped, F.col("version"))).alias("mapped_version"),
-    )
-    return stats.select("_day.*", "open_periods", "mapped_periods", "source_version", "mapped_version")
-
-
 def _attach_by_day(invoices: DataFrame, stats: DataFrame, pair: list[str]) -> DataFrame:
     names = [*pair, "issued_date", "sees_deleted"]
     right = stats.select(
@@ -284,23 +316,27 @@ def with_service_stats(
     """Adds source-service and mapped-service statistics to mode-annotated invoices.
 
     Ordinary invoices do not see deleted customers' services, erased ones do. Nothing is grouped by
-    invoice and no invoice row is multiplied. Distinct invoice days, a narrow relation, meet the service periods
-    cut at month ends and pre-aggregated, so a pair's work is linear in its calendar, whatever its
-    row counts. The invoices themselves are exchanged once, on service, customer and day: a hot
+    invoice and no invoice row is multiplied. Distinct invoice days and the ends of service periods are swept together, a pair at
+    a time (_sweep); only days on which several periods are open look at the periods themselves (_versions). The
+    invoices are exchanged once, on service, customer and day: a hot
     service or customer spreads over its days, and AQE splits what is left on the invoice side.
     """
     customer, service = pair or ["customer_key", "service_key"]
     keys = [service, customer]
-    days = _invoice_days(invoices, keys)
-    narrow, periods = days, []
+    periods = []
     if services is not None:
-        days = _with_pair_rows(_with_service_rows(days, services, service), services, keys)
         periods.append(_source_periods(services, keys))
-    else:
-        days = days.withColumns({c: F.lit(0).cast("bigint") for c in ("any_rows", "own_rows", "ok_rows")})
     if resolved_services is not None:
         periods.append(_mapped_periods(resolved_services, keys))
-    stats = _stats_per_day(days, _months(union_all(periods), narrow, keys), keys)
+    periods = union_all(periods)
+    days = _day_stats(_sweep(invoices, periods, keys), keys)
+    if services is None or "service_version_key" in services.columns:
+        days = days.where("not unclear").unionByName(_versions(days.where("unclear"), periods, keys))
+    stats = days.drop("unclear")
+    if services is not None:
+        stats = _with_service_rows(stats, services, service)
+    else:
+        stats = stats.withColumn("any_rows", F.lit(0).cast("bigint"))
     joined = _attach_by_day(invoices, stats, keys)
     zero = F.lit(0).cast("bigint")
     return joined.select(
