@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from veilwright.operators import audits as A
@@ -29,6 +32,47 @@ def test_set_and_bag_differences(spark):
     assert A.audit_same_rows(a, a).isEmpty() and A.audit_same_bag(a, a).isEmpty()
 
 
+def test_differences_against_brute_force(spark):
+    pick = random.Random(9)
+    values = [None, 0, 1, 2]
+    for changed in (0, 1, 40):
+        left = [(pick.choice(values), pick.choice([None, "x", ""]), pick.choice(values)) for _ in range(300)]
+        right = list(left)
+        for _ in range(changed):
+            right[pick.randrange(300)] = (pick.choice(values), pick.choice([None, "x", "y"]), pick.choice(values))
+        pick.shuffle(right)
+        a, b = (literal_relation(spark, r, "i int, s string, j int") for r in (left, right))
+        surplus = Counter(left)
+        surplus.subtract(Counter(right))
+        found = {tuple(r)[1:4]: (r.difference_type, r.surplus_rows) for r in A.audit_same_bag(a, b).collect()}
+        assert found == {r: ("MISSING" if n > 0 else "UNEXPECTED", abs(n)) for r, n in surplus.items() if n}
+        assert Counter(map(tuple, A.audit_same_rows(a, b).collect())) == Counter(
+            [("MISSING", *r) for r in set(left) - set(right)] + [("UNEXPECTED", *r) for r in set(right) - set(left)]
+        )
+
+
+def test_nulls_in_other_columns_are_other_rows(spark):
+    a = literal_relation(spark, [(None, 5), (7, None)], "i int, j int")
+    b = literal_relation(spark, [(5, None), (None, 7)], "i int, j int")
+    assert A.audit_same_bag(a, b).count() == 4 and A.audit_same_rows(a, b).count() == 4
+
+
+def test_equal_sides_shuffle_digests_only(spark, tmp_path):
+    wide = spark.range(20_000).selectExpr("id", "cast(id % 7 as string) AS s", "repeat('x', 200) AS w")
+    for name, n in (("a", 5), ("b", 3)):
+        wide.repartition(n).write.parquet(str(tmp_path / name))
+    wide.withColumn("s", F.when(F.col("id") == 77, "other").otherwise(F.col("s"))).write.parquet(str(tmp_path / "c"))
+    a, b, c = (spark.read.parquet(str(tmp_path / name)) for name in "abc")
+    for audit in (A.audit_same_rows, A.audit_same_bag, lambda x, y: A.audit_projection(x, y, "id")):
+        for other, differs in ((b, False), (c, True)):
+            found = audit(a, other)
+            assert bool(found.collect()) == differs
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+            # Rows are exchanged by their values (or key) only where some ranges differ.
+            assert ("Exchange hashpartitioning(id" in final) == differs
+
+
 def test_bag_difference_of_very_many_copies_is_one_row(spark):
     many = spark.range(3).selectExpr("id % 1 AS k")
     found = A.audit_same_bag(many, many.where("false"))

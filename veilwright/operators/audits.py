@@ -58,10 +58,53 @@ def audit_fk(
 
 # ---- comparisons ------------------------------------------------------------------------------
 
+#: Ranges that two relations are digested by before rows are compared: so many small rows a task, and at most so many to broadcast.
+DIGEST_RANGES = 4_096
+
+
+def _hash(columns: Sequence[str], seed: int) -> Column:
+    """Of a row's values and of which of them are null, which the values' hash alone passes over."""
+    return F.xxhash64(F.lit(seed), F.array(*(F.col(c).isNull() for c in columns)), *(F.col(c) for c in columns))
+
+
+def _range(by: Sequence[str]) -> Column:
+    return F.pmod(_hash(by, 0), F.lit(DIGEST_RANGES)).cast("int")
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Ranges (of a hash of the ``by`` columns, else of the row) in which the two relations are not the same bag of rows.
+
+    The digest of a range is the number of its rows and the sums of the halves of two 64-bit hashes of them, whatever their
+    order: b's are taken off a's, and what is left is not zero. Tasks add up their rows before the exchange.
+    """
+    half = F.lit((1 << 32) - 1)
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        hashed = df.select(_range(by or a.columns).alias("_range"), *(_hash(a.columns, i).alias(f"_h{i}") for i in (1, 2)))
+        parts = [F.lit(sign).cast("bigint").alias("_n")]
+        for i in (1, 2):
+            parts.append((sign * F.col(f"_h{i}").bitwiseAND(half)).alias(f"_low{i}"))
+            parts.append((sign * F.shiftrightunsigned(f"_h{i}", 32)).alias(f"_high{i}"))
+        return hashed.select("_range", *parts)
+
+    both = side(a, 1).unionAll(side(b.select(a.columns), -1))
+    names = both.columns[1:]
+    left = both.groupBy("_range").agg(*(F.sum(c).alias(c) for c in names))
+    return left.where(" or ".join(f"{c} <> 0" for c in names)).select("_range")
+
+
+def _where_differing(a: DataFrame, b: DataFrame, by: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both relations' rows in ranges whose digests differ: none, and none shuffled, where they are equal."""
+    ranges = F.broadcast(differing_ranges(a, b, by))
+    here = _range(by or a.columns)
+    return tuple(df.select(a.columns).join(ranges, here == F.col("_range"), "left_semi") for df in (a, b))
+
+
 def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of both relations with their counts on either side, in one aggregation."""
+    """Distinct rows of both relations with their counts on either side, in one aggregation; only of ranges that differ."""
+    a, b = _where_differing(a, b)
     both = a.withColumn("_a", F.lit(1)).withColumn("_b", F.lit(0)).unionByName(
-        b.select(a.columns).withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1))
+        b.withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1))
     )
     return both.groupBy(*a.columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
 
@@ -131,7 +174,8 @@ def audit_tuple(child: DataFrame, parent: DataFrame, columns: Sequence[str], ext
 
 
 def audit_projection(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Keys whose rows differ in any column of ``a``, or exist on one side only."""
+    """Keys whose rows differ in any column of ``a``, or exist on one side only; only ranges of keys that differ are joined."""
+    a, b = _where_differing(a, b, [key])
     columns = [c for c in a.columns if c != key]
     left = a.select(F.col(key), F.struct(*columns).alias("a_row"))
     right = b.select(F.col(key), F.struct(*columns).alias("b_row"))
