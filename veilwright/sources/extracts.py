@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.schemas import EXTRACT_COLUMNS, extract_schema
+from veilwright.sources.csv_ranges import read_quoted_csv
 
 
 def read_extract(spark: SparkSession, name: str, path: str, multi_line: bool = False) -> DataFrame:
     """Read one extract from CSV (with header) or parquet; every column is a string.
 
     A CSV record with too many or too few fields, or a broken quote, fails the read: nothing is cut, padded or
-    skipped. Quoted line breaks need ``multi_line``, with which a file cannot be split and is read by one task.
+    skipped. Quoted line breaks need ``multi_line``; a file is then read in ranges too (csv_ranges), twice.
     """
     schema = extract_schema(name)
+    if multi_line and path.rstrip("/").endswith(".csv"):
+        return read_quoted_csv(spark, path, schema)
     if path.rstrip("/").endswith(".csv"):
         return (
             spark.read.schema(schema)
@@ -22,7 +25,6 @@ def read_extract(spark: SparkSession, name: str, path: str, multi_line: bool = F
             .option("mode", "FAILFAST")
             # Without pruning the parser sees, and counts, all fields whatever columns are asked for.
             .option("columnPruning", False)
-            .option("multiLine", multi_line)
             .csv(path)
         )
     source = spark.read.parquet(path)
