@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,72 @@ def test_names_and_ids(spark, tmp_path):
     for bad in ("", "a b", "x" * 129, "a/b"):
         with pytest.raises(ValueError):
             E.check_execution_id(bad)
+
+
+def archived(spark, store, cfg, first, last):
+    rows = spark.range(first, last).selectExpr(
+        "concat('request-', id) deletion_request_id", "'c' customer_id", "'900-00-0001' customer_ssn",
+        "timestamp'2026-01-01 10:11:12' source_deleted_at", "timestamp'2026-01-02 00:00:00' detected_at", "'DETECTED' detection_status",
+    )
+    held = store.holding(REQUESTS, E.payloads(rows))
+    fresh = E.archive(rows, REQUESTS, held, cfg, f"run-{first}")
+    store.append(fresh, "control_history", f"run-{first}", REQUESTS)
+    return rows
+
+
+def test_compacted_evidence_is_the_same_evidence(spark, cfg, store):
+    for k in range(6):
+        archived(spark, store, cfg, 20 * k, 20 * k + 30)  # each run archives ten rows of the one before again
+    before = sorted(map(tuple, store.history().collect()))
+    assert len(before) == 130
+    assert not store.compact(REQUESTS, least=7) and store.compact(REQUESTS, least=6)
+    assert not store.compact(REQUESTS, least=1)
+    segments, batches = store._listed(REQUESTS)
+    assert len(segments) == 1 and not batches
+    assert sorted(map(tuple, store.history(REQUESTS).collect())) == sorted(map(tuple, store.history().collect())) == before
+    rows = archived(spark, store, cfg, 100, 140)  # after compaction: ten are new
+    assert store.history(REQUESTS).count() == 140 and len(store._listed(REQUESTS)[1]) == 1
+    everything = spark.range(140).selectExpr("concat('request-', id) deletion_request_id")
+    for history in (store.history(REQUESTS), store.history(REQUESTS, keyed=True)):
+        assert E.missing_or_downgraded(everything, REQUESTS, history).isEmpty()
+        lost = E.missing_or_downgraded(everything.where("deletion_request_id <> 'request-7'"), REQUESTS, history)
+        assert [tuple(r) for r in lost.collect()] == [("request-7",)]
+    assert E.restore_control(store.history(), REQUESTS).count() == 140 and rows.count() == 40
+
+
+def test_few_hashes_open_few_buckets(spark, cfg, store):
+    rows = archived(spark, store, cfg, 0, 3000)
+    archived(spark, store, cfg, 3000, 3001)
+    assert store.compact(REQUESTS, least=2)
+    found = store.holding(REQUESTS, E.payloads(rows.limit(3)))
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    opened = re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(([^)]*)\)", plan)
+    assert opened and len(opened[1].split(",")) <= 3
+
+
+def test_guards_read_no_payload(spark, cfg, store):
+    archived(spark, store, cfg, 0, 10)
+    store.compact(REQUESTS, least=1)
+    current = spark.range(10).selectExpr("concat('request-', id) deletion_request_id")
+    lost = E.missing_or_downgraded(current, REQUESTS, store.history(REQUESTS, keyed=True))
+    assert lost.isEmpty()
+    plan = lost._jdf.queryExecution().executedPlan().toString()
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    assert scans and all("record_key" in columns and "payload" not in columns for columns in scans), scans
+
+
+def test_of_two_compactions_one_is_listed(spark, cfg, store, monkeypatch):
+    for k in range(3):
+        archived(spark, store, cfg, 10 * k, 10 * k + 10)
+    seen, real = [], E.differing_ranges
+
+    def slow(a, b):
+        if not seen:
+            seen.append(1)
+            assert store.compact(REQUESTS, least=3)
+        return real(a, b)
+
+    monkeypatch.setattr(E, "differing_ranges", slow)
+    assert not store.compact(REQUESTS, least=3)
+    assert len(store._listed(REQUESTS)[0]) == 1 and store.history(REQUESTS).count() == 30

@@ -70,7 +70,7 @@ def test_a_switch_on_a_stale_state_is_refused(spark, tmp_path):
 def test_entries_are_created_once_by_rename_too(spark, tmp_path, monkeypatch):
     store = TableStore(spark, str(tmp_path))
     monkeypatch.setattr(tables, "LINKED", ())
-    assert store._create(1, '{"relations": {}}') and not store._create(1, "other")
+    assert store.log.create(1, {"relations": {}}) and not store.log.create(1, {"other": 1})
     assert store.snapshot() == Snapshot(1, {})
     assert [p.name for p in (tmp_path / "_manifest").iterdir() if not p.name.startswith(".")] == ["000000000001.json"]
 

@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilwright.config import FULL, PipelineConfig
+from veilwright.operators.audits import differing_ranges
 from veilwright.operators.controls import LEDGER
 from veilwright.schemas import CONTRACTS, CONTROL_KEYS
-from veilwright.sources.tables import literal_relation
+from veilwright.sources.tables import AtomicLog, literal_relation, union_all
 
 HISTORY_SCHEMA = (
     "source_relation string, payload_hash string, payload string, archived_at timestamp, "
     "invocation_id string"
 )
 HISTORY_COLUMNS = ("source_relation", "payload_hash", "payload", "archived_at", "invocation_id")
+#: As stored: with a row's key as JSON and its deletion mode, for controls.
+STORED_SCHEMA = f"{HISTORY_SCHEMA}, record_key string, record_mode string"
+STORED_COLUMNS = (*HISTORY_COLUMNS, "record_key", "record_mode")
 EVENT_SCHEMA = (
     "execution_id string, target_relation string, plan_digest string, status string, "
     "recorded_at timestamp, invocation_id string"
@@ -61,19 +65,97 @@ class EvidenceStore:
     def bootstrap(self) -> None:
         """Create both tables empty where they do not exist yet."""
         for name, schema in zip(EVIDENCE_RELATIONS, (HISTORY_SCHEMA, EVENT_SCHEMA)):
-            empty = literal_relation(self.spark, [], schema)
+            empty = literal_relation(self.spark, [], STORED_SCHEMA if name == "control_history" else schema)
             folder = "source_relation=none/batch=bootstrap" if name == "control_history" else "batch=bootstrap"
             if name == "control_history":
                 empty = empty.drop("source_relation")
             empty.write.mode("ignore").parquet(f"{self._path(name)}/{folder}")
 
-    def history(self, relation: str | None = None) -> DataFrame:
-        """Archived rows. They are filed by relation: with one given, no other folder is listed or read."""
+    def _segment_log(self, relation: str) -> AtomicLog:
+        return AtomicLog(self.spark, f"{self._path('control_history')}/source_relation={relation}/_segments")
+
+    def _listed(self, relation: str) -> tuple[list[str], list[str]]:
+        """Folders of a relation that hold its history: segments, and the batches that none of them has taken in."""
+        root = f"{self._path('control_history')}/source_relation={relation}"
+        found = self._segment_log(relation).last()[1]
+        covered = set(found.get("covered", []))
+        batches = [b for b in _folders(self.spark, root) if b.startswith("batch=") and b not in covered]
+        return [f"{root}/{s}" for s in found.get("segments", [])], [f"{root}/{b}" for b in sorted(batches)]
+
+    def _rows(self, segments: Sequence[str], batches: Sequence[str]) -> DataFrame:
+        """Rows of segments (with the bucket of their hash) and of batches (bucket null)."""
         root = self._path("control_history")
-        found = self.spark.read.schema(HISTORY_SCHEMA).option("basePath", root)
-        if relation is None:
-            return found.parquet(f"{root}/source_relation=*/batch=*").select(*HISTORY_COLUMNS)
-        return found.parquet(f"{root}/source_relation={{{relation},none}}/batch=*").select(*HISTORY_COLUMNS)
+        reader = self.spark.read.option("basePath", root)
+        columns = [*STORED_COLUMNS, "bucket"]
+        frames = []
+        if batches:
+            rows = reader.schema(f"{STORED_SCHEMA}, batch string").parquet(*batches)
+            frames.append(rows.withColumn("bucket", F.lit(None).cast("string")).select(columns))
+        if segments:
+            frames.append(reader.schema(f"{STORED_SCHEMA}, segment string, bucket string").parquet(*segments).select(columns))
+        return union_all(frames) if frames else literal_relation(self.spark, [], f"{STORED_SCHEMA}, bucket string")
+
+    def history(self, relation: str | None = None, keyed: bool = False) -> DataFrame:
+        """Archived rows. They are filed by relation: with one given, no other folder is listed or read.
+
+        keyed: with record_key and record_mode, with which the guards need no payload.
+        """
+        if relation is not None:
+            names = [relation]
+        else:
+            found = _folders(self.spark, self._path("control_history"))
+            names = sorted(n.removeprefix("source_relation=") for n in found if n.startswith("source_relation="))
+        listed = [self._listed(n) for n in names]
+        rows = self._rows([s for x, _ in listed for s in x], [b for _, x in listed for b in x])
+        return rows.select(*(STORED_COLUMNS if keyed else HISTORY_COLUMNS))
+
+    def holding(self, relation: str, hashes: DataFrame) -> DataFrame:
+        """The archived rows of a relation whose payload_hash is among the given ones.
+
+        Of segments only the buckets of these hashes are opened: their numbers, 256 at most, are found first.
+        """
+        segments, batches = self._listed(relation)
+        wanted = hashes.select("payload_hash").distinct()
+        rows = self._rows([], batches)
+        if segments:
+            buckets = [r.bucket for r in wanted.select(_bucket().alias("bucket")).distinct().collect()]
+            rows = rows.unionByName(self._rows(segments, []).where(F.col("bucket").isin(buckets)))
+        return rows.join(wanted, "payload_hash", "left_semi").select(*HISTORY_COLUMNS)
+
+    def compact(self, relation: str, least: int = 8) -> bool:
+        """Takes a relation's batches, if there are at least so many, into one segment, sorted by hash in 256 buckets.
+
+        The segment counts from the moment its entry in the relation's list is created; what it took in stays where it is. It is listed
+        only if its rows are those of its batches. Of two compactions at once one is listed; a reader sees the old list or the new.
+        """
+        _, batches = self._listed(relation)
+        if len(batches) < least:
+            return False
+        root = f"{self._path('control_history')}/source_relation={relation}"
+        name, rows = f"segment={uuid.uuid4().hex}", self._rows([], batches).drop("bucket")
+        sorted_rows = rows.drop("source_relation").withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "payload_hash")
+        sorted_rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#payload_hash", "true").parquet(f"{root}/{name}")
+        if not differing_ranges(rows, self._rows([f"{root}/{name}"], []).drop("bucket")).isEmpty():
+            raise EvidenceError(f"{relation}: a compacted segment differs from its batches")
+        log, taken = self._segment_log(relation), [b.rpartition("/")[2] for b in batches]
+        while True:
+            sequence, found = log.last()
+            covered = found.get("covered", [])
+            if set(covered) & set(taken):
+                return False
+            if log.create(sequence + 1, {"segments": [*found.get("segments", []), name], "covered": [*covered, *taken]}):
+                return True
+
+    def archived_controls(self) -> dict:
+        """The control versions up to which all rows are known to be archived."""
+        return AtomicLog(self.spark, f"{self.root}/_archived").last()[1]
+
+    def mark_archived(self, controls: dict) -> None:
+        """Called when all rows of these control versions are archived. If another run was faster, its mark stands."""
+        log = AtomicLog(self.spark, f"{self.root}/_archived")
+        sequence, found = log.last()
+        if found != controls:
+            log.create(sequence + 1, controls)
 
     def events(self) -> DataFrame:
         return self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self._path('execution_events')}/batch=*")
@@ -84,10 +166,33 @@ class EvidenceStore:
         if name == "control_history":
             if relation is None:
                 raise ValueError("history is appended for one relation at a time")
-            df, path = _of(df, relation).drop("source_relation"), f"{path}/source_relation={relation}"
+            df, path = _keyed(_of(df, relation), relation).drop("source_relation"), f"{path}/source_relation={relation}"
         df.write.mode("errorifexists").parquet(f"{path}/batch={batch}-{uuid.uuid4().hex}")
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(target) if f.isDirectory()] if fs.exists(target) else []
+
+
+def _bucket() -> Column:
+    return F.substring("payload_hash", 1, 2)
+
+
+def _keyed(history: DataFrame, name: str) -> DataFrame:
+    """Archived rows with record_key and record_mode, null for what is no durable control."""
+    keys = CONTROL_KEYS.get(name)
+    if keys is None:
+        return history.withColumns({c: F.lit(None).cast("string") for c in ("record_key", "record_mode")})
+    fields = [*keys, *(["deletion_mode"] if "deletion_mode" not in keys else [])]
+    record = F.from_json("payload", ", ".join(f"{f} string" for f in fields))
+    parsed = history.withColumn("_record", record)
+    return parsed.withColumns(
+        {"record_key": F.to_json(F.array(*(F.col(f"_record.{k}") for k in keys))), "record_mode": F.col("_record.deletion_mode")}
+    ).drop("_record")
+
+
 # ---- archive ----------------------------------------------------------------------------------
 
 def row_payload(df: DataFrame) -> Column:
@@ -133,8 +238,16 @@ def archive_conflicts(df: DataFrame, name: str, history: DataFrame, keys: Sequen
 
 
 def missing_or_downgraded(current: DataFrame, name: str, history: DataFrame) -> DataFrame:
-    """Archived control keys that are gone, or that lost a FULL mode."""
+    """Archived control keys that are gone, or that lost a FULL mode; of keyed history no payload is read."""
     keys = list(CONTROL_KEYS[name])
+    if "record_key" in history.columns:
+        archived = _of(history, name).groupBy("record_key").agg(F.bool_or(F.col("record_mode") == FULL).alias("was_full"))
+        full = (F.col("deletion_mode") == FULL) if name == LEDGER else F.lit(True)
+        present = current.select(F.to_json(F.array(*(F.col(k).cast("string") for k in keys))).alias("record_key"), full.alias("is_full"))
+        joined = archived.join(present, "record_key", "left")
+        lost = F.col("is_full").isNull() | (F.col("was_full") & ~F.col("is_full"))
+        parsed = F.from_json("record_key", "array<string>")
+        return joined.where(lost).select(*(F.element_at(parsed, i + 1).alias(k) for i, k in enumerate(keys)))
     if name != LEDGER:
         present = current.select(*[F.col(k).cast("string").alias(k) for k in keys])
         return _archived_fields(history, name, keys).select(*keys).join(present, keys, "left_anti")

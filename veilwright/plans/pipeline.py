@@ -234,7 +234,7 @@ def run_pipeline(
     parts: dict[str, Parts] = {}
     try:
         for name in CONTROL_KEYS:
-            E.guard_control(state.get(name), name, evidence.history(name))
+            E.guard_control(state.get(name), name, evidence.history(name, keyed=True))
 
         def stage(name: str, df: DataFrame) -> DataFrame:
             return store.write_version(df, name, invocation, CONTRACTS.get(name), CHECKS.get(name))
@@ -285,6 +285,10 @@ def run_pipeline(
         raise
 
 
+def _control_parts(snapshot: Snapshot) -> dict:
+    return {name: [list(v) for v in snapshot.relations[name].versions] for name in CONTROL_KEYS if name in snapshot.relations}
+
+
 def _build_controls(
     r: Relations, store: TableStore, evidence: E.EvidenceStore, invocation: str, began: Snapshot, parts: dict[str, Parts]
 ) -> Snapshot:
@@ -299,18 +303,18 @@ def _build_controls(
     _build(r, CONTROL_WAVES)
     switched = {name: parts.get(name, Parts(((invocation, None),))) for name in CONTROL_TABLES}
     now = store.switch(switched, invocation, began, BUILT_TABLES)
-    archived = {name: getattr(r, name) for name in CONTROL_TABLES if name != "customer_deletion_authorizations"}
-    _side_by_side(
-        r.spark,
-        [
-            partial(
-                evidence.append,
-                E.archive(df, name, evidence.history(name), r.cfg, invocation),
-                "control_history",
-                f"{invocation}-{name}",
-                name,
-            )
-            for name, df in {DECISIONS: decisions, **archived}.items()
-        ],
-    )
+    # Where all rows of the controls that this run began with are archived, its changes are all that is not.
+    known = evidence.archived_controls() == _control_parts(began)
+    rows = {name: getattr(r, name) for name in CONTROL_TABLES if name != "customer_deletion_authorizations"}
+    rows.update({name: r.changes[name] for name in parts if known})
+
+    def archive(name: str, df: DataFrame) -> None:
+        held = evidence.holding(name, E.payloads(df))
+        fresh = E.archive(df, name, held, r.cfg, invocation)
+        if not fresh.isEmpty():
+            evidence.append(fresh, "control_history", f"{invocation}-{name}", name)
+            evidence.compact(name)
+
+    _side_by_side(r.spark, [partial(archive, name, df) for name, df in {DECISIONS: decisions, **rows}.items()])
+    evidence.mark_archived(_control_parts(now))
     return now

@@ -105,6 +105,63 @@ COMPACT_SHARE = 0.25
 MOST_CHANGES = 8
 
 
+class AtomicLog:
+    """Numbered entries in a folder; an entry is created whole, and only if there is none of its number.
+
+    The folder must be on a file system whose renames are atomic and refuse an existing target, or on a local disk.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder
+
+    def _file_system(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def last(self) -> tuple[int, dict]:
+        """The last entry with its number; 0 and nothing if there is none."""
+        folder, fs = self._file_system()
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        name = max((n for n in names if ENTRY.fullmatch(n)), default=None)
+        if name is None:
+            return 0, {}
+        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+        try:
+            return int(name.removesuffix(".json")), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def create(self, sequence: int, entry: dict) -> bool:
+        """Entry `sequence`, whole or not at all; False if there is one."""
+        jvm = self.spark._jvm
+        folder, fs = self._file_system()
+        fs.mkdirs(folder)
+        draft, name = (jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f".draft-{uuid.uuid4().hex}", f"{sequence:012d}.json"))
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        try:
+            if fs.getUri().getScheme() in LINKED:
+                # A link refuses an existing name in one step, which a local rename does not.
+                paths = jvm.java.nio.file.Paths
+                none = self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)
+                at = [paths.get(fs.makeQualified(p).toUri().getPath(), none) for p in (name, draft)]
+                jvm.java.nio.file.Files.createLink(*at)
+            else:
+                # Without options a rename refuses an existing target.
+                options = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(fs.makeQualified(draft), fs.makeQualified(name), options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        finally:
+            fs.delete(draft, False)
+        return True
+
+
 class TableStore:
     """Versioned tables on plain parquet, switched by an atomic manifest.
 
@@ -112,13 +169,13 @@ class TableStore:
     only if there is none of its number, so of two switches from one state one wins, and the other looks again: it goes on
     if what it relies on still stands, and fails if not. A lost driver or executor never leaves a half-written table visible.
 
-    A keyed table may be a base and changes (write_changes), merged when read. The folder must be on a file system whose renames
-    are atomic and refuse an existing target, or on a local disk.
+    A keyed table may be a base and changes (write_changes), merged when read.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = AtomicLog(spark, f"{self.root}/_manifest")
 
     # ---- folders ----
 
@@ -193,57 +250,13 @@ class TableStore:
 
     # ---- manifest ----
 
-    def _file_system(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifest")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def snapshot(self) -> Snapshot:
         """The state after the last entry; entries are small and complete, so only one is read."""
-        folder, fs = self._file_system()
-        if not fs.exists(folder):
-            return Snapshot()
-        names = [f.getPath().getName() for f in fs.listStatus(folder)]
-        last = max((n for n in names if ENTRY.fullmatch(n)), default=None)
-        if last is None:
-            return Snapshot()
-        stream = fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(folder, last))
-        try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        sequence, found = self.log.last()
         relations = {
-            name: Parts(tuple((v, n) for v, n in parts["versions"]), tuple(parts["keys"])) for name, parts in found["relations"].items()
+            name: Parts(tuple((v, n) for v, n in parts["versions"]), tuple(parts["keys"])) for name, parts in found.get("relations", {}).items()
         }
-        return Snapshot(int(last.removesuffix(".json")), relations)
-
-    def _create(self, sequence: int, text: str) -> bool:
-        """Entry `sequence`, whole or not at all; False if there is one."""
-        jvm = self.spark._jvm
-        folder, fs = self._file_system()
-        fs.mkdirs(folder)
-        draft, entry = (jvm.org.apache.hadoop.fs.Path(folder, n) for n in (f".draft-{uuid.uuid4().hex}", f"{sequence:012d}.json"))
-        out = fs.create(draft, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        try:
-            if fs.getUri().getScheme() in LINKED:
-                # A link refuses an existing name in one step, which a local rename does not.
-                paths = jvm.java.nio.file.Paths
-                none = self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)
-                at = [paths.get(fs.makeQualified(p).toUri().getPath(), none) for p in (entry, draft)]
-                jvm.java.nio.file.Files.createLink(*at)
-            else:
-                # Without options a rename refuses an existing target.
-                options = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
-                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-                context.rename(fs.makeQualified(draft), fs.makeQualified(entry), options)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            return False
-        finally:
-            fs.delete(draft, False)
-        return True
+        return Snapshot(sequence, relations)
 
     def current_versions(self) -> dict[str, str]:
         """Newest visible version per relation."""
@@ -271,7 +284,7 @@ class TableStore:
             now = self.snapshot() if since is None else self.check(since, watched)
             relations = {**now.relations, **changed}
             rows = {name: {"versions": parts.versions, "keys": parts.keys} for name, parts in sorted(relations.items())}
-            if self._create(now.sequence + 1, json.dumps({"relations": rows})):
+            if self.log.create(now.sequence + 1, {"relations": rows}):
                 return Snapshot(now.sequence + 1, relations)
 
     def publish(self, df: DataFrame, name: str, version: str, schema: T.StructType | None = None, checks: Checks | None = None) -> DataFrame:
