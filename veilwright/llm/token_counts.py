@@ -138,7 +138,8 @@ def frequent_pretokens(texts: DataFrame, tokenizer_path: str) -> dict[str, int]:
     rows = (
         texts.select("text")
         .sample(share, seed=7)
-        .coalesce(8)
+        # The scan keeps its tasks; only the sampled texts are gathered.
+        .repartition(8)
         .mapInArrow(partial, "pretoken string, n long")
         .groupBy("pretoken")
         .agg(F.sum("n").alias("n"))
