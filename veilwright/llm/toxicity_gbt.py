@@ -38,7 +38,6 @@ NEAR = 40
 #: Learned entries: beginnings of words of these lengths, or whole words, that toxic training documents have more often.
 PREFIXES = range(3, 9)
 MOST_ENTRIES = 2_000
-MOST_CANDIDATES = 20_000
 LEAST_DOCUMENTS = 3
 LEAST_GAIN = 15.0
 LEAST_ODDS = 1.5
@@ -47,6 +46,7 @@ LEET = str.maketrans("013457@$!|", "oieastasii")
 INSIDE = re.compile(r"[^\W\d_][0-9@$*!|]+[^\W\d_]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?![^\W_])")
 RUNS = re.compile(r"[!?]{2,}")
+LETTERS = re.compile(r"[^\W\d_]+")
 APART = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
 FEATURES = (
@@ -150,7 +150,7 @@ class Reader:
         if inside or spaced:
             bare = f" {INSIDE.sub(lambda m: m.group().translate(LEET), text.lower())} {' '.join(re.sub(r'[ .*_-]', '', s.lower()) for s in spaced)} "
             hidden = max(0, sum(1 for _ in self.insults.iter(_plain(bare))) - len(insults))
-        letters = max(1, sum(map(str.isalpha, text)) if len(text) < 200 else len(text) - text.count(" "))
+        letters = max(1, sum(map(len, LETTERS.findall(text))))
         upper = len(re.findall(r"[A-Z]", text))
         weights = [w for w, _ in learned.values()]
         return [
@@ -276,46 +276,46 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _training_texts(texts: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most `rows` labelled documents that are not held out."""
+    """(doc_id, text, toxic) of at most `rows` labelled documents that are not held out, one text an id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return staged(texts.join(F.broadcast(chosen), "doc_id"), "toxic-training")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    one = one.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return staged(one.select("doc_id", "least.text", "toxic"), "toxic-training")
 
 
 def learn_lexicon(training: DataFrame) -> Lexicon:
-    """Entries that toxic training documents have more often; candidates are counted in all training documents."""
+    """Entries that toxic training documents have more often: each is counted and weighed in Spark, and those that pass
+    the test, the MOST_ENTRIES with the largest weights times documents, reach the driver."""
     sizes = {r.toxic: r.n for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon = Lexicon(toxic=sizes.get(1, 0), other=sizes.get(0, 0))
     if not lexicon.toxic or not lexicon.other:
         return lexicon
+    toxic, other = lexicon.toxic, lexicon.other
 
-    def count(batches: Iterable[pa.RecordBatch], wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for _, found in pieces(batches):
-            for text in found:
-                entries = entries_of(text.decode())
-                seen.update(entries if wanted is None else entries & wanted)
-        yield pa.record_batch({"entry": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
-
-    def totals(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-        counted = rows.select("text").mapInArrow(lambda b: count(b, wanted), "entry string, n long")
-        return counted.groupBy("entry").agg(F.sum("n").alias("n"))
-
-    toxic = (
-        totals(training.where("toxic = 1"), None)
-        .where(F.col("n") >= LEAST_DOCUMENTS)
-        .orderBy(F.desc("n"), F.desc(F.length("entry")), "entry")
-        .limit(MOST_CANDIDATES)
-        .collect()
-    )
-    counts = {r.entry: r.n for r in toxic}
-    other = {r.entry: r.n for r in totals(training.where("toxic = 0"), frozenset(counts)).collect()}
-    weighed = [
-        (_weight(a, lexicon.toxic, other.get(e, 0), lexicon.other), a, e) for e, a in counts.items()
-    ]
-    best = sorted((w for w in weighed if w[0]), key=lambda w: (-w[0] * w[1], w[2]))[:MOST_ENTRIES]
-    lexicon.counts = {e: (a, other.get(e, 0)) for _, a, e in best}
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch, found in pieces(batches):
+            for text, label in zip(found, batch.column("toxic").to_pylist()):
+                if label in (0, 1):
+                    seen[label].update(entries_of(text.decode()))
+        for label in (0, 1):
+            n = pa.array(seen[label].values(), pa.int64())
+            none = pa.array(np.zeros(len(n), np.int64))
+            yield pa.record_batch({"entry": pa.array(seen[label], pa.string()), "a": n if label else none, "b": none if label else n})
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            weights = [_weight(x, toxic, y, other) for x, y in zip(a, b)]
+            yield batch.append_column("weight", pa.array(weights, pa.float64())).filter(pa.array([w > 0 for w in weights], pa.bool_()))
+
+    counted = training.select("text", "toxic").mapInArrow(count, "entry string, a long, b long")
+    counted = counted.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= LEAST_DOCUMENTS)
+    weighed = counted.mapInArrow(weigh, "entry string, a long, b long, weight double")
+    best = weighed.orderBy(F.desc(F.col("weight") * F.col("a")), "entry").limit(MOST_ENTRIES).collect()
+    lexicon.counts = {r.entry: (r.a, r.b) for r in best}
     return lexicon
 
 
