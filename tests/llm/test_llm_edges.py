@@ -277,7 +277,7 @@ def test_mix_tells_rows_apart_whose_parts_join_alike(spark):
 
 
 def test_mix_decides_equal_rows_singly(spark):
-    rows = [(i, " ".join(["w"] * (1 + i % 9)), "hot") for i in range(400)] + [(7, "all the same words", "hot")] * 200
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "hot") for i in range(400)] + [(7, "all the same words", "hot")] * 600
     rows += [(i, "two words", "low") for i in range(40)] + [(5, "", "hot")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
     got = source_mix.source_mix(docs).collect()
