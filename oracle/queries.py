@@ -394,6 +394,9 @@ BODIES = {
     "suppressed_invoices": """
         SELECT invoice_id, resolution_status FROM invoice_resolution
         WHERE resolution_status <> 'ACCEPTED' AND is_erased_customer""",
+    "rebuild_events": "SELECT * FROM event_resolution",
+    "rebuild_services": "SELECT * FROM service_resolution",
+    "rebuild_invoices": "SELECT * FROM invoice_resolution",
     "late_arrival_services": f"""
         SELECT CASE WHEN {LATE} THEN 'CUSTOMER_NOT_FOUND' ELSE resolution_status END AS status_before,
                resolution_status AS status_after, count(*) AS services

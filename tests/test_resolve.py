@@ -4,6 +4,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from veilwright.operators import incremental as I
 from veilwright.operators import resolve as R
 from veilwright.sources.tables import literal_relation
 
@@ -277,3 +278,46 @@ def test_work_of_one_pair_is_linear_in_its_days(spark):
         work.append((pieces.count(), met.first()[0]))
     assert work[1][0] < 2.5 * work[0][0] and work[1][1] < 2.5 * work[0][1]
     assert work[1][0] < 70 * 1200 / 30 * 2
+
+
+def _versions(spark, before, after, schema):
+    return I.Versions(literal_relation(spark, before, schema), literal_relation(spark, after, schema))
+
+
+def test_changed_keys_are_those_with_other_rows(spark):
+    rows = [("a", 1), ("a", 1), ("b", 2), ("c", None), (None, 4), ("same", 7), ("same", 8)]
+    now = [("a", 1), ("b", 3), ("c", 0), (None, 5), ("same", 8), ("same", 7), ("new", 1)]
+    found = _versions(spark, rows, now, "k string, v int").changed("k").collect()
+    assert sorted(str(r.k) for r in found) == ["None", "a", "b", "c", "new"]
+    assert _versions(spark, rows, rows[::-1], "k string, v int").changed("k").isEmpty()
+    assert _versions(spark, [], [], "k string, v int").changed("k").isEmpty()
+
+
+def test_rebuilt_invoices_follow_customers_services_and_ledger(spark, cfg):
+    """Random versions of every input, with null keys and repeated ids: as resolved in full."""
+    rnd = random.Random(3)
+    customers = ["c1", "c2", "c3", "c4", None]
+    keys = ["s1", "s2", "s3", "s4", None]
+
+    def version():
+        return (
+            [invoice(f"i{rnd.randrange(40)}" if n else None, rnd.choice(customers), rnd.choice(keys)) for n in range(60)],
+            [service(rnd.choice(customers), rnd.choice(keys), f"v{n}", rnd.random() < 0.9) for n in range(8)],
+            [(c, rnd.choice([SPECIAL, FULL])) for c in customers[:4] if rnd.random() < 0.4],
+            [(c,) for c in customers[:4] if rnd.random() < 0.8],
+        )
+
+    first, second = version(), version()
+    # Most rows stay as they were, so that some outcomes are carried over.
+    second = (first[0][:50] + second[0][:5], first[1][:7] + second[1][:1], second[2], first[3][1:])
+    schemas = (INVOICE, SERVICE, LEDGER, "customer_key string")
+    invoices, services, ledger, known = (_versions(spark, a, b, s) for a, b, s in zip(first, second, schemas))
+    accepted = I.Versions(*(df.drop("service_id").where("is_valid") for df in (services.before, services.after)))
+
+    def full(side):
+        parts = (getattr(v, side) for v in (invoices, services, accepted, ledger, known))
+        return R.resolve_invoices(*parts, cfg)
+
+    rebuilt = I.rebuild_invoices(invoices, services, accepted, ledger, known, full("before"), cfg)
+    expected = full("after")
+    assert sorted(map(str, rebuilt.select(expected.columns).collect())) == sorted(map(str, expected.collect()))

@@ -71,26 +71,39 @@ def _range(by: Sequence[str]) -> Column:
     return F.pmod(_hash(by, 0), F.lit(DIGEST_RANGES)).cast("int")
 
 
-def differing_ranges(a: DataFrame, b: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
-    """Ranges (of a hash of the ``by`` columns, else of the row) in which the two relations are not the same bag of rows.
+def _differing(a: DataFrame, b: DataFrame, group: Column) -> DataFrame:
+    """Values of ``group`` (an aliased column) for which the two relations are not the same bag of rows.
 
-    The digest of a range is the number of its rows and the sums of the halves of two 64-bit hashes of them, whatever their
+    The digest of a group is the number of its rows and the sums of the halves of two 64-bit hashes of them, whatever their
     order: b's are taken off a's, and what is left is not zero. Tasks add up their rows before the exchange.
     """
     half = F.lit((1 << 32) - 1)
 
     def side(df: DataFrame, sign: int) -> DataFrame:
-        hashed = df.select(_range(by or a.columns).alias("_range"), *(_hash(a.columns, i).alias(f"_h{i}") for i in (1, 2)))
+        hashed = df.select(group.alias("_group"), *(_hash(a.columns, i).alias(f"_h{i}") for i in (1, 2)))
         parts = [F.lit(sign).cast("bigint").alias("_n")]
         for i in (1, 2):
             parts.append((sign * F.col(f"_h{i}").bitwiseAND(half)).alias(f"_low{i}"))
             parts.append((sign * F.shiftrightunsigned(f"_h{i}", 32)).alias(f"_high{i}"))
-        return hashed.select("_range", *parts)
+        return hashed.select("_group", *parts)
 
     both = side(a, 1).unionAll(side(b.select(a.columns), -1))
     names = both.columns[1:]
-    left = both.groupBy("_range").agg(*(F.sum(c).alias(c) for c in names))
-    return left.where(" or ".join(f"{c} <> 0" for c in names)).select("_range")
+    left = both.groupBy("_group").agg(*(F.sum(c).alias(c) for c in names))
+    return left.where(" or ".join(f"{c} <> 0" for c in names)).select("_group")
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Ranges (of a hash of the ``by`` columns, else of the row) in which the two relations are not the same bag of rows."""
+    return _differing(a, b, _range(by or a.columns)).withColumnRenamed("_group", "_range")
+
+
+def differing_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Values of ``key`` (null is one) for which the two relations are not the same bag of rows.
+
+    Ranges of keys are compared first; keys are digested only in ranges that differ.
+    """
+    return _differing(*_where_differing(a, b, [key]), F.col(key)).withColumnRenamed("_group", key)
 
 
 def _where_differing(a: DataFrame, b: DataFrame, by: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -461,13 +461,17 @@ def accepted_invoices(resolution: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 
 def quarantine_invoices(stg_invoices: DataFrame, resolution: DataFrame, cfg: PipelineConfig) -> DataFrame:
-    """Rejected and not erased; erased rejects appear nowhere."""
-    reasons = rejected(resolution).where(~F.col("is_erased_customer")).select(
-        "invoice_id", F.col("resolution_status").alias("quarantine_reason")
-    )
+    """Rejected and not erased; erased rejects appear nowhere.
+
+    The resolution carries every source column but the two raw identifiers, so staged invoices are read and exchanged for these alone.
+    """
+    raw = stg_invoices.select("invoice_id", "customer_ssn", "service_id")
     joined = (
-        stg_invoices.withColumnRenamed("is_due", "source_is_due")
-        .join(reasons, "invoice_id", "inner")
+        rejected(resolution)
+        .where(~F.col("is_erased_customer"))
+        .withColumnRenamed("resolution_status", "quarantine_reason")
+        .drop("customer_key", "service_key", "is_erased_customer")
+        .join(raw, "invoice_id", "inner")
         .withColumn("quarantined_at", cfg.run_timestamp())
     )
     return joined.select(CONTRACTS["quarantine_invoices"].names)

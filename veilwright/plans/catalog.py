@@ -6,7 +6,7 @@ the same application published to the shared folder on first use, as in a govern
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 from functools import cached_property
 from types import SimpleNamespace
@@ -18,8 +18,9 @@ from veilwright.config import CASE_USERS, DEMO_SCHEME, PRIVACY_ADMINS, RESTRICTE
 from veilwright.functions import keys as K
 from veilwright.functions import text as X
 from veilwright.operators import audits as A
-from veilwright.operators import controls, maps, policy, resolve, scan, specs, staging, star, views
+from veilwright.operators import controls, incremental, maps, policy, resolve, scan, specs, staging, star, views
 from veilwright.operators import evidence as E
+from veilwright.operators.incremental import Versions
 from veilwright.plans import pipeline as P
 from veilwright.plans.relations import Relations
 from veilwright.plans.teaching import TeachingRelations
@@ -67,8 +68,8 @@ class Run:
         """Relations composed in one plan, nothing published."""
         return Relations(self.spark, self.extracts, CFG)
 
-    def _upstream(self, cfg: PipelineConfig) -> Relations:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.extracts.version, cfg.decision_as_of)
+    def _upstream(self, cfg: PipelineConfig, extracts: Mapping[str, DataFrame] | None = None, seen: str = "") -> Relations:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.extracts.version, cfg.decision_as_of, seen)
         if key not in Run._published:
             spark = self.spark
 
@@ -77,7 +78,7 @@ class Run:
                 df.write.parquet(path)
                 return spark.read.schema(df.schema).parquet(path)
 
-            Run._published[key] = Relations(spark, self.extracts, cfg, stage=stage)
+            Run._published[key] = Relations(spark, extracts or self.extracts, cfg, stage=stage)
         return Run._published[key]
 
     @property
@@ -85,6 +86,26 @@ class Run:
         """Upstream relations: tables published once per application, then read back."""
         return self._upstream(CFG)
 
+    @property
+    def before(self) -> Relations:
+        """An earlier build: late rows not there yet, later payments still open, early decisions only."""
+        found = self.extracts
+        paid_later = F.col("paid_at") >= "1998-06-01"
+        invoices_then = found["invoices"].where(F.col("issued_date") < "2000-01-01")
+        extracts = {
+            **found,
+            "customer": found["customer"].where(F.col("source_updated_at") < "2026-02-01"),
+            "customer_events": found["customer_events"].where(F.col("occurred_at") < "2024-01-20"),
+            "customer_services": found["customer_services"].where(F.col("valid_from") < "1995-06-01"),
+            "invoices": invoices_then.withColumn("is_paid", F.when(paid_later, F.lit("false")).otherwise(F.col("is_paid")))
+            .withColumn("paid_at", F.when(paid_later, F.lit("")).otherwise(F.col("paid_at"))),
+        }
+        return self._upstream(replace(CFG, decision_as_of=EARLY_CUTOFF), extracts, "before")
+
+    def versions(self, name: str) -> Versions:
+        """A relation as the earlier build had it, and now; the ledger as far as outcomes depend on it."""
+        return Versions(getattr(self.before, name), getattr(self.up, name))
+
     @cached_property
     def early(self) -> Relations:
         """The first run's controls, when only the early decisions were recorded."""
@@ -527,6 +548,26 @@ def suppressed_invoices(run: Run) -> DataFrame:
     return resolve.suppressed_invoices(resolve_invoices(run)).select("invoice_id", "resolution_status")
 
 
+@query
+def rebuild_events(run: Run) -> DataFrame:
+    """From the earlier build's outcomes; so are the next two."""
+    inputs = map(run.versions, ("int_customer_events_keyed", "resolution_basis", "fa_pd_customer"))
+    return incremental.rebuild_events(*inputs, run.before.int_customer_event_resolution, CFG)
+
+
+@query
+def rebuild_services(run: Run) -> DataFrame:
+    inputs = map(run.versions, ("int_customer_services_keyed", "resolution_basis", "fa_pd_customer", "fa_pd_service_address"))
+    return incremental.rebuild_services(*inputs, run.before.int_customer_service_resolution)
+
+
+@query
+def rebuild_invoices(run: Run) -> DataFrame:
+    rows = ("int_invoices_keyed", "int_customer_services_keyed", "int_customer_services_resolved")
+    inputs = map(run.versions, (*rows, "resolution_basis", "fa_pd_customer"))
+    return incremental.rebuild_invoices(*inputs, run.before.int_invoice_resolution, CFG)
+
+
 @query
 def late_arrival_services(run: Run) -> DataFrame:
     """Services resolved against customers known early, and again after the late ones arrived."""

@@ -19,7 +19,7 @@ from veilwright.operators import audits as A
 from veilwright.operators import evidence as E
 from veilwright.operators import maps, resolve, views
 from veilwright.operators.controls import LEDGER, PLAN, TARGETS
-from veilwright.plans.relations import Relations
+from veilwright.plans.relations import REBUILT, Relations
 from veilwright.schemas import CHECKS, CONTRACTS, CONTROL_KEYS
 from veilwright.sources.tables import Parts, Snapshot, TableStore
 
@@ -36,7 +36,7 @@ OUTPUT_TABLES = tuple(name for name in CONTRACTS if name not in CONTROL_TABLES)
 #: The grants that a build was judged by, a version of it like its outputs.
 GRANTS = "_grants"
 #: What a build relies on: none of these may be switched by another build while it runs.
-BUILT_TABLES = (*CONTROL_TABLES, *OUTPUT_TABLES, GRANTS)
+BUILT_TABLES = tuple(dict.fromkeys((*CONTROL_TABLES, *OUTPUT_TABLES, GRANTS, *REBUILT)))
 DECISIONS = "stg_customer_deletion_confirmations"
 
 # Relations of one wave depend on earlier waves only, so their jobs run side by side.
@@ -49,7 +49,7 @@ CONTROL_WAVES = (
 OUTPUT_WAVES = (
     (
         "fa_pd_customer", "int_customer_events_keyed", "int_customer_services_keyed", "int_invoices_keyed",
-        "dim_date",
+        "dim_date", "resolution_basis",
     ),
     ("fa_pd_service_address", "int_customer_event_resolution", "int_customer_protected"),
     (
@@ -217,12 +217,14 @@ def run_pipeline(
     invocation_id: str | None = None,
     targets=TARGETS,
     grants: DataFrame | None = None,
+    changed_only: bool = False,
 ) -> RunResult:
     """One governed build. Outputs become visible together, and only after every audit passed.
 
     ``grants`` (grantee, privilege, table_schema, table_name) are kept as a version of the build, which the access audits judge; a
     build without them runs to its end and stays unverified and invisible. Controls are written as changes over those of the
-    last entry of the manifest. If another build switches tables that this one was built on, it fails with Conflict.
+    last entry of the manifest. With ``changed_only``, events, services and invoices are resolved again only where their inputs
+    differ from those of the last verified build; leave it out after a change of the rules themselves. If another build switches tables that this one was built on, it fails with Conflict.
     """
     E.check_execution_id(execution_id)
     invocation = E.check_execution_id(invocation_id or uuid.uuid4().hex)
@@ -245,7 +247,9 @@ def run_pipeline(
             )
             return merged, written
 
-        r = Relations(spark, extracts, cfg, state, stage, targets, stage_changes)
+        earlier = {name: store.read(name, began) for name in REBUILT} if changed_only else {}
+        earlier = {name: df for name, df in earlier.items() if df is not None}
+        r = Relations(spark, extracts, cfg, state, stage, targets, stage_changes, earlier)
         built_on = _build_controls(r, store, evidence, invocation, began, parts)
         digests = E.plan_digest(r.int_customer_deletion_plan)
         digests = store.write_version(digests, "_plan_digest", invocation)
@@ -277,7 +281,7 @@ def run_pipeline(
         store.check(built_on, BUILT_TABLES)
         # Outputs are never visible without their verification; a crash in between leaves the old ones.
         evidence.append(outcome.coalesce(1), "execution_events", f"{invocation}-verified")
-        store.switch((*OUTPUT_TABLES, GRANTS), invocation, built_on, BUILT_TABLES)
+        store.switch(dict.fromkeys((*OUTPUT_TABLES, GRANTS, *REBUILT)).keys(), invocation, built_on, BUILT_TABLES)
         return RunResult(r, findings, True)
     except Exception:
         failure = E.failure_event(spark, execution_id, F.current_timestamp(), invocation)

@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from veilwright.config import Persona, PipelineConfig
-from veilwright.operators import controls, maps, resolve, star, staging, views
+from veilwright.operators import controls, incremental, maps, resolve, star, staging, views
+from veilwright.operators.incremental import Versions
 from veilwright.schemas import COLUMN_METADATA, CONTRACTS, CONTROL_KEYS, with_column_metadata
 from veilwright.sources.tables import enforce_contract, merge_by_key
 
@@ -22,6 +23,15 @@ Stage = Callable[[str, DataFrame], DataFrame]
 StageChanges = Callable[[str, DataFrame], tuple[DataFrame, DataFrame]]
 
 
+#: What a build needs of the one before it to resolve changed rows only.
+BASIS = "_resolution_basis"
+REBUILT = (
+    BASIS, "fa_pd_customer", "fa_pd_service_address", "int_customer_events_keyed", "int_customer_services_keyed",
+    "int_invoices_keyed", "int_customer_event_resolution", "int_customer_service_resolution", "int_customer_services_resolved",
+    "int_invoice_resolution",
+)
+
+
 class Relations:
     def __init__(
         self,
@@ -32,6 +42,7 @@ class Relations:
         stage: Stage | None = None,
         targets=controls.TARGETS,
         stage_changes: StageChanges | None = None,
+        previous: Mapping[str, DataFrame] | None = None,
     ):
         self.spark = spark
         self.extracts = extracts
@@ -41,6 +52,8 @@ class Relations:
         self._stage = stage
         self._stage_changes = stage_changes
         self.changes: dict[str, DataFrame] = {}
+        # The REBUILT relations of an earlier build: resolutions start from them.
+        self.previous = dict(previous or {})
 
     def _table(self, name: str, df: DataFrame) -> DataFrame:
         annotations = COLUMN_METADATA.get(name)
@@ -164,17 +177,35 @@ class Relations:
     def int_invoices_keyed(self) -> DataFrame:
         return self._shared("int_invoices_keyed", resolve.key_invoices(self.stg_invoices, self.cfg))
 
+    @cached_property
+    def resolution_basis(self) -> DataFrame:
+        return self._shared(BASIS, incremental.basis(self.ledger, self.cfg))
+
+    def _versions(self, name: str) -> Versions:
+        return Versions(self.previous[name], self.resolution_basis if name == BASIS else getattr(self, name))
+
+    @property
+    def _changed_only(self) -> bool:
+        return all(name in self.previous for name in REBUILT)
+
     @cached_property
     def int_customer_event_resolution(self) -> DataFrame:
+        name = "int_customer_event_resolution"
+        if self._changed_only:
+            inputs = map(self._versions, ("int_customer_events_keyed", BASIS, "fa_pd_customer"))
+            return self._shared(name, incremental.rebuild_events(*inputs, self.previous[name], self.cfg, self._shared))
         return self._shared(
-            "int_customer_event_resolution",
-            resolve.resolve_events(self.int_customer_events_keyed, self.ledger, self.fa_pd_customer, self.cfg),
+            name, resolve.resolve_events(self.int_customer_events_keyed, self.ledger, self.fa_pd_customer, self.cfg)
         )
 
     @cached_property
     def int_customer_service_resolution(self) -> DataFrame:
+        name = "int_customer_service_resolution"
+        if self._changed_only:
+            inputs = map(self._versions, ("int_customer_services_keyed", BASIS, "fa_pd_customer", "fa_pd_service_address"))
+            return self._shared(name, incremental.rebuild_services(*inputs, self.previous[name], self._shared))
         return self._shared(
-            "int_customer_service_resolution",
+            name,
             resolve.resolve_services(
                 self.int_customer_services_keyed, self.ledger, self.fa_pd_customer, self.fa_pd_service_address
             ),
@@ -182,8 +213,13 @@ class Relations:
 
     @cached_property
     def int_invoice_resolution(self) -> DataFrame:
+        name = "int_invoice_resolution"
+        if self._changed_only:
+            rows = ("int_invoices_keyed", "int_customer_services_keyed", "int_customer_services_resolved")
+            inputs = map(self._versions, (*rows, BASIS, "fa_pd_customer"))
+            return self._shared(name, incremental.rebuild_invoices(*inputs, self.previous[name], self.cfg, self._shared))
         return self._shared(
-            "int_invoice_resolution",
+            name,
             resolve.resolve_invoices(
                 self.int_invoices_keyed,
                 self.int_customer_services_keyed,
