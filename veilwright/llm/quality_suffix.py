@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,11 @@ MAX_LONGEST = 100
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
+#: Texts are split into words in slices of about this many bytes.
+SLICE = 1 << 20
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Words compared at once when common prefixes are measured.
+WINDOW = 1 << 20
 
 
 class _Ids(dict):
@@ -30,23 +36,36 @@ class _Ids(dict):
         return n
 
 
+def _split(text: bytes) -> Iterator[list[bytes]]:
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SLICE)
+        end = len(text) if cut is None else cut.start()
+        yield text[at:end].split()
+        at = end
+
+
 class Words:
     """The words of several texts as one array of ids, each text's ids its own."""
 
     def __init__(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        self.counts = np.fromiter(map(len, split), np.int64, len(split))
+        ids = _Ids()
+        found, counts = [np.zeros(0, np.int32)], []
+        for text in texts:
+            slices = [np.fromiter(map(ids.__getitem__, words), np.int32, len(words)) for words in _split(text)]
+            counts.append(sum(map(len, slices)))
+            found += slices
+        word = np.concatenate(found)
+        del found
+        self.counts = np.array(counts, np.int64)
         self.ends = np.cumsum(self.counts)
         self.starts = self.ends - self.counts
-        ids = _Ids()
-        n = int(self.counts.sum())
-        word = np.fromiter((i for words in split for i in map(ids.__getitem__, words)), np.int64, n)
         # Code points of a word: its bytes that do not continue one.
-        chars = np.fromiter((len(w) if w.isascii() else len(w.decode()) for w in ids), np.int64, len(ids))
+        chars = np.fromiter((len(w) if w.isascii() else len(w.decode()) for w in ids), np.int32, len(ids))
         self.chars = chars[word]
-        self.text = np.repeat(np.arange(len(texts)), self.counts)
-        self.end = self.ends[self.text]
-        self.first = self.text * max(1, len(ids)) + word
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.counts)
+        self.end = self.ends.astype(np.int32)[self.text]
+        self.first = self.text.astype(np.int64) * max(1, len(ids)) + word
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -54,7 +73,7 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     order = np.argsort(keys, kind="stable")
     s = keys[order]
     heads = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    ranks = np.empty(len(keys), np.int64)
+    ranks = np.empty(len(keys), np.int32)
     ranks[order] = np.repeat(heads, np.diff(np.r_[heads, len(s)]))
     return ranks
 
@@ -81,57 +100,93 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * (len(b) + 1) + b
 
 
-def longest_repeats(words: Words, least: int) -> np.ndarray:
-    """Per word position: the longest prefix, in words, that its text has at another place too.
+def _suffix_array(words: Words) -> np.ndarray:
+    """Word positions in the order of their suffixes, each up to the end of its text.
 
     Prefix doubling sorts the suffixes of all texts at once: a suffix whose first k words are its own is settled, the
-    others are sorted again by their first 2k. The common prefixes of neighbours in the suffix array
-    follow from the ranks of each round. Lengths below `least` are given as 0.
+    others are sorted again by their first 2k.
     """
     n = len(words.first)
-    longest = np.zeros(n, np.int64)
-    if not n:
-        return longest
-    rank = _dense(words.first)
-    levels, k = [rank], 1
-    size = np.bincount(rank, minlength=n)
-    open_ = np.flatnonzero(size[rank] > 1)
+    rank, k = _dense(words.first), 1
+    open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(np.int32)
     while len(open_):
-        after = open_ + k
-        second = np.where(after < words.end[open_], rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank[open_] * (n + 1) + second
+        after = open_ + np.int32(k)
+        key = np.where(after < words.end[open_], rank[np.minimum(after, n - 1)] + 1, 0)
+        del after
+        key = rank[open_].astype(np.int64) * (n + 1) + key
         order = np.argsort(key, kind="stable")
         place, key = open_[order], key[order]
-        old = rank[place]
-        head = np.r_[True, old[1:] != old[:-1]]
+        del order
         fresh = np.r_[True, key[1:] != key[:-1]]
-        index = np.arange(len(place))
-        start = np.maximum.accumulate(np.where(head, index, 0))
-        new = old + np.maximum.accumulate(np.where(fresh, index, 0)) - start
-        rank = rank.copy()
-        rank[place] = new
-        k *= 2
-        levels.append(rank)
+        del key
+        old = rank[place]
+        index = np.arange(len(place), dtype=np.int32)
+        start = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], index, 0))
+        rank[place] = old + np.maximum.accumulate(np.where(fresh, index, 0)) - start
+        del old, start, index
+        k = min(2 * k, n)
         counts = np.diff(np.r_[np.flatnonzero(fresh), len(place)])
         open_ = place[np.repeat(counts, counts) > 1]
-    # Neighbours in the suffix array that share at least the largest level up to `least`.
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    floor = min(len(levels) - 1, max(0, least.bit_length() - 1))
-    base = levels[floor][order]
-    pair = np.flatnonzero(base[1:] == base[:-1])
-    i, j = order[pair].copy(), order[pair + 1].copy()
-    common = np.zeros(len(pair), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        step, ranks = 1 << level, levels[level]
-        inside = (i < words.end[order[pair]]) & (j < words.end[order[pair]])
-        same = inside & (ranks[np.minimum(i, n - 1)] == ranks[np.minimum(j, n - 1)])
-        common += same * step
-        i += same * step
-        j += same * step
+    order = np.empty(n, np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
+    return order
+
+
+def _common(first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words from a[i] and from b[i] on are equal. first: ids ending with one of its own."""
+    out = np.zeros(len(a), np.int32)
+    open_, width = np.arange(len(a)), 1
+    last = len(first) - 1
+    while len(open_):
+        still = []
+        # Windows grow twofold, so a pair costs about twice its common prefix; all windows of a step fit WINDOW words.
+        span = min(width, WINDOW)
+        rows = max(1, WINDOW // span)
+        for at in range(0, len(open_), rows):
+            pairs = open_[at : at + rows]
+            steps = np.arange(span)
+            x = first[np.minimum((a[pairs] + out[pairs])[:, None] + steps, last)]
+            y = first[np.minimum((b[pairs] + out[pairs])[:, None] + steps, last)]
+            unlike = x != y
+            ends = unlike.any(axis=1)
+            out[pairs] += np.where(ends, unlike.argmax(axis=1), span).astype(np.int32)
+            still.append(pairs[~ends])
+        open_ = np.concatenate(still)
+        width *= 2
+    return out
+
+
+def longest_repeats(words: Words, least: int) -> np.ndarray:
+    """Per word position: the longest prefix, in words, that its text has at another place too.
+
+    Common prefixes of neighbours in the suffix array, in memory linear in the words. In text order, where the words before
+    a suffix and before its neighbour are equal, the common prefix is one less than that of the suffix before; only where they
+    differ is it counted out, and those prefixes add up to n log n words at most. Lengths below `least` are given as 0.
+    """
+    n = len(words.first)
+    longest = np.zeros(n, np.int64)
+    if n < 2:
+        return longest
+    order = _suffix_array(words)
+    # The neighbour before, and whether the pair follows from the one of the position before.
+    before = np.full(n, -1, np.int32)
+    before[order[1:]] = order[:-1]
+    text, first = words.text, np.r_[words.first, -1]
+    here = np.arange(1, n, dtype=np.int32)
+    there = before[1:]
+    inside = (there > 0) & (text[here] == text[here - 1]) & (text[there] == text[there - 1])
+    follows = np.r_[False, inside & (first[here - 1] == first[there - 1])]
+    del here, there, inside
+    at = np.flatnonzero(~follows & (before >= 0) & (first[:-1] == first[before]))
+    common = np.zeros(n, np.int32)
+    common[at] = _common(first, at, before[at].astype(np.int64))
+    del before
+    source = np.maximum.accumulate(np.where(follows, 0, np.arange(n, dtype=np.int32)))
+    common = common[source] - (np.arange(n, dtype=np.int32) - source)
+    del source, follows
     common[common < least] = 0
-    np.maximum.at(longest, order[pair], common)
-    np.maximum.at(longest, order[pair + 1], common)
+    pairs = common[order]
+    longest[order] = np.maximum(pairs, np.r_[pairs[1:], np.int32(0)])
     return longest
 
 
@@ -141,7 +196,7 @@ def measure(texts: list[bytes], least: int = MIN_REPEAT) -> dict[str, np.ndarray
     n, m = len(words.first), len(texts)
 
     def per_text(values: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(values)]
+        total = np.r_[0, np.cumsum(values, dtype=np.int64)]
         return (total[words.ends] - total[words.starts]).astype(np.int64)
 
     longest = longest_repeats(words, least)
