@@ -219,21 +219,22 @@ def _compare(ids: list, texts: list[str]) -> dict[str, list]:
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint beside that of its edited text and that of the next document.
 
-    The next document follows in doc_id order (null first; equal ids by a hash of the text, then the text);
-    after the last comes the first. Rows are range-partitioned on id and text hash, so a hot id is spread, and
-    sorted; a task reads its rows in order and keeps one text back. The first and last text of each
+    The next document follows in doc_id order (null first; equal ids by two hashes of the text);
+    after the last comes the first. Rows are range-partitioned and sorted on id, hashes and a row number, so a hot id is
+    spread, and so are equal rows; a task reads its rows in order and keeps one text back. The first and last text of each
     partition are joined to their neighbours afterwards: two rows a partition.
 
     Null text: empty. Empty text: edited text empty too, likeness 1 to another empty one, else 0. A
     single row is its own next. Repeated rows: a row each. Empty table: no rows. Other columns are ignored.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key")]
+    keys = {"text_key": F.xxhash64("text"), "text_key2": F.xxhash64(F.lit(1), "text"), "row": F.monotonically_increasing_id()}
+    order = [F.col("doc_id").asc_nulls_first(), *keys]
     placed = (
         texts_of(docs, id_col, text_col)
-        .withColumn("text_key", F.xxhash64("text"))
+        .withColumns(keys)
         .repartitionByRange(*order)
-        .sortWithinPartitions(*order, "text")
-        .drop("text_key")
+        .sortWithinPartitions(*order)
+        .drop(*keys)
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
