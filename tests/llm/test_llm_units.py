@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import brute
 from veilwright.llm import components, edit_embedding, line_dedup, pii_crf, quality_suffix, sentencepiece_codec
@@ -264,3 +265,54 @@ def test_unigram_parity(byte_fallback):
     got = [ids[e - n : e].tolist() for e, n in zip(ends, counts)]
     assert got == [library.encode(t) for t in texts] and codec.disagreed == 0
     assert [codec.decode(x) for x in got] == [library.decode(x) for x in got]
+
+
+def test_a_differing_backend_is_found_in_every_text():
+    """Whatever the batches, the texts with a unit that the backend encodes otherwise have the library's ids, and say so."""
+    data = unigram_model(True)
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [*["bad lower"] * 20, "hello world", "  hello   held ", "", "lower  "]
+    for batch in (len(texts), 3):
+        codec = sentencepiece_codec.Codec(data)
+        honest = codec._ids
+        codec._ids = lambda found: [ids[:-1] if "hello" in t else ids for t, ids in zip(found, honest(found))]
+        for at in range(0, len(texts), batch):
+            part = texts[at : at + batch]
+            ids, counts, agreed = codec.encode_checked(part)
+            ends = np.cumsum(counts)
+            assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [library.encode(t) for t in part]
+            assert agreed.tolist() == ["hello" not in t for t in part]
+        assert codec.disagreed == 2
+
+
+def test_longest_repeats_of_several_texts():
+    """Common prefixes stop at a text's end, also where equal texts follow each other."""
+    rnd = random.Random(1)
+    for least in (1, 2, 3, 8):
+        for _ in range(40):
+            texts = [" ".join(rnd.choices("ab" if rnd.random() < 0.5 else "abcde", k=rnd.randrange(25))).encode() for _ in range(4)]
+            texts += [texts[0], b"a " * 30, b""]
+            want = []
+            for words in (t.split() for t in texts):
+                n = len(words)
+                for i in range(n):
+                    long = max((next((k for k in range(n) if max(i, j) + k == n or words[i + k] != words[j + k]), n) for j in range(n) if j != i), default=0)
+                    want.append(long if long >= least else 0)
+            assert quality_suffix.longest_repeats(quality_suffix.Words(texts), least).tolist() == want
+
+
+def test_equal_rows_of_the_edit_embedding_are_spread(spark):
+    """A third of the rows are equal; no partition holds them all, and each but the last has an equal one next."""
+    rows = [(7, "the same text again and again")] * 1000 + [(i, f"text number {i}") for i in range(100, 2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, False)
+    try:
+        found = edit_embedding.edited_neighbours(docs).where("doc_id = 7").withColumn("file", F.input_file_name())
+        rows = found.select("near_next", "file").collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert len(rows) == 1000 and sum(r.near_next == 1.0 for r in rows) == 999
+    files = [r.file for r in rows if r.file]
+    assert len(set(files)) > 1 and max(map(files.count, set(files))) < 1000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -21,8 +22,11 @@ UNIGRAM, BPE = 1, 2
 BATCH_CHARS = 250_000
 #: Threads of the backend in each worker, unless RAYON_NUM_THREADS says otherwise.
 THREADS = 2
-#: Every so many texts of a batch are compared with the sentencepiece library.
-CHECK_EVERY = 16
+#: What a text is cut into before it is encoded, where no piece goes on with a marker after another character.
+UNITS = re.compile(" *[^ ]+| +")
+#: Units that a worker remembers as compared, each of at most so many characters; beyond it starts anew.
+MOST_UNITS = 1 << 18
+LONGEST_UNIT = 256
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -135,8 +139,9 @@ def backend(model: Model):
 class Codec:
     """One worker's backend for a model, checked against the sentencepiece library as it goes.
 
-    Batches of whole texts are encoded by the multithreaded backend. Every CHECK_EVERY-th text is encoded by sentencepiece
-    too; if one of them differs, sentencepiece's ids stand for the whole batch.
+    Batches of whole texts are encoded by the multithreaded backend. Every text is checked: neither library joins pieces across
+    units (a word and the spaces before it), so each distinct unit is encoded by both, once a worker. Models that normalise characters
+    or whose pieces span units have whole texts compared. Where they differ, sentencepiece's ids of that text stand.
     """
 
     def __init__(self, data: bytes):
@@ -146,6 +151,8 @@ class Codec:
         self.tokenizer = backend(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.disagreed = 0
+        self.by_unit = self.model.splits_at_marks and not self.model.charsmap
+        self.units: dict[str, bool] = {}
         self.byte_of = [int(p[1:-1], 16) if kind == BYTE else None for p, _, kind in self.model.pieces]
         self.plain = [
             b" \xe2\x81\x87 "
@@ -160,24 +167,58 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        ids, counts, start, held = [np.zeros(0, np.int32)], [], 0, 0
+        return self.encode_checked(texts)[:2]
+
+    def encode_checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As encode, and for each text whether the backend agreed."""
+        ids, counts, agreed, start, held = [np.zeros(0, np.int32)], [], [], 0, 0
         for i, text in enumerate(texts):
             held += len(text)
             if held >= BATCH_CHARS or i + 1 == len(texts):
                 # The backend's objects are many times a text's size: only plain ids outlive a batch.
-                for x in self._batch(texts[start : i + 1]):
+                found, same = self._batch(texts[start : i + 1])
+                for x in found:
                     ids.append(np.array(x, np.int32))
                     counts.append(len(x))
+                agreed += same
                 start, held = i + 1, 0
-        return np.concatenate(ids), np.array(counts, np.int64)
-
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        checked = self.reference.encode(texts[::CHECK_EVERY], num_threads=1)
-        if checked != ids[::CHECK_EVERY]:
-            self.disagreed += 1
-            ids = self.reference.encode(texts, num_threads=1)
-        return ids
+        return np.concatenate(ids), np.array(counts, np.int64), np.array(agreed, bool)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        ids = self._ids(texts)
+        if self.by_unit:
+            same = self._units_agree(texts)
+        else:
+            same = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1))]
+        for i, agreed in enumerate(same):
+            if not agreed:
+                self.disagreed += 1
+                ids[i] = self.reference.encode(texts[i])
+        return ids, same
+
+    def _units(self, text: str) -> set[str]:
+        """The text's distinct units, as texts of their own that give the same pieces."""
+        if self.model.remove_extra:
+            return set(text.split(" ")) - {""}
+        if not self.model.dummy_prefix:
+            return set(UNITS.findall(text))
+        # The prefix comes back when a unit is encoded, but not for an empty text: a lone space is tried behind a word.
+        return {u[1:] or "a " for u in set(UNITS.findall(" " + text))} if text else set()
+
+    def _units_agree(self, texts: list[str]) -> list[bool]:
+        found = [self._units(t) for t in texts]
+        fresh = [u for u in set().union(*found) if u not in self.units]
+        known = dict(zip(fresh, (a == b for a, b in zip(self._ids(fresh), self.reference.encode(fresh, num_threads=1)))))
+        differing = {u for u, agreed in known.items() if not agreed}
+        differing |= {u for u, agreed in self.units.items() if not agreed} if self.disagreed else set()
+        same = [differing.isdisjoint(units) for units in found] if differing else [True] * len(texts)
+        if len(self.units) > MOST_UNITS:
+            self.units.clear()
+        self.units.update((u, agreed) for u, agreed in known.items() if len(u) <= LONGEST_UNIT)
+        return same
 
     def decode(self, ids: list[int]) -> str:
         """The text of one list of ids; ids outside the model are an error."""
@@ -202,7 +243,9 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, round_trip): every whole text encoded, and whether decoding gives it back.
+    """(doc_id, ids, n_tokens, round_trip, parity): every whole text encoded, and whether decoding gives it back.
+
+    parity: whether the backend gave the library's ids; where not, the library's stand.
 
     model_path must exist on every executor; neither begin nor end ids are added. Row by row, nothing is shuffled.
 
@@ -216,7 +259,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         c = codec(model_path)
         for batch, found in pieces(batches):
             texts = [t.decode() for t in found]
-            ids, counts = c.encode(texts)
+            ids, counts, agreed = c.encode_checked(texts)
             ends = np.r_[0, np.cumsum(counts)]
             same = [c.decode(ids[a:b].tolist()) == t for a, b, t in zip(ends, ends[1:], texts)]
             yield pa.record_batch(
@@ -225,11 +268,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
                     "n_tokens": pa.array(counts, pa.int64()),
                     "round_trip": pa.array(same, pa.bool_()),
+                    "parity": pa.array(agreed, pa.bool_()),
                 }
             )
 
     return texts_of(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean"
+        run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean"
     )
 
 
