@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, round_trip) of every row of the mix. Null and empty texts have no ids."""
+    """(doc_id, ids, n_tokens, round_trip, parity) of every row of the mix. Null and empty texts have no ids."""
     return sentencepiece_codec.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
