@@ -321,3 +321,26 @@ def test_rebuilt_invoices_follow_customers_services_and_ledger(spark, cfg):
     rebuilt = I.rebuild_invoices(invoices, services, accepted, ledger, known, full("before"), cfg)
     expected = full("after")
     assert sorted(map(str, rebuilt.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
+
+
+def test_quarantine_on_raw_identifiers_keeps_staged_rows(spark, cfg):
+    """Every staged row of a rejected id, also of a repeated one, with its own identifiers; no erased and no accepted ones."""
+    staged = literal_relation(
+        spark,
+        [("i1", "111111111", "s1", None, "EUR", D, D, False, None, True, None),
+         ("i1", "222222222", "s2", None, "EUR", D, D, False, None, False, None),
+         ("i2", "333333333", "s3", None, "EUR", D, D, False, None, False, None),
+         ("i3", "444444444", "s4", None, "EUR", D, D, False, None, False, None)],
+        "invoice_id string, customer_ssn string, service_id string, amount decimal(18,2), currency_code string, issued_date date, "
+        "due_date date, is_paid boolean, paid_at date, is_due boolean, source_updated_at timestamp",
+    )
+    outcome = literal_relation(
+        spark,
+        [("i1", "111111111", "s1", "SERVICE_NOT_FOUND", False), ("i2", "333333333", "s3", R.ACCEPTED, False),
+         ("i3", "-99999", "-99999", "SERVICE_NOT_FOUND", True)],
+        "invoice_id string, customer_ssn string, service_id string, resolution_status string, is_erased_customer boolean",
+    )
+    out = R.quarantine_invoices_raw(staged, outcome, cfg).collect()
+    assert sorted((r.invoice_id, r.customer_ssn, r.service_id, r.source_is_due, r.quarantine_reason) for r in out) == [
+        ("i1", "111111111", "s1", True, "SERVICE_NOT_FOUND"), ("i1", "222222222", "s2", False, "SERVICE_NOT_FOUND"),
+    ]

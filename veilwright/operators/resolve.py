@@ -523,3 +523,18 @@ def resolve_invoices_raw(
         {"customer_ssn": cfg.erased(), "service_id": cfg.erased()},
         "is_erased_customer",
     )
+
+
+def quarantine_invoices_raw(stg_invoices: DataFrame, resolution: DataFrame, cfg: PipelineConfig) -> DataFrame:
+    """Staged rows as they are, with the reason: this resolution has the raw identifiers too, so only its reason is taken."""
+    reasons = (
+        rejected(resolution)
+        .where(~F.col("is_erased_customer"))
+        .select("invoice_id", F.col("resolution_status").alias("quarantine_reason"))
+    )
+    joined = (
+        stg_invoices.withColumnRenamed("is_due", "source_is_due")
+        .join(reasons, "invoice_id", "inner")
+        .withColumn("quarantined_at", cfg.run_timestamp())
+    )
+    return joined.select(CONTRACTS["quarantine_invoices"].names)

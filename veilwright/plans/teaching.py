@@ -89,7 +89,7 @@ class TeachingRelations:
 
     @cached_property
     def quarantine_invoices(self) -> DataFrame:
-        return resolve.quarantine_invoices(self.stg_invoices, self.int_invoice_resolution, self.cfg)
+        return resolve.quarantine_invoices_raw(self.stg_invoices, self.int_invoice_resolution, self.cfg)
 
     @cached_property
     def key_checks(self) -> DataFrame:
