@@ -1,4 +1,5 @@
 from dataclasses import replace
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from veilwright.config import CASE_USERS, RESTRICTED_USERS, Persona
 from veilwright.operators import controls as C
 from veilwright.operators import specs as S
+from veilwright.plans import catalog
 from veilwright.sources.tables import literal_relation
 
 SPECIAL, FULL = "SPECIAL_DELETION", "FULL_GOVERNED_OUTPUT_DELETION"
@@ -145,3 +147,12 @@ def test_incremental_and_calendar(relations, cfg):
 def test_contradictory_specs_are_refused(broken):
     with pytest.raises(ValueError):
         S.validate(broken)
+
+
+def test_a_model_asks_for_nothing_that_it_does_not_read(monkeypatch):
+    """Relations left out of a spec are not built: the stand-in has none of them."""
+    assert S.relations_read(catalog.MODEL_NAMED) == {"stg_invoices", "int_customer_protected"}
+    assert [S.reads_ledger(m) for m in (catalog.MODEL_NAMED, catalog.MODEL_CASE_VIEW, catalog.MODEL_FACT)] == [False, False, True]
+    monkeypatch.setattr(S, "build_model", lambda spec, relations, cfg, ledger, **options: (relations, ledger))
+    run = SimpleNamespace(up=SimpleNamespace(fct_customer_event="f", fa_pd_customer="m"), lazy=SimpleNamespace())
+    assert catalog._modelled(run, catalog.MODEL_CASE_VIEW) == ({"fct_customer_event": "f", "fa_pd_customer": "m"}, None)

@@ -248,6 +248,17 @@ def _named(spec: ModelSpec, relations: Mapping[str, DataFrame], cfg: PipelineCon
     return known
 
 
+def relations_read(spec: ModelSpec) -> set[str]:
+    """The outer relations that a spec names, which are all that build_model needs."""
+    parts = (spec, *spec.named)
+    found = {n for part in parts for n in (part.source, *(j.relation for j in part.joins)) if n is not None}
+    return found - {part.name for part in spec.named}
+
+
+def reads_ledger(spec: ModelSpec) -> bool:
+    return spec.deletion is not None and not spec.deletion.mode_annotated and _model_type(spec) != "CASE_VIEW"
+
+
 def build_model(
     spec: ModelSpec,
     relations: Mapping[str, DataFrame],

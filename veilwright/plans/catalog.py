@@ -1343,15 +1343,9 @@ MODEL_CONTROL = specs.ModelSpec(
 
 
 def _modelled(run: Run, spec: specs.ModelSpec, **options) -> DataFrame:
-    relations = {
-        "stg_invoices": run.lazy.stg_invoices,
-        "stg_customer_events": run.lazy.stg_customer_events,
-        "int_invoice_resolution": run.up.int_invoice_resolution,
-        "int_customer_protected": run.up.int_customer_protected,
-        "fct_customer_event": run.up.fct_customer_event,
-        "fa_pd_customer": run.up.fa_pd_customer,
-    }
-    return specs.build_model(spec, relations, CFG, run.up.ledger, **options)
+    """Only what the spec names is built upstream."""
+    relations = {n: getattr(run.lazy if n.startswith("stg_") else run.up, n) for n in specs.relations_read(spec)}
+    return specs.build_model(spec, relations, CFG, run.up.ledger if specs.reads_ledger(spec) else None, **options)
 
 
 @query
