@@ -53,6 +53,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: Projections and filters of one published table each: read from that table, not written a second time.
+DERIVED = (
+    "int_customer_protected", "int_customer_events_resolved", "int_customer_services_resolved", "int_invoices_resolved",
+    "dim_customer", "dim_service", "fct_customer_event",
+)
+
+
 class Run:
     """One application's view of one data folder."""
 
@@ -74,8 +81,11 @@ class Run:
             spark = self.spark
 
             def stage(name: str, df: DataFrame) -> DataFrame:
+                if name in DERIVED:
+                    return df
                 path = scratch_path(spark, name)
-                df.write.parquet(path)
+                # Keys are hex digits, which only an entropy coder packs.
+                df.write.option("compression", "zstd").parquet(path)
                 return spark.read.schema(df.schema).parquet(path)
 
             Run._published[key] = Relations(spark, extracts or self.extracts, cfg, stage=stage)

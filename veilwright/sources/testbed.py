@@ -54,8 +54,10 @@ def _ssn(key: Column, base: int) -> Column:
     return F.when(_every(key, 7), _cat(" ", written, " ")).otherwise(written)
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _read(spark: SparkSession, sf_dir: str, table: str, parts: int | None = None) -> DataFrame:
+    """A source table; with parts, dealt evenly: the few columns that a builder reads, not the rows it makes of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return rows if parts is None else rows.repartition(parts)
 
 
 def _variants(choices: list[tuple[str, Column | None]]) -> Column:
@@ -64,10 +66,10 @@ def _variants(choices: list[tuple[str, Column | None]]) -> Column:
     return F.explode(F.array_compact(F.array(*entries)))
 
 
-def customer_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_feed(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """U1 for all; U2 newer; D1 a deletion; U3 a return after it."""
     k = F.col("c_custkey")
-    rows = _read(spark, sf_dir, "customer").withColumn(
+    rows = _read(spark, sf_dir, "customer", parts).withColumn(
         "v",
         _variants([("U1", None), ("U2", _every(k, 10)), ("D1", _every(k, 17)), ("U3", _every(k, 51))]),
     )
@@ -114,12 +116,12 @@ def customer_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def decisions(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Decision revisions for nine of every ten deletion requests; some get a second revision."""
     k = F.col("c_custkey")
     case = F.floor(k / 17) % 10
     rows = (
-        _read(spark, sf_dir, "customer")
+        _read(spark, sf_dir, "customer", parts)
         .where(_every(k, 17) & (case != 6))
         .select(k.alias("k"), case.cast("int").alias("m"))
         .withColumn("r", _variants([("1", None), ("2", F.col("m").isin(1, 8, 9))]))
@@ -150,9 +152,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     e, user, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
-    return _read(spark, sf_dir, "events").select(
+    return _read(spark, sf_dir, "events", parts).select(
         _cat("EVT-", _padded(e, 12)).alias("event_id"),
         F.when(_every(e, 50), _ssn(user, _UNKNOWN)).otherwise(_ssn(user, _CURRENT)).alias("customer_ssn"),
         _cat(F.col("event_type"), " ").alias("event_type"),
@@ -163,10 +165,10 @@ def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_services(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """A for most; B a second service; O a second, overlapping period of A; X an unknown owner's."""
     k = F.col("c_custkey")
-    rows = _read(spark, sf_dir, "customer").withColumn(
+    rows = _read(spark, sf_dir, "customer", parts).withColumn(
         "v",
         _variants([("A", ~_every(k, 43)), ("B", _every(k, 3)), ("O", _every(k, 41)), ("X", _every(k, 53))]),
     )
@@ -198,7 +200,7 @@ def customer_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def invoices(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     o, k = F.col("o_orderkey"), F.col("o_custkey")
     issued = F.col("o_orderdate").cast("date")
     owner = F.when(_every(o, 23), k + 1).otherwise(k)
@@ -209,7 +211,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     def day(offset: int) -> Column:
         return F.date_add(issued, offset).cast("string")
 
-    return _read(spark, sf_dir, "orders").select(
+    return _read(spark, sf_dir, "orders", parts).select(
         _cat("INV-", _padded(o, 12)).alias("invoice_id"),
         F.when(_every(o, 41), _ssn(k, _UNKNOWN))
         .when(_every(o, 13) & _every(k, 50), _ssn(k, _HISTORICAL))
@@ -270,9 +272,9 @@ class LandedExtracts(Mapping):
         key = (self._spark.sparkContext.applicationId, self._sf_dir, self.version, name)
         if key not in _landed:
             path = scratch_path(self._spark, f"extract-{name}")
-            rows = _BUILDERS[name](self._spark, self._sf_dir)
             # Dealt evenly, whatever the number and size of the source's files.
-            rows.repartition(self._spark.sparkContext.defaultParallelism).write.parquet(path)
+            rows = _BUILDERS[name](self._spark, self._sf_dir, self._spark.sparkContext.defaultParallelism)
+            rows.write.option("compression", "zstd").parquet(path)
             _landed[key] = path
         return read_extract(self._spark, name, _landed[key])
 
