@@ -344,3 +344,13 @@ def test_quarantine_on_raw_identifiers_keeps_staged_rows(spark, cfg):
     assert sorted((r.invoice_id, r.customer_ssn, r.service_id, r.source_is_due, r.quarantine_reason) for r in out) == [
         ("i1", "111111111", "s1", True, "SERVICE_NOT_FOUND"), ("i1", "222222222", "s2", False, "SERVICE_NOT_FOUND"),
     ]
+
+
+def test_packed_keys_come_back_and_stay_apart(spark):
+    digits = "0123456789abcdef" * 4
+    keys = [None, "", "c1", f"v1:{digits}", f"v2:{digits}", f":{digits}", f"v1:{digits.upper()}", f"v1:{digits}\n", digits, f"é:{digits}", "-99999"]
+    rows = literal_relation(spark, [(i, k) for i, k in enumerate(keys)], "i int, k string")
+    packed = R._packed(rows, "k")
+    assert {r.i: r.k for r in R._unpacked(packed, "k").collect()} == dict(enumerate(keys))
+    assert packed.where("k is not null").distinct().count() == len(keys) - 1
+    assert packed.where("i = 3").first().k == bytearray(b"\x01" + bytes.fromhex(digits) + b"v1:")

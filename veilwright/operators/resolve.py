@@ -393,10 +393,35 @@ def _with_payment_reason(reason: Column) -> Column:
     )
 
 
+_PAIR = ("customer_key", "service_key")
+
+
+def _packed(df: DataFrame, *names: str) -> DataFrame:
+    """Keys in half the bytes for the exchanges: 64 hex digits as 32 bytes after a one; any other text after a zero."""
+    form = r"""if({0} rlike '^[^:]*:[0-9a-f]{{64}}\\z',
+        concat(X'01', unhex(right({0}, 64)), encode(left({0}, length({0}) - 64), 'utf-8')),
+        concat(X'00', encode({0}, 'utf-8')))"""
+    return df.withColumns({c: F.expr(form.format(c)) for c in names})
+
+
+def _unpacked(df: DataFrame, *names: str) -> DataFrame:
+    form = """if(substring({0}, 1, 1) = X'01',
+        concat(decode(substring({0}, 34), 'utf-8'), lower(hex(substring({0}, 2, 32)))),
+        decode(substring({0}, 2), 'utf-8'))"""
+    return df.withColumns({c: F.expr(form.format(c)) for c in names})
+
+
 def classify_invoices(
     invoices: DataFrame, services: DataFrame, resolved_services: DataFrame, customers: DataFrame
 ) -> DataFrame:
     """Twelve ordered checks, eleven reasons, else ACCEPTED; still carries the deletion mode."""
+    pairs = (_packed(df, *_PAIR) for df in (invoices, services, resolved_services))
+    return _unpacked(_classified(*pairs, _packed(customers, "customer_key")), *_PAIR)
+
+
+def _classified(
+    invoices: DataFrame, services: DataFrame, resolved_services: DataFrame, customers: DataFrame
+) -> DataFrame:
     stats = with_service_stats(with_customer_found(invoices, customers), services, resolved_services)
     ordinary = F.col("deletion_mode").isNull()
     reason = (
@@ -427,14 +452,15 @@ def resolve_invoices(
     cfg: PipelineConfig,
 ) -> DataFrame:
     """Classified invoices under the FACT policy: SPECIAL rows lose three keys, FULL rows are gone."""
-    classified = classify_invoices(
-        annotate_invoices(keyed_invoices, ledger),
-        annotate_services(keyed_services, ledger),
-        resolved_services,
-        customers,
+    deleted = _packed(ledger, "customer_key")
+    classified = _classified(
+        annotate_invoices(_packed(keyed_invoices, *_PAIR), deleted),
+        annotate_services(_packed(keyed_services, *_PAIR), deleted),
+        _packed(resolved_services, *_PAIR),
+        _packed(customers, "customer_key"),
     )
     return governed_model(
-        classified,
+        _unpacked(classified, *_PAIR),
         "int_invoice_resolution",
         "FACT",
         "invoice_id",
