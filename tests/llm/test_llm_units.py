@@ -3,8 +3,10 @@
 import itertools
 import random
 import struct
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -285,6 +287,34 @@ def test_a_differing_backend_is_found_in_every_text():
         assert codec.disagreed == 2
 
 
+def test_units_are_encoded_once_and_give_whole_texts():
+    """Repeated units go to either library once, and ids in a row are those of whole texts, whatever the spaces and markers."""
+    data = unigram_model(True)
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(data)
+    given, honest = [], codec._ids
+    codec._ids = lambda found: given.extend(found) or honest(found)
+    for _ in range(3):
+        codec.encode(["hello world lower"] * 50)
+    assert sorted(given) == ["hello", "lower", "world"]
+    for model in (data, Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()):
+        library, codec = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.Codec(model)
+        rnd = random.Random(9)
+        parts = [" ", "  ", "a", "hello", "▁", "\n", "\t", "é", "☃", "中文", "<s>", "<0x41>", "x" * 40]
+        texts = ["".join(rnd.choices(parts, k=rnd.randrange(9))) for _ in range(2000)]
+        ids, counts, agreed = codec.encode_checked(texts)
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [library.encode(t) for t in texts]
+        assert len(agreed) == len(texts) and max(map(len, codec.units)) <= sentencepiece_codec.LONGEST_UNIT
+
+
+def test_units_are_forgotten_beyond_a_bound(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MOST_UNITS", 3)
+    data = unigram_model(True)
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(data)
+    for text in ("hello world", "bad lower old", "hello dab", "bad world"):
+        assert codec.encode([text])[0].tolist() == library.encode(text) and len(codec.units) <= 3
+
+
 def test_longest_repeats_of_several_texts():
     """Common prefixes stop at a text's end, also where equal texts follow each other."""
     rnd = random.Random(1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +25,12 @@ BATCH_CHARS = 250_000
 THREADS = 2
 #: What a text is cut into before it is encoded, where no piece goes on with a marker after another character.
 UNITS = re.compile(" *[^ ]+| +")
-#: Units that a worker remembers as compared, each of at most so many characters; beyond it starts anew.
+#: Texts that are a unit with one marker; so many are encoded in one row.
+WORDLIKE = re.compile(f"[^ {MARK}]+")
+WORDS_A_ROW = 64
+#: Units whose ids a worker remembers, each of at most so many characters; beyond it starts anew.
 MOST_UNITS = 1 << 18
-LONGEST_UNIT = 256
+LONGEST_UNIT = 32
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,6 +101,12 @@ class Model:
         """No piece goes on with a marker after another character, so texts can be cut before markers."""
         return all(MARK not in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
 
+    @property
+    def splits_at_units(self) -> bool:
+        """A text's ids are those of its units in a row: every unit has a marker, and nothing unknown runs on through it."""
+        known = self.byte_fallback or any(p == MARK and kind == NORMAL for p, _, kind in self.pieces)
+        return self.splits_at_marks and not self.charsmap and known and (self.dummy_prefix or not self.remove_extra)
+
 
 def _merges(model: Model) -> list[tuple[str, str]]:
     """Pairs of pieces that make a piece, best score first."""
@@ -139,9 +149,10 @@ def backend(model: Model):
 class Codec:
     """One worker's backend for a model, checked against the sentencepiece library as it goes.
 
-    Batches of whole texts are encoded by the multithreaded backend. Every text is checked: neither library joins pieces across
-    units (a word and the spaces before it), so each distinct unit is encoded by both, once a worker. Models that normalise characters
-    or whose pieces span units have whole texts compared. Where they differ, sentencepiece's ids of that text stand.
+    Neither library joins pieces across units (a word and the spaces before it), so each distinct unit is encoded by both, once a
+    worker while it is remembered, and a text's ids are its units' ids in a row. Texts with a marker of their own, and models that
+    normalise characters or whose pieces span units, have whole texts encoded and compared. Where the two differ, sentencepiece's ids
+    of that text stand.
     """
 
     def __init__(self, data: bytes):
@@ -151,8 +162,11 @@ class Codec:
         self.tokenizer = backend(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.disagreed = 0
-        self.by_unit = self.model.splits_at_marks and not self.model.charsmap
-        self.units: dict[str, bool] = {}
+        self.by_unit = self.model.splits_at_units
+        self.units: dict[str, bytes] = {}
+        self.differing: set[str] = set()
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.in_rows = self.by_unit and self.model.dummy_prefix and any(p == MARK for p, _, kind in self.model.pieces if kind == NORMAL)
         self.byte_of = [int(p[1:-1], 16) if kind == BYTE else None for p, _, kind in self.model.pieces]
         self.plain = [
             b" \xe2\x81\x87 "
@@ -177,48 +191,85 @@ class Codec:
             if held >= BATCH_CHARS or i + 1 == len(texts):
                 # The backend's objects are many times a text's size: only plain ids outlive a batch.
                 found, same = self._batch(texts[start : i + 1])
-                for x in found:
-                    ids.append(np.array(x, np.int32))
-                    counts.append(len(x))
+                ids += found
+                counts += map(len, found)
                 agreed += same
                 start, held = i + 1, 0
         return np.concatenate(ids), np.array(counts, np.int64), np.array(agreed, bool)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        ids = self._ids(texts)
-        if self.by_unit:
-            same = self._units_agree(texts)
-        else:
-            same = [a == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1))]
-        for i, agreed in enumerate(same):
-            if not agreed:
-                self.disagreed += 1
-                ids[i] = self.reference.encode(texts[i])
+        """The backend's ids of each text. Words are encoded many in a row, and told apart by the marker before each."""
+        words = [i for i, t in enumerate(texts) if WORDLIKE.fullmatch(t)] if self.in_rows else []
+        rows = [words[k : k + WORDS_A_ROW] for k in range(0, len(words), WORDS_A_ROW)]
+        apart = sorted(set(range(len(texts))).difference(words))
+        out: list[list[int]] = [[]] * len(texts)
+        for row, e in zip(rows, self._encoded([" ".join([texts[i] for i in row]) for row in rows])):
+            ids = e.ids
+            starts = np.flatnonzero(self.marked[ids]).tolist()
+            if len(starts) != len(row):
+                apart += row
+                continue
+            for i, start, end in zip(row, starts, [*starts[1:], len(ids)]):
+                out[i] = ids[start:end]
+        for i, e in zip(apart, self._encoded([texts[i] for i in apart])):
+            out[i] = e.ids
+        return out
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        split = [self._units(t) if self.by_unit and MARK not in t else None for t in texts]
+        fresh = self._learn(set().union(*filter(None, split)))
+        whole = [t for t, units in zip(texts, split) if units is None]
+        compared = zip(self._ids(whole), self.reference.encode(whole, num_threads=1)) if whole else iter(())
+        ids, same = [], []
+        for text, units in zip(texts, split):
+            if units is None:
+                own, wanted = next(compared)
+                agreed = own == wanted
+            else:
+                agreed = not self.differing or self.differing.isdisjoint(units)
+                wanted = None if agreed else self.reference.encode(text)
+            if units is not None and agreed:
+                ids.append(np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32))
+            else:
+                ids.append(np.array(wanted, np.int32))
+            self.disagreed += not agreed
+            same.append(agreed)
+        self._forget(fresh)
         return ids, same
 
-    def _units(self, text: str) -> set[str]:
-        """The text's distinct units, as texts of their own that give the same pieces."""
+    def _units(self, text: str) -> list[str]:
+        """The text's units in order, as texts of their own that give the same pieces; a lone space at the end is an empty one."""
         if self.model.remove_extra:
-            return set(text.split(" ")) - {""}
+            return [u for u in text.split(" ") if u]
         if not self.model.dummy_prefix:
-            return set(UNITS.findall(text))
-        # The prefix comes back when a unit is encoded, but not for an empty text: a lone space is tried behind a word.
-        return {u[1:] or "a " for u in set(UNITS.findall(" " + text))} if text else set()
-
-    def _units_agree(self, texts: list[str]) -> list[bool]:
-        found = [self._units(t) for t in texts]
-        fresh = [u for u in set().union(*found) if u not in self.units]
-        known = dict(zip(fresh, (a == b for a, b in zip(self._ids(fresh), self.reference.encode(fresh, num_threads=1)))))
-        differing = {u for u, agreed in known.items() if not agreed}
-        differing |= {u for u, agreed in self.units.items() if not agreed} if self.disagreed else set()
-        same = [differing.isdisjoint(units) for units in found] if differing else [True] * len(texts)
+            return UNITS.findall(text)
+        # The prefix that a unit loses here comes back when it is encoded.
+        found = text.split(" ") if text else []
+        return [u[1:] for u in UNITS.findall(" " + text)] if "" in found else found
+
+    def _learn(self, units: set[str]) -> list[str]:
+        """Encodes the units not yet known with both libraries, and returns them."""
+        fresh = list(units.difference(self.units))
+        # There is no prefix before an empty text: a lone space is encoded behind a word.
+        shown = [u or "a " for u in fresh]
+        for u, own, wanted in zip(fresh, self._ids(shown), self.reference.encode(shown, num_threads=1)):
+            if own != wanted:
+                self.differing.add(u)
+            self.units[u] = array("i", own if u else own[len(self._ids(["a"])[0]) :]).tobytes()
+        return fresh
+
+    def _forget(self, fresh: list[str]) -> None:
         if len(self.units) > MOST_UNITS:
             self.units.clear()
-        self.units.update((u, agreed) for u, agreed in known.items() if len(u) <= LONGEST_UNIT)
-        return same
+            self.differing.clear()
+            return
+        for u in fresh:
+            if len(u) > LONGEST_UNIT:
+                del self.units[u]
+                self.differing.discard(u)
 
     def decode(self, ids: list[int]) -> str:
         """The text of one list of ids; ids outside the model are an error."""
