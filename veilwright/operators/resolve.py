@@ -27,6 +27,8 @@ _SERVICE_COLUMNS = [
     "service_id", "customer_key", "service_key", "service_version_key", "installation_address_key",
     "service_type", "is_valid", "valid_from", "valid_to", "source_updated_at",
 ]
+_PAIR = ("customer_key", "service_key")
+_packed, _unpacked = K.packed, K.unpacked
 _INVOICE_COLUMNS = [
     "invoice_id", "customer_key", "service_key", "amount", "currency_code", "issued_date", "due_date",
     "is_paid", "paid_at", "source_is_due", "source_updated_at",
@@ -58,13 +60,14 @@ def key_events(stg_events: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 def resolve_events(keyed: DataFrame, ledger: DataFrame, customers: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """Deleted customers' events are always accepted; others need a mapped customer."""
-    annotated = attach_deletion_mode(keyed, ledger, "customer_key", _EVENT_COLUMNS)
+    rows, deleted, known = (_packed(df, "customer_key") for df in (keyed, ledger, customers))
+    annotated = attach_deletion_mode(rows, deleted, "customer_key", _EVENT_COLUMNS)
     status = F.when(F.col("deletion_mode").isNull() & ~F.col("customer_found"), "CUSTOMER_NOT_FOUND").otherwise(
         ACCEPTED
     )
-    classified = with_customer_found(annotated, customers).withColumn("resolution_status", status)
+    classified = with_customer_found(annotated, known).withColumn("resolution_status", status)
     return apply_policy(
-        classified,
+        _unpacked(classified, "customer_key"),
         _EVENT_COLUMNS + ["resolution_status"],
         "REPLACE",
         {"customer_key": cfg.erased()},
@@ -101,12 +104,13 @@ def resolve_services(
     keyed: DataFrame, ledger: DataFrame, customers: DataFrame, mapped: DataFrame
 ) -> DataFrame:
     """Deleted customers' services are dropped in both modes; the rest get the first failing reason."""
+    tuple_keys = ["service_version_key", "customer_key", "service_key", "installation_address_key"]
+    deleted, known = (_packed(df, "customer_key") for df in (ledger, customers))
     alive = governed_model(
-        keyed, "int_customer_service_resolution", "SERVICE", "service_version_key", _SERVICE_COLUMNS, ledger
+        _packed(keyed, *tuple_keys), "int_customer_service_resolution", "SERVICE", "service_version_key", _SERVICE_COLUMNS, deleted
     )
-    tuple_keys = ["service_version_key", "customer_key", "service_key", "installation_address_key"]
-    entries = mapped.select(*tuple_keys, F.lit(True).alias("map_entry"))
-    joined = with_customer_found(alive, customers).join(entries, tuple_keys, "left")
+    entries = _packed(mapped.select(*tuple_keys), *tuple_keys).withColumn("map_entry", F.lit(True))
+    joined = _unpacked(with_customer_found(alive, known).join(entries, tuple_keys, "left"), *tuple_keys)
     status = (
         F.when(~F.col("customer_found"), "CUSTOMER_NOT_FOUND")
         .when(~F.col("is_valid"), "INVALID_VALIDITY_FLAG")
@@ -178,6 +182,8 @@ def _mapped_periods(resolved_services: DataFrame, pair: list[str]) -> DataFrame:
     )
 
 
+#: Changes of a pair's periods that travel in one row.
+_BLOCK = 32
 _LAST = "struct<valid_to: date, version: string>"
 #: What a period adds on its first day, and takes back on the day after its last.
 _ENDS = f"""inline(if(usable,
@@ -187,17 +193,20 @@ _ENDS = f"""inline(if(usable,
     array(named_struct('day', valid_from, 'step', 0, 'own', 1, 'ok', 0, 'last', cast(null as {_LAST})))))"""
 
 
-def _sweep(invoices: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
+def _sweep(invoices: DataFrame | None, periods: DataFrame, pair: list[str], changes: bool = False) -> DataFrame:
     """Of every pair and invoice day: the periods open on it, the last begun one, and the pair's rows.
 
-    Invoice days and the ends of periods are one relation, reduced to a row a pair and day before it is exchanged; running sums
+    With ``changes`` also of the days on which a period begins or has ended, in both views. Days and the ends of periods are one
+    relation, reduced to a row a pair and day before it is exchanged; running sums
     over a pair's days then count what is open. A pair has at most one row a calendar day.
     """
-    marks = periods.selectExpr(*pair, "kind", _ENDS)
-    days = invoices.selectExpr(
-        *pair, "if(deletion_mode is null, 'plain', 'sees') as kind", "issued_date as day", "0 as step", "0 as own", "0 as ok",
-        f"cast(null as {_LAST}) as last",
-    )
+    merged = periods.where(" and ".join(f"{c} is not null" for c in pair)).selectExpr(*pair, "kind", _ENDS)
+    if invoices is not None:
+        days = invoices.selectExpr(
+            *pair, "if(deletion_mode is null, 'plain', 'sees') as kind", "issued_date as day", "0 as step", "0 as own", "0 as ok",
+            f"cast(null as {_LAST}) as last",
+        )
+        merged = merged.union(days)
 
     def of(kind: str, column: str, zero: str = "0") -> str:
         return f"if(kind = '{kind}', {column}, {zero})"
@@ -206,12 +215,8 @@ def _sweep(invoices: DataFrame, periods: DataFrame, pair: list[str]) -> DataFram
     totals = {f"{n}_{k}": of(k, c) for k in ("alive", "deleted") for n, c in (("rows", "own"), ("usable", "ok"))}
     lasts = {f"last_{k}": of(k, "last", "null") for k in ("alive", "deleted", "mapped")}
     aggregates = [f"sum({e}) as {n}" for n, e in (sums | totals).items()] + [f"max({e}) as {n}" for n, e in lasts.items()]
-    merged = (
-        marks.union(days)
-        .where(" and ".join(f"{c} is not null" for c in pair))
-        .groupBy(*pair, "day")
-        .agg(*map(F.expr, (*aggregates, "bool_or(kind = 'plain') as plain", "bool_or(kind = 'sees') as sees")))
-    )
+    views = [f"{'true' if changes else f'bool_or({test})'} as {n}" for n, test in (("plain", "kind = 'plain'"), ("sees", "kind = 'sees'"))]
+    merged = merged.groupBy(*pair, "day").agg(*map(F.expr, (*aggregates, *views)))
     whole = f"partition by {', '.join(pair)}"
     running = f"({whole} order by day rows between unbounded preceding and current row)"
     swept = merged.selectExpr(
@@ -227,6 +232,8 @@ def _sweep(invoices: DataFrame, periods: DataFrame, pair: list[str]) -> DataFram
 def _day_stats(swept: DataFrame, pair: list[str]) -> DataFrame:
     """What an invoice of a pair, day and visibility sees; versions are null where they are not known yet: `unclear`.
 
+    Where a pair has no rows of deleted customers, both views are alike.
+
     A single open period is the last begun one, as long as that has not ended; else it takes a look at the periods.
     """
     deleted = "if(sees_deleted, open_deleted, 0)"
@@ -235,7 +242,7 @@ def _day_stats(swept: DataFrame, pair: list[str]) -> DataFrame:
     seen = swept.selectExpr(
         *pair, "day as issued_date", "sees_deleted",
         "rows_alive + if(sees_deleted, rows_deleted, 0) as own_rows",
-        "usable_alive + if(sees_deleted, usable_deleted, 0) as ok_rows",
+        "usable_alive + if(sees_deleted, usable_deleted, 0) as ok_rows", "rows_deleted = 0 as alike",
         f"open_alive + {deleted} as open_periods", "open_mapped as mapped_periods",
         f"if({source}.valid_to >= day, {source}.version, null) as source_version",
         f"if({mapped}.valid_to >= day, {mapped}.version, null) as mapped_version",
@@ -257,7 +264,10 @@ def _pieces(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
     # The first and the last day with all their columns: then the sweep below is one exchange for this and for the days.
     row = f"struct(issued_date, {', '.join(c for c in _kept(days) if c != 'issued_date')})"
     span = days.groupBy(*pair).agg(F.expr(f"min({row}).issued_date as _first"), F.expr(f"max({row}).issued_date as _last"))
-    clipped = periods.where("usable").join(span, pair).selectExpr("*", "greatest(valid_from, _first) as low", "least(valid_to, _last) as high")
+    # Null-safe, or filters on null keys would make another sweep of this one; no day of a null key is unclear.
+    own = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in pair]
+    spans = span.withColumnsRenamed({c: f"_of_{c}" for c in pair})
+    clipped = periods.where("usable").join(spans, own).selectExpr("*", "greatest(valid_from, _first) as low", "least(valid_to, _last) as high")
     months = clipped.where("low <= high").selectExpr(
         *pair, "kind", "low", "high", "version", "explode(sequence(trunc(low, 'MM'), trunc(high, 'MM'), interval 1 month)) as month"
     )
@@ -270,7 +280,7 @@ def _pieces(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
 def _versions(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame:
     """days, the unclear ones, with the greatest version open on each: a day meets the pieces of its own month only."""
     kept, pieces = _kept(days), _pieces(days, periods, pair)
-    same = " and ".join(f"{c} = _{c}" for c in (*pair, "month"))
+    same = " and ".join(f"{c} <=> _{c}" for c in (*pair, "month"))
     found = days.selectExpr(*kept, "trunc(issued_date, 'MM') as month").join(
         pieces, F.expr(f"{same} and issued_date between low and high"), "left"
     )
@@ -282,8 +292,36 @@ def _versions(days: DataFrame, periods: DataFrame, pair: list[str]) -> DataFrame
     )
 
 
-def _with_service_rows(days: DataFrame, services: DataFrame, service: str) -> DataFrame:
-    """Adds how many rows the service has at all, as far as the invoice may see them."""
+def _blocks(days: DataFrame, pair: list[str]) -> DataFrame:
+    """Numbers a pair's days: its rows of one block travel together, and a block ends where the next begins."""
+    over = f"(partition by {', '.join(pair)}, sees_deleted order by issued_date)"
+    placed = days.selectExpr("*", f"row_number() over {over} - 1 as place", f"lead(issued_date) over {over} as next_day")
+    ends = f"if(place % {_BLOCK} = {_BLOCK - 1}, next_day, null) as until"
+    return placed.selectExpr(*days.columns, f"place div {_BLOCK} as block", ends)
+
+
+def _lookups(asked: DataFrame | None, periods: DataFrame, pair: list[str], versions: bool) -> DataFrame:
+    """What invoices of a pair see, whatever their day: between two changes of its periods nothing differs.
+
+    A row has up to _BLOCK changes, in order; the first row of a pair (``low`` is null) also serves the days before them and no day. Pairs
+    asked for that have no periods have one row without changes. Rows with ``alike`` are for both views.
+    """
+    swept = _sweep(asked, periods, pair, changes=True).where("not sees_deleted or rows_deleted > 0")
+    days = _blocks(_day_stats(swept, pair), pair)
+    if versions:
+        days = days.where("not unclear").unionByName(_versions(days.where("unclear"), periods, pair))
+    change = """if(issued_date is null, null, named_struct('day', issued_date, 'open', open_periods, 'mapped', mapped_periods,
+        'source_version', source_version, 'mapped_version', mapped_version))"""
+    rows = (
+        _packed(days, "source_version", "mapped_version")
+        .groupBy(*pair, "sees_deleted", "alike", "own_rows", "ok_rows", "block")
+        .agg(F.min("issued_date").alias("low"), F.max("until").alias("high"), F.expr(f"array_sort(collect_list({change}))").alias("changes"))
+    )
+    return rows.selectExpr("* except (block, low)", "if(block = 0, null, low) as low")
+
+
+def _with_service_rows(lookups: DataFrame, services: DataFrame, service: str) -> DataFrame:
+    """Adds how many rows the service has at all, and of living customers."""
     # Grouped by a struct, so that the join exchanges the counts itself: AQE splits a hot service
     # only where both inputs come straight from an exchange on the join key.
     counts = (
@@ -291,20 +329,20 @@ def _with_service_rows(days: DataFrame, services: DataFrame, service: str) -> Da
         .agg(F.count("*").alias("all_rows"), F.count_if(F.col("deletion_mode").isNull()).alias("alive_rows"))
         .select(f"grouped.{service}", "all_rows", "alive_rows")
     )
-    seen = F.when(F.col("sees_deleted"), F.col("all_rows")).otherwise(F.col("alive_rows"))
-    return days.join(counts, service, "left").select(*days.columns, seen.alias("any_rows"))
+    return lookups.join(counts, service, "left").select(*lookups.columns, "all_rows", "alive_rows")
 
 
-def _attach_by_day(invoices: DataFrame, stats: DataFrame, pair: list[str]) -> DataFrame:
-    names = [*pair, "issued_date", "sees_deleted"]
-    right = stats.select(
-        *[F.col(c).alias(f"_{c}") for c in names], *[c for c in stats.columns if c not in names]
+def _attach(invoices: DataFrame, lookups: DataFrame, pair: list[str]) -> DataFrame:
+    """Invoices with the lookup row of their pair, view and day, and with the last change up to that day as ``at``."""
+    right = lookups.select([F.col(c).alias(f"_{c}") if c in pair else F.col(c) for c in lookups.columns])
+    same = F.expr(
+        """(alike or sees_deleted = (deletion_mode is not null))
+        and coalesce(issued_date >= low, low is null) and coalesce(issued_date < high, high is null or low is null)"""
     )
-    seen = invoices.withColumn("sees_deleted", F.col("deletion_mode").isNotNull())
-    same = F.col("issued_date").eqNullSafe(F.col("_issued_date")) & (F.col("sees_deleted") == F.col("_sees_deleted"))
     for c in pair:
-        same = same & (F.col(c) == F.col(f"_{c}"))
-    return seen.join(right, same, "left").drop("sees_deleted", *[f"_{c}" for c in names])
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = invoices.join(right, same, "left")
+    return joined.withColumn("at", F.expr("try_element_at(filter(changes, x -> x.day <= issued_date), -1)"))
 
 
 def with_service_stats(
@@ -312,14 +350,15 @@ def with_service_stats(
     services: DataFrame | None = None,
     resolved_services: DataFrame | None = None,
     pair: list[str] | None = None,
+    customers: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds source-service and mapped-service statistics to mode-annotated invoices.
+    """Adds source-service and mapped-service statistics to mode-annotated invoices; with ``customers`` also ``customer_found``.
 
     Ordinary invoices do not see deleted customers' services, erased ones do. Nothing is grouped by
-    invoice and no invoice row is multiplied. Distinct invoice days and the ends of service periods are swept together, a pair at
-    a time (_sweep); only days on which several periods are open look at the periods themselves (_versions). The
-    invoices are exchanged once, on service, customer and day: a hot
-    service or customer spreads over its days, and AQE splits what is left on the invoice side.
+    invoice and no invoice row is multiplied. What a pair's invoices see changes only where one of its periods begins or has ended: these
+    days are swept, a pair at a time (_sweep); only days on which several periods are open look at the periods themselves (_versions).
+    Service rows and customers are looked up for a pair, not for its invoices. The
+    invoices are exchanged once, on service and customer: AQE splits a hot pair on the invoice side.
     """
     customer, service = pair or ["customer_key", "service_key"]
     keys = [service, customer]
@@ -329,30 +368,40 @@ def with_service_stats(
     if resolved_services is not None:
         periods.append(_mapped_periods(resolved_services, keys))
     periods = union_all(periods)
-    days = _day_stats(_sweep(invoices, periods, keys), keys)
-    if services is None or "service_version_key" in services.columns:
-        days = days.where("not unclear").unionByName(_versions(days.where("unclear"), periods, keys))
-    stats = days.drop("unclear")
+    asked = None
+    if services is not None or customers is not None:
+        asked = invoices.selectExpr(*keys, "cast(null as date) as issued_date", "cast(null as string) as deletion_mode")
+    lookups = _lookups(asked, periods, keys, services is None or "service_version_key" in services.columns)
     if services is not None:
-        stats = _with_service_rows(stats, services, service)
+        lookups = _with_service_rows(lookups, services, service)
+        seen = f"if({customer} is null, null, if(deletion_mode is null, alive_rows, all_rows))"
     else:
-        stats = stats.withColumn("any_rows", F.lit(0).cast("bigint"))
-    joined = _attach_by_day(invoices, stats, keys)
+        seen = "cast(null as bigint)"
+    found = []
+    if customers is not None:
+        lookups = with_customer_found(lookups, customers)
+        found = ["customer_found"]
+    joined = _attach(invoices, lookups, keys).select(
+        *invoices.columns, *found, F.expr(seen).alias("any_rows"), "own_rows", "ok_rows", "at.open", "at.mapped",
+        "at.source_version", "at.mapped_version",
+    )
     zero = F.lit(0).cast("bigint")
-    return joined.select(
+    return _unpacked(joined, "source_version", "mapped_version").select(
         *invoices.columns,
+        *found,
         F.coalesce("any_rows", zero).alias("service_period_count"),
         F.coalesce("own_rows", zero).alias("customer_service_period_count"),
         F.coalesce("ok_rows", zero).alias("valid_service_period_count"),
-        F.coalesce("open_periods", zero).alias("effective_service_period_count"),
+        F.coalesce("open", zero).alias("effective_service_period_count"),
         F.col("source_version").alias("source_service_version_key"),
-        F.coalesce("mapped_periods", zero).alias("mapped_service_period_count"),
+        F.coalesce("mapped", zero).alias("mapped_service_period_count"),
         F.col("mapped_version").alias("mapped_service_version_key"),
     )
 
 
 def source_service_stats(invoices: DataFrame, services: DataFrame) -> DataFrame:
-    return with_service_stats(invoices, services=services).select(
+    packed = (_packed(df, *_PAIR) for df in (invoices, services))
+    return with_service_stats(*packed).select(
         "invoice_id",
         "service_period_count",
         "customer_service_period_count",
@@ -363,7 +412,8 @@ def source_service_stats(invoices: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def mapped_service_stats(invoices: DataFrame, resolved_services: DataFrame) -> DataFrame:
-    return with_service_stats(invoices, resolved_services=resolved_services).select(
+    packed, accepted_periods = (_packed(df, *_PAIR) for df in (invoices, resolved_services))
+    return with_service_stats(packed, resolved_services=accepted_periods).select(
         "invoice_id",
         "mapped_service_period_count",
         F.col("mapped_service_version_key").alias("resolved_service_version_key"),
@@ -393,24 +443,6 @@ def _with_payment_reason(reason: Column) -> Column:
     )
 
 
-_PAIR = ("customer_key", "service_key")
-
-
-def _packed(df: DataFrame, *names: str) -> DataFrame:
-    """Keys in half the bytes for the exchanges: 64 hex digits as 32 bytes after a one; any other text after a zero."""
-    form = r"""if({0} rlike '^[^:]*:[0-9a-f]{{64}}\\z',
-        concat(X'01', unhex(right({0}, 64)), encode(left({0}, length({0}) - 64), 'utf-8')),
-        concat(X'00', encode({0}, 'utf-8')))"""
-    return df.withColumns({c: F.expr(form.format(c)) for c in names})
-
-
-def _unpacked(df: DataFrame, *names: str) -> DataFrame:
-    form = """if(substring({0}, 1, 1) = X'01',
-        concat(decode(substring({0}, 34), 'utf-8'), lower(hex(substring({0}, 2, 32)))),
-        decode(substring({0}, 2), 'utf-8'))"""
-    return df.withColumns({c: F.expr(form.format(c)) for c in names})
-
-
 def classify_invoices(
     invoices: DataFrame, services: DataFrame, resolved_services: DataFrame, customers: DataFrame
 ) -> DataFrame:
@@ -422,7 +454,7 @@ def classify_invoices(
 def _classified(
     invoices: DataFrame, services: DataFrame, resolved_services: DataFrame, customers: DataFrame
 ) -> DataFrame:
-    stats = with_service_stats(with_customer_found(invoices, customers), services, resolved_services)
+    stats = with_service_stats(invoices, services, resolved_services, customers=customers)
     ordinary = F.col("deletion_mode").isNull()
     reason = (
         _service_reason(ordinary)

@@ -55,9 +55,12 @@ def _ssn(key: Column, base: int) -> Column:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, parts: int | None = None) -> DataFrame:
-    """A source table; with parts, dealt evenly: the few columns that a builder reads, not the rows it makes of them."""
+    """A source table; with parts, dealt evenly: the few columns that a builder reads, not the rows it makes of them.
+
+    Files that are read in as many splits are not dealt again.
+    """
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return rows if parts is None else rows.repartition(parts)
+    return rows if parts is None or rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
 
 
 def _variants(choices: list[tuple[str, Column | None]]) -> Column:
@@ -272,7 +275,7 @@ class LandedExtracts(Mapping):
         key = (self._spark.sparkContext.applicationId, self._sf_dir, self.version, name)
         if key not in _landed:
             path = scratch_path(self._spark, f"extract-{name}")
-            # Dealt evenly, whatever the number and size of the source's files.
+            # Dealt evenly where the source's files have fewer splits.
             rows = _BUILDERS[name](self._spark, self._sf_dir, self._spark.sparkContext.defaultParallelism)
             rows.write.option("compression", "zstd").parquet(path)
             _landed[key] = path
