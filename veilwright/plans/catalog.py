@@ -1205,12 +1205,11 @@ def audit_pending_untouched(run: Run) -> DataFrame:
 
 @query
 def audit_pending_untouched_broken(run: Run) -> DataFrame:
-    """Facts without clicks, and a map without its customers."""
-    outputs = P.pending_outputs(run.up)
+    """Facts without clicks, and a map without its customers; no other output is looked at, so none is built."""
     clicks = run.up.int_customer_events_keyed.where("event_type <> 'CLICK'").select("customer_key")
     broken = {
-        "fct_customer_event": (clicks, outputs["fct_customer_event"][1]),
-        "fa_pd_customer": (outputs["fa_pd_customer"][0].limit(0), outputs["fa_pd_customer"][1]),
+        "fct_customer_event": (clicks, P.pending_wanted(run.up, "fct_customer_event")),
+        "fa_pd_customer": (P.pending_found(run.up, "fa_pd_customer").limit(0), P.pending_wanted(run.up, "fa_pd_customer")),
     }
     return _pending(run, broken)
 

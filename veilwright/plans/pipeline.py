@@ -105,28 +105,42 @@ class RunResult:
 def quarantined_keys(r: Relations) -> dict[str, DataFrame]:
     """The quarantine tables with their raw identifiers as keys."""
     names = ("quarantine_customer_events", "quarantine_customer_services", "quarantine_invoices")
-    key = K.ssn_key(F.col("customer_ssn"), r.cfg.scheme).alias("customer_key")
-    return {name: getattr(r, name).select(key) for name in names}
+    return {name: getattr(r, name).select(_raw_key(r)) for name in names}
 
 
-def pending_outputs(r: Relations) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Each output beside what its source gives where no request is authorized."""
-    current = maps.latest_upserts(r.stg_customer).where("is_active")
-    people = current.select(K.ssn_key(F.col("customer_ssn"), r.cfg.scheme).alias("customer_key"))
-    rejected = quarantined_keys(r)
+#: Outputs with a customer key: their quarantine, and the keyed source rows; without, they come from the current customers.
+PENDING_OUTPUTS = {
+    "fa_pd_customer": None,
+    "int_customer_protected": None,
+    "dim_customer": None,
+    "dim_service": ("quarantine_customer_services", "int_customer_services_keyed"),
+    "fct_customer_event": ("quarantine_customer_events", "int_customer_events_keyed"),
+    "fct_invoice": ("quarantine_invoices", "int_invoices_keyed"),
+}
 
-    def both(name: str, table: str) -> tuple[DataFrame, DataFrame]:
-        found = getattr(r, name).select("customer_key").unionByName(rejected[table])
-        return found, getattr(r, {"fct_customer_event": "int_customer_events_keyed", "fct_invoice": "int_invoices_keyed"}.get(name, "int_customer_services_keyed")).select("customer_key")
 
-    return {
-        "fa_pd_customer": (r.fa_pd_customer.select("customer_key"), people),
-        "int_customer_protected": (r.int_customer_protected.select("customer_key"), people),
-        "dim_customer": (r.dim_customer.select("customer_key"), people),
-        "dim_service": both("dim_service", "quarantine_customer_services"),
-        "fct_customer_event": both("fct_customer_event", "quarantine_customer_events"),
-        "fct_invoice": both("fct_invoice", "quarantine_invoices"),
-    }
+def _raw_key(r: Relations):
+    return K.ssn_key(F.col("customer_ssn"), r.cfg.scheme).alias("customer_key")
+
+
+def pending_found(r: Relations, name: str) -> DataFrame:
+    """The keys of an output and of what was quarantined on the way to it."""
+    found = getattr(r, name).select("customer_key")
+    if PENDING_OUTPUTS[name] is None:
+        return found
+    return found.unionByName(getattr(r, PENDING_OUTPUTS[name][0]).select(_raw_key(r)))
+
+
+def pending_wanted(r: Relations, name: str) -> DataFrame:
+    """The keys that the source of an output gives where no request is authorized."""
+    if PENDING_OUTPUTS[name] is None:
+        return maps.latest_upserts(r.stg_customer).where("is_active").select(_raw_key(r))
+    return getattr(r, PENDING_OUTPUTS[name][1]).select("customer_key")
+
+
+def pending_outputs(r: Relations) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Each output beside what its source gives where no request is authorized."""
+    return {name: (pending_found(r, name), pending_wanted(r, name)) for name in PENDING_OUTPUTS}
 
 
 def required_audits(r: Relations, persona: Persona) -> dict[str, DataFrame]:
