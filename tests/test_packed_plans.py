@@ -38,3 +38,23 @@ def test_broken_pending_audit_builds_only_its_two_outputs(spark, folder):
     assert {r.relation for r in found} == {"fct_customer_event", "fa_pd_customer"}
     built = {n for n in vars(run.up) if n.startswith(("int_invoice", "fct_", "quarantine_", "int_customer_service", "int_customer_event"))}
     assert built == {"int_customer_events_keyed"}
+
+
+def test_absence_audit_writes_neither_fact_nor_keyed_rows(spark, folder):
+    run = Run(spark, folder)
+    found = QUERIES["audit_deleted_absent"](run).collect()
+    assert found and {r.relation for r in found} == {"int_invoices_keyed"}
+    deleted = {r.customer_key for r in run.up.ledger.collect()}
+    keyed = run.up.int_invoices_keyed.groupBy("customer_key").count().collect()
+    assert {(r.customer_key, r.row_count) for r in found} == {(r.customer_key, r["count"]) for r in keyed if r.customer_key in deleted}
+    for name in ("fct_invoice", "int_invoices_keyed", "int_customer_events_keyed"):
+        assert not any(f"/{name}-" in f for f in getattr(run.up, name).inputFiles()), name
+
+
+def test_absence_audit_keeps_keys_of_any_form(spark):
+    keys = [None, "", "-99999", "v1:" + "0a" * 32, "v1:" + "0A" * 32]
+    rows = literal_relation(spark, [(k,) for k in keys * 2], "customer_key string")
+    ledger = literal_relation(spark, [(k,) for k in keys], "customer_key string")
+    out = A.audit_deleted_absent({"a": rows}, ledger)
+    assert sorted((r.customer_key, r.row_count) for r in out.collect()) == sorted((k, 2) for k in keys[1:])
+    assert join_key_types(out) == {"binary"}

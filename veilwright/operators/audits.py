@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.config import FULL, DEMO_SCHEME, Persona, PipelineConfig
-from veilwright.functions.keys import canonicalize, framed_hash, personal_data_key
+from veilwright.functions.keys import canonicalize, framed_hash, packed, personal_data_key, unpacked
 from veilwright.operators import controls, maps
 from veilwright.operators.policy import attach_deletion_mode
 from veilwright.schemas import CONTRACTS
@@ -215,12 +215,11 @@ def audit_allowlist(expected: DataFrame, actual: DataFrame, keys: Sequence[str])
 def audit_deleted_absent(relations: Mapping[str, DataFrame], ledger: DataFrame) -> DataFrame:
     """Ledger keys still visible in any of the relations, with row counts."""
     visible = union_all(
-        df.select(F.lit(name).alias("relation"), "customer_key") for name, df in relations.items()
+        packed(df.select(F.lit(name).alias("relation"), "customer_key"), "customer_key") for name, df in relations.items()
     )
     counted = visible.groupBy("relation", "customer_key").agg(F.count("*").alias("row_count"))
-    return counted.join(ledger.select("customer_key"), "customer_key", "left_semi").select(
-        "relation", "customer_key", "row_count"
-    )
+    deleted = packed(ledger.select("customer_key"), "customer_key")
+    return unpacked(counted.join(deleted, "customer_key", "left_semi"), "customer_key").select("relation", "customer_key", "row_count")
 
 
 def audit_erased_members(
@@ -354,15 +353,16 @@ def audit_pending_untouched(
         .distinct()
         .join(ledger.select("customer_key"), "customer_key", "left_anti")
     )
+    keys = packed(keys, "customer_key")
     sides = [
-        df.select("customer_key", F.lit(name).alias("relation"), F.lit(1 - i).alias("found"), F.lit(i).alias("wanted"))
+        packed(df.select("customer_key"), "customer_key").select("customer_key", F.lit(name).alias("relation"), F.lit(1 - i).alias("found"), F.lit(i).alias("wanted"))
         for name, pair in outputs.items()
         for i, df in enumerate(pair)
     ]
     counted = union_all(sides).groupBy("relation", "customer_key").agg(
         F.sum("wanted").alias("expected_rows"), F.sum("found").alias("actual_rows")
     )
-    changed = counted.where("expected_rows <> actual_rows").join(keys, "customer_key", "left_semi")
+    changed = unpacked(counted.where("expected_rows <> actual_rows").join(keys, "customer_key", "left_semi"), "customer_key")
     none = F.lit(None).cast("bigint")
     return entered.select(
         F.lit("plan").alias("relation"), F.col("deletion_request_id").alias("subject"), none.alias("expected_rows"), none.alias("actual_rows")

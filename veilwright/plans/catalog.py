@@ -53,10 +53,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
-#: Projections and filters of one published table each: read from that table, not written a second time.
+#: Projections and filters of one published table each (fct_invoice by the ledger too): read from that table, not written a second time.
 DERIVED = (
+    "int_customer_events_keyed", "int_invoices_keyed",
     "int_customer_protected", "int_customer_events_resolved", "int_customer_services_resolved", "int_invoices_resolved",
-    "dim_customer", "dim_service", "fct_customer_event",
+    "dim_customer", "dim_service", "fct_customer_event", "fct_invoice",
 )
 
 
