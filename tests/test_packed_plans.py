@@ -58,3 +58,18 @@ def test_absence_audit_keeps_keys_of_any_form(spark):
     out = A.audit_deleted_absent({"a": rows}, ledger)
     assert sorted((r.customer_key, r.row_count) for r in out.collect()) == sorted((k, 2) for k in keys[1:])
     assert join_key_types(out) == {"binary"}
+
+
+def test_invoice_view_joins_packed_keys(spark, cfg):
+    r = staged(spark, fx.extracts(spark), cfg)
+    view = r.case_fct_invoice(Persona.of(CASE_USERS))
+    assert join_key_types(view) == {"binary"}
+    key = "^v1:[0-9a-f]{64}$"
+    rows = view.where(" and ".join(f"{c} rlike '{key}'" for c in view.columns if c.endswith("_key") and "date" not in c and c != "invoice_key"))
+    assert rows.count() == view.count() > 0
+
+
+def test_services_and_their_map_join_packed_keys(spark, cfg):
+    r = staged(spark, fx.extracts(spark), cfg)
+    out = R.resolve_services(r.int_customer_services_keyed, r.ledger, r.fa_pd_customer, r.fa_pd_service_address)
+    assert join_key_types(out) == {"binary"}

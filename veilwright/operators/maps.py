@@ -96,8 +96,10 @@ def service_map(
         "valid_to",
         "source_updated_at",
     )
-    eligible = without_deleted(keyed, ledger, "customer_key")
-    mapped = eligible.join(customers.select("customer_key"), "customer_key", "inner")
+    names = [c for c in keyed.columns if c.endswith("_key")]
+    deleted, known = (K.packed(df.select("customer_key"), "customer_key") for df in (ledger, customers))
+    eligible = without_deleted(K.packed(keyed, *names), deleted, "customer_key")
+    mapped = K.unpacked(eligible.join(known, "customer_key", "inner"), *names)
     return mapped.select(CONTRACTS["fa_pd_service_address"].names)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.config import CASE_USERS, PRIVACY_ADMINS, RESTRICTED_USERS, Persona, PipelineConfig
-from veilwright.functions.keys import mask_value
+from veilwright.functions.keys import mask_value, packed, unpacked
 from veilwright.operators.policy import case_access, governed_model
 from veilwright.sources.tables import literal_relation, union_all
 
@@ -117,12 +117,13 @@ def case_fct_invoice(
     mapped_services: DataFrame,
     persona: Persona,
 ) -> DataFrame:
-    """Four joins, two exchanges of the fact (customer key, then service tuple), one of each lookup."""
+    """Four joins, two exchanges of the fact (customer key, then service tuple), one of each lookup; keys travel packed."""
     tuple_keys = ["customer_key", "service_key", "service_version_key"]
     service_keys = [*tuple_keys, "installation_address_key"]
+    customer_keys = ["customer_key", "full_name_key", "email_key"]
     readable_services = _lookup(
-        services.select(*service_keys),
-        mapped_services.select(
+        packed(services.select(*service_keys), *service_keys),
+        packed(mapped_services, *service_keys).select(
             *service_keys,
             F.col("service_id_value").alias("service_id"),
             F.col("installation_address_value").alias("installation_address"),
@@ -130,11 +131,10 @@ def case_fct_invoice(
         tuple_keys,
         ["installation_address_key"],
     )
-    joined = fact.join(_readable_customers(customers, mapped_customers), "customer_key", "inner").join(
-        readable_services, tuple_keys, "inner"
-    )
+    readable_customers = _readable_customers(*(packed(df, *customer_keys) for df in (customers, mapped_customers)))
+    joined = packed(fact, *tuple_keys).join(readable_customers, "customer_key", "inner").join(readable_services, tuple_keys, "inner")
     return governed_model(
-        joined, "case_fct_invoice", "CASE_VIEW", "invoice_key",
+        unpacked(joined, *service_keys, *customer_keys[1:]), "case_fct_invoice", "CASE_VIEW", "invoice_key",
         [
             "invoice_key", *tuple_keys, "full_name_key", "email_key", "installation_address_key",
             "issue_date_key", "due_date_key", "paid_date_key", "amount", "currency_code", "is_paid",
