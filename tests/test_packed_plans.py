@@ -73,3 +73,33 @@ def test_services_and_their_map_join_packed_keys(spark, cfg):
     r = staged(spark, fx.extracts(spark), cfg)
     out = R.resolve_services(r.int_customer_services_keyed, r.ledger, r.fa_pd_customer, r.fa_pd_service_address)
     assert join_key_types(out) == {"binary"}
+
+
+def test_rebuild_writes_affected_rows_once_and_carries_over_the_rest(spark, cfg, tmp_path):
+    """Four invoices: one changed, one of a changed service, one gone, one as it was."""
+
+    def versions(before, after, schema):
+        return I.Versions(literal_relation(spark, before, schema), literal_relation(spark, after, schema))
+
+    c, s, t = (f"v1:{d * 64}" for d in "abc")
+    before = [invoice("i1", c, s), invoice("i2", c, t), invoice("i3", c, s), invoice("i4", c, s)]
+    after = [invoice("i1", c, s, paid=True, paid_at=date(2026, 1, 12)), invoice("i2", c, t), invoice("i4", c, s)]
+    periods = [service(c, s, f"v1:{'1' * 64}"), service(c, t, f"v1:{'2' * 64}")]
+    moved = [periods[0], service(c, t, f"v1:{'3' * 64}")]
+    invoices, services = versions(before, after, INVOICE), versions(periods, moved, SERVICE)
+    accepted = I.Versions(services.before.drop("service_id"), services.after.drop("service_id"))
+    ledger, known = versions([], [], LEDGER), versions([(c,)], [(c,)], "customer_key string")
+    written = {}
+
+    def stage(name, df):
+        df.write.parquet(f"{tmp_path}/{name}")
+        written[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        return written[name]
+
+    previous = R.resolve_invoices(invoices.before, services.before, accepted.before, ledger.before, known.before, cfg)
+    rebuilt = I.rebuild_invoices(invoices, services, accepted, ledger, known, previous, cfg, stage)
+    full = R.resolve_invoices(invoices.after, services.after, accepted.after, ledger.after, known.after, cfg)
+    assert sorted(map(str, rebuilt.collect())) == sorted(map(str, full.collect()))
+    assert sorted(r.invoice_id for r in written["_affected_invoices"].collect()) == ["i1", "i2", "i3"]
+    rows = {r.invoice_id: (r.customer_key, r.service_key) for r in written["_affected_invoice_rows"].collect()}
+    assert rows == {"i1": (c, s), "i2": (c, t)}

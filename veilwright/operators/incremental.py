@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwright.config import PipelineConfig
+from veilwright.functions.keys import packed, unpacked
 from veilwright.operators import resolve
 from veilwright.operators.audits import differing_keys
 from veilwright.sources.tables import union_all
@@ -125,20 +126,28 @@ def rebuild_invoices(
     cfg: PipelineConfig,
     stage: Stage = _as_is,
 ) -> DataFrame:
-    """As resolve_invoices over all current invoices. Of the services, only those of affected invoices are swept."""
+    """As resolve_invoices over all current invoices. Of the services, only those of affected invoices are swept.
+
+    Keys travel packed. ``stage`` may write the affected keys and the affected rows, which are read several times.
+    """
+    pair = ("customer_key", "service_key")
+    current = packed(invoices.after, *pair)
     causes = {
-        "customer_key": changed_customers(ledger, customers),
-        "service_key": changed_services(services, resolved, ledger),
+        "customer_key": packed(changed_customers(ledger, customers), "customer_key"),
+        "service_key": packed(changed_services(services, resolved, ledger), "service_key"),
     }
-    affected = stage("_affected_invoices", affected_rows(invoices, "invoice_id", causes))
-    rows = only(invoices.after, affected, "invoice_id")
-    needed = rows.select("service_key").distinct()
+    dependent = [only(current, keys, column) for column, keys in causes.items()]
+    affected = stage("_affected_invoices", _any("invoice_id", [invoices.changed("invoice_id"), *dependent]))
+    rows = stage("_affected_invoice_rows", unpacked(only(current, affected, "invoice_id"), *pair))
+    needed = packed(rows.select("service_key").distinct(), "service_key")
+
+    def periods(of: Versions, columns: tuple[str, ...]) -> DataFrame:
+        return unpacked(only(packed(of.after, *columns), needed, "service_key"), *columns)
+
+    version = "service_version_key"
     fresh = resolve.resolve_invoices(
-        rows,
-        only(services.after, needed, "service_key"),
-        only(resolved.after, needed, "service_key"),
-        ledger.after,
-        customers.after,
-        cfg,
+        rows, periods(services, (*pair, version)), periods(resolved, (*pair, version)), ledger.after, customers.after, cfg
     )
-    return carry_over(previous, fresh, affected, "invoice_id")
+    keys = (*pair, "resolved_service_version_key")
+    carried = unpacked(without(packed(previous, *keys), affected, "invoice_id"), *keys)
+    return carried.select(fresh.columns).unionByName(fresh)

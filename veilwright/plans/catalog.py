@@ -79,19 +79,18 @@ class Run:
     def _upstream(self, cfg: PipelineConfig, extracts: Mapping[str, DataFrame] | None = None, seen: str = "") -> Relations:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.extracts.version, cfg.decision_as_of, seen)
         if key not in Run._published:
-            spark = self.spark
-
-            def stage(name: str, df: DataFrame) -> DataFrame:
-                if name in DERIVED:
-                    return df
-                path = scratch_path(spark, name)
-                # Keys are hex digits, which only an entropy coder packs.
-                df.write.option("compression", "zstd").parquet(path)
-                return spark.read.schema(df.schema).parquet(path)
-
-            Run._published[key] = Relations(spark, extracts or self.extracts, cfg, stage=stage)
+            Run._published[key] = Relations(self.spark, extracts or self.extracts, cfg, stage=self.write)
         return Run._published[key]
 
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        """The relation written to the shared folder and read back, if it is more than a view of another one."""
+        if name in DERIVED:
+            return df
+        path = scratch_path(self.spark, name)
+        # Keys are hex digits, which only an entropy coder packs.
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     @property
     def up(self) -> Relations:
         """Upstream relations: tables published once per application, then read back."""
@@ -576,7 +575,7 @@ def rebuild_services(run: Run) -> DataFrame:
 def rebuild_invoices(run: Run) -> DataFrame:
     rows = ("int_invoices_keyed", "int_customer_services_keyed", "int_customer_services_resolved")
     inputs = map(run.versions, (*rows, "resolution_basis", "fa_pd_customer"))
-    return incremental.rebuild_invoices(*inputs, run.before.int_invoice_resolution, CFG)
+    return incremental.rebuild_invoices(*inputs, run.before.int_invoice_resolution, CFG, run.write)
 
 
 @query
